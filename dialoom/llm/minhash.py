@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -376,3 +376,21 @@ def _of_class(sets: DataFrame, ids: DataFrame) -> DataFrame:
     keyed = sets.mapInArrow(key, "rep long, shingles binary, set_key binary")
     return keyed.join(ids.hint("merge"), ["rep", "set_key"], "left_semi").select("rep", "shingles")
 
+
+
+def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """The rows of ``docs`` with one document of each group; columns stay.
+
+    Rows without an id belong to no group and stay.  Of rows with one id the first by text
+    stays.
+    """
+    found = save(near_duplicates(docs, p).select("doc_id", "kept"), "kept")
+    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    out = docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return out
+    order = Window.partitionBy("doc_id").orderBy("text")
+    packed = out.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null")
+    return first.select("row.*")

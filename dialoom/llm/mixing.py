@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import save, sized
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -65,7 +65,8 @@ def _pair(final: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Rounds one group; its last open row stays open, or is rounded freely if ``final``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+        # largest first, so that what stays open in the end is small
+        pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p, a, u = pdf["part"].to_numpy().copy(), pdf["size"].to_numpy(np.float64), pdf["draw"].to_numpy()
         i = -1
         for j in range(len(p)):
@@ -142,8 +143,8 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     key = ["doc_id", "tag"]
     taken = mix(docs, **kw).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     taken = save(taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag"), "copies")
-    keyed = docs.withColumn("_own", F.hash("text"))
-    wide = keyed.join(taken.hint("merge"), keyed.doc_id.cast("long").eqNullSafe(F.col("_id")) & keyed._own.eqNullSafe(F.col("_tag")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.hash("text").alias("_own"))
+    wide = keyed.join(sized(taken, taken.count()), keyed.doc_id.cast("long").eqNullSafe(F.col("_id")) & keyed._own.eqNullSafe(F.col("_tag")))
     if taken.where("rows > 1").limit(1).count():
         wide = wide.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_own")))
     else:
@@ -151,4 +152,4 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     wide = wide.withColumn("_take", (F.floor(F.col("copies") / F.col("rows")) + (F.col("_n") <= F.col("copies") % F.col("rows")).cast("long")).cast("int"))
     # a copy of each row that is taken: shuffled no further
     wide = wide.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_take", F.lit(1))))).where("_copy <= _take")
-    return wide.select(*[docs[c] for c in docs.columns])
+    return wide.select("row.*")

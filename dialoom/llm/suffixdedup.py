@@ -172,16 +172,16 @@ def removed_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """``docs`` with the keys (_id, _tag), and (_id, _tag, spans) of the texts with repeats.
 
     The spans (start, end) of a text cover each byte of it that lies in a ``length``-byte
     string which starts anywhere else too, in another text or at another place of its own.
     """
     spark = docs.sparkSession
-    own = F.xxhash64(F.lit("text"), F.col(text_col))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), own)).withColumn("_tag", F.hash(F.col(text_col).cast("string")))
-    src = keyed.where(F.octet_length(text_col) >= length).select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col(text_col).cast("string").alias("text"))
+    own = F.xxhash64(F.lit("text"), F.col("text"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), own)).withColumn("_tag", F.hash(F.col("text").cast("string")))
+    src = keyed.where(F.octet_length("text") >= length).select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("text").cast("string").alias("text"))
     everywhere = save(src.mapInArrow(_runs(length, gram), RUNS), "runs")
 
     # 1. buckets of the picked q-grams; single ones are unique
@@ -217,58 +217,65 @@ def _sized(df: DataFrame, cost: int) -> DataFrame:
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(names: list[str], text_col: str, want_text: bool) -> Callable:
-    def run(batches):
-        for batch in batches:
-            raw, at = tk.buffers(batch.column(text_col))
-            spans = batch.column("spans").to_pylist()
-            cols: list[list] = [[], [], [], [], []]
-            for i, found in enumerate(spans):
-                data = raw[at[i] : at[i + 1]]
-                out = removed_runs([(x["s"], x["e"]) for x in found]) if found else []
-                edges = [0, *(x for pair in out for x in pair), len(data)]
-                kept = b"".join(data[s:e].tobytes() for s, e in zip(edges[::2], edges[1::2], strict=True))
-                cols[0].append(len(data))
-                cols[1].append(len(data) - len(kept))
-                cols[2].append(len(out))
-                cols[3].append(hashlib.sha256(kept).hexdigest())
-                cols[4].append(kept.decode("utf-8", "ignore") if want_text and out else None)
-            done = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.string())]
-            extra = [pa.array(cols[4], pa.string())] if want_text else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *done, *extra], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if want_text else [])])
+def _kept(text: np.ndarray, found: list | None) -> tuple[bytes, int]:
+    """The remaining bytes of a text, and the number of its maximal removed runs."""
+    out = removed_runs([(x["s"], x["e"]) for x in found]) if found else []
+    edges = [0, *(x for pair in out for x in pair), len(text)]
+    return b"".join(text[s:e].tobytes() for s, e in zip(edges[::2], edges[1::2], strict=True)), len(out)
 
-    return run
+
+def _digest(batches):
+    for batch in batches:
+        raw, at = tk.buffers(batch.column("text"))
+        cols: list[list] = [[], [], [], []]
+        for i, found in enumerate(batch.column("spans").to_pylist()):
+            kept, n = _kept(raw[at[i] : at[i + 1]], found)
+            size = int(at[i + 1] - at[i])
+            for c, v in zip(cols, (size, size - len(kept), n, hashlib.sha256(kept).hexdigest()), strict=True):
+                c.append(v)
+        done = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *done], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_spans(docs: DataFrame, length: int, gram: int, text_col: str, id_col: str) -> DataFrame:
-    keyed, spans = repeated_spans(docs, length, gram, text_col, id_col)
+def _with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     rows, n = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     return keyed.join(_sized(spans, rows + n), ["_id", "_tag"], "left")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
     A null text counts as empty.  Texts shorter than ``length`` bytes lose nothing.  Rows that
     are equal in id and text are both removed as far as they reach.  A null id is allowed: its
     row is known by its text.  Other columns are not read.
     """
-    wide = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), length, gram, "text", "doc_id")
-    kind = dict(wide.dtypes)["doc_id"]
-    return wide.select("doc_id", "text", "spans").mapInArrow(_cut(["doc_id"], "text", False), f"doc_id {kind}, {DIGEST}")
+    wide = _with_spans(*repeated_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), length, gram))
+    return wide.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {dict(wide.dtypes)['doc_id']}, {DIGEST}")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text``; a character that is cut in part goes.
 
-    Columns and rows stay; ``n_chars``, where there is one, follows the text; texts without
-    repeats, null ones included, stay as they are.
+    Columns and rows stay, whatever their names; ``n_chars``, where there is one, follows the
+    text; texts without repeats, null ones included, stay as they are.
     """
-    wide = _with_spans(docs.select("doc_id", "text"), length, gram, "text", "doc_id").where("spans is not null")
-    cut = wide.select("_id", "_tag", "text", "spans").mapInArrow(_cut(["_id", "_tag"], "text", True), f"_id long, _tag int, {DIGEST}, kept_text string")
-    cut = save(cut.select("_id", "_tag", "kept_text").dropDuplicates(["_id", "_tag"]), "cut")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("text"), F.col("text")))).withColumn("_tag", F.hash(F.col("text").cast("string")))
-    out = keyed.join(cut.hint("merge"), ["_id", "_tag"], "left").withColumn("text", F.coalesce("kept_text", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    names = docs.columns
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+
+    def cut(batches):
+        for batch in batches:
+            raw, at = tk.buffers(batch.column("text"))
+            cols = dict(zip(names, batch.column("row").flatten(), strict=True))
+            text, chars = cols["text"].to_pylist(), cols["n_chars"].to_pylist() if "n_chars" in cols else None
+            for i, found in enumerate(batch.column("spans").to_pylist()):
+                if found:
+                    text[i] = _kept(raw[at[i] : at[i + 1]], found)[0].decode("utf-8", "ignore")
+                    if chars:
+                        chars[i] = len(text[i])
+            cols["text"] = pa.array(text, cols["text"].type)
+            if chars:
+                cols["n_chars"] = pa.array(chars, cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    wide = _with_spans(*repeated_spans(packed, length, gram))
+    return wide.select("text", "row", "spans").mapInArrow(cut, docs.schema)

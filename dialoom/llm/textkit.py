@@ -92,11 +92,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word of the texts, and the text that each belongs to."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~SPACE[data]
+    inside = ~separators[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = at[:-1][at[:-1] < len(data)]
