@@ -10,10 +10,10 @@ Here the buckets are refined only where a repeat is still possible:
 2. Refinement by later offsets.  The bucket of a run is refined by the identifier of the
    whole span that its windows cover.  Runs whose refined bucket has two members or more
    are repeated as a whole and are settled, one of them standing for all below.
-3. The runs left over are refined once more, to single windows: the identifier of the
-   ``length``-byte bucket of a position is made by doubling from the identifiers of the
-   buckets at later offsets (w bytes at p and at p + w give 2w bytes at p), each level
-   reusing the one before.
+3. The runs left over are cut at fixed offsets from their q-gram into shorter ones, whose
+   buckets are refined by the bytes that all their windows share: single buckets are dropped,
+   whole spans that repeat are settled, and the same step is applied to what is left with
+   ever shorter runs (``WIDTHS``), at last single windows.
 
 Counting is always aggregated before the shuffle and joined back, so a passage that a
 third of all documents share is never gathered in one group.
@@ -35,6 +35,8 @@ from .store import save, sized
 
 LENGTH = 200
 GRAM = 32
+#: Windows in a run at each step of refinement; each width divides the one before, so cuts nest.
+WIDTHS = (52, 13, 1)
 #: Joined texts are broadcast against at most this many runs.
 MOST_RUNS = 500_000
 
@@ -51,11 +53,11 @@ def pieces(column: pa.Array, overlap: int) -> Iterator[tuple[int, int, np.ndarra
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, q-gram hash, first window, last window) of each run of windows with one pick."""
+    """(text, q-gram hash, first window, last window, pick) of each run of windows with one pick."""
     n = len(data) - length + 1
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if n <= 0:
-        return empty
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none, none
     prefix = tk.prefix_hash(data)
     pos = np.arange(len(data) - gram + 1)
     h = tk.span_hash(prefix, pos, pos + gram)
@@ -76,66 +78,65 @@ def runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.n
     last = valid.copy()
     last[:-1] &= new[1:] | ~valid[1:]
     first = np.flatnonzero(new)
-    return text[first], h[pick[first]], first, np.flatnonzero(last)
+    return text[first], h[pick[first]], first, np.flatnonzero(last), pick[first]
 
 
-RUNS = "id long, tag int, gram long, span long, lo int, hi int"
+#: shape: windows behind the first (times 256) and bytes from the last window to the q-gram.
+RUNS = "id long, tag int, gram long, core long, span long, lo int, shape int"
+
+
+def _rows(batch, who, gram, core, span, lo, shape) -> pa.RecordBatch:
+    who = pa.array(who)
+    cols = [batch.column("id").take(who), batch.column("tag").take(who), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (gram, core, span))]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(lo.astype(np.int32)), pa.array(shape.astype(np.int32))], names=[c.split()[0] for c in RUNS.split(", ")])
 
 
 def _runs(length: int, gram: int) -> Callable:
     def run(batches):
         for batch in batches:
-            ids, tags = batch.column("id"), batch.column("tag")
             for row, shift, data, at in pieces(batch.column("text"), length - 1):
-                text, h, lo, hi = runs(data, at, length, gram)
+                text, h, lo, hi, pick = runs(data, at, length, gram)
                 if not len(text):
                     continue
                 raw = memoryview(np.ascontiguousarray(data))
                 digest = xxhash.xxh3_64_intdigest
                 span = np.fromiter((digest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
-                who = pa.array(text + row)
-                begin = lo - at[text] + shift
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(who), tags.take(who), pa.array(h.view(np.int64)), pa.array(span.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array((begin + hi - lo).astype(np.int32))],
-                    names=["id", "tag", "gram", "span", "lo", "hi"],
-                )
+                yield _rows(batch, text + row, h, np.zeros(len(lo), np.int64), span, lo - at[text] + shift, (hi - lo) << 8 | (pick - hi))
 
     return run
 
 
-def window_ids(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Identifier of the ``length``-byte bucket of each position, doubled from q-gram buckets."""
-    n = len(data)
-    prefix = tk.prefix_hash(data)
-    pos = np.arange(n - gram + 1)
-    ids, size = tk.span_hash(prefix, pos, pos + gram), gram
-    while size < length:
-        step = min(size, length - size)
-        ids = tk.mix(ids[: len(ids) - step] * tk.WORD_BASES[1] + tk.mix(ids[step:] ^ tk.WORD_BASES[2]))
-        size += step
-    return ids
-
-
-def _windows(length: int, gram: int) -> Callable:
-    """A row for each window of the listed runs of each text."""
+def shorter(text: np.ndarray, base: int, size: int, lo: np.ndarray, hi: np.ndarray, pick: np.ndarray, width: int, length: int):
+    """Cut runs at multiples of ``width`` from their picks.
 
+    ``text`` holds the bytes from ``base`` on of a text of ``size`` bytes.  Gives (run, first
+    and last window, bucket of the shared bytes, identifier of the whole span).
+    """
+    first, last = (pick - hi) // width, (pick - lo) // width
+    n = last - first + 1
+    run = np.repeat(np.arange(len(lo)), n)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)
+    at = pick[run]
+    near, far = at - k * width, at - k * width - (width - 1)
+    prefix = tk.prefix_hash(text)
+    core = tk.mix(tk.span_hash(prefix, near - base, far + length - base) + k.astype(np.uint64))
+    s, e = np.maximum(far, 0), np.minimum(near + length, size)
+    span = tk.mix(tk.span_hash(prefix, s - base, e - base) ^ tk.mix((near - s).astype(np.uint64) << np.uint64(32) | (e - near).astype(np.uint64)))
+    return run, np.maximum(lo[run], far), np.minimum(hi[run], near), core, span
+
+
+def _shorter(width: int, length: int) -> Callable:
     def run(batches):
         for batch in batches:
             raw, at = tk.buffers(batch.column("text"))
             spans = batch.column("spans")
             first = spans.offsets.to_numpy() - spans.offsets[0].as_py() if len(spans) else np.zeros(1, int)
             flat = spans.flatten()
-            los, his, grams = (flat.field(k).to_numpy() for k in ("lo", "hi", "gram"))
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            los, shapes, grams = (flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "shape", "gram"))
+            his = los + (shapes >> 8)
+            picks = his + (shapes & 255)
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             held = 0
-
-            def flush(batch=batch):
-                who = pa.array(np.concatenate(out[0]))
-                cols = [batch.column("id").take(who), batch.column("tag").take(who), *(pa.array(np.concatenate(x)) for x in out[1:])]
-                for x in out:
-                    x.clear()
-                return pa.RecordBatch.from_arrays(cols, names=["id", "tag", "lo", "start", "gram", "window"])
-
             for i in range(batch.num_rows):
                 text = raw[at[i] : at[i + 1]]
                 todo = np.arange(first[i], first[i + 1])
@@ -143,20 +144,17 @@ def _windows(length: int, gram: int) -> Callable:
                     now = todo[(los[todo] >= s) & (los[todo] < s + tk.SLICE_BYTES)]
                     if not len(now):
                         continue
-                    ids = window_ids(text[s : s + tk.SLICE_BYTES + 2 * length], length, gram)
-                    size = his[now] - los[now] + 1
-                    start = np.repeat(los[now], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    out[0].append(np.full(len(start), i))
-                    out[1].append(np.repeat(los[now], size).astype(np.int32))
-                    out[2].append(start.astype(np.int32))
-                    out[3].append(np.repeat(grams[now], size))
-                    out[4].append(ids[start - s].view(np.int64))
-                    held += len(start)
+                    base = max(0, s - length)
+                    part = text[base : s + tk.SLICE_BYTES + 3 * length]
+                    r, lo, hi, core, span = shorter(part, base, len(text), los[now], his[now], picks[now], width, length)
+                    for o, v in zip(out, (np.full(len(r), i), grams[now][r], core, span, lo, (hi - lo) << 8 | (picks[now][r] - hi)), strict=True):
+                        o.append(v)
+                    held += len(r)
                 if held > 100_000:
-                    yield flush()
-                    held = 0
+                    yield _rows(batch, *(np.concatenate(o) for o in out))
+                    out, held = [[] for _ in range(6)], 0
             if held:
-                yield flush()
+                yield _rows(batch, *(np.concatenate(o) for o in out))
 
     return run
 
@@ -172,40 +170,44 @@ def removed_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _refine(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """(id, tag, s, e) of the runs that are settled, and one run of each bucket that is open."""
+    one = F.min(F.struct("id", "tag", "lo", "shape")).alias("one")
+    refined = save(rows.groupBy("gram", "core", "span").agg(F.count("*").alias("n"), one), "refined")
+    whole = refined.where("n > 1").select("gram", "core", "span")
+    settled = rows.join(whole.hint("merge"), ["gram", "core", "span"])
+    settled = settled.select("id", "tag", F.col("lo").alias("s"), (F.col("lo") + F.shiftright("shape", 8) + length).alias("e"))
+    mixed = refined.groupBy("gram", "core").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1")
+    left = refined.join(mixed.select("gram", "core").hint("merge"), ["gram", "core"]).select("one.*", "gram")
+    return settled, left
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """``docs`` with the keys (_id, _tag), and (_id, _tag, spans) of the texts with repeats.
 
     The spans (start, end) of a text cover each byte of it that lies in a ``length``-byte
     string which starts anywhere else too, in another text or at another place of its own.
     """
-    spark = docs.sparkSession
     own = F.xxhash64(F.lit("text"), F.col("text"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), own)).withColumn("_tag", F.hash(F.col("text").cast("string")))
+    # ids know their rows, unless one is null or stands in several rows
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    tag = F.lit(0) if n == ids else F.hash(F.col("text").cast("string"))
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long") if n == ids else F.coalesce(F.col("doc_id").cast("long"), own)).withColumn("_tag", tag)
     src = keyed.where(F.octet_length("text") >= length).select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("text").cast("string").alias("text"))
-    everywhere = save(src.mapInArrow(_runs(length, gram), RUNS), "runs")
 
-    # 1. buckets of the picked q-grams; single ones are unique
+    everywhere = save(src.mapInArrow(_runs(length, gram), RUNS), "runs")
     often = everywhere.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    left = save(everywhere.join(often.hint("merge"), "gram"), "buckets")
-
-    # 2. refined by the identifier of the whole span
-    one = F.min(F.struct("id", "tag", "lo", "hi")).alias("one")
-    refined = save(left.groupBy("gram", "span").agg(F.count("*").alias("n"), one), "refined")
-    settled = left.join(refined.where("n > 1").select("gram", "span").hint("merge"), ["gram", "span"])
-    settled = settled.select("id", "tag", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-
-    # 3. refined to single windows where a bucket holds different spans
-    mixed = refined.groupBy("gram").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select("gram")
-    open_runs = refined.join(mixed.hint("merge"), "gram").select("one.*", "gram")
-    open_runs = save(open_runs.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi", "gram")).alias("spans")), "open")
-    rows, n_runs = open_runs.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    texts = src.join(_sized(open_runs, rows + n_runs), ["id", "tag"]).select("id", "tag", "text", "spans")
-    found = texts.mapInArrow(_windows(length, gram), "id long, tag int, lo int, start int, gram long, window long")
-    found = save(found, "windows")
-    twice = found.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    hit = found.join(twice.hint("merge"), ["gram", "window"]).groupBy("id", "tag", "lo").agg(F.min("start").alias("s"), (F.max("start") + length).alias("e"))
-    spans = settled.union(hit.select("id", "tag", "s", "e"))
-    # rows that are equal in id and text have one key: each repeats the other as a whole
+    rows = save(everywhere.join(often.hint("merge"), "gram").select([c.split()[0] for c in RUNS.split(", ")]), "buckets")
+    spans, left = _refine(rows, length)
+    for width in WIDTHS:
+        opened = save(left.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "shape", "gram")).alias("spans")), "open")
+        n_texts, n_runs = opened.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+        if not n_texts:
+            break
+        texts = src.join(_sized(opened, n_texts + n_runs), ["id", "tag"]).select("id", "tag", "text", "spans")
+        rows = save(texts.mapInArrow(_shorter(width, length), RUNS), "shorter")
+        settled, left = _refine(rows, length)
+        spans = spans.union(settled)
     spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return keyed, save(spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "spans"), "spans")
 
