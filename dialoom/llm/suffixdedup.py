@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import save, sized
+from .store import save
 
 LENGTH = 200
 GRAM = 32
 #: Windows in a run at each step of refinement; each width divides the one before, so cuts nest.
 WIDTHS = (52, 13, 1)
-#: Joined texts are broadcast against at most this many runs.
-MOST_RUNS = 500_000
+#: Ids by which texts are picked ahead of their shuffle are broadcast up to this number.
+MOST_IDS = 4_000_000
 
 
 def pieces(column: pa.Array, overlap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -201,10 +201,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     spans, left = _refine(rows, length)
     for width in WIDTHS:
         opened = save(left.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "shape", "gram")).alias("spans")), "open")
-        n_texts, n_runs = opened.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+        n_texts = opened.count()
         if not n_texts:
             break
-        texts = src.join(_sized(opened, n_texts + n_runs), ["id", "tag"]).select("id", "tag", "text", "spans")
+        texts = _picked(src, opened, n_texts).join(opened.hint("merge"), ["id", "tag"]).select("id", "tag", "text", "spans")
         rows = save(texts.mapInArrow(_shorter(width, length), RUNS), "shorter")
         settled, left = _refine(rows, length)
         spans = spans.union(settled)
@@ -212,8 +212,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     return keyed, save(spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "spans"), "spans")
 
 
-def _sized(df: DataFrame, cost: int) -> DataFrame:
-    return sized(df, cost, MOST_RUNS)
+def _picked(src: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of ``src`` whose id is one of the ``n`` in ``keys``, so that other texts aren't shuffled."""
+    return src.join(F.broadcast(keys.select("id").distinct()), "id", "left_semi") if n <= MOST_IDS else src
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -239,9 +240,16 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *done], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    rows, n = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    return keyed.join(_sized(spans, rows + n), ["_id", "_tag"], "left")
+def _with_spans(keyed: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with repeats and their spans, and the other rows."""
+    n = spans.count()
+    if n > MOST_IDS:
+        wide = keyed.join(spans.hint("merge"), ["_id", "_tag"], "left")
+        return wide.where("spans is not null"), wide.where("spans is null").drop("spans")
+    ids = F.broadcast(spans.select(F.col("_id").alias("_i"), F.col("_tag").alias("_t")))
+    same = (F.col("_id") == F.col("_i")) & (F.col("_tag").eqNullSafe(F.col("_t")))
+    some = keyed.join(ids, same, "left_semi").join(spans.hint("merge"), ["_id", "_tag"])
+    return some, keyed.join(ids, same, "left_anti")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -251,8 +259,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     are equal in id and text are both removed as far as they reach.  A null id is allowed: its
     row is known by its text.  Other columns are not read.
     """
-    wide = _with_spans(*repeated_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), length, gram))
-    return wide.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {dict(wide.dtypes)['doc_id']}, {DIGEST}")
+    some, rest = _with_spans(*repeated_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), length, gram))
+    kind, none = dict(docs.dtypes)["doc_id"], F.lit(0).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    whole = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    return some.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, {DIGEST}").union(whole)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -279,5 +290,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 cols["n_chars"] = pa.array(chars, cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    wide = _with_spans(*repeated_spans(packed, length, gram))
-    return wide.select("text", "row", "spans").mapInArrow(cut, docs.schema)
+    some, rest = _with_spans(*repeated_spans(packed, length, gram))
+    return some.select("text", "row", "spans").mapInArrow(cut, docs.schema).union(rest.select("row.*"))
