@@ -34,7 +34,7 @@ from .store import save, sized
 BITS = 4
 MISS = 1e-8
 SIGMAS = 6.0
-CHUNK = 256
+CHUNK = 1024
 EARLY_BANDS = 6
 
 
