@@ -5,11 +5,377 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import audio, casting, context, labeling, parsing, stats, timeline
+from .plans import jobs
+from .sources import derived as D
+from .sources import scripts as S
+from .sources.shared import new_folder
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_STRIP = r"'^[\s\x{3000}]+|[\s\x{3000}]+$', '', 'g'"
+_NAMES = ", ".join(f"'{x}'" for x in ("user", "assistant", T.NARRATOR, T.NON_PERSON, "guest"))
+
+
+def _phrases(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+BASE = rf"""
+WITH raw AS (
+  SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM conversations
+), lines AS (
+  SELECT conv_id AS book_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS line_no,
+    CASE WHEN turn IN (0,4) AND pos=0 THEN 'Chapter ' || (CASE WHEN turn=0 THEN '1' ELSE '2' END) || ': ' || raw
+     WHEN pos%5=0 THEN '「'||raw||'」' WHEN pos%5=1 THEN '「'||raw||'」——'||role WHEN pos%5=2 THEN role||'：「'||raw||'」'
+     WHEN pos%5=3 THEN 'x「'||raw||'」y「'||role||'」' WHEN turn%4=3 THEN '  ' WHEN turn%4=1 THEN substr(raw,1,4) ELSE raw END AS line
+  FROM raw
+), labels AS (
+  SELECT book_id, unnest(range(10)) AS ord, [{_NAMES}][(unnest(range(10)) % 5 + 1)::INT] AS label FROM (SELECT DISTINCT conv_id AS book_id FROM conversations)
+), stripped AS (SELECT *, regexp_replace(line, {_STRIP}) AS s FROM lines
+), kinds AS (
+  SELECT *, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '(?i){T.CHAPTER}') THEN 'chapter' WHEN regexp_matches(s, '{T.TRAILING_SPEAKER}') THEN 'trailing'
+    WHEN regexp_matches(s, '{T.SPEAKER_PREFIX}') THEN 'prefix' WHEN regexp_matches(s, '{T.BARE_QUOTE}') THEN 'bare' WHEN regexp_matches(s, '{T.INLINE_QUOTE}') THEN 'inline' ELSE 'narrative' END AS rule
+  FROM stripped
+), parsed AS (
+  SELECT book_id, line_no, CASE WHEN rule IN ('trailing','prefix','bare','inline') THEN 'dialogue' ELSE rule END AS kind,
+    regexp_replace(CASE rule WHEN 'trailing' THEN regexp_extract(s, '{T.TRAILING_SPEAKER}', 1) WHEN 'prefix' THEN regexp_replace(regexp_extract(s, '{T.SPEAKER_PREFIX}', 2), '」$', '')
+      WHEN 'bare' THEN regexp_extract(s, '{T.BARE_QUOTE}', 1) WHEN 'inline' THEN regexp_extract(s, '{T.INLINE_QUOTE}', 1) ELSE s END, {_STRIP}) AS text,
+    regexp_replace(CASE rule WHEN 'trailing' THEN regexp_extract(s, '{T.TRAILING_SPEAKER}', 2) WHEN 'prefix' THEN regexp_extract(s, '{T.SPEAKER_PREFIX}', 1) ELSE '' END, {_STRIP}) AS speaker
+  FROM kinds
+), filled AS (
+  SELECT *, coalesce(last_value(CASE WHEN kind='chapter' THEN text END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS chapter FROM parsed
+), counted AS (
+  SELECT *, CASE WHEN kind='dialogue' THEN sum((kind='dialogue')::INT) OVER (PARTITION BY book_id ORDER BY line_no) - 1 END AS k FROM filled
+), aligned AS (
+  SELECT c.book_id, line_no, kind, text, chapter, CASE WHEN l.ord IS NULL THEN speaker WHEN label = '{T.NON_PERSON}' THEN '' ELSE label END AS speaker
+  FROM counted c LEFT JOIN labels l ON l.book_id = c.book_id AND l.ord = c.k
+), kept AS (
+  SELECT book_id, line_no, kind, chapter, text, CASE WHEN kind='narrative' THEN '{T.NARRATOR}' ELSE speaker END AS speaker
+  FROM aligned WHERE kind='dialogue' OR (kind='narrative' AND length(text) > 5)
+), dialogues AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY line_no) - 1 AS ord, line_no, chapter, text, speaker FROM kept
+), quotes AS (
+  SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY line_no, pos) - 1 AS k, line_no, text FROM (
+    SELECT book_id, line_no, unnest(regexp_extract_all(line, '{T.ANY_QUOTE}', 1)) AS text, generate_subscripts(regexp_extract_all(line, '{T.ANY_QUOTE}', 1), 1) AS pos FROM lines)
+), genders(speaker, gender, confidence) AS (VALUES ('assistant','male',0.95::DOUBLE), ('user','female',0.7::DOUBLE)
+), gendered AS (SELECT d.*, coalesce(g.gender, 'male') AS gender FROM dialogues d LEFT JOIN genders g USING (speaker)
+), cast_map(who, ref) AS (VALUES ('assistant','a.wav'), ('{T.NARRATOR}','n.wav')
+), voiced AS (
+  SELECT g.*, coalesce(ref, CASE WHEN gender='female' THEN 'f.wav' ELSE 'm.wav' END) AS ref_audio
+  FROM gendered g LEFT JOIN cast_map ON who = CASE WHEN speaker='' THEN '{T.NARRATOR}' ELSE speaker END
+), emotions AS (
+  SELECT book_id, ord, {T.EMOTIONS}[(ord%7+1)::INT] AS emotion, {T.TONES}[(ord%5+1)::INT] AS tone, 0.5::DOUBLE AS confidence,
+    CASE WHEN ord%6=5 THEN 'Error: none' ELSE 'line ' || line_no END AS evidence FROM dialogues WHERE ord%4 <> 3
+), moods AS (
+  SELECT v.*, CASE WHEN speaker NOT IN ('', '{T.NARRATOR}') THEN emotion END AS emotion, CASE WHEN speaker NOT IN ('', '{T.NARRATOR}') THEN tone END AS tone
+  FROM voiced v LEFT JOIN emotions e USING (book_id, ord)
+), styled AS (
+  SELECT *, concat_ws('，', {_phrases(T.EMOTION_PHRASES)}[emotion], {_phrases(T.TONE_PHRASES)}[tone]) AS phrase FROM moods
+), files AS (
+  SELECT book_id, ord, printf('%05d.wav', ord) AS path, CASE WHEN ord%9=0 THEN 0 ELSE ord+1000 END::BIGINT AS length, (ord*7+1700000000)::BIGINT AS modified_s FROM dialogues WHERE ord%3=0
+), segments AS (SELECT book_id, ord, line_no, chapter, speaker, (60*length(text))::BIGINT AS duration_ms FROM dialogues
+), run_log AS (
+  SELECT book_id, ord, CASE WHEN ord%2=0 THEN 'clone' ELSE 'preset' END AS engine, (ord%7+1)*0.5::DOUBLE AS seconds, CASE WHEN ord%6=5 THEN 'error' ELSE 'ok' END AS status FROM dialogues
+), results AS (SELECT book_id, ord, status FROM run_log WHERE ord%4 <> 3
+), gaps AS (
+  SELECT *, CASE WHEN lag(chapter) OVER w IS NULL THEN 0 WHEN lag(chapter) OVER w <> chapter THEN 2000 ELSE 300 END::BIGINT AS gap_ms FROM segments WINDOW w AS (PARTITION BY book_id ORDER BY ord)
+), timeline AS (SELECT *, (sum(gap_ms+duration_ms) OVER (PARTITION BY book_id ORDER BY ord))::BIGINT AS end_ms FROM gaps
+), frames AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value AS rms FROM events
+), marked AS (
+  SELECT *, rms > 40.0 AS loud, (rms > 40.0 AND NOT coalesce(lag(rms > 40.0) OVER w, false))::INT AS new, coalesce(lead(frame_idx) OVER w, frame_idx) AS nxt
+  FROM frames WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)
+), regions AS (
+  SELECT clip_id, (min(frame_idx)*100)::BIGINT AS start_ms, (max(nxt)*100)::BIGINT AS end_ms FROM (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS run FROM marked) WHERE loud GROUP BY clip_id, run
+), joined AS (
+  SELECT clip_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY start_ms) AS run FROM (
+    SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY clip_id ORDER BY start_ms) < 300 THEN 0 ELSE 1 END AS new FROM regions)) GROUP BY clip_id, run
+), clips AS (
+  SELECT clip_id, start_ms, end_ms, (coalesce(sum(end_ms-start_ms+100) OVER (PARTITION BY clip_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS clip_start FROM joined
+), doc_lines AS (
+  SELECT doc_id AS book_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents
+), words(keyword) AS (VALUES ('the'), ('there'), ('ent')
+), found AS (
+  SELECT keyword, book_id, line_no, substr(line, 1, 120) AS line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
+  FROM doc_lines JOIN words ON contains(line, keyword)
+), mentions AS (
+  SELECT keyword, book_id, line_no, line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
+  FROM lines JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(line, keyword) WHERE contains(line, '「')
+), ctx AS (
+  SELECT d.book_id, d.ord, string_agg(l.line_no || ': ' || regexp_replace(l.line, {_STRIP}), chr(10) ORDER BY l.line_no) AS context
+  FROM dialogues d JOIN lines l ON l.book_id = d.book_id AND l.line_no BETWEEN d.line_no - 30 AND d.line_no + 30 GROUP BY ALL
+), corpus AS (
+  SELECT book_id, speaker, string_agg(text, chr(10) ORDER BY ord) AS corpus, count(*) AS lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY book_id, speaker ORDER BY ord) AS rn FROM dialogues WHERE speaker <> '') WHERE rn <= 50 GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first_ord) AS rank FROM (SELECT book_id, speaker, count(*) AS n, min(ord) AS first_ord FROM dialogues GROUP BY ALL)
+), speakers AS (
+  SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first_ord) AS rank FROM (SELECT book_id, speaker, count(*) AS n, min(ord) AS first_ord FROM dialogues WHERE speaker <> '' GROUP BY ALL)
+), ranges AS (
+  SELECT book_id, 2::BIGINT AS "start", 400::BIGINT AS "end", coalesce(string_agg(line_no || ': ' || regexp_replace(line, {_STRIP}), chr(10) ORDER BY line_no) FILTER (WHERE line_no BETWEEN 2 AND least(400, 301)), '') AS text,
+    least(400, max(line_no)) - 2 + 1 > 300 AS truncated FROM doc_lines GROUP BY book_id
+)
+"""
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _op(name: str, query: Query, sql: str | None) -> None:
+    _queries[name] = query
+    if sql is not None:
+        _sql[name] = BASE + sql
+
+
+def _written_lines(s: SparkSession, d: str) -> DataFrame:
+    """Books as text files in the shared folder, one folder a book, read back."""
+    path = new_folder(s, "books")
+    D.lines(s, d).repartition("book_id").sortWithinPartitions("book_id", "line_no").select("book_id", "line").write.partitionBy("book_id").text(path)
+    return S.read_lines(s, path)
+
+
+def _written_labels(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "labels")
+    D.labels(s, d).repartition("book_id").sortWithinPartitions("book_id", "ord").select("book_id", F.concat(F.lit("\n"), "label").alias("line")).write.partitionBy("book_id").text(path)
+    return S.read_speaker_labels(s, path)
+
+
+def _genders_of(s: SparkSession, d: str) -> DataFrame:
+    return D.dialogues(s, d).select("book_id", "speaker").distinct().join(F.broadcast(D.genders(s)), "speaker")
+
+
+def _written_json(s: SparkSession, df: DataFrame) -> str:
+    path = new_folder(s, "json")
+    S.write_labels_json(df, path)
+    return path
+
+
+def _emotion_files(s: SparkSession, d: str) -> DataFrame:
+    """A file of either shape, by the parity of the book."""
+    e = D.emotions(s, d)
+    return S.emotion_json(e.where("book_id % 2 = 0"), ["book_id"], "map").union(S.emotion_json(e.where("book_id % 2 = 1"), ["book_id"], "list"))
+
+
+def _label_file_digest(s: SparkSession, d: str) -> DataFrame:
+    e = D.emotions(s, d)
+    path = _written_json(s, S.emotion_json(e, ["book_id"], "list"))
+    back = s.read.schema("total long, success long, fail long, emotions array<string>, tones array<string>").json(path)
+    return back.select("total", "success", "fail", F.size("emotions").alias("n_emotions"), F.size("tones").alias("n_tones"))
+
+
+def _segment_files(s: SparkSession, d: str) -> DataFrame:
+    """Files are named as the segments are, below the shared folder, and listed without contents."""
+    path = new_folder(s, "segments")
+    named = D.files(s, d).select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"), "length")
+    named.select(F.repeat(F.lit("x"), (F.col("length") % 7).cast("int")).alias("value"), F.concat("stem", F.lit(".wav")).alias("name")).repartition("name").write.partitionBy("name").text(path)
+    listed = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return listed.select(F.regexp_extract("path", r"name=(\d+)_", 1).cast("long").alias("ord"), F.regexp_extract("path", r"name=\d+_(\d+)", 1).cast("long").alias("book_id"))
+
+
+def _segments_back(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "manifest")
+    rows = jobs.dry_run_segments(D.dialogues(s, d))
+    S.write_segments(rows, path)
+    return S.read_segments(s, path).select("book_id", "ord", "chapter", "speaker", "audio_path")
+
+
+def _tables_back(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "tables")
+    S.write_tables(S.relational_tables(D.dialogues(s, d), D.genders(s), D.files(s, d)), path)
+    return s.read.parquet(f"{path}/characters").select(F.col("project_id").cast("long").alias("project_id"), "name", "gender", "dialogue_count")
+
+
+def _voices(s: SparkSession, d: str) -> DataFrame:
+    v = D.dialogues(s, d).where("speaker <> ''").select(F.concat_ws("-", "book_id", "speaker").alias("voice_id"), F.col("speaker").alias("voice_name"), T.segment_path(F.col("ord")).alias("ref_audio_path"), F.col("ord").alias("seq"))
+    return S.upsert_voices(v.where("seq % 2 = 0"), v.where("seq % 2 = 1"))
+
+
+def _bracketed(s: SparkSession, d: str) -> DataFrame:
+    rows = D.dialogues(s, d).select("book_id", "line_no", F.concat(F.lit("【"), "speaker", F.lit("|alias】「"), "text", F.lit("」")).alias("line"))
+    return S.bracket_labels(rows)
+
+
+def _asked(s: SparkSession, df: DataFrame, words: list[str]) -> DataFrame:
+    return df.select("book_id").distinct().withColumn("keyword", F.explode(F.array(*map(F.lit, words))))
+
+
+def _searched(s: SparkSession, d: str) -> DataFrame:
+    return context.keyword_search(D.document_lines(s, d), D.KEYWORDS)
+
+
+def _ranges(s: SparkSession, d: str) -> DataFrame:
+    docs = D.document_lines(s, d)
+    asked = docs.select("book_id").distinct().withColumn("start", F.lit(2).cast("long")).withColumn("end", F.lit(400).cast("long"))
+    return context.read_range(docs, asked)
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    return context.mention_dialogues(D.lines(s, d), ["user", "assistant"])
+
+
+def _contexts(s: SparkSession, d: str) -> DataFrame:
+    return context.context_window(D.dialogues(s, d), D.lines(s, d))
+
+
+def _model() -> Callable[[str], str]:
+    """A deterministic model for checks: answers by the length of the request, now and then it fails."""
+
+    def answer(request: str) -> str:
+        n = len(request)
+        if n % 11 == 0:
+            raise ValueError("no answer")
+        return 'Sure: {"emotion": "%s", "tone": "%s", "confidence": 0.5, "evidence": "n=%d"} done' % (T.EMOTIONS[n % 7], T.TONES[n % 5], n)
+
+    return answer
+
+
+def _replies(s: SparkSession, d: str) -> DataFrame:
+    return labeling.apply_model(D.dialogues(s, d).select("book_id", "ord", F.col("text").alias("request")), _model)
+
+
+def _gender_replies(s: SparkSession, d: str) -> DataFrame:
+    m = F.length("text") % 3
+    body = F.when(m == 0, F.concat(F.lit('I think {"character_name": "'), "speaker", F.lit('", "gender": "unknown", "confidence": 0.2} so'))).when(m == 1, F.concat(F.lit('{"character_name": "'), "speaker", F.lit('", "gender": "female", "confidence": 0.9, "evidence": "e"}'))).otherwise(F.lit("no idea"))
+    return labeling.parse_gender_reply(D.dialogues(s, d).select("book_id", "ord", "speaker", body.alias("reply")))
+
+
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    return audio.frame_rms(D.frames(s, d).select("clip_id", F.col("frame_idx").alias("sample_idx"), F.col("rms").alias("v")), 16, 4).withColumn("rms", F.round("rms", 4))
+
+
+def _regions(s: SparkSession, d: str) -> DataFrame:
+    return audio.voiced_regions(D.frames(s, d), 40.0)
+
+
+def _totals(s: SparkSession, d: str) -> DataFrame:
+    return D.frames(s, d).groupBy("clip_id").agg((F.count("*") * 100).alias("total_ms"))
+
+
+def _timeline(s: SparkSession, d: str) -> DataFrame:
+    return timeline.splice_timeline(D.segments(s, d))
+
+
+def _register() -> None:
+    all_d = "SELECT book_id, ord, line_no, chapter, text, speaker FROM dialogues"
+    # sources and sinks
+    _op("read_lines", _written_lines, "SELECT book_id, line_no, line FROM lines")
+    _op("read_speaker_labels", _written_labels, "SELECT book_id, ord, label FROM labels")
+    _op("read_gender_results", lambda s, d: S.read_gender_results(s, _written_json(s, S.gender_json(_genders_of(s, d), ["book_id"])), per_line=True), "SELECT speaker, gender, confidence FROM (SELECT DISTINCT book_id, speaker FROM dialogues) JOIN genders USING (speaker)")
+    _op("read_emotion_results", lambda s, d: S.emotion_rows(_emotion_files(s, d)), "SELECT book_id, ord, emotion, tone, confidence, evidence FROM emotions")
+    _op("casting_tables", lambda s, d: D.dialogues(s, d).select("book_id", "speaker").distinct().join(F.broadcast(S.casting_tables(s, D.CAST)[0]), "speaker"), "SELECT DISTINCT book_id, speaker, ref AS ref_audio FROM dialogues JOIN cast_map ON who = speaker")
+    _op("scan_segment_files", _segment_files, "SELECT book_id, ord FROM files")
+    _op("write_labels_json", _label_file_digest, "SELECT count(*) AS total, count(*) FILTER (NOT starts_with(evidence, 'Error:')) AS success, count(*) FILTER (starts_with(evidence, 'Error:')) AS fail, 7 AS n_emotions, 7 AS n_tones FROM emotions GROUP BY book_id")
+    _op("write_segments", _segments_back, "SELECT book_id, ord, chapter, speaker, printf('%05d_%s.wav', ord, speaker) AS audio_path FROM dialogues")
+    _op("debug_listing", lambda s, d: S.debug_listing(D.dialogues(s, d), 3, 12), """, x AS (SELECT * FROM dialogues WHERE ord >= 3 AND ord < 12)
+SELECT book_id, 0::BIGINT AS row, 'dialogues 3-12, ' || count(*) || ' rows' AS listing FROM x GROUP BY book_id
+UNION ALL SELECT DISTINCT book_id, 1::BIGINT, repeat('=', 20) FROM x
+UNION ALL SELECT book_id, ord + 2, '[' || ord || '] ' || CASE WHEN speaker = '' THEN '?' ELSE speaker END || ': ' || text FROM x""")
+    _op("to_tables", _tables_back, "SELECT book_id AS project_id, speaker AS name, coalesce(gender, 'unknown') AS gender, dialogue_count FROM (SELECT book_id, speaker, count(*) AS dialogue_count FROM dialogues WHERE speaker <> '' GROUP BY ALL) LEFT JOIN genders USING (speaker)")
+    _op("upsert_voice", _voices, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord) AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
+    _op("extract_bracket_labels", _bracketed, "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY line_no) - 1 AS ord, speaker AS label FROM dialogues")
+    # projections and filters
+    _op("classify_lines", lambda s, d: parsing.classify_lines(D.lines(s, d)), "SELECT book_id, line_no, kind, text, speaker FROM parsed")
+    _op("is_chapter", lambda s, d: D.lines(s, d).select("book_id", "line_no", T.is_chapter(T.strip(F.col("line"))).alias("is_chapter")), f"SELECT book_id, line_no, regexp_matches(s, '(?i){T.CHAPTER}') AS is_chapter FROM stripped")
+    _op("keep_narration", lambda s, d: parsing.keep_narration(D.parsed(s, d)).select("book_id", "line_no", "kind", "text", "speaker"), f"SELECT book_id, line_no, kind, text, CASE WHEN kind='narrative' THEN '{T.NARRATOR}' ELSE speaker END AS speaker FROM parsed WHERE kind='dialogue' OR (kind='narrative' AND length(text) > 5)")
+    _op("normalize_label", lambda s, d: D.labels(s, d).select("book_id", "ord", parsing.normalize_label(F.col("label")).alias("label")), f"SELECT book_id, ord, CASE WHEN label = '{T.NON_PERSON}' THEN '' ELSE label END AS label FROM labels")
+    _op("needs_emotion", lambda s, d: stats.needs_emotion(D.dialogues(s, d)), f"{all_d} WHERE speaker NOT IN ('', '{T.NARRATOR}')")
+    _op("slice_dialogues", lambda s, d: stats.slice_dialogues(D.dialogues(s, d), between=[2, 9]), f"{all_d} WHERE ord >= 2 AND ord < 9")
+    _op("style_prefix", lambda s, d: D.emotions(s, d).select("book_id", "ord", T.style_prefix(F.col("emotion"), F.col("tone")).alias("style")), f"SELECT book_id, ord, '(' || concat_ws('，', {_phrases(T.EMOTION_PHRASES)}[emotion], {_phrases(T.TONE_PHRASES)}[tone]) || ')' AS style FROM emotions")
+    _op("synthesis_text", lambda s, d: D.dialogues(s, d).select("book_id", "ord", T.synthesis_text(F.lit("(x)\n"), F.concat(F.lit('"'), "text"), True).alias("text")), """SELECT book_id, ord, '(x) \\"' || replace(replace(text, chr(10), ' '), '"', '\\"') AS text FROM dialogues""")
+    _op("segment_path", lambda s, d: D.dialogues(s, d).select("book_id", "ord", T.segment_path(F.col("ord")).alias("path"), T.segment_path(F.col("ord"), F.col("speaker")).alias("named")), "SELECT book_id, ord, printf('%05d.wav', ord) AS path, printf('%05d_%s.wav', ord, speaker) AS named FROM dialogues")
+    _op("confidence_flag", lambda s, d: _genders_of(s, d).select("book_id", "speaker", T.confidence_flag(F.col("confidence") - 0.3).alias("flag")), "SELECT DISTINCT book_id, speaker, CASE WHEN confidence - 0.3 > 0.5 THEN '✓' ELSE '?' END AS flag FROM dialogues JOIN genders USING (speaker)")
+    _op("format_duration", lambda s, d: D.segments(s, d).select("book_id", "ord", T.format_duration(F.col("duration_ms") / 97).alias("shown")), "SELECT book_id, ord, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%.1fmin', x / 60) ELSE printf('%.1fh', x / 3600) END AS shown FROM (SELECT *, duration_ms / 97 AS x FROM segments)")
+    _op("preview", lambda s, d: D.dialogues(s, d).select("book_id", "ord", T.preview(F.col("text"), 30).alias("preview")), "SELECT book_id, ord, substr(text, 1, 30) AS preview FROM dialogues")
+    _op("voice_gender", lambda s, d: D.lines(s, d).select("book_id", "line_no", T.voice_gender(F.concat(F.lit("Fe"), F.when(F.col("line_no") % 2 == 0, "male").otherwise("x"))).alias("gender")), "SELECT book_id, line_no, CASE WHEN line_no % 2 = 0 THEN 'female' ELSE 'male' END AS gender FROM lines")
+    # joins
+    _op("align_labels", lambda s, d: parsing.align_labels(D.parsed(s, d), D.labels(s, d)).select("book_id", "line_no", "kind", "text", "chapter", "speaker"), "SELECT * FROM aligned")
+    _op("align_quotes", lambda s, d: parsing.align_quotes(D.lines(s, d), D.labels(s, d)), f"SELECT q.book_id, k, line_no, text, CASE WHEN label IS NULL OR label = '{T.NON_PERSON}' THEN '' ELSE label END AS speaker FROM quotes q LEFT JOIN labels l ON l.book_id = q.book_id AND l.ord = k")
+    _op("join_gender", lambda s, d: casting.join_gender(D.dialogues(s, d), D.genders(s)).select("book_id", "ord", "speaker", "gender"), "SELECT book_id, ord, speaker, gender FROM gendered")
+    _op("cast_voice", lambda s, d: casting.cast_voice(casting.join_gender(D.dialogues(s, d), D.genders(s)), *S.casting_tables(s, D.CAST)).select("book_id", "ord", "speaker", "ref_audio"), "SELECT book_id, ord, speaker, ref_audio FROM voiced")
+    _op("assign_engine", lambda s, d: casting.assign_engine(casting.join_gender(D.dialogues(s, d), D.genders(s)), D.clones(s), D.genders(s)).select("book_id", "ord", "engine", "voice"), "SELECT book_id, ord, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN speaker='user' THEN 'female_voice' ELSE 'male_voice' END AS voice FROM dialogues")
+    _op("join_emotion", lambda s, d: casting.join_emotion(D.dialogues(s, d), D.emotions(s, d)).select("book_id", "ord", "emotion", "tone"), "SELECT book_id, ord, emotion, tone FROM moods")
+    _op("pending_jobs", lambda s, d: casting.pending_jobs(D.dialogues(s, d), D.files(s, d)).select("book_id", "ord"), "SELECT book_id, ord FROM dialogues WHERE NOT (ord%3=0 AND ord%9<>0)")
+    _op("context_window", _contexts, "SELECT * FROM ctx")
+    _op("keyword_search", _searched, "SELECT keyword, book_id, line_no, line, total, total > 20 AS truncated FROM found WHERE rn <= 20")
+    _op("read_range", _ranges, "SELECT * FROM ranges")
+    _op("mention_dialogues", _mentions, "SELECT keyword, book_id, line_no, line, total, total > 50 AS truncated FROM mentions WHERE rn <= 50")
+    _op("missing_quotes", lambda s, d: parsing.missing_quotes(D.lines(s, d), D.parsed(s, d)), f"SELECT book_id, k, line_no, regexp_replace(text, {_STRIP}) AS text FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM parsed p WHERE kind='dialogue' AND p.book_id = q.book_id AND p.text = regexp_replace(q.text, {_STRIP}))")
+    _op("reconcile_results", lambda s, d: casting.reconcile_results(D.segments(s, d).select("book_id", "ord").withColumn("engine", F.lit("clone")), D.results(s, d)), "SELECT s.book_id, s.ord, CASE WHEN status='ok' THEN 'clone' ELSE 'fallback' END AS engine, coalesce(status,'missing') AS status, CASE WHEN status='ok' THEN 0 ELSE 1000 END::BIGINT AS placeholder_ms FROM segments s LEFT JOIN results r USING (book_id, ord)")
+    _op("all_segments", lambda s, d: timeline.all_segments(D.dialogues(s, d), D.files(s, d)), "SELECT book_id, ord, chapter, speaker, printf('%05d.wav', ord) AS audio_path, (ord%3=0 AND ord%9<>0) AS readable FROM dialogues")
+    _op("locate_text", lambda s, d: context.locate_text(D.dialogues(s, d), D.KEYWORDS), """, h AS (SELECT keyword AS needle, book_id, min(ord) AS hit FROM dialogues JOIN words ON contains(text, keyword) GROUP BY ALL)
+SELECT needle, d.book_id, ord, speaker, text, ord = hit AS is_hit FROM h JOIN dialogues d ON d.book_id = h.book_id AND ord BETWEEN hit - 3 AND hit + 3""")
+    # aggregations
+    _op("speaker_counts", lambda s, d: stats.speaker_counts(D.dialogues(s, d)), "SELECT * FROM speakers")
+    _op("top_speakers", lambda s, d: stats.top_speakers(D.dialogues(s, d), 3), "SELECT * FROM ranked WHERE rank <= 3")
+    _op("kind_counts", lambda s, d: stats.kind_counts(D.parsed(s, d)), "SELECT kind, count(*) AS n FROM parsed GROUP BY kind")
+    _op("distinct_speakers", lambda s, d: stats.distinct_speakers(D.dialogues(s, d)), "SELECT DISTINCT book_id, speaker FROM dialogues WHERE speaker <> ''")
+    _op("character_corpus", lambda s, d: context.character_corpus(D.dialogues(s, d)), "SELECT * FROM corpus")
+    _op("label_summary", lambda s, d: stats.label_summary(D.emotions(s, d)), "SELECT book_id, count(*) AS total, count(*) FILTER (NOT starts_with(evidence, 'Error:')) AS success, count(*) FILTER (starts_with(evidence, 'Error:')) AS fail FROM emotions GROUP BY book_id")
+    _op("time_per_item", lambda s, d: stats.time_per_item(D.run_log(s, d)), "SELECT engine, count(*) AS n, round(avg(seconds), 4) AS avg_seconds FROM run_log GROUP BY engine")
+    _op("progress_report", lambda s, d: stats.progress_report(D.files(s, d), D.dialogues(s, d).groupBy("book_id").agg(F.count("*").alias("total"))), """, f AS (SELECT book_id, count(*) AS done, max(modified_s) - min(modified_s) AS elapsed_s FROM files GROUP BY book_id), t AS (SELECT book_id, count(*) AS total FROM dialogues GROUP BY book_id)
+SELECT book_id, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 4) AS percent, elapsed_s, round(elapsed_s / done, 4) AS avg_s, round(elapsed_s / done * (total - done), 4) AS eta_s FROM f JOIN t USING (book_id)""")
+    _op("chapter_manifest", lambda s, d: timeline.chapter_manifest(D.segments(s, d)), "SELECT book_id, file_index, CASE WHEN chapter='' THEN 'chapter_' || file_index ELSE chapter END AS title, segments, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f) AS file_index FROM (SELECT book_id, chapter, min(ord) AS f, count(*) AS segments, sum(duration_ms)::BIGINT AS duration_ms FROM segments GROUP BY ALL))")
+    _op("volume_stats", lambda s, d: timeline.volume_stats(D.files(s, d), _timeline(s, d)), "SELECT book_id, duration_ms, size_mb FROM (SELECT book_id, max(end_ms) AS duration_ms FROM timeline GROUP BY book_id) LEFT JOIN (SELECT book_id, round(sum(length) / 1048576, 4) AS size_mb FROM files GROUP BY book_id) USING (book_id)")
+    _op("speech_stats", lambda s, d: audio.speech_stats(_regions(s, d), _totals(s, d)), "SELECT clip_id, coalesce(n, 0) AS regions, coalesce(sp, 0) AS speech_ms, total_ms - coalesce(sp, 0) AS silence_ms, round(coalesce(sp, 0) / total_ms, 4) AS ratio FROM (SELECT clip_id, count(*) * 100 AS total_ms FROM frames GROUP BY ALL) LEFT JOIN (SELECT clip_id, count(*) AS n, sum(end_ms - start_ms)::BIGINT AS sp FROM regions GROUP BY ALL) USING (clip_id)")
+    _op("longest_region", lambda s, d: audio.longest_region(_regions(s, d)), "SELECT clip_id, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY end_ms - start_ms DESC, start_ms) AS rn FROM regions) WHERE rn = 1")
+    _op("extraction_report", lambda s, d: parsing.extraction_report(D.lines(s, d), D.parsed(s, d)), f""", m AS (SELECT book_id, count(*) AS missing FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM parsed p WHERE kind='dialogue' AND p.book_id = q.book_id AND p.text = regexp_replace(q.text, {_STRIP})) GROUP BY book_id)
+SELECT book_id, coalesce(n, 0) AS quotes, dialogues, coalesce(missing, 0) AS missing FROM (SELECT book_id, count(*) FILTER (kind='dialogue') AS dialogues FROM parsed GROUP BY book_id) LEFT JOIN (SELECT book_id, count(*) AS n FROM quotes GROUP BY book_id) USING (book_id) LEFT JOIN m USING (book_id)""")
+    # windows
+    _op("fill_chapter", lambda s, d: D.parsed(s, d), "SELECT * FROM filled")
+    _op("splice_timeline", _timeline, "SELECT *, end_ms - duration_ms AS start_ms FROM timeline")
+    _op("fade_plan", lambda s, d: timeline.fade_plan(D.segments(s, d)).select("book_id", "ord", "fade_ms"), "SELECT book_id, ord, CASE WHEN duration_ms >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM segments")
+    _op("first_cooccurrence", lambda s, d: stats.first_cooccurrence(D.dialogues(s, d), "user", "guest"), "SELECT book_id, min(ord) AS ord FROM (SELECT book_id, ord, max((speaker='user')::INT) OVER w AS a, max((speaker='guest')::INT) OVER w AS b, count(*) OVER (PARTITION BY book_id) AS n FROM dialogues WINDOW w AS (PARTITION BY book_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) WHERE a + b = 2 AND ord < n - 10 GROUP BY book_id")
+    _op("first_line_context", lambda s, d: stats.first_line_context(D.dialogues(s, d), "guest"), "SELECT book_id, ord, speaker, text, ord = hit AS is_hit FROM dialogues JOIN (SELECT book_id, min(ord) AS hit FROM dialogues WHERE speaker='guest' GROUP BY book_id) USING (book_id) WHERE ord BETWEEN hit - 3 AND hit + 7")
+    _op("frame_rms", _samples, """, p AS (SELECT clip_id, frame_idx // 4 AS h, sum(rms * rms) AS e FROM frames GROUP BY ALL), g AS (SELECT clip_id, unnest(range((max(frame_idx) + 1) // 4 + 1)) AS h FROM frames GROUP BY clip_id)
+SELECT clip_id, h AS frame_idx, round(sqrt(sum(coalesce(e, 0)) OVER (PARTITION BY clip_id ORDER BY h ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 16), 4) AS rms FROM g LEFT JOIN p USING (clip_id, h)""")
+    _op("voiced_regions", _regions, "SELECT * FROM regions")
+    _op("merge_regions", lambda s, d: audio.merge_regions(_regions(s, d)), "SELECT * FROM joined")
+    _op("clip_plan", lambda s, d: audio.clip_plan(audio.merge_regions(_regions(s, d))), "SELECT clip_id, start_ms, end_ms, clip_start, least(clip_start + end_ms - start_ms, 30000) AS clip_end FROM clips WHERE clip_start < 30000")
+    _op("running_progress", lambda s, d: stats.running_progress(D.run_log(s, d)), "SELECT book_id, ord, done, ok, done - ok AS fail, round(a, 4) AS avg_seconds, round(a * (total - done), 4) AS remaining_seconds FROM (SELECT book_id, ord, count(*) OVER w AS done, (sum((status='ok')::INT) OVER w)::BIGINT AS ok, avg(seconds) OVER w AS a, count(*) OVER (PARTITION BY book_id) AS total FROM run_log WINDOW w AS (PARTITION BY book_id ORDER BY ord ROWS UNBOUNDED PRECEDING))")
+    # sorts and listings
+    _op("order_segments", lambda s, d: timeline.order_segments(D.segments(s, d)), "SELECT * FROM segments")
+    _op("order_files", lambda s, d: timeline.order_files(D.files(s, d).select("book_id", "path")), "SELECT book_id, path, ord AS stem FROM files")
+    _op("head_listing", lambda s, d: stats.head_listing(D.dialogues(s, d)), "SELECT book_id, ord, speaker, substr(text, 1, 30) AS preview, printf('%05d.wav', ord) AS file FROM dialogues WHERE ord < 10")
+    _op("line_slice", lambda s, d: stats.line_slice(D.lines(s, d), D.labels(s, d), 3, 14), "SELECT book_id, pos, line, label FROM (SELECT book_id, line_no - 1 AS pos, line FROM lines WHERE line_no - 1 BETWEEN 3 AND 13) FULL JOIN (SELECT book_id, ord AS pos, label FROM labels WHERE ord BETWEEN 3 AND 13) USING (book_id, pos)")
+    _op("extract_chapters", lambda s, d: parsing.extract_chapters(D.lines(s, d)), "SELECT book_id, line_no, text AS title FROM parsed WHERE kind='chapter'")
+    # JSON helpers, and model labelling
+    _op("json_in_text", lambda s, d: _replies(s, d).select("book_id", "ord", T.json_in_text(F.col("reply"), labeling.MOOD)["evidence"].alias("evidence")), "SELECT book_id, ord, CASE WHEN length(text) % 11 <> 0 THEN 'n=' || length(text) END AS evidence FROM dialogues")
+    _op("decode_arguments", lambda s, d: D.table(s, d, "events").select("event_id", T.decode_arguments(F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(F.col("props")))["k"].alias("k")), "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN props::JSON ->> 'k' END AS k FROM events")
+    _op("gender_requests", lambda s, d: labeling.gender_requests(context.character_corpus(D.dialogues(s, d))), "SELECT book_id, speaker, 'Character: ' || speaker || chr(10) || 'Lines: ' || lines || chr(10) || corpus AS request FROM corpus")
+    _op("emotion_requests", lambda s, d: labeling.emotion_requests(D.dialogues(s, d), _contexts(s, d)), "SELECT book_id, ord, 'Speaker: ' || speaker || chr(10) || 'Dialogue: ' || text || chr(10) || 'Context:' || chr(10) || context AS request FROM dialogues JOIN ctx USING (book_id, ord)")
+    _op("apply_model", lambda s, d: _replies(s, d).select("book_id", "ord", "status"), "SELECT book_id, ord, CASE WHEN length(text) % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM dialogues")
+    _op("parse_gender_reply", _gender_replies, "SELECT book_id, ord, speaker, CASE length(text) % 3 WHEN 1 THEN 'female' ELSE 'male' END AS gender, CASE length(text) % 3 WHEN 1 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence, CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'e' ELSE 'no verdict' END AS evidence FROM dialogues")
+    _op("parse_emotion_reply", lambda s, d: labeling.parse_emotion_reply(_replies(s, d)), f"SELECT book_id, ord, CASE WHEN n % 11 = 0 THEN 'calm' ELSE {T.EMOTIONS}[n % 7 + 1] END AS emotion, CASE WHEN n % 11 = 0 THEN 'serious' ELSE {T.TONES}[n % 5 + 1] END AS tone, CASE WHEN n % 11 = 0 THEN 0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN n % 11 = 0 THEN '' ELSE 'n=' || n END AS evidence FROM (SELECT *, length(text) AS n FROM dialogues)")
+    _op("render_search", lambda s, d: context.render_search(_searched(s, d), _asked(s, D.document_lines(s, d), D.KEYWORDS)), """, r AS (SELECT keyword, book_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown, max(total) AS total FROM found WHERE rn <= 20 GROUP BY ALL)
+SELECT keyword, book_id, CASE WHEN body IS NULL THEN chr(10) || 'No matches found' ELSE 'Found ' || total || ' matches' || CASE WHEN total > shown THEN ' (showing ' || shown || ' of ' || total || ')' ELSE '' END || ':' || chr(10) || body END AS output FROM (SELECT DISTINCT doc_id AS book_id, keyword FROM documents, words WHERE text IS NOT NULL) LEFT JOIN r USING (keyword, book_id)""")
+    _op("render_range", lambda s, d: context.render_range(_ranges(s, d)), """SELECT book_id, "start", "end", CASE WHEN text = '' AND NOT truncated THEN 'No lines in range' ELSE text || CASE WHEN truncated THEN chr(10) || '... (truncated)' ELSE '' END END AS output FROM ranges""")
+    _op("render_mentions", lambda s, d: context.render_mentions(_mentions(s, d), _asked(s, D.lines(s, d), ["user", "assistant"])), """, r AS (SELECT keyword, book_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown FROM mentions WHERE rn <= 50 GROUP BY ALL)
+SELECT keyword, book_id, CASE WHEN body IS NULL THEN 'No dialogues found for ''' || keyword || '''' ELSE 'Found ' || shown || ' dialogues:' || chr(10) || body END AS output FROM (SELECT DISTINCT book_id, keyword FROM lines, (VALUES ('user'), ('assistant')) n(keyword)) LEFT JOIN r USING (keyword, book_id)""")
+    _op("gender_cues", lambda s, d: context.gender_cues(D.lines(s, d), ["user", "assistant"], "he", "la"), """, a AS (SELECT DISTINCT keyword, book_id, line_no + x AS line_no FROM lines JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(line, keyword), (VALUES (-1), (0), (1)) o(x))
+SELECT keyword, book_id, sum(len(regexp_extract_all(line, 'he')))::BIGINT AS he, sum(len(regexp_extract_all(line, 'la')))::BIGINT AS she FROM a JOIN lines USING (book_id, line_no) GROUP BY ALL""")
+    _op("emotion_cues", lambda s, d: context.emotion_cues(D.dialogues(s, d)), f"SELECT book_id, ord, len(regexp_extract_all(text, '[!！]')) AS exclaims, len(regexp_extract_all(text, '[?？]')) AS asks, len(regexp_extract_all(text, '…')) AS pauses, len(regexp_extract_all(text, '[.,]')) AS stops, coalesce(lag(speaker = '{T.NARRATOR}') OVER w, false) AS told_before, coalesce(lead(speaker = '{T.NARRATOR}') OVER w, false) AS told_after FROM dialogues WINDOW w AS (PARTITION BY book_id ORDER BY ord)")
+    # composites
+    _op("parse_book", lambda s, d: jobs.parse_book(D.lines(s, d), D.labels(s, d)), "SELECT * FROM speakers")
+    _op("dialogue_table", lambda s, d: D.dialogues(s, d), all_d)
+    _op("synthesis_jobs", lambda s, d: jobs.synthesis_jobs(D.dialogues(s, d), D.genders(s), D.emotions(s, d), *S.casting_tables(s, D.CAST), D.files(s, d)), """, j AS (SELECT *, CASE WHEN phrase = '' THEN '' ELSE '(' || phrase || ')' END AS style FROM styled WHERE NOT (ord%3=0 AND ord%9<>0))
+SELECT book_id, ord, chapter, speaker, ref_audio, style, replace(style || text, chr(10), ' ') AS text, printf('%05d.wav', ord) AS output_path FROM j""")
+    _op("preset_jobs", lambda s, d: jobs.preset_jobs(D.dialogues(s, d), D.genders(s), D.clones(s), D.files(s, d)), "SELECT book_id, ord, speaker, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
+    _op("volume_timeline", lambda s, d: jobs.volume_timeline(D.segments(s, d), D.results(s, d)), """, v AS (SELECT s.book_id, s.ord, chapter, CASE WHEN status='ok' THEN 'clone' ELSE 'fallback' END AS engine, CASE WHEN status='ok' THEN duration_ms ELSE 1000 END::BIGINT AS dur FROM segments s LEFT JOIN results r USING (book_id, ord)),
+g AS (SELECT *, CASE WHEN lag(chapter) OVER w IS NULL THEN 0 WHEN lag(chapter) OVER w <> chapter THEN 2000 ELSE 300 END::BIGINT AS gap_ms FROM v WINDOW w AS (PARTITION BY book_id ORDER BY ord)),
+t AS (SELECT *, (sum(gap_ms + dur) OVER (PARTITION BY book_id ORDER BY ord))::BIGINT AS end_ms FROM g)
+SELECT book_id, ord, chapter, engine, gap_ms, end_ms - dur AS start_ms, end_ms, CASE WHEN dur >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM t""")
+    _op("reference_clip_plan", lambda s, d: jobs.reference_clip_plan(D.frames(s, d), 40.0, 100), "SELECT clip_id, start_ms, end_ms, clip_start, least(clip_start + end_ms - start_ms, 30000) AS clip_end FROM clips WHERE clip_start < 30000")
+    _op("dry_run_segments", lambda s, d: jobs.dry_run_segments(D.dialogues(s, d)), "SELECT book_id, ord, chapter, speaker, printf('%05d_%s.wav', ord, speaker) AS audio_path FROM dialogues")
+
+
+_register()
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL over the driver's views, for each query."""
+    return dict(_sql)
