@@ -56,13 +56,15 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     widest, have = bits, 1
     for s in range(14, 1, -1):
         c = int(COUNTS[s])
-        if c > n or int(bits.min()) > WIDTHS[s]:
+        if c > n:
             break
         while have < c:
             step = min(have, c - have)
             widest = np.maximum(widest[: len(widest) - step], widest[step:])
             have += step
         fits = widest <= WIDTHS[s]
+        if not fits.any():
+            break  # nor will longer runs of smaller values
         best[: len(widest)][fits] = s
     take = np.where(best == ESCAPE, 1, COUNTS[best])
     step, at, p = take.tolist(), [], 0

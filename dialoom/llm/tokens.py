@@ -17,12 +17,12 @@ import numpy as np
 #: White space as the library's patterns have it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Plain texts can be cut faster.
-PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-UNUSUAL = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: A piece of letters and a run of ASCII signs behind them, which is always a border of tokens.
+#: Plain texts are cut finer: letters, and ASCII signs but the apostrophe, end each other's tokens.
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-SIGNED = re.compile(f"([ \\n]*[{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]+)")
+SIGNS = "!-&(-/:-@\\[-`{-~"
+PLAIN = re.compile(rf"[ \n]*[{LETTERS}]+(?=[{SIGNS} \n]|\Z)|[ \n]*[{SIGNS}]+(?=[{LETTERS}0-9 \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+#: Other white space, and what may be a special token.
+UNUSUAL = re.compile("<\\||[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 MOST_PIECES = 1_000_000
 #: Characters of the texts that are encoded together.
 TOGETHER = 1 << 20
@@ -58,15 +58,9 @@ class PieceEncoder:
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
         self.used += total
 
-    def _of(self, piece: str) -> list[int]:
-        i = self.known[piece]
-        return self.ids[self.start[i] : self.start[i] + self.size[i]].tolist()
-
     def _learn(self, pieces: set[str]) -> None:
-        signed = {p: m.groups() for p in pieces if (m := SIGNED.fullmatch(p))}
-        plain = [p for p in pieces.difference(signed).union(*signed.values()) if p not in self.known]
-        self._store(plain, [e.ids for e in self.library.encode_batch_fast(plain, add_special_tokens=False)])
-        self._store(list(signed), [self._of(a) + self._of(b) for a, b in signed.values()])
+        new = list(pieces)
+        self._store(new, [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each whole text; null counts as empty."""
