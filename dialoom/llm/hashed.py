@@ -105,10 +105,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, loss: str, penalty: float = 1e-3, r
     ``loss``: "logistic", or "hinge" for a support vector machine (squared hinge).  Features
     are scaled by their deviations; the scales are part of the weights that are returned.
     """
-    mean, dev = x.mean(0), x.std(0) + 1e-4
-    z = (x - mean) / dev
-    z = z / np.float32(np.sqrt(np.square(z).sum(1).mean()) + 1e-9)
-    norm = np.float32(np.sqrt(np.square((x - mean) / dev).sum(1).mean()) + 1e-9)
+    mean, dev = x.mean(0), x.std(0, dtype=np.float32) + np.float32(1e-4)
+    z = x - mean  # the one copy
+    z /= dev
+    norm = np.float32(np.sqrt(np.einsum("ij,ij->", z, z) / max(1, len(z))) + 1e-9)
+    z /= norm
     t = np.where(y > 0, 1.0, -1.0)
     n1 = max(1, int((y > 0).sum()))
     share = np.where(y > 0, 0.5 / n1, 0.5 / max(1, len(y) - n1))

@@ -20,7 +20,7 @@ from . import hashed
 from . import textkit as tk
 from .samples import labelled_texts
 
-PER_LABEL = 1000
+PER_LABEL = 600
 MOST_BYTES = 16_384
 THRESHOLD = 0.5
 MIN_WORDS = 20
@@ -50,13 +50,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_b
     y = np.array(t.column("label").to_pylist(), dtype=float)
     if len(np.unique(y)) < 2:
         return Model(np.zeros(GRAMS.size), 0.0, 0.0, 1.0)
-    x = hashed.matrix(t.column("text").combine_chunks(), GRAMS)
     held = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    w, b = hashed.fit_linear(x[~held], y[~held], "logistic")
     judged = held if held.any() else np.ones(len(y), bool)
-    return Model(w, b, *hashed.calibrate(x[judged] @ w + b, y[judged]))
+    text = t.column("text").combine_chunks()
+    w, b = hashed.fit_linear(hashed.matrix(text.filter(pa.array(~held)), GRAMS), y[~held], "logistic")
+    found = hashed.scores(text.filter(pa.array(judged)), GRAMS, w[:, None])[:, 0] + b
+    return Model(w, b, *hashed.calibrate(found, y[judged]))
 
 
 def counts(column: pa.Array) -> np.ndarray:
