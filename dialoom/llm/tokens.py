@@ -7,6 +7,7 @@ the library once in a while, and the ids of a text are gathered from the pieces.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -77,6 +78,15 @@ class PieceEncoder:
     def _encode(self, held: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.known) > MOST_PIECES:
             self._clear()
+        gc.disable()  # millions of short-lived strings and no cycles: collection would only scan them
+        try:
+            ids, ends = self._gather(held)
+        finally:
+            gc.enable()
+        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield ids[s:e]
+
+    def _gather(self, held: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         flat = list(chain.from_iterable(held))
         index = list(map(self.known.get, flat))
         if None in index:
@@ -86,9 +96,7 @@ class PieceEncoder:
         size = self.size[at]
         stop = np.cumsum(size)
         ids = self.ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.start[at] - stop + size, size)]
-        ends = np.concatenate([[0], stop])[np.cumsum([0, *map(len, held)])]
-        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            yield ids[s:e]
+        return ids, np.concatenate([[0], stop])[np.cumsum([0, *map(len, held)])]
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_many([text]))
