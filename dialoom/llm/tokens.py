@@ -1,8 +1,9 @@
 """Encoding of whole texts with a public tokenizer file, word by word and cached.
 
 A tokenizer of this kind never lets a token reach over the border between a character that
-isn't white space and one that is.  Texts are cut there, each distinct piece is encoded by
-the library once in a while, and the ids of a text are gathered from the pieces.
+isn't white space and one that is, nor back over a space that another character follows.
+Texts are cut there, each distinct piece is encoded by the library once in a while, many in
+one call, and the ids of a text are gathered from the pieces.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ import numpy as np
 #: White space as the library's patterns have it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Plain texts are cut finer: letters, and ASCII signs but the apostrophe, end each other's tokens.
-LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-SIGNS = "!-&(-/:-@\\[-`{-~"
-PLAIN = re.compile(rf"[ \n]*[{LETTERS}]+(?=[{SIGNS} \n]|\Z)|[ \n]*[{SIGNS}]+(?=[{LETTERS}0-9 \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
-#: Other white space, and what may be a special token.
+#: Other white space than spaces and line ends, a space between white space, and what may be a
+#: special token: texts with one of them are cut by ``PIECE``, others at each space.
 UNUSUAL = re.compile("<\\||[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+BETWEEN = ("   ", "\n  ", "  \n", "\n \n")
+#: Runs that become a word each where white space is dropped, and what words of only these look like.
+RUN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[!-&(-/:-@\\[-`{-~]+|[0-9]")
+RUNS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff!-&(-~\n]+")
+#: New words that are encoded in one call; longer texts are slower.
+GROUP = 256
 MOST_PIECES = 1_000_000
 #: Characters of the texts that are encoded together.
 TOGETHER = 1 << 20
@@ -37,6 +41,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        self.opens = np.array([t.startswith("\u0120") for t in tokens])  # byte-level sign of a space
+        self.closes = np.array([t.endswith("</w>") for t in tokens])
+        self.spaces_open, self.words_close = bool(self.opens.any()), bool(self.closes.any())
         self._clear()
 
     def _clear(self) -> None:
@@ -46,29 +54,62 @@ class PieceEncoder:
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _store(self, pieces: list[str], encoded: list[list[int]]) -> None:
-        n, size = len(self.known), np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(size.sum())
-        while n + len(pieces) > len(self.start):
+    def _store(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n, total = len(self.known), len(ids)
+        while n + len(keys) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.start[n : n + len(pieces)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(pieces)] = size
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.start[n : n + len(keys)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(keys)] = size
+        self.ids[self.used : self.used + total] = ids
         self.used += total
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        self._store(new, [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+    def _words(self, key: str) -> int:
+        """Tokens of ``opens`` or ``closes`` that the key's word surely has among others; 0: unknown."""
+        if not key or key[0] in " \n" or key[-1] == "\n":
+            return 0
+        if self.words_close:
+            return len(RUN.findall(key)) if RUNS.fullmatch(key) else 0
+        return int(self.spaces_open)
+
+    def _learn(self, keys: set[str]) -> None:
+        """Keys are words that a space precedes, or a space and a piece as it is."""
+        words = {k: self._words(k) for k in keys}
+        joined, alone = [k for k, n in words.items() if n], [k for k, n in words.items() if not n]
+        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
+        texts = ["".join([f" {k}" for k in g]) for g in groups]
+        for g, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            count = np.cumsum([words[k] for k in g])
+            at = np.flatnonzero(self.closes[ids] | self.opens[ids])
+            if len(at) != count[-1]:
+                alone += g
+            elif self.words_close:
+                self._store(g, ids, np.diff(at[count - 1], prepend=-1))
+            else:
+                self._store(g, ids, np.diff(at, append=len(ids)))
+        encoded = [e.ids for e in self.library.encode_batch_fast([k[1:] if k[:1] == " " else f" {k}" for k in alone], add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self._store(alone, np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum())), size)
+
+    @staticmethod
+    def _keys(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if UNUSUAL.search(text) or any(x in text for x in BETWEEN):
+            return [" " + x for x in PIECE.findall(text)]
+        keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        return keys
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each whole text; null counts as empty."""
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append((PIECE if UNUSUAL.search(text) else PLAIN).findall(text) if text else [])
+            held.append(self._keys(text))
             size += len(text or "")
             if size > TOGETHER:
                 yield from self._encode(held)
@@ -91,7 +132,7 @@ class PieceEncoder:
         index = list(map(self.known.get, flat))
         if None in index:
             self._learn({p for p, i in zip(flat, index, strict=True) if i is None})
-            index = list(map(self.known.__getitem__, flat))
+            index = [self.known[p] if i is None else i for p, i in zip(flat, index, strict=True)]
         at = np.array(index, np.int64)
         size = self.size[at]
         stop = np.cumsum(size)
