@@ -184,6 +184,8 @@ def test_pieces_equal_whole_encoding():
     rng = np.random.default_rng(1)
     signs = list("abÉé1'.#<|> \n«²ª\tЖ中!?-_`~^\xa0　\x1c") + ["<|endoftext|>", "<|startoftext|>", "'s", "́"]
     texts = ["", *("".join(rng.choice(signs, int(rng.integers(1, 40)))) for _ in range(3000))]
+    plain = [*"abÉé1'.,|çß \n-_Жİ中", " ", " ", "  ", "\n\n", "don't", "end.\nNext", "WORD!!", "́"]
+    texts += ["".join(rng.choice(plain, int(rng.integers(1, 60)))) for _ in range(6000)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         library = Tokenizer.from_file(tokenizer_path(name))
         got = tokens.PieceEncoder(tokenizer_path(name)).encode_many(texts)
