@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +92,31 @@ def _rows(batch, who, gram, core, span, lo, shape) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols, pa.array(lo.astype(np.int32)), pa.array(shape.astype(np.int32))], names=[c.split()[0] for c in RUNS.split(", ")])
 
 
+def whole_runs(column: pa.Array, length: int, gram: int) -> Iterator[tuple]:
+    """(first row, offset in it, bytes, offsets, ``runs``) of slices of rows.
+
+    A run that straddles the cut of a long text is given once, as a whole: cut in two it
+    would count as two places.
+    """
+    done = -1
+    # a run has fewer than ``length`` windows, so the overlap holds the whole of each that starts before the cut
+    for (row, shift, data, at), after in pairwise(chain(pieces(column, 2 * length), [None])):
+        found = runs(data, at, length, gram)
+        goes_on = after is not None and after[1] > 0
+        if shift or goes_on:
+            lo, hi = found[2] + shift, found[3] + shift
+            keep = lo > (done if shift else -1)
+            if goes_on:
+                keep &= lo < after[1]
+            done = int(hi[keep].max(initial=done if shift else -1))
+            found = tuple(x[keep] for x in found)
+        yield row, shift, data, at, found
+
+
 def _runs(length: int, gram: int) -> Callable:
     def run(batches):
         for batch in batches:
-            for row, shift, data, at in pieces(batch.column("text"), length - 1):
-                text, h, lo, hi, pick = runs(data, at, length, gram)
+            for row, shift, data, at, (text, h, lo, hi, pick) in whole_runs(batch.column("text"), length, gram):
                 if not len(text):
                     continue
                 raw = memoryview(np.ascontiguousarray(data))

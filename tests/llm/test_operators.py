@@ -145,6 +145,45 @@ def test_long_text_in_parts():
     assert all(a[1] + a[2] == b[1] + 199 for a, b in zip(parts[1:-1], parts[2:]))
 
 
+def test_suffix_dedup_across_cuts_of_long_texts(spark):
+    cut, n = suffixdedup.tk.SLICE_BYTES, 200
+    rng = np.random.default_rng(11)
+    pick = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    unique, copied = pick(3 * cut + 700), pick(2 * cut + 900)
+    texts = [unique, copied, pick(90) + copied[cut - 333 : cut + 444] + pick(70), pick(250)]
+    hashes = [np.fromiter((hash(t[i : i + n]) for i in range(len(t) - n + 1)), np.int64, len(t) - n + 1) for t in texts]
+    value, count = np.unique(np.concatenate(hashes), return_counts=True)
+    want = []
+    for t, h in zip(texts, hashes):
+        gone = np.zeros(len(t), bool)
+        for i in np.flatnonzero(np.isin(h, value[count > 1])):
+            gone[i : i + n] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want.append((len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert [w[1:3] for w in want] == [(0, 0), (777, 1), (777, 1), (0, 0)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [tuple(r)[1:] for r in suffixdedup.remove_repeats(df).orderBy("doc_id").collect()] == want
+    # rows that are equal in id and text are still two places
+    twice = df.where("doc_id = 0").union(df.where("doc_id = 0"))
+    assert [r.n_removed for r in suffixdedup.remove_repeats(twice).collect()] == [len(unique)] * 2
+
+
+def test_runs_do_not_depend_on_cuts(monkeypatch):
+    data = [np.random.default_rng(s).integers(97, 123, n).astype(np.uint8).tobytes().decode() for s, n in ((1, 300), (2, 9000), (3, 250), (4, 150), (5, 5000))]
+
+    def found():
+        out = []
+        for row, shift, _, at, (text, h, lo, hi, pick) in suffixdedup.whole_runs(pa.array(data), 200, 32):
+            out += zip((text + row).tolist(), h.tolist(), *((x - at[text] + shift).tolist() for x in (lo, hi, pick)), strict=True)
+        return out
+
+    want = found()
+    for size in (1, 50, 199, 1000, 2222):
+        monkeypatch.setattr(suffixdedup.tk, "SLICE_BYTES", size)
+        monkeypatch.setattr(suffixdedup.tk.slices, "__defaults__", (size,))
+        assert found() == want
+
+
 def test_mixing(spark, awkward):
     rows = awkward.collect()
     got = mixing.mix(awkward).collect()
