@@ -120,17 +120,18 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     Components become floor(256 * x); queries are the rows whose vec_id is divisible by
     ``every``, candidates all rows of the query's length with another id.  Null vectors, null
     ids and vectors with a null or non-finite component take no part.  Ties go to the smaller
-    id; repeated rows count as one candidate each and as one query.
+    id.  A repeated row counts as often as it stands, as a candidate and as a query; the
+    copies take a place each, so the k best rows of each pair of blocks are enough.
     """
     spark = vectors.sparkSession
     raw = F.col("embedding").cast("array<double>")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), raw.alias("vec")).where("vec_id is not null and vec is not null").where(~bad)
-    asked = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"])
+    asked = v.where(F.col("vec_id") % every == 0)
     kind = "dim int, {0}_ids binary, {0}_rows binary"
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_queries = asked.count()
-    q = asked.repartition(max(1, -(-n_queries // QUERY_BLOCK)), F.xxhash64("vec_id") % max(1, -(-n_queries // QUERY_BLOCK)))
+    q = asked.repartition(max(1, -(-n_queries // QUERY_BLOCK)))  # by no key: an id may stand in many rows
     q = q.mapInArrow(_blocks(QUERY_BLOCK, "q"), kind.format("q"))
     q = save(q.withColumn("q_block", F.monotonically_increasing_id()), "queries")
     ids = q.select("dim", "q_block")
@@ -139,6 +140,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     grid = c.join(ids.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks")).hint("merge"), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
     lanes = q.drop("dim").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     pairs = grid.join(lanes.hint("merge"), ["q_block", "lane"]).select("dim", "q_ids", "q_rows", "c_ids", "c_rows")
-    found = pairs.mapInArrow(_compare(k), "query_id long, vec_id long, score long").distinct()
+    found = pairs.mapInArrow(_compare(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

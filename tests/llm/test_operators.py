@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dialoom.llm import components, hashed, langid, minhash, mixing, packing, pagetext, quality, suffixdedup, tokenfile, tokens, topk, toxicity
-from dialoom.llm.queries import tokenizer_path
+from dialoom.llm.queries import OP7_SQL, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, spans int"
@@ -351,6 +352,29 @@ def test_topk(spark):
     assert {tuple(r) for r in topk.top_k(df).collect()} == want
 
 
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_topk_counts_repeated_rows(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((120, 6)).astype(np.float32)
+    x[7] = 3 * x[0]  # the best of query 0 stands 6 times, the best of query 50 three times
+    x[8] = 3 * x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 5 + [(8, x[8].tolist())] * 2
+    rows += [(100, x[100].tolist())] * 2 + [(50, (-x[50]).tolist())]  # queries that repeat, with the same and with another vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    ints = [(i, np.floor(np.array(v, np.float32).astype(np.float64) * 256).astype(np.int64)) for i, v in rows]
+    want = []
+    for q in (0, 50, 100):
+        found = sorted((-int(a @ b), j) for i, a in ints if i == q for j, b in ints if j != q)[:5]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    assert [w[2] for w in want[:5]] == [7] * 5
+    assert sorted(map(tuple, topk.top_k(df).collect())) == want
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(OP7_SQL).fetchall()) == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(7)
     q, c = rng.standard_normal((20, 30)), rng.standard_normal((50, 30))
