@@ -25,7 +25,8 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Attributes in turn, each with its whole name and value, so that none is found inside another.
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
 BLOCK = frozenset(
@@ -97,10 +98,12 @@ class Page:
             inner = article
             marked = furniture
             if m["rest"]:
-                found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m["rest"])}
+                found: dict[str, str] = {}
+                for a in ATTRIBUTE.findall(m["rest"]):
+                    found.setdefault(a[0].lower(), a[1] or a[2] or a[3])  # of equal names the first holds
                 if name not in ("body", "html", "article", "main"):
                     marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-                    marked = marked or bool(marks and MARKS.search(marks)) or "hidden" in found
+                    marked = marked or bool(marks and MARKS.search(marks)) or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
                 if found.get("role") == "main":
                     name = "main" if name == "div" else name
             if name in FURNITURE and not (name == "header" and article):

@@ -399,6 +399,23 @@ def test_pages(spark):
         assert isinstance(pagetext.extract(odd, weights), str)
 
 
+def test_attributes_are_read_whole(spark):
+    weights = pagetext.train(spark.read.parquet(f"{DATA}/pages.parquet"))
+    words = "First words of the text here are several more of them."
+    page = "<html><body><article>{}</article></body></html>"
+    for kept in (
+        '<div style="overflow:hidden"><p>{}</p></div>', '<p aria-hidden="false">{}</p>', "<p aria-hidden=false>{}</p>", '<a title="Hidden gems">{}</a>',
+        '<a href="/hidden-lake">{}</a>', '<a href="/p?id=search-tips">{}</a>', "<a href=/p?id=search-tips>{}</a>", "<a title='class=menu'>{}</a>",
+        '<p data-id="search">{}</p>', '<p data-hidden>{}</p>', '<p data-role = "menu" class="text">{}</p>', '<p class="text" class="menu">{}</p>', '<p title="a > b hidden">{}</p>',
+    ):
+        assert pagetext.extract(page.format(kept.format(words)), weights) == words, kept
+    for gone in (
+        "<div hidden>{}</div>", '<div HIDDEN="">{}</div>', '<div aria-hidden="true">{}</div>', "<div class=menu>{}</div>", "<div title='x' ID = 'comments'>{}</div>",
+        '<div class="a"role="navigation">{}</div>', "<div data-x=/a/b hidden>{}</div>",
+    ):
+        assert pagetext.extract(page.format(f"<p>{words}</p>" + gone.format("Other words")), weights) == words, gone
+
+
 def test_linear_scores_equal_matrix():
     texts = pa.array(["", "a", "abc def", prose(200, 3), None, "é"])
     g = hashed.Grams(chars=(1, 3, 4), words=(1, 2), bits=8)
