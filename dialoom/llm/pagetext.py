@@ -29,6 +29,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
+#: Of these, elements that end with the page where their end tag is missing, and those that "/>" closes.
+TO_THE_END, FOREIGN = frozenset("script style textarea title".split()), frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -58,6 +60,7 @@ class Page:
         stack: list[tuple[str, bool, int]] = []  # name, furniture, article
         pos, block, n = 0, 0, len(source)
         furniture, article = False, 0
+        endless: set[str] = set()  # names without an end tag in what is left
         add = self.tokens.append
         while pos < n:
             m = TOKEN.search(source, pos)
@@ -84,9 +87,16 @@ class Page:
                 add((TAG, name, "", furniture, article, block))
                 continue
             if name in RAW:
-                end = re.compile(f"</{name}\\b[^>]*>", re.I).search(source, pos)
-                pos = end.end() if end else n
                 add((TAG, name, "", furniture, article, block))
+                if name in FOREIGN and m["rest"].rstrip().endswith("/"):
+                    continue
+                end = None if name in endless else re.compile(f"</{name}\\b[^>]*>", re.I).search(source, pos)
+                if end:
+                    pos = end.end()
+                elif name in TO_THE_END:
+                    pos = n
+                else:  # only the tag is skipped
+                    endless.add(name)
                 continue
             if name in BLOCK:
                 block += 1

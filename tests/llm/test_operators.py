@@ -416,6 +416,19 @@ def test_attributes_are_read_whole(spark):
         assert pagetext.extract(page.format(f"<p>{words}</p>" + gone.format("Other words")), weights) == words, gone
 
 
+def test_elements_without_end_tags(spark):
+    weights = pagetext.train(spark.read.parquet(f"{DATA}/pages.parquet"))
+    words, more = "First words of the text here are several more of them.", "Then some other words follow it."
+    page = f"<html><body><article><p>{words}</p>{{}}<p>{more}</p></article></body></html>"
+    both = f"{words}\n\n{more}"
+    for tag in ('<svg viewBox="0 0 1 1" />', "<math/>", "<template>", "<noscript>", "<object data=x>", "<canvas>", "<svg>", "<svg/><p></p><svg><text>no</text></svg>", "<template>" * 3):
+        assert pagetext.extract(page.format(tag), weights) == both, tag
+    for tag in ("<svg><text>no</text></svg>", "<noscript>no</noscript>", "<script>no</script>", "<template><p>no</p></template>"):
+        assert pagetext.extract(page.format(tag), weights) == both, tag
+    for tag in ("<script>", "<style>", "<textarea>", "<title>", "<script/>"):
+        assert pagetext.extract(page.format(tag), weights) == words, tag
+
+
 def test_linear_scores_equal_matrix():
     texts = pa.array(["", "a", "abc def", prose(200, 3), None, "é"])
     g = hashed.Grams(chars=(1, 3, 4), words=(1, 2), bits=8)
