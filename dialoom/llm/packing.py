@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save, sized
+from .store import map_batches, save, sized
 from .tokens import encoder
 
 WINDOW = 2048
@@ -138,18 +138,17 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _pieces(path: str, end_id: int, window: int) -> Callable:
     def run(batches):
-        encode = encoder(path).encode_many
+        ended = encoder(path).ended
         for batch in batches:
-            cols: list[list[int]] = [[], [], [], [], []]
-            ids = batch.column("doc_id").to_pylist()
-            texts = (x.as_py() for x in batch.column("text"))
-            for doc, found in zip(ids, encode(texts), strict=True):
-                tokens = np.append(found, np.uint32(end_id)).astype("<u4")
-                for s in range(0, len(tokens), window):
-                    part = tokens[s : s + window]
-                    for c, v in zip(cols, (doc, s, len(part), zlib.crc32(part.tobytes()), len(tokens)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            docs = batch.column("doc_id").to_pylist()
+            for lo, ids, at in ended(batch.column("text"), end_id):
+                cols: list[list[int]] = [[], [], [], [], []]
+                for doc, s, e in zip(docs[lo : lo + len(at) - 1], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    for k in range(s, e, window):
+                        part = ids[k : min(k + window, e)]
+                        for c, v in zip(cols, (doc, k - s, len(part), zlib.crc32(part), e - s), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -177,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     are packed each on its own.  Other columns are not read; an empty table gives no rows.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = save(src.mapInArrow(_pieces(tokenizer, end_id, window), PIECES), "pieces")
+    pieces = save(map_batches(src, _pieces(tokenizer, end_id, window), PIECES), "pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``window`` rows
     hist = np.zeros(window + 1, np.int64)
     for r in counts:
@@ -192,4 +191,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     ranked = salted.withColumn("rank", F.row_number().over(order))
     ranked = ranked.join(sized(at, window * salts), ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("first"))
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
-    return ranked.mapInArrow(_place(lookup(steps)), f"{PIECES}, sequence_id long, offset long")
+    return map_batches(ranked, _place(lookup(steps)), f"{PIECES}, sequence_id long, offset long")

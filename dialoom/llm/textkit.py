@@ -26,7 +26,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one slice of a batch takes at most (a longer single text is its own slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:

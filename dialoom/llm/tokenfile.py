@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import new_path, sized
+from .store import map_batches, new_path, sized
 from .tokens import encoder
 
 #: Values in a word and bits of each, by selector (fixed values of the coding).
@@ -37,6 +37,9 @@ ESCAPE = 0  # selector 0 would stand for 240 zeros; here it is a word with one e
 BLOCK = 128
 FRAME_IDS = 1 << 16
 END_ID = 2
+#: Bytes of text for each shard at most, on average, and blocks that the reader decodes at once.
+SHARD_BYTES = 256 << 20
+READ_BLOCKS = 512
 
 
 def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best = np.full(n, 15, np.int8)
     best[big] = ESCAPE
     widest, have = bits, 1
-    for s in range(14, 1, -1):
+    for s in range(14, 0, -1):
         c = int(COUNTS[s])
         if c > n:
             break
@@ -116,7 +119,7 @@ FILE = "shard int, first long, doc_ids array<long>, counts array<long>, words bi
 
 def _frames(path: str, end_id: int) -> Callable:
     def run(batches):
-        encode = encoder(path).encode_many
+        ended = encoder(path).ended
         shard, first = TaskContext.get().partitionId(), 0
         docs, parts, size = [], [], 0
 
@@ -131,16 +134,16 @@ def _frames(path: str, end_id: int) -> Callable:
             )
 
         for batch in batches:
-            texts = (x.as_py() for x in batch.column("text"))
-            for doc, found in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                ids = np.append(found, np.uint32(end_id))
-                if parts and size + len(ids) > FRAME_IDS:
-                    yield frame()
-                    first += size
-                    docs, parts, size = [], [], 0
-                docs.append(doc)
-                parts.append(ids)
-                size += len(ids)
+            ids_of = batch.column("doc_id").to_pylist()
+            for lo, ids, at in ended(batch.column("text"), end_id):
+                for doc, s, e in zip(ids_of[lo : lo + len(at) - 1], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if parts and size + e - s > FRAME_IDS:
+                        yield frame()
+                        first += size
+                        docs, parts, size = [], [], 0
+                    docs.append(doc)
+                    parts.append(ids[s:e])
+                    size += e - s
         if parts:
             yield frame()
 
@@ -150,36 +153,88 @@ def _frames(path: str, end_id: int) -> Callable:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Encode every whole text and write the files in ascending order of doc_id.
 
-    Null texts have the end id alone.  Equal ids stand in the order of their texts, null ids
-    first.  Other columns are not read.
+    Null texts have the end id alone.  Rows of one id stand in the order of a hash of their
+    texts, null ids first.  Long texts are encoded in parts and fill a frame of their own.
+    Other columns are not read.  Shards are ranges of (doc_id, hash): whole texts are what is
+    shuffled, which is less than their packed ids as Spark compresses both.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = src.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_frames(tokenizer, end_id), FILE).write.option("compression", "none").parquet(path)
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    key = ["doc_id", "tag"]
+    ranged = src.withColumn("tag", F.xxhash64("text")).repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    map_batches(ranged.select("doc_id", "text"), _frames(tokenizer, end_id), FILE).write.option("compression", "none").parquet(path)
+
+
+def decoded(words: np.ndarray, blocks: np.ndarray, escapes: np.ndarray, start: int, stop: int):
+    """The ids [start, stop) of a frame in parts of at most ``READ_BLOCKS`` blocks."""
+    while start < stop:
+        lo = int(np.searchsorted(blocks, start, "right")) - 1
+        end = int(blocks[lo + READ_BLOCKS]) if lo + READ_BLOCKS < len(blocks) else stop
+        yield decode_range(words, blocks, escapes, start, min(end, stop))
+        start = end
 
 
 def _digests(batches):
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for r in batch.to_pylist():
-            words, escapes = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["escapes"], "<u8")
-            ids = decode_words(words, escapes).astype("<u4")
-            stop = np.cumsum(r["counts"])
-            for doc, n, e in zip(r["doc_ids"], r["counts"], stop.tolist(), strict=True):
-                for c, v in zip(out, (r["shard"], doc, r["first"] + e - n, n, zlib.crc32(ids[e - n : e].tobytes())), strict=True):
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            words, blocks, escapes = (np.frombuffer(r[k], kind) for k, kind in (("words", "<u8"), ("blocks", "<u4"), ("escapes", "<u8")))
+            parts = decoded(words, blocks, escapes, 0, sum(r["counts"]))
+            held, at = next(parts), 0
+            start = r["first"]
+            for doc, n in zip(r["doc_ids"], r["counts"], strict=True):
+                crc, left = 0, n
+                while left:
+                    if at == len(held):
+                        held, at = next(parts), 0
+                    take = held[at : at + left]
+                    crc = zlib.crc32(take.astype("<u4").tobytes(), crc)
+                    at, left = at + len(take), left - len(take)
+                for c, v in zip(out, (r["shard"], doc, start, n, crc), strict=True):
                     c.append(v)
+                start += n
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _shards(files: DataFrame) -> tuple[DataFrame, int]:
+    """(_shard, before): the ids of all shards before each; and the number of shards."""
+    sizes = files.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    n_shards = sizes.count()
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    return sizes.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), n_shards
+
+
+def read_ids(spark, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids): the ids [start, stop) of the whole sequence, a row for each frame with some.
+
+    Frames outside are skipped by their counts, and of the others only the blocks that hold
+    the range are decoded.
+    """
+    files = spark.read.schema(FILE).parquet(path)
+    sizes, n_shards = _shards(files)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = files.select("shard", "first", total.alias("n"), "words", "blocks", "escapes")
+    rows = rows.join(sized(sizes, n_shards), rows.shard == sizes._shard)
+    rows = rows.select((F.col("first") + F.col("before")).alias("first"), "n", "words", "blocks", "escapes").where((F.col("first") < stop) & (F.col("first") + F.col("n") > start))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, blocks, escapes = (np.frombuffer(r[k], kind) for k, kind in (("words", "<u8"), ("blocks", "<u4"), ("escapes", "<u8")))
+                lo, hi = max(0, start - r["first"]), min(r["n"], stop - r["first"])
+                ids = decode_range(words, blocks, escapes, lo, hi).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["first"] + lo], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    return map_batches(rows, run, "start long, ids array<long>")
+
+
 def read_digests(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of the files at ``path``."""
     files = spark.read.schema(FILE).parquet(path)
-    sizes = files.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    n_shards = sizes.count()
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = files.mapInArrow(_digests, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    sizes, n_shards = _shards(files)
+    rows = map_batches(files, _digests, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = rows.join(sized(sizes, n_shards), rows.shard == sizes._shard)
     return rows.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

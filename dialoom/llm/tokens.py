@@ -1,36 +1,56 @@
-"""Encoding of whole texts with a public tokenizer file, word by word and cached.
-
-A tokenizer of this kind never lets a token reach over the border between a character that
-isn't white space and one that is, nor back over a space that another character follows.
-Texts are cut there, each distinct piece is encoded by the library once in a while, many in
-one call, and the ids of a text are gathered from the pieces.
+"""Encoding of whole texts with a public tokenizer file, piece by piece and cached.
+
+A tokenizer of this kind first cuts a text into words (letters, digits or other signs, with a
+space before them) and never lets a token reach over such a cut.  Texts are cut there on their
+bytes, the pieces of many texts are numbered by an Arrow dictionary, each distinct piece is
+encoded by the library once in a while, many in one call, and the ids of a text are gathered
+from its pieces.  Texts with characters that aren't plain (see ``CLASS``) are cut at white
+space only.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from . import textkit as tk
 
-#: White space as the library's patterns have it.
+#: White space as the library's patterns have it, and pieces of texts that aren't plain.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Other white space than spaces and line ends, a space between white space, and what may be a
-#: special token: texts with one of them are cut by ``PIECE``, others at each space.
-UNUSUAL = re.compile("<\\||[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-BETWEEN = ("   ", "\n  ", "  \n", "\n \n")
-#: Runs that become a word each where white space is dropped, and what words of only these look like.
-RUN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[!-&(-/:-@\\[-`{-~]+|[0-9]")
-RUNS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff!-&(-~\n]+")
-#: New words that are encoded in one call; longer texts are slower.
-GROUP = 256
+#: Pieces that are encoded alike between others of a call.
+JOINS = re.compile(" ?[^\\s\x01]+")
+FREE_SPACE = re.compile(b"[a-z] [a-z]")
+ODD, LETTER, DIGIT, SIGN, SPACE = range(5)
+#: Kinds of bytes.  Of those beyond ASCII only letters of two bytes (U+00C0 to U+024F) are plain.
+CLASS = np.full(256, ODD, np.uint8)
+CLASS[:128] = SIGN
+CLASS[1] = ODD  # stands between the words of a call
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+LEAD = np.zeros(256, bool)
+LEAD[0xC3:0xCA] = True
+#: New pieces that are encoded in one call; longer texts are slower.
+GROUP = 64
 MOST_PIECES = 1_000_000
-#: Characters of the texts that are encoded together.
-TOGETHER = 1 << 20
+#: Bytes of the texts that are encoded together.
+TOGETHER = 1 << 22
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 text."""
+    kind = CLASS[data]
+    at = np.flatnonzero(LEAD[data[:-1]])
+    a, b = data[at], data[at + 1]
+    # the signs for times and divided by, and a capital whose small form has a mark of its own
+    at = at[~((a == 0xC3) & ((b == 0x97) | (b == 0xB7)) | (a == 0xC4) & (b == 0xB0))]
+    kind[at] = kind[at + 1] = LETTER
+    return kind
 
 
 class PieceEncoder:
@@ -41,20 +61,21 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
-        self.opens = np.array([t.startswith("\u0120") for t in tokens])  # byte-level sign of a space
-        self.closes = np.array([t.endswith("</w>") for t in tokens])
-        self.spaces_open, self.words_close = bool(self.opens.any()), bool(self.closes.any())
+        # where a word's end is part of its last token, white space is dropped and letters are small
+        self.words_close = any((self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.library.get_vocab_size()))
+        self.between = " \x01 " if self.words_close else "\n"
+        sign = self.library.encode("\x01" if self.words_close else "\n", add_special_tokens=False).ids
+        self.sign = sign[0] if len(sign) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _store(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+    def _store(self, keys: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         n, total = len(self.known), len(ids)
         while n + len(keys) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
@@ -66,81 +87,113 @@ class PieceEncoder:
         self.ids[self.used : self.used + total] = ids
         self.used += total
 
-    def _words(self, key: str) -> int:
-        """Tokens of ``opens`` or ``closes`` that the key's word surely has among others; 0: unknown."""
-        if not key or key[0] in " \n" or key[-1] == "\n":
-            return 0
-        if self.words_close:
-            return len(RUN.findall(key)) if RUNS.fullmatch(key) else 0
-        return int(self.spaces_open)
-
-    def _learn(self, keys: set[str]) -> None:
-        """Keys are words that a space precedes, or a space and a piece as it is."""
-        words = {k: self._words(k) for k in keys}
-        joined, alone = [k for k, n in words.items() if n], [k for k, n in words.items() if not n]
-        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
-        texts = ["".join([f" {k}" for k in g]) for g in groups]
-        for g, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            count = np.cumsum([words[k] for k in g])
-            at = np.flatnonzero(self.closes[ids] | self.opens[ids])
-            if len(at) != count[-1]:
-                alone += g
-            elif self.words_close:
-                self._store(g, ids, np.diff(at[count - 1], prepend=-1))
+    def _learn(self, keys: list[bytes]) -> None:
+        """Encode new pieces: many in one call, with a sign between them that none of them holds."""
+        texts = [k.decode() for k in keys]
+        joins = [self.sign is not None and JOINS.fullmatch(t) is not None for t in texts]
+        joined = [i for i, j in enumerate(joins) if j]
+        alone = [i for i, j in enumerate(joins) if not j]
+        order: list[int] = []
+        ids, sizes = [], []
+        for i in range(0, len(joined), 64 * GROUP):
+            groups = [joined[j : j + GROUP] for j in range(i, min(i + 64 * GROUP, len(joined)), GROUP)]
+            calls = [self.between.join([texts[k] for k in g]) for g in groups]
+            for g, found in zip(groups, self.library.encode_batch_fast(calls, add_special_tokens=False), strict=True):
+                own = np.array(found.ids, np.uint32)
+                between = own == self.sign
+                cut = np.flatnonzero(between)
+                if len(cut) != len(g) - 1:
+                    alone += g
+                    continue
+                order += g
+                ids.append(own[~between])
+                sizes.append(np.diff(cut, prepend=-1, append=len(own)) - 1)
+        for i in range(0, len(alone), 64 * GROUP):
+            part = alone[i : i + 64 * GROUP]
+            order += part
+            for e in self.library.encode_batch_fast([texts[k] for k in part], add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                sizes.append(np.array([len(ids[-1])]))
+        self._store([keys[i] for i in order], np.concatenate(ids), np.concatenate(sizes))
+
+    def _cuts(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin in the bytes of texts, whether each text is plain, and where white space is."""
+        kind = classes(data)
+        begin = np.zeros(len(data), bool)
+        begin[at[:-1][at[:-1] < len(data)]] = True
+        a, b = kind[:-1], kind[1:]
+        cut = a != b
+        if not self.words_close:
+            # white space goes with what follows, except for one line feed
+            feed = data[:-1] == 10
+            feed[1:] &= (a[:-1] != SPACE) | begin[1:-1]
+            cut &= (a != SPACE) | feed
+        # an apostrophe may make a word with the letters behind it
+        cut &= (data[:-1] != 39) | (b != LETTER)
+        begin[1:] |= cut
+        odd = np.flatnonzero(kind == ODD)
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # may begin a special token
+        plain = np.ones(len(at) - 1, bool)
+        plain[np.searchsorted(at, np.concatenate([odd, special]), "right") - 1] = False
+        return begin, plain, kind == SPACE
+
+    def encode_slices(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, uint32 ids, their offsets) of runs of rows; each null counts as empty."""
+        for lo, hi, data, at in tk.slices(column, TOGETHER):
+            if len(data) > 2 * TOGETHER:  # one long text
+                ids = np.concatenate(list(self._long(data)))
+                yield lo, ids, np.array([0, len(ids)])
             else:
-                self._store(g, ids, np.diff(at, append=len(ids)))
-        encoded = [e.ids for e in self.library.encode_batch_fast([k[1:] if k[:1] == " " else f" {k}" for k in alone], add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self._store(alone, np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum())), size)
-
-    @staticmethod
-    def _keys(text: str | None) -> list[str]:
-        if not text:
-            return []
-        if UNUSUAL.search(text) or any(x in text for x in BETWEEN):
-            return [" " + x for x in PIECE.findall(text)]
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
-        return keys
-
-    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """uint32 ids of each whole text; null counts as empty."""
-        held: list[list[str]] = []
-        size = 0
-        for text in texts:
-            held.append(self._keys(text))
-            size += len(text or "")
-            if size > TOGETHER:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, held: list[list[str]]) -> Iterator[np.ndarray]:
+                yield lo, *self._encode(data, at)
+
+    def ended(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``encode_slices`` with ``end_id`` behind the ids of each text."""
+        for lo, ids, at in self.encode_slices(column):
+            out = np.full(len(ids) + len(at) - 1, end_id, "<u4")
+            out[np.arange(len(ids)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = ids
+            yield lo, out, at + np.arange(len(at))
+
+    def _long(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of parts of a long text, cut at a space between ASCII letters."""
+        s = 0
+        while s < len(data):
+            near = FREE_SPACE.search(data[s + TOGETHER :].data)
+            e = s + TOGETHER + near.start() + 1 if near else len(data)
+            yield self._encode(data[s:e], np.array([0, e - s], np.int64))[0]
+            s = e
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_PIECES:
             self._clear()
-        gc.disable()  # millions of short-lived strings and no cycles: collection would only scan them
-        try:
-            ids, ends = self._gather(held)
-        finally:
-            gc.enable()
-        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            yield ids[s:e]
-
-    def _gather(self, held: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        flat = list(chain.from_iterable(held))
-        index = list(map(self.known.get, flat))
+        begin, plain, blank = self._cuts(data, at)
+        for i in np.flatnonzero(~plain).tolist():
+            text = data[at[i] : at[i + 1]].tobytes().decode()
+            begin[at[i] : at[i + 1]], blank[at[i] : at[i + 1]] = False, False
+            begin[at[i] + np.cumsum([0, *(len(x.encode()) for x in PIECE.findall(text)[:-1])])] = True
+        if self.words_close:
+            small = tk.LOWER[data]
+            if not plain.all():
+                small = np.where(np.repeat(plain, np.diff(at)), small, data)
+            data, begin, at = small[~blank], begin[~blank], np.concatenate([[0], np.cumsum(~blank)])[at]
+        first = np.flatnonzero(begin)
+        if not len(first):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        offsets = np.append(first, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = list(map(self.known.get, keys))
         if None in index:
-            self._learn({p for p, i in zip(flat, index, strict=True) if i is None})
-            index = [self.known[p] if i is None else i for p, i in zip(flat, index, strict=True)]
-        at = np.array(index, np.int64)
-        size = self.size[at]
+            self._learn([k for k, i in zip(keys, index, strict=True) if i is None])
+            index = list(map(self.known.__getitem__, keys))
+        where = np.array(index, np.int64)[coded.indices.to_numpy()]
+        size = self.size[where]
         stop = np.cumsum(size)
-        ids = self.ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.start[at] - stop + size, size)]
-        return ids, np.concatenate([[0], stop])[np.cumsum([0, *map(len, held)])]
+        ids = self.ids[np.arange(int(stop[-1])) + np.repeat(self.start[where] - stop + size, size)]
+        return ids, np.concatenate([[0], stop])[np.searchsorted(first, at)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return next(self.encode_many([text]))
+        return next(self.encode_slices(pa.array([text], pa.string())))[1]
 
 
 _encoders: dict[str, PieceEncoder] = {}
