@@ -37,9 +37,9 @@ LEAD = np.zeros(256, bool)
 LEAD[0xC3:0xCA] = True
 #: New pieces that are encoded in one call; longer texts are slower.
 GROUP = 64
-MOST_PIECES = 1_000_000
+MOST_PIECES = 200_000
 #: Bytes of the texts that are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 
 
 def classes(data: np.ndarray) -> np.ndarray:
