@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import hashed
 from .samples import labelled_texts
+from .store import map_batches
 
 PER_LANG = 400
 MOST_BYTES = 16_384
@@ -110,4 +111,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     src = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("letter", letter)
-    return src.mapInArrow(_predict(model), f"doc_id {dict(src.dtypes)['doc_id']}, lang_pred string, score double")
+    return map_batches(src, _predict(model), f"doc_id {dict(src.dtypes)['doc_id']}, lang_pred string, score double")

@@ -4,12 +4,18 @@
    of every minimum packed into words, and one key for each band of ``rows`` minima.
 2. Documents with equal sets are one class; only classes go on.
 3. Classes that share a band key are candidates.  A bucket is cut into chunks of bounded
-   size and the chunk pairs are compared: mismatching low bits are counted on the packed
-   words, and the collision-corrected similarity discards pairs that are clearly apart.
+   rows and bytes and pairs of chunks are compared: mismatching low bits are counted on the
+   packed words, and the collision-corrected similarity discards pairs that are clearly apart.
 4. The remaining candidates are confirmed on their full shingle sets.  A block gives only
    the links of a spanning forest, never all pairs of a group of copies.
 5. Connected components of the links give the groups.
 
+Steps 3 to 5 run twice.  The first pass takes a few bands and compares the chunks of a large
+bucket with themselves and with one member only, which joins most of a large group at a cost
+that grows with its size.  The second pass takes the other bands, and the large buckets of
+the first again; members that have the label most common in their bucket meet only those with
+other labels, so what is compared in full is what isn't known to be joined.
+
 The number of bands follows from the threshold: a pair at the threshold shares a band
 with probability 1 - MISS at least.  The estimate discards at SIGMAS standard deviations
 below the threshold.
@@ -29,13 +35,18 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .store import save, sized
+from .store import arrow_rows, map_batches, save, sized
 
 BITS = 4
 MISS = 1e-8
 SIGMAS = 6.0
-CHUNK = 1024
+#: Classes, and bytes of their full sets, in a chunk on average.
+CHUNK = 512
+CHUNK_BYTES = 4 << 20
 EARLY_BANDS = 6
+#: Rows of an Arrow batch where rows are wide, and bytes of rows for a task.
+BATCH_ROWS = 500
+TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -295,6 +306,53 @@ def _sets(words: int) -> Callable:
     return run
 
 
+def _parts(spark, size: int) -> int:
+    """Partitions for so many bytes of rows."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def _members(node: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(rep, label, bytes, band, key) of each class and band from lo to hi - 1."""
+    bands = F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("band")
+    key = F.xxhash64(F.expr("substring(bands, band * 8 + 1, 8)")).alias("key")
+    return node.select("rep", "label", "bytes", bands, "bands").select("rep", "label", "bytes", "band", key)
+
+
+def _blocks(member: DataFrame, early: bool) -> tuple[DataFrame, DataFrame, int]:
+    """(band, key, ci, cj, chunk, rep, label) for each pair of chunks that a member takes part in;
+    (band, key) of the buckets of several chunks; and their number."""
+    keys = ["band", "key"]
+
+    def chunks(n, size):
+        return F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(size) / CHUNK_BYTES), F.lit(1)).cast("int")
+
+    hot = member.groupBy(keys).agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    member = save(member.join(hot.select(*keys, chunks("n", "size").alias("chunks")).hint("merge"), keys), "members")
+    names = [*keys, "ci", "cj", "chunk", "rep", "label"]
+    zero = F.lit(0)
+    whole = member.where("chunks = 1").select(*keys, zero.alias("ci"), zero.alias("cj"), zero.alias("chunk"), "rep", "label")
+    inside = member.where("chunks > 1")
+    counts = inside.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    major = F.max(F.struct("n", "label", "size"))
+    large = counts.groupBy(keys).agg(major.alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    large = large.select(*keys, F.col("top.label").alias("major"), F.col("top.n").alias("n1"), F.col("top.size").alias("s1"), (F.col("n") - F.col("top.n")).alias("n2"), (F.col("size") - F.col("top.size")).alias("s2"))
+    large = save(large.select(*keys, "major", chunks("n1", "s1").alias("c1"), chunks("n2", "s2").alias("c2")), "large")
+    n_large = large.count()
+    if not n_large:
+        return whole, large.select(keys), 0
+    spread = F.xxhash64("rep")
+    inside = inside.join(sized(large, n_large), keys).withColumn("is_major", F.col("label") == F.col("major"))
+    inside = inside.withColumn("chunk", F.when(F.col("is_major"), F.pmod(spread, F.col("c1"))).otherwise(F.col("c1") + F.pmod(spread, F.col("c2"))).cast("int"))
+    last = F.col("c1") + F.col("c2") - 1
+    if early:  # all labels differ: the major one is of one member, in chunk 0
+        others = F.when(F.col("is_major"), F.sequence("c1", last)).otherwise(F.array(zero, "chunk"))
+    else:
+        others = F.when(F.col("is_major"), F.sequence("c1", last)).otherwise(F.sequence(zero, last))
+    inside = inside.withColumn("other", F.explode(others))
+    inside = inside.select(*keys, F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "rep", "label")
+    return save(whole.unionByName(inside).select(names), "blocks"), large.select(keys), n_large
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -307,9 +365,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = save(src.mapInArrow(_sign(p, "doc_id", "text"), SIGNED), "signed")
+    signed = save(map_batches(src, _sign(p, "doc_id", "text"), SIGNED), "signed")
     named = signed.where("doc_id is not null and set_key is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), (F.first("n_shingles") * 8).alias("bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = save(classes, "classes")
 
     # ids that stand in several rows; those of several classes link these classes
@@ -322,39 +380,46 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_
         several = several.join(classes.select("set_key", "rep").hint("merge"), "set_key")
         edges = save(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"), "links")
 
-    labels = None
-    for lo, hi in ((0, EARLY_BANDS), (EARLY_BANDS, p.bands)):
-        node = classes.select("set_key", "rep", "sig", "bands")
+    labels = large = None
+    for early in (True, False):
+        node = classes.select("set_key", "rep", "bytes", "bands")
         if labels is None:
             node = node.withColumn("label", F.col("rep"))
         else:
             node = node.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("label")).hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        member = node.select("rep", "label", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("band"), "bands").withColumn("key", F.xxhash64(F.expr("substring(bands, band * 8 + 1, 8)"))).select("rep", "label", "band", "key")
-        hot = member.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-        member = member.join(hot.hint("merge"), ["band", "key"])
-        member = member.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        block = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        block = block.select("band", "key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "rep", "label")
-        member = save(block, "members")
-        wide = member.join(classes.select("rep", "sig", "bands").hint("merge"), "rep")
+        if early:
+            member = _members(node, 0, min(EARLY_BANDS, p.bands))
+        else:
+            member = _members(node, EARLY_BANDS, p.bands) if p.bands > EARLY_BANDS else None
+            if n_large:
+                again = _members(node, 0, min(EARLY_BANDS, p.bands)).join(sized(large, n_large), ["band", "key"], "left_semi")
+                member = again if member is None else member.unionByName(again)
+            if member is None:
+                break
+        block, large, n_large = _blocks(member, early)
+        wide = block.join(classes.select("rep", "sig", "bands").hint("merge"), "rep")
         columns = "band int, key long, ci int, cj int, chunk int, rep long, label long, sig binary, bands binary"
-        wide = wide.select([c.split()[0] for c in columns.split(", ")])
-        parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        needed = save(wide.repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_select(p), columns), "needed")
-        reps = needed.select("rep").distinct()
-        n = reps.count()
-        if not n:
+        names = [c.split()[0] for c in columns.split(", ")]
+        n = block.count()
+        width = 64 + p.minima // 2 + 8 * p.bands
+        with arrow_rows(spark, 4 * BATCH_ROWS):
+            needed = save(map_batches(wide.select(names).repartition(_parts(spark, n * width), *KEYS).sortWithinPartitions(*KEYS), _select(p), columns), "needed")
+        n_needed = needed.count()
+        if not n_needed:
             continue
-        texts = src.join(sized(reps.withColumnRenamed("rep", "doc_id"), n), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-        sets = texts.mapInArrow(_sets(p.words), "rep long, shingles binary")
+        reps = save(needed.select("rep").distinct(), "reps")
+        texts = src.join(sized(reps.withColumnRenamed("rep", "doc_id"), reps.count()), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+        sets = map_batches(texts, _sets(p.words), "rep long, shingles binary")
         if repeats:  # the id of a class may have other rows
             sets = _of_class(sets, classes.select("rep", "set_key")).dropDuplicates(["rep"])
-        sets = save(sets, "sets")
-        wide = needed.join(sets.hint("merge"), "rep").select(*[c.split()[0] for c in columns.split(", ")], "shingles")
-        links = wide.repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_confirm(p), "a long, b long")
-        edges = save(edges.union(links).distinct(), "links")
-        labels = connected_components(edges)
-        labels = save(labels, "labels")
+        with arrow_rows(spark, BATCH_ROWS):
+            sets = save(sets, "sets")
+            size = sets.agg(F.avg(F.octet_length("shingles"))).first()[0] or 0
+            wide = needed.join(sets.hint("merge"), "rep").select(*names, "shingles")
+            wide = wide.repartition(_parts(spark, int(n_needed * (size + width))), *KEYS).sortWithinPartitions(*KEYS)
+            links = map_batches(wide, _confirm(p), "a long, b long")
+            edges = save(edges.union(links).distinct(), "links")
+        labels = save(connected_components(edges), "labels")
 
     if labels is None:
         labels = save(connected_components(edges), "labels")
@@ -373,7 +438,7 @@ def _of_class(sets: DataFrame, ids: DataFrame) -> DataFrame:
             keys = [xxhash.xxh3_128_digest(x.as_py()) for x in b.column("shingles")]
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("shingles"), pa.array(keys, pa.binary())], names=["rep", "shingles", "set_key"])
 
-    keyed = sets.mapInArrow(key, "rep long, shingles binary, set_key binary")
+    keyed = map_batches(sets, key, "rep long, shingles binary, set_key binary")
     return keyed.join(ids.hint("merge"), ["rep", "set_key"], "left_semi").select("rep", "shingles")
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
@@ -226,4 +228,4 @@ def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """
     src = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     t = dict(src.dtypes)
-    return src.mapInArrow(_extract(weights), f"page_id {t['page_id']}, url {t['url']}, text string, n_chars long")
+    return map_batches(src, _extract(weights), f"page_id {t['page_id']}, url {t['url']}, text string, n_chars long")

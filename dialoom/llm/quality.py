@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import hashed
 from . import textkit as tk
 from .samples import labelled_texts
+from .store import map_batches
 
 PER_LABEL = 600
 MOST_BYTES = 16_384
@@ -146,7 +147,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     null ids stay; other columns are not read.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_score(model, threshold, ["doc_id"]), f"doc_id {dict(src.dtypes)['doc_id']}, {COLUMNS}")
+    return map_batches(src, _score(model, threshold, ["doc_id"]), f"doc_id {dict(src.dtypes)['doc_id']}, {COLUMNS}")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,4 +160,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             verdict = next(score(iter([pa.RecordBatch.from_arrays([text], names=["text"])])))
             yield batch.filter(verdict.column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -6,10 +6,11 @@ jobs.  Sessions without the setting (local tests) get a folder of their own.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +58,8 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with little memory for each Python worker.
 
     A session that leaves Spark's default number of rows for an Arrow batch gets
-    ``BATCH_ROWS``, as whole texts are wide rows; and at the end of a task Arrow gives back
-    what it has set aside, as Spark keeps workers for later tasks.
+    ``BATCH_ROWS``, as whole texts are wide rows; and at the end of a task the worker gives
+    free memory back, as Spark keeps workers for later tasks.
     """
     conf = df.sparkSession.conf
     if conf.get(ARROW_ROWS) == "10000":
@@ -69,6 +70,8 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # not all C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
 
     return df.mapInArrow(released, schema)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import save
+from .store import map_batches, save
 
 LENGTH = 200
 GRAM = 32
@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long") if n == ids else F.coalesce(F.col("doc_id").cast("long"), own)).withColumn("_tag", tag)
     src = keyed.where(F.octet_length("text") >= length).select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("text").cast("string").alias("text"))
 
-    everywhere = save(src.mapInArrow(_runs(length, gram), RUNS), "runs")
+    everywhere = save(map_batches(src, _runs(length, gram), RUNS), "runs")
     often = everywhere.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     rows = save(everywhere.join(often.hint("merge"), "gram").select([c.split()[0] for c in RUNS.split(", ")]), "buckets")
     spans, left = _refine(rows, length)
@@ -226,7 +226,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         if not n_texts:
             break
         texts = _picked(src, opened, n_texts).join(opened.hint("merge"), ["id", "tag"]).select("id", "tag", "text", "spans")
-        rows = save(texts.mapInArrow(_shorter(width, length), RUNS), "shorter")
+        rows = save(map_batches(texts, _shorter(width, length), RUNS), "shorter")
         settled, left = _refine(rows, length)
         spans = spans.union(settled)
     spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kind, none = dict(docs.dtypes)["doc_id"], F.lit(0).cast("long")
     text = F.coalesce("text", F.lit(""))
     whole = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
-    return some.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, {DIGEST}").union(whole)
+    return map_batches(some.select("doc_id", "text", "spans"), _digest, f"doc_id {kind}, {DIGEST}").union(whole)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -312,4 +312,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
     some, rest = _with_spans(*repeated_spans(packed, length, gram))
-    return some.select("text", "row", "spans").mapInArrow(cut, docs.schema).union(rest.select("row.*"))
+    return map_batches(some.select("text", "row", "spans"), cut, docs.schema).union(rest.select("row.*"))

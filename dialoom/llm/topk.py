@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import map_batches, save
 
 QUERY_BLOCK = 4_096
 CANDIDATE_BLOCK = 16_384
@@ -132,14 +132,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_queries = asked.count()
     q = asked.repartition(max(1, -(-n_queries // QUERY_BLOCK)))  # by no key: an id may stand in many rows
-    q = q.mapInArrow(_blocks(QUERY_BLOCK, "q"), kind.format("q"))
+    q = map_batches(q, _blocks(QUERY_BLOCK, "q"), kind.format("q"))
     q = save(q.withColumn("q_block", F.monotonically_increasing_id()), "queries")
     ids = q.select("dim", "q_block")
-    c = v.mapInArrow(_blocks(CANDIDATE_BLOCK, "c"), kind.format("c")).withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
+    c = map_batches(v, _blocks(CANDIDATE_BLOCK, "c"), kind.format("c")).withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
     # each block of candidates meets each block of queries: an equi-join on (block, lane)
     grid = c.join(ids.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks")).hint("merge"), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
     lanes = q.drop("dim").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     pairs = grid.join(lanes.hint("merge"), ["q_block", "lane"]).select("dim", "q_ids", "q_rows", "c_ids", "c_rows")
-    found = pairs.mapInArrow(_compare(k), "query_id long, vec_id long, score long")
+    found = map_batches(pairs, _compare(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

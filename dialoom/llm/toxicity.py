@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .hashed import calibrate, sigmoid
 from .samples import labelled_texts
+from .store import map_batches
 
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATT = 12, 8, 8
@@ -280,4 +281,4 @@ def score(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     ids stay; other columns are not read.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_score(params), f"doc_id {dict(src.dtypes)['doc_id']}, score double, predicted int")
+    return map_batches(src, _score(params), f"doc_id {dict(src.dtypes)['doc_id']}, score double, predicted int")
