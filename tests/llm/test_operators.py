@@ -218,18 +218,56 @@ def test_mixing(spark, awkward):
     assert mixing.mixed_documents(awkward).count() == sum(r.copies for r in got)
 
 
-def test_pieces_equal_whole_encoding():
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_mixing_of_repeated_rows_in_levels(spark, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "GROUP", 40)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(mixing, "SHARE", 3)
+    monkeypatch.setattr(mixing, "STEP", 7)
+    rng = np.random.default_rng(21)
+    rows = [(i, prose(int(rng.integers(1, 60)), i), None if i % 7 == 0 else f"s{min(i % 11, 4)}") for i in range(1500)]
+    rows += [(3, "the same words again and again", "s3")] * 700 + [(None, "no id", "s1")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(WORD.findall(t))) for i, t, s in rows)
+    taken, biggest, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r.copies <= 2
+        taken[r.source] += r.copies * r.size
+        biggest[r.source] = max(biggest[r.source], r.size)
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= biggest[s] for s, t in target.items())
+    same = [r.copies for r in got if r.doc_id == 3 and r.size == 6]
+    assert max(same) - min(same) <= 1
+    again = mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    want = Counter()
+    for r in got:
+        want[r.doc_id, r.source, r.size] += r.copies
+    found = Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in mixing.mixed_documents(df).collect())
+    assert found == +want
+
+
+def test_pieces_equal_whole_encoding(monkeypatch):
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(1)
-    signs = list("abÉé1'.#<|> \n«²ª\tЖ中!?-_`~^\xa0　\x1c") + ["<|endoftext|>", "<|startoftext|>", "'s", "́"]
+    signs = list("abÉé1'.#<|> \n«²ª\tЖ中!?-_`~^\xa0　\x1c×÷ĳ\x01") + ["<|endoftext|>", "<|startoftext|>", "'s", "́"]
     texts = ["", *("".join(rng.choice(signs, int(rng.integers(1, 40)))) for _ in range(3000))]
-    plain = [*"abÉé1'.,|çß \n-_Жİ中", " ", " ", "  ", "\n\n", "don't", "end.\nNext", "WORD!!", "́"]
+    plain = [*"abÉé1'.,|çß \n-_İŉ\t\r", " ", " ", "  ", "\n\n", "\n ", "don't", "'s", "'ll", "end.\nNext", "WORD!!", "42", "ǆ"]
     texts += ["".join(rng.choice(plain, int(rng.integers(1, 60)))) for _ in range(6000)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         library = Tokenizer.from_file(tokenizer_path(name))
-        got = tokens.PieceEncoder(tokenizer_path(name)).encode_many(texts)
-        assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        own = tokens.PieceEncoder(tokenizer_path(name))
+        for _ in range(2):  # new pieces, then known ones
+            got = [ids[s:e].tolist() for _, ids, at in own.encode_slices(pa.array(texts)) for s, e in zip(at[:-1], at[1:])]
+            assert got == want
+        monkeypatch.setattr(tokens, "TOGETHER", 50)
+        long = texts[3001:3200]
+        assert [own.encode(" and so on ".join(long)).tolist()] == [library.encode(" and so on ".join(long), add_special_tokens=False).ids]
+        monkeypatch.undo()
 
 
 def test_packing(awkward):
@@ -273,6 +311,8 @@ def test_simple8b_round_trip():
         ids = rng.integers(0, 2 ** int(rng.integers(1, 64)), int(rng.integers(0, 900)), dtype=np.uint64)
         if trial % 5 == 0:
             ids[: len(ids) // 2] = 0
+        elif trial % 5 == 1:
+            ids = ids[ids < 2**60]
         words, blocks, escapes = tokenfile.encode_words(ids)
         assert (tokenfile.decode_words(words, escapes) == ids).all()
         if len(ids) > 2:
@@ -280,17 +320,27 @@ def test_simple8b_round_trip():
             assert (tokenfile.decode_range(words, blocks, escapes, int(s), int(e)) == ids[s:e]).all()
 
 
-def test_token_files(awkward):
+def test_runs_of_zeros_take_one_word():
+    words, _, escapes = tokenfile.encode_words(np.zeros(500, np.uint64))
+    assert (words >> np.uint64(60)).tolist().count(1) == 4 and (tokenfile.decode_words(words, escapes) == 0).all()
+
+
+def test_token_files(spark, awkward, tmp_path, monkeypatch):
     path = tokenizer_path("byte_bpe_50k.json")
     encode = tokens.PieceEncoder(path).encode
-    rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in awkward.collect()), key=lambda x: (x[0], x[1].encode()))
-    at, want = 0, []
-    for i, t in rows:
+    rows = sorted((r.doc_id if r.doc_id is not None else -1, r.tag, r.text or "") for r in awkward.withColumn("tag", F.xxhash64("text")).collect())
+    at, want, every = 0, [], []
+    for i, _, t in rows:
         ids = np.append(encode(t), 2).astype("<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        every += ids.tolist()
         at += len(ids)
-    got = [(r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.token_digests(awkward, path).collect()]
+    monkeypatch.setattr(tokenfile, "READ_BLOCKS", 3)
+    got = [(r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.token_digests(awkward, path, path=f"{tmp_path}/ids").collect()]
     assert sorted(got) == sorted(want)
+    for s, e in ((0, 3), (5_000, 40_000), (at - 9, at + 9)):
+        parts = tokenfile.read_ids(spark, f"{tmp_path}/ids", s, e).orderBy("start").collect()
+        assert parts[0].start == s and sum((r.ids for r in parts), []) == every[s:e]
 
 
 def test_quality_counts():
