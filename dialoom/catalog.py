@@ -73,7 +73,7 @@ WITH raw AS (
 ), styled AS (
   SELECT *, concat_ws('，', {_phrases(T.EMOTION_PHRASES)}[emotion], {_phrases(T.TONE_PHRASES)}[tone]) AS phrase FROM moods
 ), files AS (
-  SELECT book_id, ord, printf('%05d.wav', ord) AS path, CASE WHEN ord%9=0 THEN 0 ELSE ord+1000 END::BIGINT AS length, (ord*7+1700000000)::BIGINT AS modified_s FROM dialogues WHERE ord%3=0
+  SELECT book_id, ord, printf('%05d.wav', ord) AS path, CASE WHEN ord%9=0 THEN 0 ELSE ord+1000 END::BIGINT AS length, (ord*7+ord%5*40+1700000000)::BIGINT AS modified_s FROM dialogues WHERE ord%3=0
 ), segments AS (SELECT book_id, ord, line_no, chapter, speaker, (60*length(text))::BIGINT AS duration_ms FROM dialogues
 ), run_log AS (
   SELECT book_id, ord, CASE WHEN ord%2=0 THEN 'clone' ELSE 'preset' END AS engine, (ord%7+1)*0.5::DOUBLE AS seconds, CASE WHEN ord%6=5 THEN 'error' ELSE 'ok' END AS status FROM dialogues
@@ -96,11 +96,11 @@ WITH raw AS (
   SELECT doc_id AS book_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents
 ), words(keyword) AS (VALUES ('the'), ('there'), ('ent')
 ), found AS (
-  SELECT keyword, book_id, line_no, substr(line, 1, 120) AS line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
+  SELECT keyword, book_id, line_no, substr(regexp_replace(line, {_STRIP}), 1, 120) AS line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
   FROM doc_lines JOIN words ON contains(line, keyword)
 ), mentions AS (
-  SELECT keyword, book_id, line_no, line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
-  FROM lines JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(line, keyword) WHERE contains(line, '「')
+  SELECT keyword, book_id, line_no, substr(s, 1, 120) AS line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
+  FROM stripped JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(s, keyword) WHERE contains(s, '「')
 ), ctx AS (
   SELECT d.book_id, d.ord, string_agg(l.line_no || ': ' || regexp_replace(l.line, {_STRIP}), chr(10) ORDER BY l.line_no) AS context
   FROM dialogues d JOIN lines l ON l.book_id = d.book_id AND l.line_no BETWEEN d.line_no - 30 AND d.line_no + 30 GROUP BY ALL
@@ -111,9 +111,33 @@ WITH raw AS (
   SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first_ord) AS rank FROM (SELECT book_id, speaker, count(*) AS n, min(ord) AS first_ord FROM dialogues GROUP BY ALL)
 ), speakers AS (
   SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first_ord) AS rank FROM (SELECT book_id, speaker, count(*) AS n, min(ord) AS first_ord FROM dialogues WHERE speaker <> '' GROUP BY ALL)
+), asked AS (
+  SELECT DISTINCT book_id, (book_id % 3 * 2 - 1)::BIGINT AS "start", CASE book_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 400 END::BIGINT AS "end" FROM doc_lines
+  UNION ALL SELECT -7, 1, 10
 ), ranges AS (
-  SELECT book_id, 2::BIGINT AS "start", 400::BIGINT AS "end", coalesce(string_agg(line_no || ': ' || regexp_replace(line, {_STRIP}), chr(10) ORDER BY line_no) FILTER (WHERE line_no BETWEEN 2 AND least(400, 301)), '') AS text,
-    least(400, max(line_no)) - 2 + 1 > 300 AS truncated FROM doc_lines GROUP BY book_id
+  SELECT a.book_id, "start", "end", coalesce(string_agg(line_no || ': ' || regexp_replace(line, {_STRIP}), chr(10) ORDER BY line_no)
+      FILTER (WHERE line_no BETWEEN greatest("start", 1) AND least("end", greatest("start", 1) + 299)), '') AS text,
+    coalesce(least("end", max(line_no)) - greatest("start", 1) + 1 > 300, false) AS truncated
+  FROM asked a LEFT JOIN doc_lines l ON l.book_id = a.book_id GROUP BY a.book_id, "start", "end"
+), volume AS (
+  SELECT d.book_id, d.ord, d.chapter, CASE WHEN status='ok' THEN 'clone' ELSE 'fallback' END AS engine, d.ord%3=0 AND d.ord%9<>0 AS readable,
+    CASE WHEN status='ok' AND d.ord%3=0 AND d.ord%9<>0 THEN duration_ms ELSE 1000 END::BIGINT AS duration_ms
+  FROM segments d LEFT JOIN results r USING (book_id, ord)
+), volume_gaps AS (
+  SELECT *, CASE WHEN lag(chapter) OVER w IS NULL THEN 0 WHEN lag(chapter) OVER w <> chapter THEN 2000 ELSE 300 END::BIGINT AS gap_ms FROM volume WINDOW w AS (PARTITION BY book_id ORDER BY ord)
+), volume_line AS (SELECT *, (sum(gap_ms + duration_ms) OVER (PARTITION BY book_id ORDER BY ord))::BIGINT AS end_ms FROM volume_gaps
+), hops AS (SELECT clip_id, frame_idx // 4 AS h, sum(rms * rms) AS e FROM frames GROUP BY ALL
+), all_hops AS (SELECT clip_id, unnest(range((max(frame_idx) + 1) // 4 + 1)) AS h FROM frames GROUP BY clip_id
+), levels AS (
+  SELECT clip_id, h AS frame_idx, sqrt(sum(coalesce(e, 0)) OVER (PARTITION BY clip_id ORDER BY h ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 16) AS rms FROM all_hops LEFT JOIN hops USING (clip_id, h)
+), level_marks AS (
+  SELECT *, rms > 45.0 AS loud, (rms > 45.0 AND NOT coalesce(lag(rms > 45.0) OVER w, false))::INT AS new, coalesce(lead(frame_idx) OVER w, frame_idx) AS nxt
+  FROM levels WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)
+), level_regions AS (
+  SELECT clip_id, (min(frame_idx)*100)::BIGINT AS start_ms, (max(nxt)*100)::BIGINT AS end_ms FROM (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS run FROM level_marks) WHERE loud GROUP BY clip_id, run
+), level_joined AS (
+  SELECT clip_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY start_ms) AS run FROM (
+    SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY clip_id ORDER BY start_ms) < 300 THEN 0 ELSE 1 END AS new FROM level_regions)) GROUP BY clip_id, run
 )
 """
 
@@ -151,26 +175,35 @@ def _written_json(s: SparkSession, df: DataFrame) -> str:
     return path
 
 
+def _genders_read(s: SparkSession, d: str) -> DataFrame:
+    return S.read_gender_results(s, _written_json(s, S.gender_json(_genders_of(s, d), ["book_id"])), per_line=True)
+
+
 def _emotion_files(s: SparkSession, d: str) -> DataFrame:
-    """A file of either shape, by the parity of the book."""
+    """Results of either shape, by the parity of the book, written and read back."""
     e = D.emotions(s, d)
-    return S.emotion_json(e.where("book_id % 2 = 0"), ["book_id"], "map").union(S.emotion_json(e.where("book_id % 2 = 1"), ["book_id"], "list"))
+    both = S.emotion_json(e.where("book_id % 2 = 0"), ["book_id"], "map").union(S.emotion_json(e.where("book_id % 2 = 1"), ["book_id"], "list"))
+    return S.read_emotion_results(s, _written_json(s, both), per_line=True)
 
 
-def _label_file_digest(s: SparkSession, d: str) -> DataFrame:
-    e = D.emotions(s, d)
-    path = _written_json(s, S.emotion_json(e, ["book_id"], "list"))
-    back = s.read.schema("total long, success long, fail long, emotions array<string>, tones array<string>").json(path)
-    return back.select("total", "success", "fail", F.size("emotions").alias("n_emotions"), F.size("tones").alias("n_tones"))
+def _label_file(s: SparkSession, d: str) -> DataFrame:
+    """All that a file of the list shape says: totals and rows."""
+    path = _written_json(s, S.emotion_json(D.emotions(s, d), ["book_id"], "list"))
+    body = "total long, success long, fail long, emotions array<string>, tones array<string>, results array<" + S.EMOTION_ROW + ">"
+    back = s.read.schema("book_id long, value string").json(path).select("book_id", F.from_json("value", body).alias("v"))
+    head = [F.col(f"v.{c}").alias(c) for c in ("total", "success", "fail")]
+    listed = [F.array_join("v.emotions", " ").alias("emotions"), F.array_join("v.tones", " ").alias("tones")]
+    rows = back.select("book_id", *head, *listed, F.explode("v.results").alias("r"))
+    return rows.select("book_id", "total", "success", "fail", "emotions", "tones", F.col("r.index").alias("ord"), *[F.col(f"r.{c}").alias(c) for c in ("emotion", "tone", "confidence", "evidence")])
 
 
 def _segment_files(s: SparkSession, d: str) -> DataFrame:
-    """Files are named as the segments are, below the shared folder, and listed without contents."""
+    """Files with names that end in ``.wav``, in a folder named as the segment, listed without contents."""
     path = new_folder(s, "segments")
     named = D.files(s, d).select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"), "length")
-    named.select(F.repeat(F.lit("x"), (F.col("length") % 7).cast("int")).alias("value"), F.concat("stem", F.lit(".wav")).alias("name")).repartition("name").write.partitionBy("name").text(path)
-    listed = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return listed.select(F.regexp_extract("path", r"name=(\d+)_", 1).cast("long").alias("ord"), F.regexp_extract("path", r"name=\d+_(\d+)", 1).cast("long").alias("book_id"))
+    named.select(F.repeat(F.lit("x"), (F.col("length") % 7 + 1).cast("int")).alias("value"), "stem").repartition("stem").write.partitionBy("stem").option("extension", "wav").csv(path)
+    listed = S.scan_segment_files(s, path, number=r"stem=(\d+)_[^/]*/[^/]*\.wav$")
+    return listed.select("ord", F.regexp_extract("path", r"stem=\d+_(\d+)", 1).cast("long").alias("book_id"), "length")
 
 
 def _segments_back(s: SparkSession, d: str) -> DataFrame:
@@ -181,9 +214,42 @@ def _segments_back(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tables_back(s: SparkSession, d: str) -> DataFrame:
+    """The four tables as they are read back, under common columns."""
     path = new_folder(s, "tables")
     S.write_tables(S.relational_tables(D.dialogues(s, d), D.genders(s), D.files(s, d)), path)
-    return s.read.parquet(f"{path}/characters").select(F.col("project_id").cast("long").alias("project_id"), "name", "gender", "dialogue_count")
+    shown = {"projects": ("name", "dialogues"), "characters": ("name", "gender", "dialogue_count"), "dialogues": ("ord", "chapter", "speaker", "text"), "audio_files": ("ord", "path", "length")}
+    out = None
+    for name, columns in shown.items():
+        t = s.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table"), F.col("project_id").cast("long").alias("project_id"), F.concat_ws("|", *columns).alias("row"))
+        out = t if out is None else out.union(t)
+    return out
+
+
+def _voices_read(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "voices")
+    rows = _voices(s, d).select("voice_id", "voice_name", "ref_audio_path", F.create_map(F.lit("seq"), F.col("seq").cast("string")).alias("metadata"))
+    rows.write.json(path)
+    return S.read_voices(s, path, per_line=True).select("voice_id", "voice_name", "ref_audio_path", F.col("metadata")["seq"].alias("seq"))
+
+
+def _casting(s: SparkSession, d: str) -> DataFrame:
+    """Speakers with the audio of either table of the configuration."""
+    cast, default = S.casting_tables(s, D.CAST)
+    people = casting.join_gender(D.dialogues(s, d), D.genders(s)).select("book_id", "speaker", "gender").distinct()
+    own = people.join(F.broadcast(cast), "speaker").select("book_id", "speaker", F.lit("speaker").alias("by"), "ref_audio")
+    return own.union(people.join(F.broadcast(default), "gender").select("book_id", "speaker", F.lit("gender").alias("by"), "ref_audio"))
+
+
+def _preset_casting(s: SparkSession, d: str) -> DataFrame:
+    """A configuration without the narrator and without a male default."""
+    cast, default = S.casting_tables(s, {"characters": {"assistant": "a.wav"}, "default_audio": {"female": "f.wav"}})
+    return casting.cast_voice(casting.join_gender(D.dialogues(s, d), D.genders(s)), cast, default).select("book_id", "ord", "speaker", "ref_audio")
+
+
+def _book_genders(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts by book, with a second and weaker one on each speaker."""
+    sure = _genders_read(s, d).withColumn("gender", F.when(F.col("book_id") % 2 == 0, F.col("gender")).otherwise("female"))
+    return sure.union(sure.select("book_id", "speaker", F.lit("male").alias("gender"), F.lit(0.1).alias("confidence")))
 
 
 def _voices(s: SparkSession, d: str) -> DataFrame:
@@ -206,14 +272,20 @@ def _searched(s: SparkSession, d: str) -> DataFrame:
 
 def _ranges(s: SparkSession, d: str) -> DataFrame:
     docs = D.document_lines(s, d)
-    asked = docs.select("book_id").distinct().withColumn("start", F.lit(2).cast("long")).withColumn("end", F.lit(400).cast("long"))
-    return context.read_range(docs, asked)
+    end = F.when(F.col("book_id") % 5 == 0, 1).when(F.col("book_id") % 5 == 1, 2).otherwise(400)
+    asked = docs.select("book_id").distinct().select("book_id", (F.col("book_id") % 3 * 2 - 1).cast("long").alias("start"), end.cast("long").alias("end"))
+    nowhere = s.createDataFrame([(-7, 1, 10)], "book_id long, start long, end long")
+    return context.read_range(docs, asked.union(nowhere))
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
     return context.mention_dialogues(D.lines(s, d), ["user", "assistant"])
 
 
+def _mentions_shown(s: SparkSession, d: str) -> DataFrame:
+    return context.mention_dialogues(D.lines(s, d), ["user", "assistant"], limit=20)
+
+
 def _contexts(s: SparkSession, d: str) -> DataFrame:
     return context.context_window(D.dialogues(s, d), D.lines(s, d))
 
@@ -234,6 +306,25 @@ def _replies(s: SparkSession, d: str) -> DataFrame:
     return labeling.apply_model(D.dialogues(s, d).select("book_id", "ord", F.col("text").alias("request")), _model)
 
 
+def _batch_model() -> Callable[[list[str]], list]:
+    one = _model()
+
+    def answer(requests: list[str]) -> list:
+        out = []
+        for r in requests:
+            try:
+                out.append(one(r))
+            except ValueError as e:
+                out.append(e)
+        return out
+
+    return answer
+
+
+def _batched_replies(s: SparkSession, d: str) -> DataFrame:
+    return labeling.apply_model(D.dialogues(s, d).select("book_id", "ord", F.col("text").alias("request")), _batch_model, batched=True)
+
+
 def _gender_replies(s: SparkSession, d: str) -> DataFrame:
     m = F.length("text") % 3
     body = F.when(m == 0, F.concat(F.lit('I think {"character_name": "'), "speaker", F.lit('", "gender": "unknown", "confidence": 0.2} so'))).when(m == 1, F.concat(F.lit('{"character_name": "'), "speaker", F.lit('", "gender": "female", "confidence": 0.9, "evidence": "e"}'))).otherwise(F.lit("no idea"))
@@ -261,18 +352,21 @@ def _register() -> None:
     # sources and sinks
     _op("read_lines", _written_lines, "SELECT book_id, line_no, line FROM lines")
     _op("read_speaker_labels", _written_labels, "SELECT book_id, ord, label FROM labels")
-    _op("read_gender_results", lambda s, d: S.read_gender_results(s, _written_json(s, S.gender_json(_genders_of(s, d), ["book_id"])), per_line=True), "SELECT speaker, gender, confidence FROM (SELECT DISTINCT book_id, speaker FROM dialogues) JOIN genders USING (speaker)")
-    _op("read_emotion_results", lambda s, d: S.emotion_rows(_emotion_files(s, d)), "SELECT book_id, ord, emotion, tone, confidence, evidence FROM emotions")
-    _op("casting_tables", lambda s, d: D.dialogues(s, d).select("book_id", "speaker").distinct().join(F.broadcast(S.casting_tables(s, D.CAST)[0]), "speaker"), "SELECT DISTINCT book_id, speaker, ref AS ref_audio FROM dialogues JOIN cast_map ON who = speaker")
-    _op("scan_segment_files", _segment_files, "SELECT book_id, ord FROM files")
-    _op("write_labels_json", _label_file_digest, "SELECT count(*) AS total, count(*) FILTER (NOT starts_with(evidence, 'Error:')) AS success, count(*) FILTER (starts_with(evidence, 'Error:')) AS fail, 7 AS n_emotions, 7 AS n_tones FROM emotions GROUP BY book_id")
+    _op("read_gender_results", _genders_read, "SELECT book_id, speaker, gender, confidence FROM (SELECT DISTINCT book_id, speaker FROM dialogues) JOIN genders USING (speaker)")
+    _op("read_emotion_results", _emotion_files, "SELECT book_id, ord, emotion, tone, confidence, evidence FROM emotions")
+    _op("casting_tables", _casting, "SELECT DISTINCT book_id, speaker, 'speaker' AS by, ref AS ref_audio FROM gendered JOIN cast_map ON who = speaker UNION ALL SELECT DISTINCT book_id, speaker, 'gender', CASE gender WHEN 'female' THEN 'f.wav' ELSE 'm.wav' END FROM gendered")
+    _op("scan_segment_files", _segment_files, "SELECT book_id, ord, length % 7 + 2 AS length FROM files")
+    _op("write_labels_json", _label_file, f"SELECT book_id, total, success, fail, '{' '.join(T.EMOTIONS)}' AS emotions, '{' '.join(T.TONES)}' AS tones, ord, emotion, tone, confidence, evidence FROM emotions JOIN (SELECT book_id, count(*) AS total, count(*) FILTER (NOT starts_with(evidence, 'Error:')) AS success, count(*) FILTER (starts_with(evidence, 'Error:')) AS fail FROM emotions GROUP BY book_id) USING (book_id)")
     _op("write_segments", _segments_back, "SELECT book_id, ord, chapter, speaker, printf('%05d_%s.wav', ord, speaker) AS audio_path FROM dialogues")
-    _op("debug_listing", lambda s, d: S.debug_listing(D.dialogues(s, d), 3, 12), """, x AS (SELECT * FROM dialogues WHERE ord >= 3 AND ord < 12)
-SELECT book_id, 0::BIGINT AS row, 'dialogues 3-12, ' || count(*) || ' rows' AS listing FROM x GROUP BY book_id
-UNION ALL SELECT DISTINCT book_id, 1::BIGINT, repeat('=', 20) FROM x
-UNION ALL SELECT book_id, ord + 2, '[' || ord || '] ' || CASE WHEN speaker = '' THEN '?' ELSE speaker END || ': ' || text FROM x""")
-    _op("to_tables", _tables_back, "SELECT book_id AS project_id, speaker AS name, coalesce(gender, 'unknown') AS gender, dialogue_count FROM (SELECT book_id, speaker, count(*) AS dialogue_count FROM dialogues WHERE speaker <> '' GROUP BY ALL) LEFT JOIN genders USING (speaker)")
+    _op("debug_listing", lambda s, d: S.debug_listing(D.dialogues(s, d), 3, 12), """, x AS (SELECT * FROM dialogues WHERE ord >= 3 AND ord < 12), b AS (SELECT book_id, count(*) AS n, count(DISTINCT speaker) FILTER (speaker <> '') AS people FROM x GROUP BY book_id)
+SELECT book_id, 0::BIGINT AS row, '对话范围: 3-12' AS listing FROM b UNION ALL SELECT book_id, 1, '共 ' || n || ' 条对话, ' || people || ' 个角色' FROM b
+UNION ALL SELECT book_id, 2, repeat('=', 60) FROM b UNION ALL SELECT book_id, 3, '' FROM b UNION ALL SELECT book_id, ord + 4, '[' || ord || '] ' || speaker || ': ' || text FROM x""")
+    _op("to_tables", _tables_back, """SELECT 'projects' AS "table", book_id AS project_id, 'book ' || book_id || '|' || count(*) AS row FROM dialogues GROUP BY book_id
+UNION ALL SELECT 'characters', book_id, speaker || '|' || coalesce(gender, 'unknown') || '|' || n FROM (SELECT book_id, speaker, count(*) AS n FROM dialogues WHERE speaker <> '' GROUP BY ALL) LEFT JOIN genders USING (speaker)
+UNION ALL SELECT 'dialogues', book_id, ord || '|' || chapter || '|' || speaker || '|' || text FROM dialogues
+UNION ALL SELECT 'audio_files', book_id, ord || '|' || path || '|' || length FROM files""")
     _op("upsert_voice", _voices, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord) AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
+    _op("read_voices", _voices_read, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord)::VARCHAR AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
     _op("extract_bracket_labels", _bracketed, "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY line_no) - 1 AS ord, speaker AS label FROM dialogues")
     # projections and filters
     _op("classify_lines", lambda s, d: parsing.classify_lines(D.lines(s, d)), "SELECT book_id, line_no, kind, text, speaker FROM parsed")
@@ -287,13 +381,15 @@ UNION ALL SELECT book_id, ord + 2, '[' || ord || '] ' || CASE WHEN speaker = ''
     _op("confidence_flag", lambda s, d: _genders_of(s, d).select("book_id", "speaker", T.confidence_flag(F.col("confidence") - 0.3).alias("flag")), "SELECT DISTINCT book_id, speaker, CASE WHEN confidence - 0.3 > 0.5 THEN '✓' ELSE '?' END AS flag FROM dialogues JOIN genders USING (speaker)")
     _op("format_duration", lambda s, d: D.segments(s, d).select("book_id", "ord", T.format_duration(F.col("duration_ms") / 97).alias("shown")), "SELECT book_id, ord, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN printf('%.1fmin', x / 60) ELSE printf('%.1fh', x / 3600) END AS shown FROM (SELECT *, duration_ms / 97 AS x FROM segments)")
     _op("preview", lambda s, d: D.dialogues(s, d).select("book_id", "ord", T.preview(F.col("text"), 30).alias("preview")), "SELECT book_id, ord, substr(text, 1, 30) AS preview FROM dialogues")
-    _op("voice_gender", lambda s, d: D.lines(s, d).select("book_id", "line_no", T.voice_gender(F.concat(F.lit("Fe"), F.when(F.col("line_no") % 2 == 0, "male").otherwise("x"))).alias("gender")), "SELECT book_id, line_no, CASE WHEN line_no % 2 = 0 THEN 'female' ELSE 'male' END AS gender FROM lines")
+    _op("voice_gender", lambda s, d: D.lines(s, d).select("book_id", "line_no", T.voice_gender(F.concat(F.element_at(F.array(*map(F.lit, ["FeMale ", "Microsoft ZIRA ", "male ", "David "])), (F.col("line_no") % 4 + 1).cast("int")), "line")).alias("gender")), "SELECT book_id, line_no, CASE WHEN line_no % 4 < 2 OR contains(lower(line), 'female') OR contains(lower(line), 'zira') THEN 'female' ELSE 'male' END AS gender FROM lines")
     # joins
     _op("align_labels", lambda s, d: parsing.align_labels(D.parsed(s, d), D.labels(s, d)).select("book_id", "line_no", "kind", "text", "chapter", "speaker"), "SELECT * FROM aligned")
     _op("align_quotes", lambda s, d: parsing.align_quotes(D.lines(s, d), D.labels(s, d)), f"SELECT q.book_id, k, line_no, text, CASE WHEN label IS NULL OR label = '{T.NON_PERSON}' THEN '' ELSE label END AS speaker FROM quotes q LEFT JOIN labels l ON l.book_id = q.book_id AND l.ord = k")
     _op("join_gender", lambda s, d: casting.join_gender(D.dialogues(s, d), D.genders(s)).select("book_id", "ord", "speaker", "gender"), "SELECT book_id, ord, speaker, gender FROM gendered")
+    _op("join_gender_by_book", lambda s, d: casting.join_gender(D.dialogues(s, d), _book_genders(s, d)).select("book_id", "ord", "speaker", "gender"), "SELECT book_id, ord, speaker, CASE WHEN g.gender IS NULL THEN 'male' WHEN book_id % 2 = 0 THEN g.gender ELSE 'female' END AS gender FROM dialogues LEFT JOIN genders g USING (speaker)")
+    _op("cast_voice_presets", _preset_casting, f"SELECT book_id, ord, speaker, CASE WHEN speaker IN ('', '{T.NARRATOR}') THEN 'narrator.wav' WHEN speaker='assistant' THEN 'a.wav' WHEN gender='female' THEN 'f.wav' ELSE 'male.wav' END AS ref_audio FROM gendered")
     _op("cast_voice", lambda s, d: casting.cast_voice(casting.join_gender(D.dialogues(s, d), D.genders(s)), *S.casting_tables(s, D.CAST)).select("book_id", "ord", "speaker", "ref_audio"), "SELECT book_id, ord, speaker, ref_audio FROM voiced")
-    _op("assign_engine", lambda s, d: casting.assign_engine(casting.join_gender(D.dialogues(s, d), D.genders(s)), D.clones(s), D.genders(s)).select("book_id", "ord", "engine", "voice"), "SELECT book_id, ord, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN speaker='user' THEN 'female_voice' ELSE 'male_voice' END AS voice FROM dialogues")
+    _op("assign_engine", lambda s, d: casting.assign_engine(casting.join_gender(D.dialogues(s, d), D.genders(s)), D.clones(s), D.audio_files(s), D.genders(s)).select("book_id", "ord", "engine", "voice"), "SELECT book_id, ord, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN speaker='user' THEN 'female_voice' ELSE 'male_voice' END AS voice FROM dialogues")
     _op("join_emotion", lambda s, d: casting.join_emotion(D.dialogues(s, d), D.emotions(s, d)).select("book_id", "ord", "emotion", "tone"), "SELECT book_id, ord, emotion, tone FROM moods")
     _op("pending_jobs", lambda s, d: casting.pending_jobs(D.dialogues(s, d), D.files(s, d)).select("book_id", "ord"), "SELECT book_id, ord FROM dialogues WHERE NOT (ord%3=0 AND ord%9<>0)")
     _op("context_window", _contexts, "SELECT * FROM ctx")
@@ -313,11 +409,13 @@ SELECT needle, d.book_id, ord, speaker, text, ord = hit AS is_hit FROM h JOIN di
     _op("character_corpus", lambda s, d: context.character_corpus(D.dialogues(s, d)), "SELECT * FROM corpus")
     _op("label_summary", lambda s, d: stats.label_summary(D.emotions(s, d)), "SELECT book_id, count(*) AS total, count(*) FILTER (NOT starts_with(evidence, 'Error:')) AS success, count(*) FILTER (starts_with(evidence, 'Error:')) AS fail FROM emotions GROUP BY book_id")
     _op("time_per_item", lambda s, d: stats.time_per_item(D.run_log(s, d)), "SELECT engine, count(*) AS n, round(avg(seconds), 4) AS avg_seconds FROM run_log GROUP BY engine")
-    _op("progress_report", lambda s, d: stats.progress_report(D.files(s, d), D.dialogues(s, d).groupBy("book_id").agg(F.count("*").alias("total"))), """, f AS (SELECT book_id, count(*) AS done, max(modified_s) - min(modified_s) AS elapsed_s FROM files GROUP BY book_id), t AS (SELECT book_id, count(*) AS total FROM dialogues GROUP BY book_id)
-SELECT book_id, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 4) AS percent, elapsed_s, round(elapsed_s / done, 4) AS avg_s, round(elapsed_s / done * (total - done), 4) AS eta_s FROM f JOIN t USING (book_id)""")
+    _op("progress_report", lambda s, d: stats.progress_report(D.files(s, d), D.dialogues(s, d).groupBy("book_id").agg(F.count("*").alias("total")), now=1_700_500_000), """, f AS (SELECT book_id, count(*) AS done, arg_min(modified_s, ord) AS t0, arg_max(modified_s, ord) AS t1 FROM files GROUP BY book_id), t AS (SELECT book_id, count(*) AS total FROM dialogues GROUP BY book_id),
+p AS (SELECT *, t1 - t0 AS elapsed_s, (t1 - t0) / done AS a, (t1 - t0) / done * (total - done) AS e FROM f JOIN t USING (book_id))
+SELECT book_id, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 4) AS percent, elapsed_s, round(a, 4) AS avg_s, round(e, 4) AS eta_s, strftime(make_timestamp(t0 * 1000000), '%H:%M:%S') AS first_clock,
+  strftime(make_timestamp(t1 * 1000000), '%H:%M:%S') AS last_clock, strftime(make_timestamp(floor(1700500000 + e)::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS estimated_end FROM p""")
     _op("chapter_manifest", lambda s, d: timeline.chapter_manifest(D.segments(s, d)), "SELECT book_id, file_index, CASE WHEN chapter='' THEN 'chapter_' || file_index ELSE chapter END AS title, segments, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f) AS file_index FROM (SELECT book_id, chapter, min(ord) AS f, count(*) AS segments, sum(duration_ms)::BIGINT AS duration_ms FROM segments GROUP BY ALL))")
     _op("volume_stats", lambda s, d: timeline.volume_stats(D.files(s, d), _timeline(s, d)), "SELECT book_id, duration_ms, size_mb FROM (SELECT book_id, max(end_ms) AS duration_ms FROM timeline GROUP BY book_id) LEFT JOIN (SELECT book_id, round(sum(length) / 1048576, 4) AS size_mb FROM files GROUP BY book_id) USING (book_id)")
-    _op("speech_stats", lambda s, d: audio.speech_stats(_regions(s, d), _totals(s, d)), "SELECT clip_id, coalesce(n, 0) AS regions, coalesce(sp, 0) AS speech_ms, total_ms - coalesce(sp, 0) AS silence_ms, round(coalesce(sp, 0) / total_ms, 4) AS ratio FROM (SELECT clip_id, count(*) * 100 AS total_ms FROM frames GROUP BY ALL) LEFT JOIN (SELECT clip_id, count(*) AS n, sum(end_ms - start_ms)::BIGINT AS sp FROM regions GROUP BY ALL) USING (clip_id)")
+    _op("speech_stats", lambda s, d: audio.speech_stats(audio.merge_regions(_regions(s, d)), _totals(s, d)), "SELECT clip_id, coalesce(n, 0) AS regions, coalesce(sp, 0) AS speech_ms, total_ms - coalesce(sp, 0) AS silence_ms, round(coalesce(sp, 0) / total_ms, 4) AS ratio FROM (SELECT clip_id, count(*) * 100 AS total_ms FROM frames GROUP BY ALL) LEFT JOIN (SELECT clip_id, count(*) AS n, sum(end_ms - start_ms)::BIGINT AS sp FROM joined GROUP BY ALL) USING (clip_id)")
     _op("longest_region", lambda s, d: audio.longest_region(_regions(s, d)), "SELECT clip_id, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY end_ms - start_ms DESC, start_ms) AS rn FROM regions) WHERE rn = 1")
     _op("extraction_report", lambda s, d: parsing.extraction_report(D.lines(s, d), D.parsed(s, d)), f""", m AS (SELECT book_id, count(*) AS missing FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM parsed p WHERE kind='dialogue' AND p.book_id = q.book_id AND p.text = regexp_replace(q.text, {_STRIP})) GROUP BY book_id)
 SELECT book_id, coalesce(n, 0) AS quotes, dialogues, coalesce(missing, 0) AS missing FROM (SELECT book_id, count(*) FILTER (kind='dialogue') AS dialogues FROM parsed GROUP BY book_id) LEFT JOIN (SELECT book_id, count(*) AS n FROM quotes GROUP BY book_id) USING (book_id) LEFT JOIN m USING (book_id)""")
@@ -345,12 +443,14 @@ SELECT clip_id, h AS frame_idx, round(sqrt(sum(coalesce(e, 0)) OVER (PARTITION B
     _op("gender_requests", lambda s, d: labeling.gender_requests(context.character_corpus(D.dialogues(s, d))), "SELECT book_id, speaker, 'Character: ' || speaker || chr(10) || 'Lines: ' || lines || chr(10) || corpus AS request FROM corpus")
     _op("emotion_requests", lambda s, d: labeling.emotion_requests(D.dialogues(s, d), _contexts(s, d)), "SELECT book_id, ord, 'Speaker: ' || speaker || chr(10) || 'Dialogue: ' || text || chr(10) || 'Context:' || chr(10) || context AS request FROM dialogues JOIN ctx USING (book_id, ord)")
     _op("apply_model", lambda s, d: _replies(s, d).select("book_id", "ord", "status"), "SELECT book_id, ord, CASE WHEN length(text) % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM dialogues")
+    _op("apply_model_batched", lambda s, d: _batched_replies(s, d).select("book_id", "ord", "status", "reply"), f"""SELECT book_id, ord, CASE WHEN n % 11 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n % 11 = 0 THEN 'Error: no answer' ELSE
+  'Sure: {{"emotion": "' || {T.EMOTIONS}[n % 7 + 1] || '", "tone": "' || {T.TONES}[n % 5 + 1] || '", "confidence": 0.5, "evidence": "n=' || n || '"}} done' END AS reply FROM (SELECT *, length(text) AS n FROM dialogues)""")
     _op("parse_gender_reply", _gender_replies, "SELECT book_id, ord, speaker, CASE length(text) % 3 WHEN 1 THEN 'female' ELSE 'male' END AS gender, CASE length(text) % 3 WHEN 1 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence, CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'e' ELSE 'no verdict' END AS evidence FROM dialogues")
     _op("parse_emotion_reply", lambda s, d: labeling.parse_emotion_reply(_replies(s, d)), f"SELECT book_id, ord, CASE WHEN n % 11 = 0 THEN 'calm' ELSE {T.EMOTIONS}[n % 7 + 1] END AS emotion, CASE WHEN n % 11 = 0 THEN 'serious' ELSE {T.TONES}[n % 5 + 1] END AS tone, CASE WHEN n % 11 = 0 THEN 0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN n % 11 = 0 THEN '' ELSE 'n=' || n END AS evidence FROM (SELECT *, length(text) AS n FROM dialogues)")
     _op("render_search", lambda s, d: context.render_search(_searched(s, d), _asked(s, D.document_lines(s, d), D.KEYWORDS)), """, r AS (SELECT keyword, book_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown, max(total) AS total FROM found WHERE rn <= 20 GROUP BY ALL)
-SELECT keyword, book_id, CASE WHEN body IS NULL THEN chr(10) || 'No matches found' ELSE 'Found ' || total || ' matches' || CASE WHEN total > shown THEN ' (showing ' || shown || ' of ' || total || ')' ELSE '' END || ':' || chr(10) || body END AS output FROM (SELECT DISTINCT doc_id AS book_id, keyword FROM documents, words WHERE text IS NOT NULL) LEFT JOIN r USING (keyword, book_id)""")
+SELECT keyword, book_id, 'Found ' || coalesce(total, 0) || ' matches' || CASE WHEN total > shown THEN ' (showing ' || shown || ' of ' || total || ')' ELSE '' END || coalesce(':' || chr(10) || body, chr(10) || 'No matches found') AS output FROM (SELECT DISTINCT doc_id AS book_id, keyword FROM documents, words WHERE text IS NOT NULL) LEFT JOIN r USING (keyword, book_id)""")
     _op("render_range", lambda s, d: context.render_range(_ranges(s, d)), """SELECT book_id, "start", "end", CASE WHEN text = '' AND NOT truncated THEN 'No lines in range' ELSE text || CASE WHEN truncated THEN chr(10) || '... (truncated)' ELSE '' END END AS output FROM ranges""")
-    _op("render_mentions", lambda s, d: context.render_mentions(_mentions(s, d), _asked(s, D.lines(s, d), ["user", "assistant"])), """, r AS (SELECT keyword, book_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown FROM mentions WHERE rn <= 50 GROUP BY ALL)
+    _op("render_mentions", lambda s, d: context.render_mentions(_mentions_shown(s, d), _asked(s, D.lines(s, d), ["user", "assistant"])), """, r AS (SELECT keyword, book_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown FROM mentions WHERE rn <= 20 GROUP BY ALL)
 SELECT keyword, book_id, CASE WHEN body IS NULL THEN 'No dialogues found for ''' || keyword || '''' ELSE 'Found ' || shown || ' dialogues:' || chr(10) || body END AS output FROM (SELECT DISTINCT book_id, keyword FROM lines, (VALUES ('user'), ('assistant')) n(keyword)) LEFT JOIN r USING (keyword, book_id)""")
     _op("gender_cues", lambda s, d: context.gender_cues(D.lines(s, d), ["user", "assistant"], "he", "la"), """, a AS (SELECT DISTINCT keyword, book_id, line_no + x AS line_no FROM lines JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(line, keyword), (VALUES (-1), (0), (1)) o(x))
 SELECT keyword, book_id, sum(len(regexp_extract_all(line, 'he')))::BIGINT AS he, sum(len(regexp_extract_all(line, 'la')))::BIGINT AS she FROM a JOIN lines USING (book_id, line_no) GROUP BY ALL""")
@@ -360,12 +460,14 @@ SELECT keyword, book_id, sum(len(regexp_extract_all(line, 'he')))::BIGINT AS he,
     _op("dialogue_table", lambda s, d: D.dialogues(s, d), all_d)
     _op("synthesis_jobs", lambda s, d: jobs.synthesis_jobs(D.dialogues(s, d), D.genders(s), D.emotions(s, d), *S.casting_tables(s, D.CAST), D.files(s, d)), """, j AS (SELECT *, CASE WHEN phrase = '' THEN '' ELSE '(' || phrase || ')' END AS style FROM styled WHERE NOT (ord%3=0 AND ord%9<>0))
 SELECT book_id, ord, chapter, speaker, ref_audio, style, replace(style || text, chr(10), ' ') AS text, printf('%05d.wav', ord) AS output_path FROM j""")
-    _op("preset_jobs", lambda s, d: jobs.preset_jobs(D.dialogues(s, d), D.genders(s), D.clones(s), D.files(s, d)), "SELECT book_id, ord, speaker, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
-    _op("volume_timeline", lambda s, d: jobs.volume_timeline(D.segments(s, d), D.results(s, d)), """, v AS (SELECT s.book_id, s.ord, chapter, CASE WHEN status='ok' THEN 'clone' ELSE 'fallback' END AS engine, CASE WHEN status='ok' THEN duration_ms ELSE 1000 END::BIGINT AS dur FROM segments s LEFT JOIN results r USING (book_id, ord)),
-g AS (SELECT *, CASE WHEN lag(chapter) OVER w IS NULL THEN 0 WHEN lag(chapter) OVER w <> chapter THEN 2000 ELSE 300 END::BIGINT AS gap_ms FROM v WINDOW w AS (PARTITION BY book_id ORDER BY ord)),
-t AS (SELECT *, (sum(gap_ms + dur) OVER (PARTITION BY book_id ORDER BY ord))::BIGINT AS end_ms FROM g)
-SELECT book_id, ord, chapter, engine, gap_ms, end_ms - dur AS start_ms, end_ms, CASE WHEN dur >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM t""")
-    _op("reference_clip_plan", lambda s, d: jobs.reference_clip_plan(D.frames(s, d), 40.0, 100), "SELECT clip_id, start_ms, end_ms, clip_start, least(clip_start + end_ms - start_ms, 30000) AS clip_end FROM clips WHERE clip_start < 30000")
+    _op("preset_jobs", lambda s, d: jobs.preset_jobs(D.dialogues(s, d), D.genders(s), D.clones(s), D.audio_files(s), D.files(s, d)), "SELECT book_id, ord, speaker, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
+    _op("volume_timeline", lambda s, d: jobs.volume_timeline(D.dialogues(s, d), D.files(s, d), D.segments(s, d), D.results(s, d)), "SELECT book_id, ord, chapter, engine, readable, duration_ms, gap_ms, end_ms - duration_ms AS start_ms, end_ms, CASE WHEN duration_ms >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM volume_line")
+    _op("volume_report", lambda s, d: jobs.volume_report(D.dialogues(s, d), D.files(s, d), D.segments(s, d), D.results(s, d)), """, m AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f) AS file_index FROM (SELECT book_id, chapter, min(ord) AS f, count(*) AS segments, sum(duration_ms)::BIGINT AS duration_ms FROM volume_line GROUP BY ALL)),
+v AS (SELECT book_id, max(end_ms) AS volume_ms FROM volume_line GROUP BY book_id), z AS (SELECT book_id, round(sum(length) / 1048576, 4) AS size_mb FROM files GROUP BY book_id)
+SELECT book_id, file_index, CASE WHEN chapter='' THEN 'chapter_' || file_index ELSE chapter END AS title, segments, duration_ms, volume_ms, size_mb FROM m JOIN v USING (book_id) LEFT JOIN z USING (book_id)""")
+    _op("reference_clip_plan", lambda s, d: jobs.reference_clip_plan(D.frames(s, d).select("clip_id", F.col("frame_idx").alias("sample_idx"), F.col("rms").alias("v")), 45.0, 16, 4, 100), """, c AS (SELECT *, (coalesce(sum(end_ms-start_ms+100) OVER (PARTITION BY clip_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS clip_start FROM level_joined),
+t AS (SELECT clip_id, count(*) * 100 AS total_ms FROM levels GROUP BY ALL), r AS (SELECT clip_id, count(*) AS regions, sum(end_ms - start_ms)::BIGINT AS speech_ms FROM level_joined GROUP BY ALL)
+SELECT clip_id, start_ms, end_ms, clip_start, least(clip_start + end_ms - start_ms, 30000) AS clip_end, regions, speech_ms, round(speech_ms / total_ms, 4) AS ratio FROM c JOIN t USING (clip_id) JOIN r USING (clip_id) WHERE clip_start < 30000""")
     _op("dry_run_segments", lambda s, d: jobs.dry_run_segments(D.dialogues(s, d)), "SELECT book_id, ord, chapter, speaker, printf('%05d_%s.wav', ord, speaker) AS audio_path FROM dialogues")
 
 

@@ -12,10 +12,10 @@ CHAPTER = (
     r"|(?:序章|前言|后记|尾声|番外|楔子|引子|序幕|终章|完结|番外篇|特别篇))"
     r"(?:[\s:：.．\-—]+.*)?$"
 )
-TRAILING_SPEAKER = r"^「([^」]*)」[—－\-—\s]*(.+?)$"
-TRAILING_SPEAKER_STRICT = r"^「([^」]*)」[\s]*[—－\-][—－\-—\s]*(.+?)$"
+TRAILING_SPEAKER = r"^「([^」]*)」[\s—－-]*(.+)$"
+TRAILING_SPEAKER_STRICT = r"^「([^」]*)」\s*[—－-][\s—－-]*(.+)$"
 SPEAKER_PREFIX = r"^(.+?)：[「『](.*)$"
-BARE_QUOTE = r"^「([^」]*)」[\s　]*$"
+BARE_QUOTE = r"^「([^」]*)」\s*$"
 INLINE_QUOTE = r"「([^」]*)」"
 ANY_QUOTE = r"「(.*?)」"
 BRACKET_SPEAKER = r"【([^】]*)】「"
@@ -65,6 +65,18 @@ def segment_path(ord_: Column, speaker: Column | None = None) -> Column:
     return F.format_string("%05d.wav", ord_) if speaker is None else F.format_string("%05d_%s.wav", ord_, speaker)
 
 
+def clock(seconds: Column) -> Column:
+    """Epoch seconds as the time of day in UTC, ``hh:mm:ss``."""
+    s = F.floor(seconds)
+    return F.format_string("%02d:%02d:%02d", F.pmod(F.floor(s / 3600), F.lit(24)), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))
+
+
+def date_and_clock(seconds: Column) -> Column:
+    """Epoch seconds as ``yyyy-mm-dd hh:mm:ss`` in UTC."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int"))
+    return F.concat_ws(" ", day.cast("string"), clock(seconds))
+
+
 def confidence_flag(c: Column) -> Column:
     return F.when(c > 0.5, "✓").otherwise("?")
 

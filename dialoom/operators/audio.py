@@ -60,7 +60,7 @@ def clip_plan(regions: DataFrame, pause: int = 100, cap: int = 30_000) -> DataFr
 def speech_stats(regions: DataFrame, totals: DataFrame) -> DataFrame:
     """(clip_id, regions, speech_ms, silence_ms, ratio) with totals (clip_id, total_ms)."""
     r = regions.groupBy("clip_id").agg(F.count("*").alias("regions"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
-    out = totals.join(r, "clip_id", "left").na.fill(0, ["regions", "speech_ms"])
+    out = totals.join(r.hint("merge"), "clip_id", "left").na.fill(0, ["regions", "speech_ms"])
     ratio = F.when(F.col("total_ms") > 0, F.round(F.col("speech_ms") / F.col("total_ms"), 4)).otherwise(0.0)
     return out.select("clip_id", "regions", "speech_ms", (F.col("total_ms") - F.col("speech_ms")).alias("silence_ms"), ratio.alias("ratio"))
 

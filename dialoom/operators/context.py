@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .stats import first_n
 
 BUCKET = 64
 
@@ -13,46 +14,56 @@ BUCKET = 64
 def context_window(dialogues: DataFrame, lines: DataFrame, k: int = 30, center: str = "line_no") -> DataFrame:
     """(book_id, ord, context): lines L-k .. L+k as ``no: stripped``, joined by line feeds.
 
-    A range join by buckets of line numbers: each request is dealt to the buckets that its
-    range touches, so lines meet it by equality.
+    One pass of a sliding window over the lines of a book; a request meets its line by equality.
     """
     at = F.col(center) + (0 if center == "line_no" else 1)
-    want = dialogues.select("book_id", "ord", at.alias("at"))
-    want = want.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - k) / BUCKET), F.floor((F.col("at") + k) / BUCKET))))
-    have = lines.select("book_id", "line_no", F.format_string("%d: %s", "line_no", T.strip(F.col("line"))).alias("shown")).withColumn("bucket", F.floor(F.col("line_no") / BUCKET))
-    rows = want.join(have.hint("merge"), ["book_id", "bucket"]).where(F.abs(F.col("line_no") - F.col("at")) <= k)
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "shown")))
-    return rows.groupBy("book_id", "ord").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n").alias("context"))
+    want = dialogues.select("book_id", "ord", at.cast("long").alias("line_no"))
+    shown = F.format_string("%d: %s", "line_no", T.strip(F.col("line")))
+    near = Window.partitionBy("book_id").orderBy("line_no").rangeBetween(-k, k)
+    have = lines.select("book_id", "line_no", shown.alias("shown")).withColumn("context", F.array_join(F.collect_list("shown").over(near), "\n"))
+    return want.join(have.hint("merge"), ["book_id", "line_no"]).select("book_id", "ord", "context")
 
 
 def keyword_search(lines: DataFrame, keywords: list[str], limit: int = 20, preview: int = 120, also: str | None = None) -> DataFrame:
     """(keyword, book_id, line_no, line, total, truncated): the first lines with each keyword.
 
-    Keywords may hold one another; each is tested on its own in one pass over the lines.
+    Lines are shown stripped and cut to ``preview`` characters.  Keywords may hold one another;
+    each is tested on its own.  With ``also``, stripped lines need to hold that too.
     """
-    hits = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("line"), k))
-    rows = lines.where(F.contains("line", F.lit(also))) if also else lines
-    rows = rows.select("book_id", "line_no", "line", F.explode(hits).alias("keyword"))
-    key = Window.partitionBy("keyword", "book_id")
-    rows = rows.withColumn("total", F.count("*").over(key)).withColumn("_rn", F.row_number().over(key.orderBy("line_no")))
-    rows = rows.where(F.col("_rn") <= limit)
-    return rows.select("keyword", "book_id", "line_no", T.preview(F.col("line"), preview).alias("line"), "total", (F.col("total") > limit).alias("truncated"))
+    shown = T.strip(F.col("line"))
+    text = shown if also else F.col("line")
+    rows = lines.where(F.contains(text, F.lit(also))) if also else lines
+
+    hits = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k))
+    rows = rows.select("book_id", "line_no", T.preview(shown, preview).alias("shown"), F.explode(hits).alias("keyword"))
+    totals = rows.groupBy("keyword", "book_id").agg(F.count("*").alias("total"))
+    first = first_n(rows, ["keyword", "book_id"], ["line_no"], limit).join(totals.hint("merge"), ["keyword", "book_id"])
+    return first.select("keyword", "book_id", "line_no", F.col("shown").alias("line"), "total", (F.col("total") > limit).alias("truncated"))
 
 
 def mention_dialogues(lines: DataFrame, names: list[str], limit: int = 50) -> DataFrame:
-    """Lines with a name and an opening quote, the first of each book."""
-    return keyword_search(lines, names, limit, preview=100_000, also="「")
+    """Lines with a name and an opening quote, the first of each book, stripped and cut to 120 characters."""
+    return keyword_search(lines, names, limit, also="「")
 
 
 def read_range(lines: DataFrame, requests: DataFrame, limit: int = 300) -> DataFrame:
-    """(book_id, start, end, text, truncated) of requests (book_id, start, end), both inclusive."""
+    """(book_id, start, end, text, truncated) of requests (book_id, start, end), both inclusive.
+
+    A range join by buckets of line numbers.  Requests of unknown books and empty ranges have
+    an empty text; repeated requests are answered each.
+    """
+    keys = ["book_id", "start", "end"]
     last = lines.groupBy("book_id").agg(F.max("line_no").alias("last"))
-    want = requests.join(last, "book_id").select("book_id", "start", "end", F.greatest("start", F.lit(1)).alias("lo"), F.least("end", "last").alias("hi"))
-    rows = want.join(lines.hint("merge"), "book_id", "left").where((F.col("line_no") >= F.col("lo")) & (F.col("line_no") <= F.col("hi")) & (F.col("line_no") < F.col("lo") + limit))
+    want = requests.select(keys).distinct().join(last.hint("merge"), "book_id", "left")
+    want = want.withColumn("lo", F.greatest("start", F.lit(1))).withColumn("hi", F.coalesce(F.least("end", "last"), F.lit(0)))
+    upto = F.least(F.col("hi"), F.col("lo") + limit - 1)
+    some = want.where("lo <= hi").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(upto / BUCKET))))
+    have = lines.withColumn("bucket", F.floor(F.col("line_no") / BUCKET))
+    rows = some.join(have.hint("merge"), ["book_id", "bucket"]).where((F.col("line_no") >= F.col("lo")) & (F.col("line_no") <= upto))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.format_string("%d: %s", "line_no", T.strip(F.col("line"))).alias("shown"))))
-    text = rows.groupBy("book_id", "start", "end").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n").alias("text"))
-    out = want.join(text, ["book_id", "start", "end"], "left")
-    return out.select("book_id", "start", "end", F.coalesce("text", F.lit("")).alias("text"), (F.col("hi") - F.col("lo") + 1 > limit).alias("truncated"))
+    text = rows.groupBy(keys).agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n").alias("text"))
+    found = want.join(text.hint("merge"), keys, "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), (F.col("hi") - F.col("lo") + 1 > limit).alias("truncated"))
+    return requests.select(keys).join(found.hint("merge"), keys)
 
 
 def locate_text(dialogues: DataFrame, needles: list[str], before: int = 3, after: int = 3) -> DataFrame:
@@ -66,8 +77,7 @@ def locate_text(dialogues: DataFrame, needles: list[str], before: int = 3, after
 
 def character_corpus(dialogues: DataFrame, n: int = 50) -> DataFrame:
     """(book_id, speaker, corpus, lines): the first n texts of each named speaker."""
-    w = Window.partitionBy("book_id", "speaker").orderBy("ord")
-    rows = dialogues.where("speaker <> ''").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    rows = first_n(dialogues.where("speaker <> ''"), ["book_id", "speaker"], ["ord"], n)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
     return rows.groupBy("book_id", "speaker").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("corpus"), F.count("*").alias("lines"))
 
@@ -79,10 +89,11 @@ def _shown(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 def render_search(matches: DataFrame, asked: DataFrame) -> DataFrame:
     """(keyword, book_id, output) for each asked (keyword, book_id), those without a match included."""
-    m = asked.join(_shown(matches, ["keyword", "book_id"]), ["keyword", "book_id"], "left")
+    m = asked.join(_shown(matches, ["keyword", "book_id"]).hint("merge"), ["keyword", "book_id"], "left")
     head = F.format_string("Found %d matches", F.coalesce("total", F.lit(0)))
     some = F.when(F.col("total") > F.col("shown"), F.format_string(" (showing %d of %d)", "shown", "total")).otherwise("")
-    output = F.when(F.col("body").isNull(), "\nNo matches found").otherwise(F.concat(head, some, F.lit(":\n"), "body"))
+    found = F.coalesce(F.concat(F.lit(":\n"), "body"), F.lit("\nNo matches found"))
+    output = F.concat(head, some, found)
     return m.select("keyword", "book_id", output.alias("output"))
 
 
@@ -92,7 +103,7 @@ def render_range(ranges: DataFrame) -> DataFrame:
 
 
 def render_mentions(matches: DataFrame, asked: DataFrame) -> DataFrame:
-    m = asked.join(_shown(matches, ["keyword", "book_id"]), ["keyword", "book_id"], "left")
+    m = asked.join(_shown(matches, ["keyword", "book_id"]).hint("merge"), ["keyword", "book_id"], "left")
     output = F.when(F.col("body").isNull(), F.format_string("No dialogues found for '%s'", "keyword")).otherwise(F.concat(F.format_string("Found %d dialogues:\n", "shown"), "body"))
     return m.select("keyword", "book_id", output.alias("output"))
 

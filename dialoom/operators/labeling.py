@@ -25,26 +25,34 @@ def gender_requests(corpus: DataFrame) -> DataFrame:
 
 def emotion_requests(dialogues: DataFrame, contexts: DataFrame) -> DataFrame:
     """(book_id, ord, request) of dialogues with their context windows."""
-    rows = dialogues.join(contexts, ["book_id", "ord"])
+    rows = dialogues.join(contexts.hint("merge"), ["book_id", "ord"])
     return rows.select("book_id", "ord", F.format_string("Speaker: %s\nDialogue: %s\nContext:\n%s", "speaker", "text", "context").alias("request"))
 
 
-def apply_model(requests: DataFrame, factory: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """``requests`` with reply and status; an exception makes an error row, and the job goes on."""
+def apply_model(requests: DataFrame, factory: Callable[[], Callable], batched: bool = False) -> DataFrame:
+    """``requests`` with reply and status; an exception makes an error row, and the job goes on.
+
+    With ``batched`` the model gets the requests of a batch as a list and gives a list of as
+    many replies, an exception standing for a reply that failed.
+    """
     keys = [f for f in requests.schema if f.name != "request"]
 
+    def attempt(model: Callable, asked):
+        try:
+            return model(asked)
+        except Exception as e:  # any failure of the user's model is a row
+            return e
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for pdf in batches:
-            replies, states = [], []
-            for request in pdf["request"]:
-                try:
-                    replies.append(model(request))
-                    states.append("ok")
-                except Exception as e:  # any failure of the user's model is a row
-                    replies.append(f"Error: {e}")
-                    states.append("error")
-            yield pdf.drop(columns="request").assign(reply=replies, status=states)
+            asked = pdf["request"].tolist()
+            found = attempt(model, asked) if batched else [attempt(model, r) for r in asked]
+            if isinstance(found, Exception) or len(found) != len(asked):
+                found = [found if isinstance(found, Exception) else ValueError("not as many replies as requests")] * len(asked)
+            failed = [isinstance(r, Exception) for r in found]
+            replies = [f"Error: {r}" if bad else r for r, bad in zip(found, failed, strict=True)]
+            yield pdf.drop(columns="request").assign(reply=replies, status=["error" if bad else "ok" for bad in failed])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
     return requests.mapInPandas(run, f"{schema}, reply string, status string")

@@ -64,7 +64,7 @@ def align_labels(parsed: DataFrame, labels: DataFrame, mode: str = "line") -> Da
     k = F.sum(is_dialogue.cast("long")).over(_in_book().rowsBetween(Window.unboundedPreceding, 0)) - 1
     rows = parsed.withColumn("k", F.when(is_dialogue, k))
     named = labels.select(F.col("book_id").alias("_b"), F.col("ord").alias("_k"), normalize_label(F.col("label")).alias("_label"), F.lit(True).alias("_hit"))
-    joined = rows.join(named, (rows.book_id == named._b) & (rows.k == named._k), "left")
+    joined = rows.join(named.hint("merge"), (rows.book_id == named._b) & (rows.k == named._k), "left")
     speaker = F.when(F.col("_hit"), F.col("_label")).otherwise(F.col("speaker"))
     return joined.withColumn("speaker", speaker).drop("_b", "_k", "_label", "_hit", "k")
 
@@ -79,7 +79,7 @@ def plain_quotes(lines: DataFrame) -> DataFrame:
 def align_quotes(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """The k-th quote of a book's text takes label k; quotes behind the last label have ''."""
     named = labels.select("book_id", F.col("ord").alias("k"), normalize_label(F.col("label")).alias("speaker"))
-    return plain_quotes(lines).join(named, ["book_id", "k"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
+    return plain_quotes(lines).join(named.hint("merge"), ["book_id", "k"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
 
 
 def dialogue_table(lines: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def missing_quotes(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """Quotes whose stripped text no parsed dialogue of the book has; repeats are kept."""
     have = parsed.where("kind = 'dialogue'").select("book_id", "text").distinct()
     quotes = plain_quotes(lines).withColumn("text", T.strip(F.col("text")))
-    return quotes.join(have, ["book_id", "text"], "left_anti").select("book_id", "k", "line_no", "text")
+    return quotes.join(have.hint("merge"), ["book_id", "text"], "left_anti").select("book_id", "k", "line_no", "text")
 
 
 def extraction_report(lines: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -105,5 +105,5 @@ def extraction_report(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     q = plain_quotes(lines).groupBy("book_id").agg(F.count("*").alias("quotes"))
     d = parsed.groupBy("book_id").agg(F.count_if(F.col("kind") == "dialogue").alias("dialogues"))
     m = missing_quotes(lines, parsed).groupBy("book_id").agg(F.count("*").alias("missing"))
-    out = d.join(q, "book_id", "left").join(m, "book_id", "left")
+    out = d.join(q.hint("merge"), "book_id", "left").join(m.hint("merge"), "book_id", "left")
     return out.select("book_id", F.coalesce("quotes", F.lit(0)).alias("quotes"), "dialogues", F.coalesce("missing", F.lit(0)).alias("missing"))

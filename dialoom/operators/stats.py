@@ -71,17 +71,20 @@ def running_progress(run_log: DataFrame) -> DataFrame:
     return out.select("book_id", "ord", "done", "ok", (F.col("done") - F.col("ok")).alias("fail"), F.round(avg, 4).alias("avg_seconds"), F.round(avg * (F.col("total") - F.col("done")), 4).alias("remaining_seconds"))
 
 
-def progress_report(files: DataFrame, totals: DataFrame) -> DataFrame:
+def progress_report(files: DataFrame, totals: DataFrame, now: int | None = None) -> DataFrame:
     """Progress of each book from its finished files (book_id, ord, length, modified_s).
 
     Elapsed time runs from the first to the last file by name, as the files are numbered.
+    Times of day and the estimated end, reckoned from ``now`` in epoch seconds, are in UTC.
     """
     f = files.groupBy("book_id").agg(F.count("*").alias("done"), F.min_by("modified_s", "ord").alias("t0"), F.max_by("modified_s", "ord").alias("t1"))
-    out = totals.join(f, "book_id")
+    out = totals.join(f.hint("merge"), "book_id")
     elapsed = F.col("t1") - F.col("t0")
     avg = elapsed / F.col("done")
     left = F.col("total") - F.col("done")
-    return out.select("book_id", "done", "total", left.alias("remaining"), F.round(100.0 * F.col("done") / F.col("total"), 4).alias("percent"), elapsed.alias("elapsed_s"), F.round(avg, 4).alias("avg_s"), F.round(avg * left, 4).alias("eta_s"))
+    start = F.unix_timestamp() if now is None else F.lit(now)
+    return out.select("book_id", "done", "total", left.alias("remaining"), F.round(100.0 * F.col("done") / F.col("total"), 4).alias("percent"), elapsed.alias("elapsed_s"), F.round(avg, 4).alias("avg_s"), F.round(avg * left, 4).alias("eta_s"),
+        T.clock(F.col("t0")).alias("first_clock"), T.clock(F.col("t1")).alias("last_clock"), T.date_and_clock(start + avg * left).alias("estimated_end"))
 
 
 def head_listing(dialogues: DataFrame, n: int = 10) -> DataFrame:
@@ -92,7 +95,7 @@ def line_slice(lines: DataFrame, labels: DataFrame, a: int, b: int) -> DataFrame
     """Lines and labels of the positions [a, b) side by side; positions count from 0."""
     left = lines.withColumn("pos", F.col("line_no") - 1).where((F.col("pos") >= a) & (F.col("pos") < b)).select("book_id", "pos", "line")
     right = labels.where((F.col("ord") >= a) & (F.col("ord") < b)).select("book_id", F.col("ord").alias("pos"), "label")
-    return left.join(right, ["book_id", "pos"], "full")
+    return left.join(right.hint("merge"), ["book_id", "pos"], "full")
 
 
 def first_cooccurrence(dialogues: DataFrame, a: str, b: str, size: int = 10) -> DataFrame:
@@ -107,5 +110,5 @@ def first_cooccurrence(dialogues: DataFrame, a: str, b: str, size: int = 10) ->
 def first_line_context(dialogues: DataFrame, speaker: str, before: int = 3, after: int = 7) -> DataFrame:
     """The rows around the first line of a speaker in each book."""
     first = dialogues.where(F.col("speaker") == speaker).groupBy("book_id").agg(F.min("ord").alias("hit"))
-    rows = dialogues.join(first, "book_id").where((F.col("ord") >= F.col("hit") - before) & (F.col("ord") <= F.col("hit") + after))
+    rows = dialogues.join(first.hint("merge"), "book_id").where((F.col("ord") >= F.col("hit") - before) & (F.col("ord") <= F.col("hit") + after))
     return rows.select("book_id", "ord", "speaker", "text", (F.col("ord") == F.col("hit")).alias("is_hit"))

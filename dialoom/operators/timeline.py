@@ -11,7 +11,7 @@ from ..functions import text as T
 def all_segments(dialogues: DataFrame, files: DataFrame) -> DataFrame:
     """One segment for each dialogue, and whether its file is there and not empty."""
     f = files.where("length > 0").select("book_id", "ord", F.lit(True).alias("_f"))
-    out = dialogues.join(f, ["book_id", "ord"], "left")
+    out = dialogues.join(f.hint("merge"), ["book_id", "ord"], "left")
     return out.select("book_id", "ord", "chapter", "speaker", T.segment_path(F.col("ord")).alias("audio_path"), F.coalesce("_f", F.lit(False)).alias("readable"))
 
 
@@ -54,4 +54,4 @@ def chapter_manifest(segments: DataFrame) -> DataFrame:
 def volume_stats(files: DataFrame, timeline: DataFrame) -> DataFrame:
     """(book_id, size_mb, duration_ms)."""
     size = files.groupBy("book_id").agg(F.round(F.sum("length") / 2**20, 4).alias("size_mb"))
-    return timeline.groupBy("book_id").agg(F.max("end_ms").alias("duration_ms")).join(size, "book_id", "left")
+    return timeline.groupBy("book_id").agg(F.max("end_ms").alias("duration_ms")).join(size.hint("merge"), "book_id", "left")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audio, casting, parsing, stats, timeline
 
+PLACEHOLDER_MS = 1000
+
 
 def parse_book(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """Speaker statistics of parsed and labelled books."""
@@ -22,22 +24,35 @@ def synthesis_jobs(dialogues: DataFrame, genders: DataFrame, emotions: DataFrame
     return d.select("book_id", "ord", "chapter", "speaker", "ref_audio", "style", T.synthesis_text(F.col("style"), F.col("text")).alias("text"), T.segment_path(F.col("ord")).alias("output_path"))
 
 
-def preset_jobs(dialogues: DataFrame, genders: DataFrame, clones: DataFrame, files: DataFrame) -> DataFrame:
+def preset_jobs(dialogues: DataFrame, genders: DataFrame, clones: DataFrame, audio_files: DataFrame, files: DataFrame) -> DataFrame:
     d = casting.pending_jobs(dialogues, files)
-    d = casting.assign_engine(casting.join_gender(d, genders), clones, dialogues)
+    d = casting.assign_engine(casting.join_gender(d, genders), clones, audio_files)
     return d.select("book_id", "ord", "speaker", "engine", "voice", T.segment_path(F.col("ord"), F.col("speaker")).alias("output_path"))
 
 
-def volume_timeline(segments: DataFrame, results: DataFrame) -> DataFrame:
-    """Timeline of a volume; segments without a good result are placeholders of their length."""
-    s = casting.reconcile_results(segments.withColumn("engine", F.lit("clone")), results)
-    s = s.withColumn("duration_ms", F.when(F.col("placeholder_ms") > 0, F.col("placeholder_ms")).otherwise(F.col("duration_ms")))
+def volume_timeline(dialogues: DataFrame, files: DataFrame, durations: DataFrame, results: DataFrame) -> DataFrame:
+    """Timeline of a volume from its dialogues; segments without a file or a good result are placeholders."""
+    s = timeline.all_segments(dialogues, files).join(durations.select("book_id", "ord", "duration_ms").hint("merge"), ["book_id", "ord"])
+    s = casting.reconcile_results(s.withColumn("engine", F.lit("clone")), results)
+    s = s.withColumn("duration_ms", F.when(F.col("readable") & (F.col("placeholder_ms") == 0), F.col("duration_ms")).otherwise(PLACEHOLDER_MS).cast("long"))
     t = timeline.fade_plan(timeline.splice_timeline(s))
-    return t.select("book_id", "ord", "chapter", "engine", "gap_ms", "start_ms", "end_ms", "fade_ms")
+    return t.select("book_id", "ord", "chapter", "engine", "readable", "duration_ms", "gap_ms", "start_ms", "end_ms", "fade_ms")
+
+
+def volume_report(dialogues: DataFrame, files: DataFrame, durations: DataFrame, results: DataFrame) -> DataFrame:
+    """The chapters of the timeline, with length and size of their volume."""
+    t = volume_timeline(dialogues, files, durations, results)
+    stats = timeline.volume_stats(files, t).withColumnRenamed("duration_ms", "volume_ms")
+    return timeline.chapter_manifest(t).join(stats.hint("merge"), "book_id")
 
 
-def reference_clip_plan(frames: DataFrame, threshold: float, frame_ms: int) -> DataFrame:
-    return audio.clip_plan(audio.merge_regions(audio.voiced_regions(frames, threshold, frame_ms)))
+def reference_clip_plan(samples: DataFrame, threshold: float, frame: int, hop: int, frame_ms: int) -> DataFrame:
+    """Clips laid end to end from samples, with the share of speech in their source."""
+    frames = audio.frame_rms(samples, frame, hop)
+    merged = audio.merge_regions(audio.voiced_regions(frames, threshold, frame_ms))
+    totals = frames.groupBy("clip_id").agg((F.count("*") * frame_ms).alias("total_ms"))
+    stats = audio.speech_stats(merged, totals).select("clip_id", "regions", "speech_ms", "ratio")
+    return audio.clip_plan(merged).join(stats.hint("merge"), "clip_id")
 
 
 def dry_run_segments(dialogues: DataFrame) -> DataFrame:

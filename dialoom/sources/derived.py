@@ -67,7 +67,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, ord, path, length, modified_s) of every third dialogue; some are empty."""
     d = dialogues(spark, sf_dir).where("ord % 3 = 0")
     size = F.when(F.col("ord") % 9 == 0, 0).otherwise(F.col("ord") + 1000).cast("long")
-    return d.select("book_id", "ord", T.segment_path(F.col("ord")).alias("path"), size.alias("length"), (F.col("ord") * 7 + 1_700_000_000).alias("modified_s"))
+    return d.select("book_id", "ord", T.segment_path(F.col("ord")).alias("path"), size.alias("length"), (F.col("ord") * 7 + F.col("ord") % 5 * 40 + 1_700_000_000).alias("modified_s"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clones(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("assistant", "a.wav")], "speaker string, ref_audio string")
+    return spark.createDataFrame([("assistant", "a.wav"), ("user", "gone.wav")], "speaker string, ref_audio string")
+
+
+def audio_files(spark: SparkSession) -> DataFrame:
+    """(path): reference audio that exists."""
+    return spark.createDataFrame([("a.wav",), ("b.wav",)], "path string")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.joins import sized
 
 GENDERS = "map<string,struct<gender:string,confidence:double>>"
 EMOTION = "struct<emotion:string,tone:string,confidence:double,evidence:string>"
@@ -41,9 +42,18 @@ def gender_rows(df: DataFrame, col: str = "value") -> DataFrame:
     return df.select(*keep, F.explode(F.from_json(col, GENDERS)).alias("speaker", "v")).select(*keep, "speaker", "v.gender", "v.confidence")
 
 
+def _results(spark: SparkSession, path: str, per_line: bool) -> DataFrame:
+    """(book_id, value) of files of one JSON value each, book_id only if they lie in folders
+    ``book_id=...``; or, ``per_line``, of lines as ``write_labels_json`` writes them."""
+    if per_line:
+        return spark.read.schema("book_id long, value string").json(path)
+    df = spark.read.text(path, wholetext=True)
+    return df.withColumn("book_id", F.col("book_id").cast("long")) if "book_id" in df.columns else df
+
+
 def read_gender_results(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """Verdicts of JSON files, each of one map, or with a map on each line."""
-    return gender_rows(spark.read.text(path, wholetext=not per_line))
+    """(book_id, speaker, gender, confidence) of files that map names to verdicts."""
+    return gender_rows(_results(spark, path, per_line))
 
 
 def emotion_rows(df: DataFrame, col: str = "value") -> DataFrame:
@@ -60,7 +70,8 @@ def emotion_rows(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_emotion_results(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    return emotion_rows(spark.read.text(path, wholetext=not per_line))
+    """(book_id, ord, emotion, tone, confidence, evidence) of files of either shape."""
+    return emotion_rows(_results(spark, path, per_line))
 
 
 def gender_json(genders: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,8 +97,8 @@ def emotion_json(rows: DataFrame, keys: list[str], shape: str) -> DataFrame:
 
 
 def write_labels_json(df: DataFrame, path: str) -> None:
-    """One text line for each JSON value."""
-    df.select("value").write.text(path)
+    """A line (book_id, value) for the results of each book, so that books don't make tiny files."""
+    df.select("book_id", "value").write.json(path)
 
 
 def casting_tables(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
@@ -97,10 +108,13 @@ def casting_tables(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFr
     return cast, default
 
 
-def scan_segment_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, length, modified) of the audio files below a folder; contents are not read."""
+def scan_segment_files(spark: SparkSession, path: str, number: str = r"/(\d+)[^/]*\.wav$") -> DataFrame:
+    """(path, ord, length, modified) of the audio files below a folder; contents are not read.
+
+    ``number`` finds the segment's number in a path; files without one are left out.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    stem = F.regexp_extract("path", r"/(\d+)[^/]*\.wav$", 1)
+    stem = F.regexp_extract("path", number, 1)
     return files.select("path", stem.try_cast("long").alias("ord"), "length", F.col("modificationTime").alias("modified")).where(stem != "")
 
 
@@ -113,21 +127,25 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def debug_listing(dialogues: DataFrame, start: int, end: int) -> DataFrame:
-    """(book_id, row, listing): header lines, then ``[n] speaker: text`` of the rows [start, end)."""
+    """(book_id, row, listing): four header lines, then ``[n] speaker: text`` of the rows [start, end).
+
+    A missing speaker is shown as ``?``, an empty one as it is.
+    """
     rows = dialogues.where((F.col("ord") >= start) & (F.col("ord") < end))
-    who = F.when(F.coalesce("speaker", F.lit("")) == "", "?").otherwise(F.col("speaker"))
-    body = rows.select("book_id", (F.col("ord") + 2).alias("row"), F.format_string("[%d] %s: %s", "ord", who, "text").alias("listing"))
-    books = rows.groupBy("book_id").agg(F.count("*").alias("n"))
-    first = books.select("book_id", F.lit(0).cast("long").alias("row"), F.format_string("dialogues %d-%d, %d rows", F.lit(start), F.lit(end), "n").alias("listing"))
-    second = books.select("book_id", F.lit(1).cast("long").alias("row"), F.lit("=" * 20).alias("listing"))
-    return first.union(second).union(body)
+    body = rows.select("book_id", (F.col("ord") + 4).alias("row"), F.format_string("[%d] %s: %s", "ord", F.coalesce("speaker", F.lit("?")), "text").alias("listing"))
+    people = F.count_distinct(F.when(F.col("speaker") != "", F.col("speaker")))
+    books = rows.groupBy("book_id").agg(F.count("*").alias("n"), people.alias("people"))
+    # fixed values: the header of the listing
+    head = F.array(F.lit(f"对话范围: {start}-{end}"), F.format_string("共 %d 条对话, %d 个角色", "n", "people"), F.lit("=" * 60), F.lit(""))
+    first = books.select("book_id", F.posexplode(head).alias("row", "listing"))
+    return first.withColumn("row", F.col("row").cast("long")).union(body)
 
 
 def relational_tables(dialogues: DataFrame, genders: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """projects, characters, dialogues and audio_files, keyed by project_id."""
     d = dialogues.withColumnRenamed("book_id", "project_id")
     people = d.where("speaker <> ''").groupBy("project_id", "speaker").agg(F.count("*").alias("dialogue_count"))
-    people = people.join(F.broadcast(genders.select("speaker", "gender")), "speaker", "left")
+    people = people.join(sized(genders.select("speaker", "gender")), "speaker", "left")
     return {
         "projects": d.groupBy("project_id").agg(F.count("*").alias("dialogues")).withColumn("name", F.concat(F.lit("book "), "project_id")),
         "characters": people.select("project_id", F.col("speaker").alias("name"), F.coalesce("gender", F.lit("unknown")).alias("gender"), "dialogue_count"),
@@ -147,9 +165,10 @@ def upsert_voices(voices: DataFrame, new: DataFrame) -> DataFrame:
     return voices.unionByName(new).groupBy("voice_id").agg(last).select("voice_id", "v.*")
 
 
-def read_voices(spark: SparkSession, path: str) -> DataFrame:
+def read_voices(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Voices of JSON files that hold a list each, or, ``per_line``, one voice on each line."""
     schema = "voice_id string, voice_name string, ref_audio_path string, metadata map<string,string>"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not per_line)
 
 
 def bracket_labels(lines: DataFrame) -> DataFrame:

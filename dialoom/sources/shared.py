@@ -11,10 +11,12 @@ _own: str | None = None
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where it is unset (tests), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; in a local session without it, below a temporary folder."""
     global _own
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own = _own or "file://" + tempfile.mkdtemp(prefix="spark-")
         base = _own
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
-from dialoom.operators import audio, context, parsing, timeline
+from dialoom.operators import audio, casting, context, parsing, stats, timeline
 from dialoom.sources import derived as D
 from dialoom.sources import scripts as S
 
@@ -94,6 +94,53 @@ def test_overlapping_keywords(spark):
     assert sorted((r.keyword, r.line_no, r.total, r.truncated) for r in got) == [("女店员", 1, 1, False), ("店员", 1, 2, True)]
 
 
+def test_lines_are_shown_stripped(spark):
+    lines = lines_of(spark, ["  　甲 " + "x" * 200 + " 「q」 ", "甲", "乙"])
+    got = context.keyword_search(lines, ["甲", "丙"])
+    first = min(got.collect(), key=lambda r: r.line_no)
+    assert first.line == ("甲 " + "x" * 200)[:120] and first.total == 2
+    asked = spark.createDataFrame([("甲", 1), ("丙", 1)], "keyword string, book_id long")
+    shown = {r.keyword: r.output for r in context.render_search(context.keyword_search(lines, ["甲", "丙"], limit=1), asked).collect()}
+    assert shown["甲"].startswith("Found 2 matches (showing 1 of 2):\nLine 1: 甲 xx") and shown["丙"] == "Found 0 matches\nNo matches found"
+    mention = context.mention_dialogues(lines, ["甲"]).collect()
+    assert [(r.line_no, len(r.line)) for r in mention] == [(1, 120)]
+
+
+def test_ranges_of_unknown_books_are_empty(spark):
+    asked = spark.createDataFrame([(1, 0, 2), (1, 0, 2), (1, 3, 2), (9, 1, 5)], "book_id long, start long, end long")
+    got = context.read_range(lines_of(spark, [" a", "b ", "c"]), asked).orderBy("book_id", "start").collect()
+    assert [(r.book_id, r.text, r.truncated) for r in got] == [(1, "1: a\n2: b", False)] * 2 + [(1, "", False), (9, "", False)]
+
+
+def test_several_verdicts_double_no_dialogue(spark):
+    d = spark.createDataFrame([(1, 0, "a"), (2, 0, "a"), (3, 0, "a")], "book_id long, ord long, speaker string")
+    g = spark.createDataFrame([(1, "a", "female", 0.9), (1, "a", "male", 0.2), (2, "a", "unknown", 0.9)], "book_id long, speaker string, gender string, confidence double")
+    assert sorted((r.book_id, r.gender) for r in casting.join_gender(d, g).collect()) == [(1, "female"), (2, "male"), (3, "male")]
+
+
+def test_fallback_audio_and_missing_references(spark):
+    df = spark.createDataFrame([(None, "male"), ("旁白", "male"), ("x", "male"), ("y", "female"), ("z", "female")], "speaker string, gender string")
+    cast, default = S.casting_tables(spark, {"characters": {"z": "z.wav"}, "default_audio": {"female": "f.wav"}})
+    got = {(r.speaker, r.ref_audio) for r in casting.cast_voice(df, cast, default).collect()}
+    assert got == {(None, "narrator.wav"), ("旁白", "narrator.wav"), ("x", "male.wav"), ("y", "f.wav"), ("z", "z.wav")}
+    clones = spark.createDataFrame([("x", "a.wav"), ("z", "gone.wav")], "speaker string, ref_audio string")
+    audio_files = spark.createDataFrame([("a.wav",)], "path string")
+    engines = {r.speaker: (r.engine, r.voice) for r in casting.assign_engine(df, clones, audio_files).collect()}
+    assert engines["x"] == ("clone", "a.wav") and engines["z"] == ("preset", "female_voice") and engines["旁白"] == ("preset", "male_voice")
+
+
+def test_listing_of_missing_speakers(spark):
+    d = spark.createDataFrame([(1, 0, None, "p"), (1, 1, "", "q"), (1, 2, "a", "r")], "book_id long, ord long, speaker string, text string")
+    got = [r.listing for r in S.debug_listing(d, 0, 3).orderBy("row").collect()]
+    assert got == ["对话范围: 0-3", "共 3 条对话, 1 个角色", "=" * 60, "", "[0] ?: p", "[1] : q", "[2] a: r"]
+
+
+def test_slices_and_modes(spark):
+    d = D.dialogues(spark, "/root/testdata/sf0.001")
+    assert stats.slice_dialogues(d, limit=2).where("ord > 1").count() == 0 and stats.slice_dialogues(d, limit=2).count() > 0
+    assert stats.needs_emotion(d, "all").count() == d.count()
+
+
 def test_results_files_of_both_shapes(spark, tmp_path):
     row = {"emotion": "calm", "tone": "soft", "confidence": 0.5, "evidence": "e"}
     for name, body in (("a", {"results": {"3": row}}), ("b", {"total": 1, "results": [{"index": 4, **row}]})):
