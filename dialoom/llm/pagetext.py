@@ -1,11 +1,14 @@
 """Main text of web pages: the maximum-scoring run of tokens.
 
-A page is read as words and tags.  Words score positive, tags negative, words inside
-furniture (menus, notices, comments and the like) strongly negative; a linear scan finds the
-contiguous run with the largest sum.  The weights are log-odds from labelled pages: of a
-bounded number of pages that mark their article by an element, what lies in it and what
-doesn't.  The run is widened to the article element or to the blocks it touches, and the
-furniture inside it is left out.
+A page is read as words and tags.  Tags score negative, words positive, but for words in a
+context (a menu, a notice, text beside the article and the like) that labelled pages have
+outside their article.  A linear scan finds the contiguous run with the largest sum; it is
+widened to the blocks that it touches, and its words are the text.  Inside the run only words
+whose own score is negative are left out.
+
+The weights are log-odds from labelled pages: of a bounded number of pages that mark their
+article by an element, what lies in it and what doesn't.  Contexts and tags that these pages
+don't have start from prior counts.
 """
 
 from __future__ import annotations
@@ -24,52 +27,72 @@ from .store import map_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    # quotes count only behind "="
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*)(?:>|\Z)",
     re.S,
 )
 #: Attributes in turn, each with its whole name and value, so that none is found inside another.
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg canvas noframes xmp".split())
 #: Of these, elements that end with the page where their end tag is missing, and those that "/>" closes.
-TO_THE_END, FOREIGN = frozenset("script style textarea title".split()), frozenset("svg math".split())
+TO_THE_END, FOREIGN = frozenset("script style textarea title".split()), frozenset(["svg"])
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset("nav header footer aside form menu dialog button select fieldset label head search".split())
-#: Words of class, id and role that mark furniture (fixed values).
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|consent|contentinfo|cookie|cookies|disqus|"
-    r"footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|"
-    r"social|sponsor|sponsored|subscribe|toolbar|widget|replies|responses|complementary|search|alert)(?=$|[\s_-])",
-    re.I,
+#: Elements, and words of class, id and role, that mark furniture (fixed values).  A class or id
+#: marks it only if each of its names begins with such a word, so "market share" doesn't.
+FURNITURE = frozenset("nav header footer aside form menu dialog button select head search".split())
+MARKS = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus "
+    "footer header masthead menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar "
+    "social sponsor sponsored subscribe toolbar widget replies responses complementary search alert".split()
 )
+FIRST_WORD = re.compile(r"[^-_]+")
+#: Prior counts of words: (inside, outside) for plain words, words beside an article, and furniture.
+PRIOR = {"plain": (50.0, 5.0), "beside": (1.0, 10.0), None: (1.0, 20.0)}
+#: Bounds of the weights of words and of tags.
+MOST, LEAST_TAG, MOST_TAG = 2.0, -1.0, -0.05
 #: The most labelled pages and characters of a page that weights are learned from.
 SAMPLE_PAGES, SAMPLE_CHARS = 500, 200_000
 
-WORD, TAG, FURNITURE_WORD = "word", "tag", "furniture"
+WORD, TAG = "word", "tag"
+PLAIN, BESIDE = "plain", "beside"
+
+
+def furniture(name: str, found: dict[str, str], in_article: bool) -> str | None:
+    """The kind of furniture that an element is, or None."""
+    if name in FURNITURE and not (name == "header" and in_article):
+        return name
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return "hidden"
+    if name not in ("body", "html", "article", "main"):
+        for key in ("class", "id", "role"):
+            words = [m[0].lower() for m in map(FIRST_WORD.search, found.get(key, "").split()) if m]
+            if words and all(w in MARKS for w in words):
+                return words[0]
+    return None
 
 
 class Page:
-    """Tokens of a page: (kind, name, text, in furniture, article number, block number)."""
+    """Tokens of a page: (kind, name of the tag or context of the words, text, article number, block number)."""
 
     __slots__ = ("tokens", "articles")
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, str, bool, int, int]] = []
+        self.tokens: list[tuple[str, str, str, int, int]] = []
         self.articles = 0
-        stack: list[tuple[str, bool, int]] = []  # name, furniture, article
+        stack: list[tuple[str, str | None, int]] = []  # name, furniture, article
         pos, block, n = 0, 0, len(source)
-        furniture, article = False, 0
+        context, article = None, 0
         endless: set[str] = set()  # names without an end tag in what is left
         add = self.tokens.append
         while pos < n:
             m = TOKEN.search(source, pos)
             upto = m.start() if m else n
             if upto > pos:
-                text = htmllib.unescape(source[pos:upto])
-                add((FURNITURE_WORD if furniture else WORD, "", text, furniture, article, block))
+                add((WORD, context or PLAIN, htmllib.unescape(source[pos:upto]), article, block))
             if not m:
                 break
             pos = m.end()
@@ -82,14 +105,14 @@ class Page:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
                         del stack[i:]
-                        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                        context, article = stack[-1][1:] if stack else (None, 0)
                         break
                     if stack[i][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                         break  # a stray end tag closes nothing outside its article
-                add((TAG, name, "", furniture, article, block))
+                add((TAG, name, "", article, block))
                 continue
             if name in RAW:
-                add((TAG, name, "", furniture, article, block))
+                add((TAG, name, "", article, block))
                 if name in FOREIGN and m["rest"].rstrip().endswith("/"):
                     continue
                 end = None if name in endless else re.compile(f"</{name}\\b[^>]*>", re.I).search(source, pos)
@@ -103,30 +126,26 @@ class Page:
             if name in BLOCK:
                 block += 1
             if name == "br":
-                add((FURNITURE_WORD if furniture else WORD, "", " ", furniture, article, block))
+                add((WORD, context or PLAIN, " ", article, block))
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 stack.pop()  # their end tags may be left out
-                furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            inner = article
-            marked = furniture
+                context, article = stack[-1][1:] if stack else (None, 0)
+            found: dict[str, str] = {}
             if m["rest"]:
-                found: dict[str, str] = {}
                 for a in ATTRIBUTE.findall(m["rest"]):
                     found.setdefault(a[0].lower(), a[1] or a[2] or a[3])  # of equal names the first holds
-                if name not in ("body", "html", "article", "main"):
-                    marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-                    marked = marked or bool(marks and MARKS.search(marks)) or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
-                if found.get("role") == "main":
-                    name = "main" if name == "div" else name
-            if name in FURNITURE and not (name == "header" and article):
-                marked = True
-            if name in ("article", "main") and not marked and not article:
+            if name == "div" and found.get("role") == "main":
+                name = "main"
+            own, inner = context or furniture(name, found, article > 0), article
+            if name in ("article", "main") and not own and not article:
                 self.articles += 1
                 inner = self.articles
             if name not in VOID and not m["rest"].rstrip().endswith("/"):
-                stack.append((m["name"].lower(), marked, inner))
-                furniture, article = marked, inner
-            add((TAG, name, "", marked, inner, block))
+                stack.append((m["name"].lower(), own, inner))
+                context, article = own, inner
+            add((TAG, name, "", inner, block))
+        if self.articles:  # plain words beside the articles are a context of their own
+            self.tokens = [(k, BESIDE, t, a, b) if k == WORD and c == PLAIN and not a else (k, c, t, a, b) for k, c, t, a, b in self.tokens]
 
 
 def _count(source: str) -> tuple[Counter, Counter] | None:
@@ -135,72 +154,77 @@ def _count(source: str) -> tuple[Counter, Counter] | None:
     if page.articles != 1:
         return None
     inside, outside = Counter(), Counter()
-    for kind, name, text, furniture, article, _ in page.tokens:
-        c = inside if article and not furniture else outside
-        if kind == TAG:
-            c[name] += 1
-        else:
-            c[WORD] += len(text.split())
+    for kind, name, text, article, _ in page.tokens:
+        (inside if article else outside)[kind, name] += 1 if kind == TAG else len(text.split())
     return inside, outside
 
 
-def learn(sources: Iterator[str]) -> dict[str, float]:
-    """Weights of tags from labelled pages: log-odds of the article, words above, tags below 0."""
+def learn(sources: Iterator[str]) -> dict[tuple[str, str], float]:
+    """Weights of words by context and of tags: log-odds of lying in the article, within bounds."""
     inside, outside = Counter(), Counter()
     for s in sources:
         if s and (c := _count(s)):
             inside += c[0]
             outside += c[1]
-    n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
-    odds = {k: math.log((inside[k] + 0.5) / n_in) - math.log((outside[k] + 0.5) / n_out) for k in {*inside, *outside}}
-    weights = {k: min(-0.05, v / 2) for k, v in odds.items() if k != WORD}
-    return weights | {WORD: min(2.0, max(0.5, odds.get(WORD, 1.0)))}
+    weights = {}
+    for kind, name in {*inside, *outside, *((WORD, w) for w in (PLAIN, BESIDE, "hidden", *FURNITURE, *MARKS))}:
+        a, b = PRIOR.get(name, PRIOR[None]) if kind == WORD else (5.0, 5.0)
+        odds = math.log(inside[kind, name] + a) - math.log(outside[kind, name] + b)
+        weights[kind, name] = min(MOST, max(-MOST, odds)) if kind == WORD else min(MOST_TAG, max(LEAST_TAG, odds))
+    return weights
 
 
-def extract(source: str | None, weights: dict[str, float]) -> str:
-    """The main text of a page; blocks are joined by an empty line."""
-    if not source:
-        return ""
-    page = Page(source)
-    word = weights.get(WORD, 1.0)
-    best, best_range, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (kind, name, text, _, article, _b) in enumerate(page.tokens):
+def scores(page: Page, weights: dict[tuple[str, str], float]) -> list[float]:
+    """The score of each token; that of a text is the sum of its words'.
+
+    Inside an article tags, and words of furniture, have the least penalty, so that a list or
+    a notice there doesn't end the run.
+    """
+    out = []
+    for kind, name, text, article, _ in page.tokens:
         if kind == TAG:
-            score = weights.get(name, -0.5)
+            out.append(MOST_TAG if article else weights.get((TAG, name), -0.3))
         else:
-            n = len(text.split())
-            score = n * word * (1.5 if article else 1.0) if kind == WORD else -2.0 * word * n
+            w = weights.get((WORD, name), -1.0)
+            out.append(len(text.split()) * (MOST_TAG if article and w < 0 else w))
+    return out
+
+
+def best_run(values: list[float]) -> tuple[int, int]:
+    """[start, end) of the contiguous run with the largest sum, in one pass; (0, 0) if none is above 0."""
+    best, found, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, v in enumerate(values):
         if total <= 0:
             total, begin = 0.0, i
-        total += score
+        total += v
         if total > best:
-            best, best_range = total, (begin, i + 1)
-    if best <= 0:
+            best, found = total, (begin, i + 1)
+    return found
+
+
+def extract(source: str | None, weights: dict[tuple[str, str], float]) -> str:
+    """The main text of a page; blocks are joined by an empty line."""
+    if not source:
+        return ""
+    page = Page(source)
+    lo, hi = best_run(scores(page, weights))
+    blocks = [t[4] for t in page.tokens[lo:hi] if t[0] == WORD and t[2].strip()]
+    if not blocks:
         return ""
-    lo, hi = best_range
-    held = Counter()
-    for t in page.tokens[lo:hi]:
-        if t[0] == WORD and t[4]:
-            held[t[4]] += len(t[2])
-    if held:  # the article that holds most of the run, as a whole
-        number = held.most_common(1)[0][0]
-        chosen = [t for t in page.tokens if t[4] == number and t[0] == WORD]
-    else:
-        blocks = {t[5] for t in page.tokens[lo:hi] if t[0] == WORD and t[2].strip()}
-        first, last = min(blocks), max(blocks)
-        chosen = [t for t in page.tokens if t[0] == WORD and first <= t[5] <= last]
+    first, last = min(blocks), max(blocks)
     out: list[list[str]] = []
     at = None
-    for _, _, text, _, _, block in chosen:
-        if block != at:
-            out.append([])
-            at = block
-        out[-1].append(text)
+    for kind, context, text, _, block in page.tokens:
+        if kind == WORD and first <= block <= last and weights.get((WORD, context), -1.0) > 0:
+            if block != at:
+                out.append([])
+                at = block
+            out[-1].append(text)
     joined = (" ".join("".join(b).split()) for b in out)
     return "\n\n".join(b for b in joined if b)
 
 
-def train(pages: DataFrame, most_pages: int = SAMPLE_PAGES, most_chars: int = SAMPLE_CHARS) -> dict[str, float]:
+def train(pages: DataFrame, most_pages: int = SAMPLE_PAGES, most_chars: int = SAMPLE_CHARS) -> dict[tuple[str, str], float]:
     """Weights from at most ``most_pages`` pages, the first by a hash of their id, that mark an
     article and have at most ``most_chars`` characters."""
     some = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= most_chars))
@@ -209,7 +233,7 @@ def train(pages: DataFrame, most_pages: int = SAMPLE_PAGES, most_chars: int = SA
     return learn(r["html"] for r in texts.toLocalIterator())
 
 
-def _extract(weights: dict[str, float]) -> Callable:
+def _extract(weights: dict[tuple[str, str], float]) -> Callable:
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -220,11 +244,12 @@ def _extract(weights: dict[str, float]) -> Callable:
     return run
 
 
-def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
     Null and empty pages, and pages without a word outside furniture, have an empty text.
-    Null ids and urls stay; equal pages have equal texts; other columns are not read.
+    Null ids and urls stay; equal pages have equal texts; other columns are not read.  Pages
+    of any length are read whole.
     """
     src = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     t = dict(src.dtypes)

@@ -449,6 +449,39 @@ def test_pages(spark):
         assert isinstance(pagetext.extract(odd, weights), str)
 
 
+def test_best_run_equals_brute_force():
+    rng = np.random.default_rng(31)
+    for _ in range(300):
+        v = rng.integers(-6, 7, int(rng.integers(0, 25))).astype(float).tolist()
+        lo, hi = pagetext.best_run(v)
+        assert sum(v[lo:hi]) == max([0.0, *(sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1))])
+
+
+def test_pages_keep_what_is_no_furniture(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    weights = pagetext.train(pages)
+    for body, want in (
+        ("<p title=don't>Hello words here</p><p>it's more text</p><p>end</p>", "Hello words here\n\nit's more text\n\nend"),
+        ("<article><p>First of two articles.</p></article><article><p>The second is longer than the first.</p></article>", "First of two articles.\n\nThe second is longer than the first."),
+        ('<article><p>Words on the</p><div class="market share"><p>market share of words</p></div></article>', "Words on the\n\nmarket share of words"),
+        ("<article><p>Sum is</p><math><mi>x</mi></math><fieldset><label>and label</label></fieldset></article>", "Sum is\n\nx\n\nand label"),
+        ("<article><p>Kept</p>" + '<div class="ad">Buy</div>' * 3 + "<p>and kept</p></article>", "Kept\n\nand kept"),
+    ):
+        assert pagetext.extract(f"<html><body><nav><a>Menu</a></nav>{body}<footer>end of page</footer></body></html>", weights) == want, body
+    # the weights decide: with equal ones for all words menus and notices are in the run
+    html = [r.html for r in pages.collect()]
+    flat = {k: 1.0 if k[0] == "word" else -0.05 for k in weights}
+    assert all(pagetext.extract(h, flat) != pagetext.extract(h, weights) for h in html)
+    # articles of pages that nothing was learned from
+    half = pagetext.train(pages.where("page_id % 2 = 0"))
+    for r in pages.where("page_id % 2 = 1").collect():
+        words = re.sub(r"<[^>]*>", " ", r.html[r.html.index("<article>") : r.html.index("</article>")])
+        assert pagetext.extract(r.html, half).split() == pagetext.htmllib.unescape(words).split()
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "<p>same</p>"), (1, "u", "<p>same</p>"), (2, None, "<p>" + "word " * 300_000)], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    got = sorted((r.page_id or 0, r.n_chars) for r in pagetext.extract_pages(odd, weights).collect())
+    assert got == [(0, 0), (1, 0), (1, 4), (1, 4), (2, 1_499_999)]
+
+
 def test_attributes_are_read_whole(spark):
     weights = pagetext.train(spark.read.parquet(f"{DATA}/pages.parquet"))
     words = "First words of the text here are several more of them."
