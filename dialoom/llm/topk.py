@@ -7,7 +7,7 @@ bounds the distance from below.  Coarse segments are tried first; pairs whose bo
 can't reach the k-th best score known are dropped, finer segments follow, and the survivors
 get their exact integer scores.
 
-Queries and candidates are packed into blocks of bounded size; each pair of blocks is one
+Queries and candidates are packed into blocks of bounded rows and bytes; each pair of blocks is one
 unit of work, and only the k best of each query leave it.
 """
 
@@ -24,6 +24,8 @@ from .store import map_batches, save
 
 QUERY_BLOCK = 4_096
 CANDIDATE_BLOCK = 16_384
+#: Bytes of the vectors in a block, as 64-bit numbers.
+BLOCK_BYTES = 16 << 20
 LEVELS = (4, 16)
 SCALE = 256.0
 
@@ -45,7 +47,7 @@ def _blocks(size: int, name: str) -> Callable:
             for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
                 row = ints[at[i] : at[i + 1]]
                 held.setdefault(len(row), []).append((vec_id, row.astype("<f8").tobytes()))
-                if len(held[len(row)]) >= size:
+                if len(held[len(row)]) >= max(1, min(size, BLOCK_BYTES // max(8, 8 * len(row)))):
                     yield block(len(row))
         for d in list(held):
             yield block(d)

@@ -387,6 +387,68 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score < 0.5 for r in odd)
 
 
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(12)
+    texts = pa.array([prose(70, 1, 30), prose(20, 2, 30), "one", prose(45, 3, 30)])
+    raw, at = toxicity.tk.buffers(texts)
+    s = toxicity.Slice(raw[at[0] : at[-1]], at - at[0])
+    p = {k: v.astype(np.float64) if v.dtype == np.float32 else v for k, v in toxicity.initial(s.words[:10]).items()}
+    x = rng.standard_normal((len(s.words) + 1, toxicity.DIM))
+    x[-1] = 0
+    d = rng.standard_normal(len(s.index))
+
+    def loss():
+        return float(toxicity.forward(p, x, s.index, False)[0] @ d)
+
+    logit, kept = toxicity.forward(p, x, s.index, True)
+    g, d_x = toxicity.backward(p, x, s.index, kept, d)
+    for name, grad in [*g.items(), ("x", d_x[:-1])]:
+        value = x[:-1] if name == "x" else p[name]
+        for i in rng.integers(0, value.size, 4):
+            at, old = np.unravel_index(i, value.shape), value.flat[i]
+            value[at] = old + 1e-3
+            up = loss()
+            value[at] = old - 1e-3
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / 2e-3 - grad[at]) < 2e-2 * max(1, abs(grad[at])), name
+
+
+def test_scores_of_awkward_rows(spark, awkward):
+    labels = awkward.where("doc_id is not null").selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "cast(doc_id % 2 as int) as quality", "'x' as text")
+    wide = awkward.select("*", F.lit(1).alias("label"), F.lit(2.0).alias("score"), F.lit("x").alias("letter"))
+    network, model = toxicity.train(wide, labels), quality.train(wide, labels)
+    for got in (toxicity.score(wide, network), quality.judge(wide, model), langid.identify(wide, langid.train(wide))):
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in awkward.collect())
+    n_words = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in awkward.collect())
+    assert Counter((r.doc_id, r.n_words) for r in quality.judge(wide, model).collect()) == n_words
+    assert quality.keep_good(wide, model).columns == wide.columns
+
+
+@pytest.mark.parametrize("chunk", [512, 6])
+def test_large_buckets_lose_no_link(spark, monkeypatch, chunk):
+    """Near copies of two texts, and chains of copies, in buckets of many chunks."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 4 << 20 if chunk > 6 else 20_000)
+    rng = np.random.default_rng(41)
+    rows = []
+    for k, size in ((0, 60), (1, 25)):
+        base = prose(300, 50 + k).split()
+        for _ in range(size):
+            words = list(base)
+            for at in rng.integers(0, 300, int(rng.integers(1, 9))):
+                words[at] = f"n{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(words)))
+    chain = prose(300, 60).split()
+    for i in range(12):
+        chain = chain[8:] + prose(8, 70 + i).split()
+        rows.append((len(rows), " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = minhash.NearDup()
+    got = minhash.near_duplicates(df, p).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == groups(rows, p)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((230, 7)).astype(np.float32)
@@ -405,6 +467,7 @@ def test_topk(spark):
 @pytest.mark.parametrize("block", [16_384, 7])
 def test_topk_counts_repeated_rows(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 16 << 20 if block > 7 else 5 * 8 * 6)
     rng = np.random.default_rng(16)
     x = rng.standard_normal((120, 6)).astype(np.float32)
     x[7] = 3 * x[0]  # the best of query 0 stands 6 times, the best of query 50 three times
