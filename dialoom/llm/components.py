@@ -11,10 +11,10 @@ from .store import save
 def _towards(pairs: DataFrame, with_self: bool) -> DataFrame:
     """Edges from each neighbour in ``pairs`` (u, v) to the least node around u.
 
-    The minimum is aggregated before the shuffle and joined back, so that a node with
-    very many neighbours is never gathered in one group.
+    The minimum is aggregated before the shuffle, written and joined back, so that Spark can
+    split the edges of a node with very many neighbours.
     """
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = save(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     out = pairs.join(least.hint("merge"), "u")
     edges = out.where("v > u" if not with_self else "true").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if with_self:

@@ -15,8 +15,11 @@ Here the buckets are refined only where a repeat is still possible:
    whole spans that repeat are settled, and the same step is applied to what is left with
    ever shorter runs (``WIDTHS``), at last single windows.
 
-Counting is always aggregated before the shuffle and joined back, so a passage that a
-third of all documents share is never gathered in one group.
+Counting is always aggregated before the shuffle, written and joined back, so Spark can split
+the rows of a passage that a third of all documents share.  A bucket is named by a hash of its
+bytes where the textbook form has a pointer into a sorted array, and a refinement groups by the
+names of longer spans instead of sorting by pointers at later offsets: pointers for all byte
+positions would have to be shuffled in each round, which the disk budget rules out.
 """
 
 from __future__ import annotations
@@ -199,7 +202,7 @@ def _refine(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
     settled = rows.join(whole.hint("merge"), ["gram", "core", "span"])
     settled = settled.select("id", "tag", F.col("lo").alias("s"), (F.col("lo") + F.shiftright("shape", 8) + length).alias("e"))
     mixed = refined.groupBy("gram", "core").agg(F.count("*").alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1")
-    left = refined.join(mixed.select("gram", "core").hint("merge"), ["gram", "core"]).select("one.*", "gram")
+    left = refined.join(save(mixed.select("gram", "core"), "mixed").hint("merge"), ["gram", "core"]).select("one.*", "gram")
     return settled, left
 
 
@@ -217,7 +220,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     src = keyed.where(F.octet_length("text") >= length).select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("text").cast("string").alias("text"))
 
     everywhere = save(map_batches(src, _runs(length, gram), RUNS), "runs")
-    often = everywhere.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written first: a join with a plain table lets Spark split the partition of a hot q-gram
+    often = save(everywhere.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     rows = save(everywhere.join(often.hint("merge"), "gram").select([c.split()[0] for c in RUNS.split(", ")]), "buckets")
     spans, left = _refine(rows, length)
     for width in WIDTHS:
