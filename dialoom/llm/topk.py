@@ -8,7 +8,8 @@ can't reach the k-th best score known are dropped, finer segments follow, and th
 get their exact integer scores.
 
 Queries and candidates are packed into blocks of bounded rows and bytes; each pair of blocks is one
-unit of work, and only the k best of each query leave it.
+unit of work, and only the k best of each query leave it.  All queries first meet one block,
+so that each carries a score that k candidates reach to all its pairs of blocks.
 """
 
 from __future__ import annotations
@@ -66,8 +67,15 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 0))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, levels=LEVELS):
-    """(query row, candidate row, score) of the k best candidates of each query, ties to the least id."""
+def products(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs a[row], b[col]; by one matrix product where the pairs are many."""
+    if 32 * len(row) > len(a) * len(b):
+        return (a @ b.T)[row, col]
+    return np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", a[row[i : i + 200_000]], b[col[i : i + 200_000]]) for i in range(0, len(row), 200_000))])
+
+
+def best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, levels=LEVELS):
+    """(query's place, candidate's id, score) of each query's k best candidates of at least its floor, ties to the least id."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**52
@@ -83,35 +91,63 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         known = np.einsum("qd,qnd->qn", mine, c[guess])
         known[np.take_along_axis(own, guess, 1)] = -np.inf
         floor = np.sort(known, axis=1)[:, -k] if top >= k else np.full(len(mine), -np.inf)
-        slack = 1e-9 * (np.abs(bound[np.isfinite(bound)]).max(initial=0) + 1) + 1e-6
+        floor = np.maximum(floor, floors[lo : lo + 256])
+        slack = 1e-9 * (np.abs(bound[np.isfinite(bound)]).max(initial=0) + np.abs(floor[np.isfinite(floor)]).max(initial=0) + 1) + 1e-6
         row, col = np.nonzero((bound >= floor[:, None] - slack) & ~own)
         for qs, cs in stats[1:]:
-            keep = np.concatenate([np.zeros(0, bool), *(np.einsum("ns,ns->n", qs[lo + row[i : i + 200_000]], cs[col[i : i + 200_000]]) >= floor[row[i : i + 200_000]] - slack for i in range(0, len(row), 200_000))])
+            keep = products(qs[lo : lo + 256], cs, row, col) >= floor[row] - slack
             row, col = row[keep], col[keep]
         if exact:
-            score = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", mine[row[i : i + 200_000]], c[col[i : i + 200_000]]) for i in range(0, len(row), 200_000))]).astype(np.int64)
+            score = products(mine, c, row, col).astype(np.int64)
+            near = score >= floor[row]  # the k best are among these
+            row, col, score = row[near], col[near], score[near]
         else:  # beyond the integers of a double
             score = np.array([sum(int(a) * int(b) for a, b in zip(mine[r], c[j], strict=True)) for r, j in zip(row, col, strict=True)], object)
         rank = np.lexsort((col, -score, row)) if exact else np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], col[i])), int)
         row, col, score = row[rank], col[rank], score[rank]
         first = np.searchsorted(row, np.arange(len(mine)))
         keep = np.arange(len(row)) - first[row] < k if len(row) else np.zeros(0, bool)
-        for o, v in zip(out, (q_ids[lo + row[keep]], c_ids[col[keep]], score[keep]), strict=True):
+        for o, v in zip(out, (lo + row[keep], c_ids[col[keep]], score[keep]), strict=True):
             o.append(v)
     return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
 
 
+def _vectors(r: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of a block."""
+    return np.frombuffer(r[f"{name}_ids"], "<i8"), np.frombuffer(r[f"{name}_rows"], "<f8").reshape(-1, r["dim"])
+
+
+def _floors(k: int) -> Callable:
+    """Query blocks, each query with the k-th best score that it has in one block."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                (q_ids, q), (c_ids, c) = _vectors(r, "q"), _vectors(r, "c")
+                floors = np.full(len(q), -np.inf)
+                if len(c) >= k:
+                    at, _, score = best(q_ids, q, floors, c_ids, c, k)
+                    full = np.bincount(at.astype(np.int64), minlength=len(q)) == k
+                    last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.zeros(0, np.int64)
+                    last = last[full[at[last].astype(np.int64)]]
+                    floors[at[last].astype(np.int64)] = score[last].astype(np.float64)
+                out.append(floors.astype("<f8").tobytes())
+            names = ["dim", "q_ids", "q_rows"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "q_floors"])
+
+    return run
+
+
 def _compare(k: int) -> Callable:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                d = r["dim"]
-                q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
-                q, c = (np.frombuffer(r[n], "<f8").reshape(-1, d) for n in ("q_rows", "c_rows"))
+                (q_ids, q), (c_ids, c) = _vectors(r, "q"), _vectors(r, "c")
                 if len(q) and len(c):
-                    cols = best(q_ids, q, c_ids, c, k)
-                    top = np.clip(cols[2], -(2**63), 2**63 - 1) if cols[2].dtype == object else cols[2]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(top.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+                    at, ids, score = best(q_ids, q, np.frombuffer(r["q_floors"], "<f8"), c_ids, c, k)
+                    top = np.clip(score, -(2**63), 2**63 - 1) if score.dtype == object else score
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(top.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -134,14 +170,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_queries = asked.count()
     q = asked.repartition(max(1, -(-n_queries // QUERY_BLOCK)))  # by no key: an id may stand in many rows
-    q = map_batches(q, _blocks(QUERY_BLOCK, "q"), kind.format("q"))
+    q = save(map_batches(q, _blocks(QUERY_BLOCK, "q"), kind.format("q")), "blocks")
+    # queries are candidates too, so one of their blocks gives each query a score that k candidates reach
+    one = q.groupBy("dim").agg(F.min(F.struct(F.col("q_ids").alias("c_ids"), F.col("q_rows").alias("c_rows"))).alias("c")).select("dim", "c.*")
+    q = map_batches(q.join(one.hint("merge"), "dim"), _floors(k), kind.format("q") + ", q_floors binary")
     q = save(q.withColumn("q_block", F.monotonically_increasing_id()), "queries")
     ids = q.select("dim", "q_block")
     c = map_batches(v, _blocks(CANDIDATE_BLOCK, "c"), kind.format("c")).withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
     # each block of candidates meets each block of queries: an equi-join on (block, lane)
     grid = c.join(ids.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks")).hint("merge"), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
     lanes = q.drop("dim").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = grid.join(lanes.hint("merge"), ["q_block", "lane"]).select("dim", "q_ids", "q_rows", "c_ids", "c_rows")
+    pairs = grid.join(lanes.hint("merge"), ["q_block", "lane"]).select("dim", "q_ids", "q_rows", "q_floors", "c_ids", "c_rows")
     found = map_batches(pairs, _compare(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -449,6 +449,22 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, chunk):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == groups(rows, p)
 
 
+@pytest.mark.parametrize("spread", [1, 300])
+def test_best_keeps_all_that_reach_the_floor(spread):
+    rng = np.random.default_rng(spread)
+    c = rng.integers(-9, 9, (700, 12)).astype(float)
+    c[::spread] *= 40  # few rows far ahead: sparse survivors; all alike: one matrix product
+    ids = rng.permutation(len(c))
+    q_ids, q = ids[:300], c[:300]
+    score = (q @ c.T).astype(int)
+    want = [sorted((-int(score[i, j]), int(ids[j])) for j in range(len(c)) if ids[j] != q_ids[i])[:5] for i in range(len(q))]
+    for floors in (np.full(len(q), -np.inf), np.array([-w[-1][0] for w in want], float)):
+        got: list[list] = [[] for _ in want]
+        for at, cand, value in zip(*topk.best(q_ids, q, floors, ids, c, 5), strict=True):
+            got[at].append((-int(value), int(cand)))
+        assert [sorted(g) for g in got] == want
+
+
 def test_topk(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((230, 7)).astype(np.float32)
