@@ -1,17 +1,18 @@
 """Toxicity: a bidirectional gated recurrent network with attention, in numpy.
 
-Texts are read as words (runs of letters, digits and bytes over 127, A-Z in lower case) in
-windows of ``WINDOW`` words that overlap by half.  A word's input is its own hashed vector
-plus the mean of the vectors of its character trigrams.  Two gated recurrent passes read a
-window, attention pools their states, and the largest score of a text's windows is the
-text's.  Labels are of whole texts, so each round of training takes, of a text, the window
-that scores highest at that point, and for the others a second one at random.  How far a word
-tells toxic texts from others chooses the windows of the first rounds and is where its vector
-starts, so that few toxic texts suffice to find the way.
+Texts are read as words (runs of letters, digits and bytes over 127, A-Z in lower case).  A
+word's input is its own hashed vector plus the mean of the vectors of its character trigrams.
+All overlapping windows of ``WINDOW`` words are scored, one from each word on: two gated
+recurrent passes read a block of words once, attention pools the states of each window in it,
+and the largest score of a text's windows is the text's.  A text of fewer words is one window.
+Labels are of whole texts, so each round of training takes, of a text, the window that scores
+highest at that point, and for the others a second one at random.  How far a word tells toxic
+texts from others chooses the windows of the first rounds and is where its vector starts, so
+that few toxic texts suffice to find the way.
 
 The sample for training is bounded: ``PER_LABEL`` texts of at most ``MOST_BYTES`` bytes for
 each label.  The inputs of the recurrent steps are computed once for each distinct word of a
-slice, so the recurrent part is all that the overlapping windows repeat.
+slice.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from .hashed import calibrate, sigmoid
 from .samples import labelled_texts
 from .store import map_batches
 
-WINDOW, STRIDE = 32, 16
+WINDOW = 32  # a power of two
+#: Windows that start in one block; a block holds all their words.
+STARTS = 32
+BLOCK = STARTS + WINDOW - 1
 DIM, HIDDEN, ATT = 12, 8, 8
 CHAR_BITS = 11
 PER_LABEL = 700
@@ -45,7 +49,7 @@ SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 
 class Slice:
-    """The words of some texts: distinct ones, and windows of indices to them."""
+    """The words of some texts: distinct ones, and blocks of indices to them."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         n = len(at) - 1
@@ -64,11 +68,12 @@ class Slice:
         self.tri_cut, self.tri_size = cut, size
         count = np.bincount(row, minlength=n)
         first_word = np.cumsum(count) - count
-        per = np.where(count > 0, np.maximum(1, -(-(count - (WINDOW - STRIDE)) // STRIDE)), 0)
+        starts = np.where(count > 0, np.maximum(1, count - WINDOW + 1), 0)
+        per = -(-starts // STARTS)
         self.owner = np.repeat(np.arange(n), per)
-        k = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-        begin = first_word[self.owner] + k * STRIDE
-        pos = begin[:, None] + np.arange(WINDOW)
+        behind = (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)) * STARTS
+        self.starts = np.minimum(starts[self.owner] - behind, STARTS)  # windows of each block
+        pos = (first_word[self.owner] + behind)[:, None] + np.arange(BLOCK)
         inside = pos < (first_word + count)[self.owner][:, None]
         blank = len(self.words)  # an index behind the last word
         self.index = np.where(inside, np.append(word.astype(np.int32), 0)[np.minimum(pos, len(word))], blank).astype(np.int32)
@@ -108,15 +113,16 @@ def _sig(x):
     return 1 / (1 + np.exp(-x))
 
 
-def forward(p: dict, x: np.ndarray, index: np.ndarray, keep: bool):
-    """Logits of windows, with what ``backward`` needs if ``keep``."""
+def recurrent(p: dict, x: np.ndarray, index: np.ndarray, keep: bool) -> tuple[np.ndarray, dict]:
+    """States of the words of blocks, with what ``backward`` needs if ``keep``."""
     n, h, blank = len(index), HIDDEN, len(x) - 1
     mask = index != blank
-    states, saved = np.zeros((WINDOW, n, 2 * h), np.float32), {}
+    size = index.shape[1]
+    states, saved = np.zeros((size, n, 2 * h), np.float32), {}
     for d in "fb":
         pre_all, u = x @ p[f"w{d}"] + p[f"c{d}"], p[f"u{d}"]
         state = np.zeros((n, h), np.float32)
-        for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+        for t in range(size) if d == "f" else range(size - 1, -1, -1):
             pre, hu = pre_all[index[:, t]], state @ u
             g = _sig(pre[:, : 2 * h] + hu[:, : 2 * h])
             z, r = g[:, :h], g[:, h:]
@@ -127,18 +133,26 @@ def forward(p: dict, x: np.ndarray, index: np.ndarray, keep: bool):
                 saved[d, t] = (state, z, r, new, hu[:, 2 * h :], m)
             state = nxt
             (states[t, :, :h] if d == "f" else states[t, :, h:])[...] = state
+    return states, saved
+
+
+def forward(p: dict, x: np.ndarray, index: np.ndarray, begin: np.ndarray, keep: bool):
+    """Logits of one window of each block, with what ``backward`` needs if ``keep``."""
+    states, saved = recurrent(p, x, index, keep)
+    t = np.arange(index.shape[1])
+    mask = (index != len(x) - 1) & (t >= begin[:, None]) & (t < begin[:, None] + WINDOW)
     a = np.tanh(states @ p["att"])
     e = np.where(mask.T, a @ p["v"], -1e9)
     w = np.exp(e - e.max(0))
     w /= w.sum(0)
     pooled = (w[:, :, None] * states).sum(0)
     logit = pooled @ p["out"] + p["bias"][0]
-    return logit, (states, a, w, pooled, saved, mask)
+    return logit, (states, a, w, pooled, saved)
 
 
 def backward(p: dict, x: np.ndarray, index: np.ndarray, kept, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the parameters behind the word vectors, and of the word vectors."""
-    states, a, w, pooled, saved, _ = kept
+    states, a, w, pooled, saved = kept
     h = HIDDEN
     g = {"out": pooled.T @ d_logit, "bias": np.array([d_logit.sum()])}
     d_pool = d_logit[:, None] * p["out"]
@@ -152,7 +166,7 @@ def backward(p: dict, x: np.ndarray, index: np.ndarray, kept, d_logit: np.ndarra
     for d in "fb":
         u, carry = p[f"u{d}"], np.zeros((len(index), h), np.float32)
         du, d_pre_all = np.zeros_like(u), np.zeros((len(x), 3 * h), np.float32)
-        for t in range(WINDOW - 1, -1, -1) if d == "f" else range(WINDOW):
+        for t in range(index.shape[1] - 1, -1, -1) if d == "f" else range(index.shape[1]):
             state, z, r, new, hn, m = saved[d, t]
             dh = carry + (d_states[t, :, :h] if d == "f" else d_states[t, :, h:])
             live = np.where(m, dh, 0)
@@ -169,16 +183,33 @@ def backward(p: dict, x: np.ndarray, index: np.ndarray, kept, d_logit: np.ndarra
     return g, d_x
 
 
+def of_windows(rows: np.ndarray, combine: Callable) -> np.ndarray:
+    """``WINDOW`` rows combined from each row on that has so many."""
+    size = 1
+    while size < WINDOW:
+        rows = combine(rows[:-size], rows[size:])
+        size *= 2
+    return rows
+
+
 def window_scores(p: dict, s: Slice) -> np.ndarray:
+    """Logits of all windows: a row for each block, with the least value behind its last window."""
     x = word_inputs(p, s)
-    parts = [forward(p, x, s.index[i : i + BATCH], False)[0] for i in range(0, len(s.index), BATCH)]
-    return np.concatenate([np.zeros(0, np.float32), *parts])
+    out = np.full((len(s.index), STARTS), -np.inf, np.float32)
+    for i in range(0, len(out), BATCH):
+        index = s.index[i : i + BATCH]
+        states, _ = recurrent(p, x, index, False)
+        e = np.where(index.T != len(x) - 1, np.exp(np.tanh(states @ p["att"]) @ p["v"]), 0)
+        weight, drawn = of_windows(e, np.add), of_windows(e * (states @ p["out"]), np.add)
+        valid = np.arange(STARTS) < s.starts[i : i + BATCH, None]
+        out[i : i + BATCH][valid] = drawn.T[valid] / weight.T[valid] + p["bias"][0]
+    return out
 
 
 def text_scores(p: dict, s: Slice, windows: np.ndarray) -> np.ndarray:
     """The largest logit of each text's windows; that of a text without words is the least."""
     out = np.full(s.n, -20.0)
-    np.maximum.at(out, s.owner, windows)
+    np.maximum.at(out, s.owner, windows.max(1))
     return out
 
 
@@ -186,7 +217,7 @@ def _telling(s: Slice, y: np.ndarray, held: np.ndarray) -> np.ndarray:
     """How far each distinct word tells toxic texts from others, in deviations of its count of texts; least for the blank."""
     n = len(s.words) + 1
     seen = np.zeros((2, n))
-    pairs = np.unique(np.repeat(s.owner, WINDOW).astype(np.int64) * n + s.index.ravel())
+    pairs = np.unique(np.repeat(s.owner, BLOCK).astype(np.int64) * n + s.index.ravel())
     pairs = pairs[~held[pairs // n]]
     np.add.at(seen, (y[pairs // n], pairs % n), 1)
     totals, texts = np.bincount(y[~held], minlength=2), seen.sum(0)
@@ -203,9 +234,11 @@ def fit(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) ->
     held = np.arange(s.n) % 5 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(s.n, bool)
-    use = np.flatnonzero(~held[s.owner])
+    learn = ~held[s.owner]
+    use = np.flatnonzero((np.arange(STARTS) < s.starts[:, None]) & learn[:, None])  # windows, by block and start
+    owner = s.owner[use // STARTS]
     blank = len(s.words)
-    pairs = np.unique(np.repeat(s.owner[use], WINDOW).astype(np.int64) * (blank + 1) + s.index[use].ravel())
+    pairs = np.unique(np.repeat(s.owner[learn], BLOCK).astype(np.int64) * (blank + 1) + s.index[learn].ravel())
     texts = np.bincount(pairs % (blank + 1), minlength=blank + 1)[:blank]
     common = np.argsort(-texts, kind="stable")[:MOST_WORDS]
     common = np.sort(common[texts[common] >= MIN_TEXTS])  # distinct words are sorted by hash
@@ -218,20 +251,20 @@ def fit(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) ->
     share = 0.5 / np.maximum(1, np.bincount(y, minlength=2))
     rate, step = 0.01, 0
     for epoch in range(epochs):
-        score = told[s.index].max(1) if epoch < TOLD_EPOCHS else window_scores(p, s)
-        order = use[np.lexsort((-score[use], s.owner[use]))]
-        top = order[np.unique(s.owner[order], return_index=True)[1]]
-        other = rng.permutation(use)
-        other = other[y[s.owner[other]] == 0][: 2 * len(top)]
-        chosen = rng.permutation(np.unique(np.concatenate([top, other])))
+        score = (of_windows(told[s.index].T, np.maximum).T if epoch < TOLD_EPOCHS else window_scores(p, s)).ravel()[use]
+        order = np.lexsort((rng.random(len(use)), -score, owner))  # ties by chance, so that no place in a window is favoured
+        top = order[np.unique(owner[order], return_index=True)[1]]
+        other = rng.permutation(len(use))
+        other = other[y[owner[other]] == 0][: 2 * len(top)]
+        chosen = use[rng.permutation(np.unique(np.concatenate([top, other])))]
         for i in range(0, len(chosen), 128):
-            rows = chosen[i : i + 128]
+            rows, begin = np.divmod(chosen[i : i + 128], STARTS)
             used, local = np.unique(s.index[rows], return_inverse=True)
             if used[-1] != blank:
                 used = np.append(used, blank)
             x = word_inputs(p, s)[used]
-            local = local.reshape(len(rows), WINDOW)
-            logit, kept = forward(p, x, local, True)
+            local = local.reshape(len(rows), BLOCK)
+            logit, kept = forward(p, x, local, begin, True)
             t = y[s.owner[rows]]
             weight = share[t] / share[t].mean()
             d = ((sigmoid(logit) - t) * weight / len(rows)).astype(np.float32)

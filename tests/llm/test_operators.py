@@ -395,12 +395,12 @@ def test_gradients_of_the_network():
     p = {k: v.astype(np.float64) if v.dtype == np.float32 else v for k, v in toxicity.initial(s.words[:10]).items()}
     x = rng.standard_normal((len(s.words) + 1, toxicity.DIM))
     x[-1] = 0
-    d = rng.standard_normal(len(s.index))
+    d, begin = rng.standard_normal(len(s.index)), s.starts // 2
 
     def loss():
-        return float(toxicity.forward(p, x, s.index, False)[0] @ d)
+        return float(toxicity.forward(p, x, s.index, begin, False)[0] @ d)
 
-    logit, kept = toxicity.forward(p, x, s.index, True)
+    logit, kept = toxicity.forward(p, x, s.index, begin, True)
     g, d_x = toxicity.backward(p, x, s.index, kept, d)
     for name, grad in [*g.items(), ("x", d_x[:-1])]:
         value = x[:-1] if name == "x" else p[name]
@@ -414,6 +414,23 @@ def test_gradients_of_the_network():
             assert abs((up - down) / 2e-3 - grad[at]) < 2e-2 * max(1, abs(grad[at])), name
 
 
+def test_all_overlapping_windows_are_scored():
+    sizes = [0, 1, 31, 32, 33, 63, 64, 65, 300]
+    raw, at = toxicity.tk.buffers(pa.array([prose(n, n, 50) for n in sizes]))
+    s = toxicity.Slice(raw[at[0] : at[-1]], at - at[0])
+    p = toxicity.initial(s.words[:20])
+    got = toxicity.window_scores(p, s)
+    x, seen = toxicity.word_inputs(p, s), Counter()
+    for block, begin in np.argwhere(np.isfinite(got)):
+        one = toxicity.forward(p, x, s.index[[block]], np.array([begin]), False)[0][0]
+        assert abs(one - got[block, begin]) < 1e-4
+        seen[sizes[s.owner[block]]] += 1
+    assert seen == {n: max(1, n - 31) for n in sizes if n}
+    # the words of a text's windows, in order, are its own
+    flat = [s.index[b, k] for b in np.flatnonzero(s.owner == 8) for k in range(s.starts[b])]
+    assert [s.words[i] for i in flat] == list(toxicity.tk.span_hash(toxicity.tk.prefix_hash(raw), *toxicity.tk.words(raw, at)[:2])[-300:-31])
+
+
 def test_scores_of_awkward_rows(spark, awkward):
     labels = awkward.where("doc_id is not null").selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "cast(doc_id % 2 as int) as quality", "'x' as text")
     wide = awkward.select("*", F.lit(1).alias("label"), F.lit(2.0).alias("score"), F.lit("x").alias("letter"))
