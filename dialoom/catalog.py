@@ -454,7 +454,7 @@ SELECT keyword, book_id, 'Found ' || coalesce(total, 0) || ' matches' || CASE WH
 SELECT keyword, book_id, CASE WHEN body IS NULL THEN 'No dialogues found for ''' || keyword || '''' ELSE 'Found ' || shown || ' dialogues:' || chr(10) || body END AS output FROM (SELECT DISTINCT book_id, keyword FROM lines, (VALUES ('user'), ('assistant')) n(keyword)) LEFT JOIN r USING (keyword, book_id)""")
     _op("gender_cues", lambda s, d: context.gender_cues(D.lines(s, d), ["user", "assistant"], "he", "la"), """, a AS (SELECT DISTINCT keyword, book_id, line_no + x AS line_no FROM lines JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(line, keyword), (VALUES (-1), (0), (1)) o(x))
 SELECT keyword, book_id, sum(len(regexp_extract_all(line, 'he')))::BIGINT AS he, sum(len(regexp_extract_all(line, 'la')))::BIGINT AS she FROM a JOIN lines USING (book_id, line_no) GROUP BY ALL""")
-    _op("emotion_cues", lambda s, d: context.emotion_cues(D.dialogues(s, d)), f"SELECT book_id, ord, len(regexp_extract_all(text, '[!！]')) AS exclaims, len(regexp_extract_all(text, '[?？]')) AS asks, len(regexp_extract_all(text, '…')) AS pauses, len(regexp_extract_all(text, '[.,]')) AS stops, coalesce(lag(speaker = '{T.NARRATOR}') OVER w, false) AS told_before, coalesce(lead(speaker = '{T.NARRATOR}') OVER w, false) AS told_after FROM dialogues WINDOW w AS (PARTITION BY book_id ORDER BY ord)")
+    _op("emotion_cues", lambda s, d: context.emotion_cues(D.dialogues(s, d), "he|la"), f"SELECT book_id, ord, len(regexp_extract_all(text, '[!！]')) AS exclaims, len(regexp_extract_all(text, '[?？]')) AS asks, len(regexp_extract_all(text, '…')) AS pauses, len(regexp_extract_all(text, '[.,]')) AS stops, coalesce(lag(speaker = '{T.NARRATOR}') OVER w, false) AS told_before, coalesce(lead(speaker = '{T.NARRATOR}') OVER w, false) AS told_after, coalesce(lag(c) OVER w, 0)::BIGINT AS cues_before, coalesce(lead(c) OVER w, 0)::BIGINT AS cues_after FROM (SELECT *, CASE WHEN speaker = '{T.NARRATOR}' THEN len(regexp_extract_all(text, 'he|la')) END AS c FROM dialogues) WINDOW w AS (PARTITION BY book_id ORDER BY ord)")
     # composites
     _op("parse_book", lambda s, d: jobs.parse_book(D.lines(s, d), D.labels(s, d)), "SELECT * FROM speakers")
     _op("dialogue_table", lambda s, d: D.dialogues(s, d), all_d)

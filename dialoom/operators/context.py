@@ -121,15 +121,17 @@ def gender_cues(lines: DataFrame, names: list[str], he: str, she: str, near: int
     return rows.groupBy("keyword", "book_id").agg(count(he).alias("he"), count(she).alias("she"))
 
 
-def emotion_cues(dialogues: DataFrame) -> DataFrame:
-    """Signs in a dialogue, and whether the rows before and behind it are the narrator's."""
+def emotion_cues(dialogues: DataFrame, cue: str) -> DataFrame:
+    """Signs in a dialogue, whether the rows before and behind it are the narrator's, and matches of ``cue`` in those."""
     w = Window.partitionBy("book_id").orderBy("ord")
 
     def count(p: str) -> Column:
         return F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
 
     told = F.col("speaker") == T.NARRATOR
+    cues = F.when(told, count(cue))
     return dialogues.select(
         "book_id", "ord", count("[!！]").alias("exclaims"), count("[?？]").alias("asks"), count("…").alias("pauses"), count("[.,]").alias("stops"),
         F.coalesce(F.lag(told).over(w), F.lit(False)).alias("told_before"), F.coalesce(F.lead(told).over(w), F.lit(False)).alias("told_after"),
+        F.coalesce(F.lag(cues).over(w), F.lit(0)).alias("cues_before"), F.coalesce(F.lead(cues).over(w), F.lit(0)).alias("cues_after"),
     )
