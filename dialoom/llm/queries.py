@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, pagetext, quality, suffixdedup, tokenfile, topk, toxicity
+from . import langid, minhash, mixing, packing, pagetext, prefixtrie, quality, suffixdedup, tokenfile, topk, toxicity, whitening
 from .samples import fold
 
 
@@ -70,10 +70,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_minhash_neardup, op2_pivotal_mixing, op3_gru_toxicity, op4_hierarchical_langid, op5_nnls_packing,
         op6_ngram_quality, op7_segment_topk, op8_page_text, op9_simple8b_tokens, op10_suffix_dedup,
+        op11_prefix_trie, op13_chebyshev_whitening,
     ]
     return {f.__name__: f for f in found}
 
@@ -114,7 +123,36 @@ WITH v AS (
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+#: Prefixes as lists; the checksum of an id bit by bit.
+OP11_SQL = r"""
+WITH c AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), k AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+      lambda crc, b: list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM c
+), r AS (
+  SELECT k.conv_id, list_concat(coalesce(b.turns[1:h], []), k.turns[h + 1:]) AS turns
+  FROM k LEFT JOIN c b ON b.conv_id = k.conv_id - k.conv_id % 5
+), m AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r
+), n AS (
+  SELECT depth, turns[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM m GROUP BY ALL
+), t AS (
+  SELECT *, CASE WHEN depth > 0 THEN prefix[1:depth - 1] END AS parent, (n_convs - 1) * coalesce(strlen(prefix[depth].text), 0) AS saved FROM n
+), kids AS (SELECT parent AS prefix, count(*) AS n_children FROM t WHERE depth > 0 GROUP BY parent
+), u AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM t LEFT JOIN kids USING (prefix)
+), s AS (
+  SELECT prefix[1:d] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM u) GROUP BY 1
+)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, u.ends_sha256
+FROM u JOIN s USING (prefix) LEFT JOIN n p ON p.prefix = u.parent
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force."""
-    return {"op1_minhash_neardup": OP1_SQL, "op7_segment_topk": OP7_SQL}
+    return {"op1_minhash_neardup": OP1_SQL, "op7_segment_topk": OP7_SQL, "op11_prefix_trie": OP11_SQL}
