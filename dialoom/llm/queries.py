@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, pagetext, prefixtrie, quality, suffixdedup, tokenfile, topk, toxicity, whitening
+from . import langid, minhash, mixing, packing, pagetext, prefixtrie, quality, sentencepieces, suffixdedup, tokenfile, topk, toxicity, whitening
 from .samples import fold
 
 
@@ -74,6 +74,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_backtracking_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trips(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_embeddings(_table(spark, sf_dir, "embeddings"))
 
@@ -82,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_minhash_neardup, op2_pivotal_mixing, op3_gru_toxicity, op4_hierarchical_langid, op5_nnls_packing,
         op6_ngram_quality, op7_segment_topk, op8_page_text, op9_simple8b_tokens, op10_suffix_dedup,
-        op11_prefix_trie, op13_chebyshev_whitening,
+        op11_prefix_trie, op12_backtracking_pieces, op13_chebyshev_whitening,
     ]
     return {f.__name__: f for f in found}
 

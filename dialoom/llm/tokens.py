@@ -178,6 +178,10 @@ class PieceEncoder:
         first = np.flatnonzero(begin)
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        return self._cached(data, first, at)
+
+    def _cached(self, data: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose pieces begin at ``first``, new pieces being learned, and their offsets."""
         offsets = np.append(first, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
