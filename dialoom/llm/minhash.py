@@ -456,6 +456,7 @@ def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     if not again.limit(1).count():
         return out
     order = Window.partitionBy("doc_id").orderBy("text")
-    packed = out.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null")
-    return first.select("row.*")
+    # rows without an id take no part in the ranking, so they aren't gathered
+    packed = out.where("doc_id is not null").select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return first.select("row.*").union(out.where("doc_id is null"))

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed bucket-pointer refinement.
+"""Removal of repeated byte strings by distributed refinement of q-gram buckets, named by content.
 
 A suffix array over all bytes of a corpus would shuffle each position several times.
 Here the buckets are refined only where a repeat is still possible:
@@ -225,6 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     rows = save(everywhere.join(often.hint("merge"), "gram").select([c.split()[0] for c in RUNS.split(", ")]), "buckets")
     spans, left = _refine(rows, length)
     for width in WIDTHS:
+        left = left if n == ids else left.distinct()
         opened = save(left.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "shape", "gram")).alias("spans")), "open")
         n_texts = opened.count()
         if not n_texts:
@@ -233,6 +234,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         rows = save(map_batches(texts, _shorter(width, length), RUNS), "shorter")
         settled, left = _refine(rows, length)
         spans = spans.union(settled)
+    if n != ids:
+        spans = spans.distinct()  # equal rows have the same spans, and each gets them once
     spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return keyed, save(spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "spans"), "spans")
 

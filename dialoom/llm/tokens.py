@@ -37,7 +37,7 @@ LEAD = np.zeros(256, bool)
 LEAD[0xC3:0xCA] = True
 #: New pieces that are encoded in one call; longer texts are slower.
 GROUP = 64
-MOST_PIECES = 200_000
+MOST_PIECES = 500_000
 #: Bytes of the texts that are encoded together.
 TOGETHER = 1 << 21
 

@@ -29,6 +29,8 @@ CANDIDATE_BLOCK = 16_384
 BLOCK_BYTES = 16 << 20
 LEVELS = (4, 16)
 SCALE = 256.0
+LARGEST = np.finfo(np.float64).max
+MOST = 2**63 - 1
 
 
 def _blocks(size: int, name: str) -> Callable:
@@ -44,7 +46,8 @@ def _blocks(size: int, name: str) -> Callable:
             vec = batch.column("vec")
             flat, at = vec.flatten().to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
             at = at - at[0]
-            ints = np.floor(np.asarray(flat, np.float64) * SCALE)
+            with np.errstate(over="ignore"):
+                ints = np.clip(np.floor(np.asarray(flat, np.float64) * SCALE), -LARGEST, LARGEST)
             for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
                 row = ints[at[i] : at[i + 1]]
                 held.setdefault(len(row), []).append((vec_id, row.astype("<f8").tobytes()))
@@ -78,17 +81,21 @@ def best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray
     """(query's place, candidate's id, score) of each query's k best candidates of at least its floor, ties to the least id."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**52
+    with np.errstate(over="ignore"):
+        largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    exact = largest < 2**52
+    if largest > 1e300:  # doubles can't hold the bounds: all pairs get their exact score
+        levels, floors = (), np.full(len(q), -np.inf)
     stats = [(statistics(q, s), statistics(c, s)) for s in levels]
     out = [[], [], []]
     for lo in range(0, len(q), 256):
         mine = q[lo : lo + 256]
         own = q_ids[lo : lo + 256, None] == c_ids[None, :]
-        bound = stats[0][0][lo : lo + 256] @ stats[0][1].T
+        bound = stats[0][0][lo : lo + 256] @ stats[0][1].T if stats else np.zeros((len(mine), len(c)))
         bound[own] = -np.inf
         top = min(len(c), 4 * k)
         guess = np.argpartition(-bound, top - 1, axis=1)[:, :top]
-        known = np.einsum("qd,qnd->qn", mine, c[guess])
+        known = np.einsum("qd,qnd->qn", mine, c[guess]) if stats else np.full(guess.shape, -np.inf)
         known[np.take_along_axis(own, guess, 1)] = -np.inf
         floor = np.sort(known, axis=1)[:, -k] if top >= k else np.full(len(mine), -np.inf)
         floor = np.maximum(floor, floors[lo : lo + 256])
@@ -114,7 +121,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray
 
 def _vectors(r: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and rows of a block."""
-    return np.frombuffer(r[f"{name}_ids"], "<i8"), np.frombuffer(r[f"{name}_rows"], "<f8").reshape(-1, r["dim"])
+    return np.frombuffer(r[f"{name}_ids"], "<i8"), np.frombuffer(r[f"{name}_rows"], "<f8").reshape(len(r[f"{name}_ids"]) // 8, r["dim"])
 
 
 def _floors(k: int) -> Callable:
@@ -131,7 +138,7 @@ def _floors(k: int) -> Callable:
                     full = np.bincount(at.astype(np.int64), minlength=len(q)) == k
                     last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.zeros(0, np.int64)
                     last = last[full[at[last].astype(np.int64)]]
-                    floors[at[last].astype(np.int64)] = score[last].astype(np.float64)
+                    floors[at[last].astype(np.int64)] = [_as_double(s) for s in score[last].tolist()]
                 out.append(floors.astype("<f8").tobytes())
             names = ["dim", "q_ids", "q_rows"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "q_floors"])
@@ -139,6 +146,10 @@ def _floors(k: int) -> Callable:
     return run
 
 
+def _as_double(score: int) -> float:
+    return float(max(-(10**308), min(10**308, score)))
+
+
 def _compare(k: int) -> Callable:
     def run(batches):
         for batch in batches:
@@ -146,8 +157,11 @@ def _compare(k: int) -> Callable:
                 (q_ids, q), (c_ids, c) = _vectors(r, "q"), _vectors(r, "c")
                 if len(q) and len(c):
                     at, ids, score = best(q_ids, q, np.frombuffer(r["q_floors"], "<f8"), c_ids, c, k)
-                    top = np.clip(score, -(2**63), 2**63 - 1) if score.dtype == object else score
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(top.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+                    found = score.tolist()
+                    long = [s if -MOST - 1 <= s <= MOST else None for s in found]
+                    # beyond a long the rank goes by a double
+                    size = np.array([_as_double(s) for s in found], np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(long, pa.int64()), pa.array(size)], names=["query_id", "vec_id", "score", "size"])
 
     return run
 
@@ -159,7 +173,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     ``every``, candidates all rows of the query's length with another id.  Null vectors, null
     ids and vectors with a null or non-finite component take no part.  Ties go to the smaller
     id.  A repeated row counts as often as it stands, as a candidate and as a query; the
-    copies take a place each, so the k best rows of each pair of blocks are enough.
+    copies take a place each, so the k best rows of each pair of blocks are enough.  Empty
+    vectors meet each other with score 0.  A score beyond a long is null; those are ranked as
+    doubles, and components whose 256-fold is beyond a double count as the largest one.
     """
     spark = vectors.sparkSession
     raw = F.col("embedding").cast("array<double>")
@@ -181,6 +197,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     grid = c.join(ids.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks")).hint("merge"), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
     lanes = q.drop("dim").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     pairs = grid.join(lanes.hint("merge"), ["q_block", "lane"]).select("dim", "q_ids", "q_rows", "q_floors", "c_ids", "c_rows")
-    found = map_batches(pairs, _compare(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_batches(pairs, _compare(k), "query_id long, vec_id long, score long, size double")
+    # as doubles first, which never contradicts the order of longs, then exactly
+    order = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
