@@ -347,6 +347,29 @@ def _timeline(s: SparkSession, d: str) -> DataFrame:
     return timeline.splice_timeline(D.segments(s, d))
 
 
+#: More than the lines of a book, the frames of a clip and the labels of a table.
+GAP = 1_000_000
+
+
+def _one_book(s: SparkSession, d: str) -> DataFrame:
+    """All books as one, its places with large gaps between them; labels repeat the five of each book."""
+    place = F.col("book_id") * GAP
+    rows = D.lines(s, d).select(F.lit(0).cast("long").alias("book_id"), (place + F.col("line_no")).alias("line_no"), "line")
+    names = F.array(*map(F.lit, ["user", "assistant", T.NARRATOR, T.NON_PERSON, "guest"]))
+    named = s.range(GAP).select(F.lit(0).cast("long").alias("book_id"), F.col("id").alias("ord"), F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("label"))
+    return parsing.dialogue_table(rows, named)
+
+
+def _one_timeline(s: SparkSession, d: str) -> DataFrame:
+    rows = D.segments(s, d).select(F.lit(0).cast("long").alias("book_id"), (F.col("book_id") * GAP + F.col("ord")).alias("ord"), "chapter", "duration_ms")
+    return timeline.splice_timeline(rows).drop("book_id")
+
+
+def _one_clip(s: SparkSession, d: str) -> DataFrame:
+    frames = D.frames(s, d).select(F.lit(0).cast("long").alias("clip_id"), (F.col("clip_id") * GAP + F.col("frame_idx")).alias("frame_idx"), "rms")
+    return audio.clip_plan(audio.merge_regions(audio.voiced_regions(frames, 40.0)), cap=10**15)
+
+
 def _register() -> None:
     all_d = "SELECT book_id, ord, line_no, chapter, text, speaker FROM dialogues"
     # sources and sinks
@@ -396,7 +419,7 @@ UNION ALL SELECT 'audio_files', book_id, ord || '|' || path || '|' || length FRO
     _op("keyword_search", _searched, "SELECT keyword, book_id, line_no, line, total, total > 20 AS truncated FROM found WHERE rn <= 20")
     _op("read_range", _ranges, "SELECT * FROM ranges")
     _op("mention_dialogues", _mentions, "SELECT keyword, book_id, line_no, line, total, total > 50 AS truncated FROM mentions WHERE rn <= 50")
-    _op("missing_quotes", lambda s, d: parsing.missing_quotes(D.lines(s, d), D.parsed(s, d)), f"SELECT book_id, k, line_no, regexp_replace(text, {_STRIP}) AS text FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM parsed p WHERE kind='dialogue' AND p.book_id = q.book_id AND p.text = regexp_replace(q.text, {_STRIP}))")
+    _op("missing_quotes", lambda s, d: parsing.missing_quotes(D.lines(s, d), D.parsed(s, d)), f"SELECT book_id, k, line_no, regexp_replace(q.text, {_STRIP}) AS text, substr(l.line, 1, 100) AS line, pp.kind AS kind FROM quotes q JOIN lines l USING (book_id, line_no) JOIN (SELECT book_id, line_no, kind FROM parsed) pp USING (book_id, line_no) WHERE NOT EXISTS (SELECT 1 FROM parsed p WHERE kind='dialogue' AND p.book_id = q.book_id AND p.text = regexp_replace(q.text, {_STRIP}))")
     _op("reconcile_results", lambda s, d: casting.reconcile_results(D.segments(s, d).select("book_id", "ord").withColumn("engine", F.lit("clone")), D.results(s, d)), "SELECT s.book_id, s.ord, CASE WHEN status='ok' THEN 'clone' ELSE 'fallback' END AS engine, coalesce(status,'missing') AS status, CASE WHEN status='ok' THEN 0 ELSE 1000 END::BIGINT AS placeholder_ms FROM segments s LEFT JOIN results r USING (book_id, ord)")
     _op("all_segments", lambda s, d: timeline.all_segments(D.dialogues(s, d), D.files(s, d)), "SELECT book_id, ord, chapter, speaker, printf('%05d.wav', ord) AS audio_path, (ord%3=0 AND ord%9<>0) AS readable FROM dialogues")
     _op("locate_text", lambda s, d: context.locate_text(D.dialogues(s, d), D.KEYWORDS), """, h AS (SELECT keyword AS needle, book_id, min(ord) AS hit FROM dialogues JOIN words ON contains(text, keyword) GROUP BY ALL)
@@ -455,6 +478,25 @@ SELECT keyword, book_id, CASE WHEN body IS NULL THEN 'No dialogues found for '''
     _op("gender_cues", lambda s, d: context.gender_cues(D.lines(s, d), ["user", "assistant"], "he", "la"), """, a AS (SELECT DISTINCT keyword, book_id, line_no + x AS line_no FROM lines JOIN (VALUES ('user'), ('assistant')) n(keyword) ON contains(line, keyword), (VALUES (-1), (0), (1)) o(x))
 SELECT keyword, book_id, sum(len(regexp_extract_all(line, 'he')))::BIGINT AS he, sum(len(regexp_extract_all(line, 'la')))::BIGINT AS she FROM a JOIN lines USING (book_id, line_no) GROUP BY ALL""")
     _op("emotion_cues", lambda s, d: context.emotion_cues(D.dialogues(s, d), "he|la"), f"SELECT book_id, ord, len(regexp_extract_all(text, '[!！]')) AS exclaims, len(regexp_extract_all(text, '[?？]')) AS asks, len(regexp_extract_all(text, '…')) AS pauses, len(regexp_extract_all(text, '[.,]')) AS stops, coalesce(lag(speaker = '{T.NARRATOR}') OVER w, false) AS told_before, coalesce(lead(speaker = '{T.NARRATOR}') OVER w, false) AS told_after, coalesce(lag(c) OVER w, 0)::BIGINT AS cues_before, coalesce(lead(c) OVER w, 0)::BIGINT AS cues_after FROM (SELECT *, CASE WHEN speaker = '{T.NARRATOR}' THEN len(regexp_extract_all(text, 'he|la')) END AS c FROM dialogues) WINDOW w AS (PARTITION BY book_id ORDER BY ord)")
+    # one huge book made of all books, and one clip made of all clips: numbered with gaps, so that they lie in many ranges
+    _op("dialogue_table_one_book", _one_book, f""", b AS (
+  SELECT *, book_id * {GAP} + line_no AS place, sum((kind = 'dialogue')::INT) OVER (ORDER BY book_id, line_no) - 1 AS kk,
+    coalesce(last_value(CASE WHEN kind='chapter' THEN text END IGNORE NULLS) OVER (ORDER BY book_id, line_no ROWS UNBOUNDED PRECEDING), '') AS head FROM parsed
+), named AS (
+  SELECT b.*, CASE WHEN kind = 'dialogue' AND kk < {GAP} THEN CASE (kk % 5)::INT WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' WHEN 2 THEN '{T.NARRATOR}' WHEN 3 THEN '' ELSE 'guest' END ELSE speaker END AS who
+  FROM b WHERE kind='dialogue' OR (kind='narrative' AND length(text) > 5)
+) SELECT 0::BIGINT AS book_id, row_number() OVER (ORDER BY place) - 1 AS ord, place AS line_no, head AS chapter, text, CASE WHEN kind='narrative' THEN '{T.NARRATOR}' ELSE who END AS speaker FROM named""")
+    _op("splice_timeline_one_book", _one_timeline, f""", s AS (SELECT *, book_id * {GAP} + ord AS place FROM segments), g AS (
+  SELECT *, CASE WHEN lag(chapter) OVER w IS NULL THEN 0 WHEN lag(chapter) OVER w <> chapter THEN 2000 ELSE 300 END::BIGINT AS gap_ms FROM s WINDOW w AS (ORDER BY place)
+), t AS (SELECT *, (sum(gap_ms + duration_ms) OVER (ORDER BY place))::BIGINT AS end_ms FROM g)
+SELECT place AS ord, chapter, duration_ms, gap_ms, end_ms - duration_ms AS start_ms, end_ms FROM t""")
+    _op("reference_regions_one_clip", _one_clip, f""", f AS (SELECT clip_id * {GAP} + frame_idx AS place, rms > 40.0 AS loud FROM frames), m AS (
+  SELECT *, (loud AND NOT coalesce(lag(loud) OVER w, false))::INT AS new, coalesce(lead(place) OVER w, place) AS nxt FROM f WINDOW w AS (ORDER BY place)
+), r AS (SELECT min(place) * 100 AS start_ms, max(nxt) * 100 AS end_ms FROM (SELECT *, sum(new) OVER (ORDER BY place) AS run FROM m) WHERE loud GROUP BY run
+), j AS (SELECT min(start_ms)::BIGINT AS start_ms, max(end_ms)::BIGINT AS end_ms FROM (SELECT *, sum(new) OVER (ORDER BY start_ms) AS run FROM (
+  SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (ORDER BY start_ms) < 300 THEN 0 ELSE 1 END AS new FROM r)) GROUP BY run
+), c AS (SELECT *, (coalesce(sum(end_ms - start_ms + 100) OVER (ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS clip_start FROM j)
+SELECT 0::BIGINT AS clip_id, start_ms, end_ms, clip_start, clip_start + end_ms - start_ms AS clip_end FROM c""")
     # composites
     _op("parse_book", lambda s, d: jobs.parse_book(D.lines(s, d), D.labels(s, d)), "SELECT * FROM speakers")
     _op("dialogue_table", lambda s, d: D.dialogues(s, d), all_d)

@@ -6,21 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import AT, RANGE, scan, with_neighbours
 from .stats import first_n
 
 BUCKET = 64
 
 
-def context_window(dialogues: DataFrame, lines: DataFrame, k: int = 30, center: str = "line_no") -> DataFrame:
+def context_window(dialogues: DataFrame, lines: DataFrame, k: int = 30, center: str = "line_no", few: bool = False, width: int = RANGE) -> DataFrame:
     """(book_id, ord, context): lines L-k .. L+k as ``no: stripped``, joined by line feeds.
 
-    One pass of a sliding window over the lines of a book; a request meets its line by equality.
+    One pass of a sliding window over ranges of the lines of a book, those near a border in both
+    ranges; a request meets its line by equality.  With ``few``, for requests on a small part
+    of the lines, only the lines in buckets near a request get a window.
     """
     at = F.col(center) + (0 if center == "line_no" else 1)
     want = dialogues.select("book_id", "ord", at.cast("long").alias("line_no"))
+    if few:
+        bucket = F.floor(F.col("line_no") / BUCKET)
+        touched = want.select("book_id", F.explode(F.sequence(F.floor((F.col("line_no") - k) / BUCKET), F.floor((F.col("line_no") + k) / BUCKET))).alias("bucket")).distinct()
+        lines = lines.withColumn("bucket", bucket).join(touched.hint("merge"), ["book_id", "bucket"], "left_semi").drop("bucket")
     shown = F.format_string("%d: %s", "line_no", T.strip(F.col("line")))
-    near = Window.partitionBy("book_id").orderBy("line_no").rangeBetween(-k, k)
-    have = lines.select("book_id", "line_no", shown.alias("shown")).withColumn("context", F.array_join(F.collect_list("shown").over(near), "\n"))
+    near = Window.partitionBy("book_id", AT).orderBy("line_no").rangeBetween(-k, k)
+    have = with_neighbours(lines.select("book_id", "line_no", shown.alias("shown")), "line_no", k, max(k, width))
+    have = have.withColumn("context", F.array_join(F.collect_list("shown").over(near), "\n")).where("_own").select("book_id", "line_no", "context")
     return want.join(have.hint("merge"), ["book_id", "line_no"]).select("book_id", "ord", "context")
 
 
@@ -121,17 +129,17 @@ def gender_cues(lines: DataFrame, names: list[str], he: str, she: str, near: int
     return rows.groupBy("keyword", "book_id").agg(count(he).alias("he"), count(she).alias("she"))
 
 
-def emotion_cues(dialogues: DataFrame, cue: str) -> DataFrame:
+def emotion_cues(dialogues: DataFrame, cue: str, width: int = RANGE) -> DataFrame:
     """Signs in a dialogue, whether the rows before and behind it are the narrator's, and matches of ``cue`` in those."""
-    w = Window.partitionBy("book_id").orderBy("ord")
 
     def count(p: str) -> Column:
         return F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
 
     told = F.col("speaker") == T.NARRATOR
-    cues = F.when(told, count(cue))
-    return dialogues.select(
+    cues = F.struct(told.alias("told"), F.when(told, count(cue)).alias("cues"))
+    rows = scan(dialogues, "book_id", ["ord"], before={"_above": cues}, after={"_below": cues}, width=width)
+    return rows.select(
         "book_id", "ord", count("[!！]").alias("exclaims"), count("[?？]").alias("asks"), count("…").alias("pauses"), count("[.,]").alias("stops"),
-        F.coalesce(F.lag(told).over(w), F.lit(False)).alias("told_before"), F.coalesce(F.lead(told).over(w), F.lit(False)).alias("told_after"),
-        F.coalesce(F.lag(cues).over(w), F.lit(0)).alias("cues_before"), F.coalesce(F.lead(cues).over(w), F.lit(0)).alias("cues_after"),
+        F.coalesce("_above.told", F.lit(False)).alias("told_before"), F.coalesce("_below.told", F.lit(False)).alias("told_after"),
+        F.coalesce("_above.cues", F.lit(0)).alias("cues_before"), F.coalesce("_below.cues", F.lit(0)).alias("cues_after"),
     )

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import RANGE, number, scan
 
 DIALOGUES = ["book_id", "ord", "line_no", "chapter", "text", "speaker"]
 
 
 
-def _in_book():
-    """The lines of a book in order."""
-    return Window.partitionBy("book_id").orderBy("line_no")
-
-
 def classify_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(book_id, line_no, kind, text, speaker): the first rule that fits a stripped line."""
     s = F.col("s")
@@ -35,24 +31,38 @@ def classify_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select("book_id", "line_no", kind.alias("kind"), T.strip(text).alias("text"), T.strip(speaker).alias("speaker"))
 
 
-def fill_chapter(parsed: DataFrame) -> DataFrame:
+def _heading() -> Column:
+    return F.when(F.col("kind") == "chapter", F.col("text"))
+
+
+def _is_kept(min_chars: int) -> Column:
+    return (F.col("kind") == "dialogue") | ((F.col("kind") == "narrative") & (F.length("text") > min_chars))
+
+
+def fill_chapter(parsed: DataFrame, width: int = RANGE) -> DataFrame:
     """Each line takes the latest heading at or above it; '' before the first."""
-    last = F.last(F.when(F.col("kind") == "chapter", F.col("text")), ignorenulls=True).over(_in_book())
-    return parsed.withColumn("chapter", F.coalesce(last, F.lit("")))
+    rows = scan(parsed, "book_id", ["line_no"], latest={"chapter": _heading()}, width=width)
+    return rows.withColumn("chapter", F.coalesce("chapter", F.lit("")))
 
 
 def keep_narration(parsed: DataFrame, min_chars: int = 5, narrator: str = T.NARRATOR) -> DataFrame:
     """Dialogue rows, and narrative rows of more than ``min_chars`` characters as the narrator's."""
-    told = F.col("kind") == "narrative"
-    kept = (F.col("kind") == "dialogue") | (told & (F.length("text") > min_chars))
-    return parsed.where(kept).withColumn("speaker", F.when(told, narrator).otherwise(F.col("speaker")))
+    return parsed.where(_is_kept(min_chars)).withColumn("speaker", F.when(F.col("kind") == "narrative", narrator).otherwise(F.col("speaker")))
 
 
 def normalize_label(label: Column, non_person: str = T.NON_PERSON) -> Column:
     return F.when(F.coalesce(label, F.lit("")).isin("", non_person), "").otherwise(label)
 
 
-def align_labels(parsed: DataFrame, labels: DataFrame, mode: str = "line") -> DataFrame:
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Speakers of the numbered dialogues by their label; without one the parsed speaker stays."""
+    named = labels.select(F.col("book_id").alias("_b"), F.col("ord").alias("_k"), normalize_label(F.col("label")).alias("_label"), F.lit(True).alias("_hit"))
+    joined = rows.join(named.hint("merge"), (rows.book_id == named._b) & (rows.k == named._k), "left")
+    speaker = F.when(F.col("_hit"), F.col("_label")).otherwise(F.col("speaker"))
+    return joined.withColumn("speaker", speaker).drop("_b", "_k", "_label", "_hit")
+
+
+def align_labels(parsed: DataFrame, labels: DataFrame, mode: str = "line", width: int = RANGE) -> DataFrame:
     """Speakers from labels (book_id, ord, label).
 
     ``line``: the k-th dialogue line of a book takes label k; narration takes none, and
@@ -61,31 +71,32 @@ def align_labels(parsed: DataFrame, labels: DataFrame, mode: str = "line") -> Da
     if mode != "line":
         raise ValueError("quotes are aligned by align_quotes")
     is_dialogue = F.col("kind") == "dialogue"
-    k = F.sum(is_dialogue.cast("long")).over(_in_book().rowsBetween(Window.unboundedPreceding, 0)) - 1
-    rows = parsed.withColumn("k", F.when(is_dialogue, k))
-    named = labels.select(F.col("book_id").alias("_b"), F.col("ord").alias("_k"), normalize_label(F.col("label")).alias("_label"), F.lit(True).alias("_hit"))
-    joined = rows.join(named.hint("merge"), (rows.book_id == named._b) & (rows.k == named._k), "left")
-    speaker = F.when(F.col("_hit"), F.col("_label")).otherwise(F.col("speaker"))
-    return joined.withColumn("speaker", speaker).drop("_b", "_k", "_label", "_hit", "k")
+    rows = number(parsed, "book_id", ["line_no"], "k", is_dialogue, width)
+    return _named(rows.withColumn("k", F.when(is_dialogue, F.col("k"))), labels).drop("k")
 
 
-def plain_quotes(lines: DataFrame) -> DataFrame:
+def plain_quotes(lines: DataFrame, width: int = RANGE) -> DataFrame:
     """(book_id, k, line_no, text) of every quote, numbered through its book."""
     found = lines.select("book_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(T.ANY_QUOTE), F.lit(1))).alias("pos", "text"))
-    order = Window.partitionBy("book_id").orderBy("line_no", "pos")
-    return found.select("book_id", (F.row_number().over(order) - 1).cast("long").alias("k"), "line_no", "text")
+    return number(found, "book_id", ["line_no", "pos"], "k", width=width).select("book_id", "k", "line_no", "text")
 
 
-def align_quotes(lines: DataFrame, labels: DataFrame) -> DataFrame:
+def align_quotes(lines: DataFrame, labels: DataFrame, width: int = RANGE) -> DataFrame:
     """The k-th quote of a book's text takes label k; quotes behind the last label have ''."""
     named = labels.select("book_id", F.col("ord").alias("k"), normalize_label(F.col("label")).alias("speaker"))
-    return plain_quotes(lines).join(named.hint("merge"), ["book_id", "k"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
+    return plain_quotes(lines, width).join(named.hint("merge"), ["book_id", "k"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
 
 
-def dialogue_table(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """(book_id, ord, line_no, chapter, text, speaker): the parsed book."""
-    rows = keep_narration(align_labels(fill_chapter(classify_lines(lines)), labels))
-    return rows.withColumn("ord", (F.row_number().over(_in_book()) - 1).cast("long")).select(DIALOGUES)
+def dialogue_table(lines: DataFrame, labels: DataFrame, min_chars: int = 5, width: int = RANGE) -> DataFrame:
+    """(book_id, ord, line_no, chapter, text, speaker): the parsed book.
+
+    Chapters, label numbers and places in the table come from one pass over the ranges of a book.
+    """
+    is_dialogue, kept = F.col("kind") == "dialogue", _is_kept(min_chars)
+    counts = {"k": is_dialogue.cast("long"), "ord": kept.cast("long")}
+    rows = scan(classify_lines(lines), "book_id", ["line_no"], latest={"chapter": _heading()}, sums=counts, width=width).where(kept)
+    rows = rows.withColumn("chapter", F.coalesce("chapter", F.lit(""))).withColumn("ord", F.col("ord") - 1).withColumn("k", F.when(is_dialogue, F.col("k") - 1))
+    return keep_narration(_named(rows, labels), min_chars).select(DIALOGUES)
 
 
 def extract_chapters(lines: DataFrame) -> DataFrame:
@@ -93,11 +104,18 @@ def extract_chapters(lines: DataFrame) -> DataFrame:
     return lines.where(T.is_chapter(s)).select("book_id", "line_no", s.alias("title"))
 
 
-def missing_quotes(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Quotes whose stripped text no parsed dialogue of the book has; repeats are kept."""
+def missing_quotes(lines: DataFrame, parsed: DataFrame, preview: int = 100, width: int = RANGE) -> DataFrame:
+    """(book_id, k, line_no, text, line, kind): quotes whose stripped text no parsed dialogue of the book has.
+
+    Repeats are kept.  ``line`` is the quote's line, cut to ``preview`` characters, and ``kind`` what it
+    was parsed as.
+    """
     have = parsed.where("kind = 'dialogue'").select("book_id", "text").distinct()
-    quotes = plain_quotes(lines).withColumn("text", T.strip(F.col("text")))
-    return quotes.join(have.hint("merge"), ["book_id", "text"], "left_anti").select("book_id", "k", "line_no", "text")
+    quotes = plain_quotes(lines, width).withColumn("text", T.strip(F.col("text")))
+    missing = quotes.join(have.hint("merge"), ["book_id", "text"], "left_anti")
+    around = lines.select("book_id", "line_no", T.preview(F.col("line"), preview).alias("line"))
+    kinds = parsed.select("book_id", "line_no", "kind")
+    return missing.join(around.hint("merge"), ["book_id", "line_no"]).join(kinds.hint("merge"), ["book_id", "line_no"]).select("book_id", "k", "line_no", "text", "line", "kind")
 
 
 def extraction_report(lines: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import AT, RANGE, scan, with_neighbours
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -61,13 +62,14 @@ def time_per_item(run_log: DataFrame) -> DataFrame:
     return run_log.groupBy("engine").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 4).alias("avg_seconds"))
 
 
-def running_progress(run_log: DataFrame) -> DataFrame:
+def running_progress(run_log: DataFrame, width: int = RANGE) -> DataFrame:
     """Per processed row of a book: done, ok, failed, average seconds so far and what remains."""
-    w = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("book_id")
-    ok = F.col("status") == "ok"
-    out = run_log.withColumn("done", F.count("*").over(w)).withColumn("ok", F.sum(ok.cast("long")).over(w)).withColumn("total", F.count("*").over(whole))
-    avg = F.avg("seconds").over(w)
+    ok = (F.col("status") == "ok").cast("long")
+    timed = F.col("seconds").isNotNull().cast("long")
+    out = scan(run_log, "book_id", ["ord"], sums={"done": F.lit(1), "ok": ok, "_timed": timed, "_seconds": F.col("seconds")}, width=width)
+    total = run_log.groupBy("book_id").agg(F.count("*").alias("total"))
+    out = out.join(total.hint("merge"), "book_id")
+    avg = F.when(F.col("_timed") > 0, F.col("_seconds") / F.col("_timed"))
     return out.select("book_id", "ord", "done", "ok", (F.col("done") - F.col("ok")).alias("fail"), F.round(avg, 4).alias("avg_seconds"), F.round(avg * (F.col("total") - F.col("done")), 4).alias("remaining_seconds"))
 
 
@@ -98,13 +100,17 @@ def line_slice(lines: DataFrame, labels: DataFrame, a: int, b: int) -> DataFrame
     return left.join(right.hint("merge"), ["book_id", "pos"], "full")
 
 
-def first_cooccurrence(dialogues: DataFrame, a: str, b: str, size: int = 10) -> DataFrame:
-    """(book_id, ord): the first row i < n - size with both speakers in the rows i .. i + size - 1."""
-    w = Window.partitionBy("book_id").orderBy("ord").rowsBetween(0, size - 1)
-    n = F.count("*").over(Window.partitionBy("book_id"))
+def first_cooccurrence(dialogues: DataFrame, a: str, b: str, size: int = 10, width: int = RANGE) -> DataFrame:
+    """(book_id, ord): the first row i < n - size with both speakers in the rows i .. i + size - 1.
+
+    ``ord`` numbers the n rows of a book without gaps.
+    """
+    w = Window.partitionBy("book_id", AT).orderBy("ord").rowsBetween(0, size - 1)
+    n = dialogues.groupBy("book_id").agg(F.count("*").alias("n"))
     both = F.max((F.col("speaker") == a).cast("int")).over(w) + F.max((F.col("speaker") == b).cast("int")).over(w)
-    rows = dialogues.select("book_id", "ord", both.alias("both"), n.alias("n")).where((F.col("both") == 2) & (F.col("ord") < F.col("n") - size))
-    return rows.groupBy("book_id").agg(F.min("ord").alias("ord"))
+    rows = with_neighbours(dialogues.select("book_id", "ord", "speaker"), "ord", size, max(size, width)).withColumn("both", both)
+    first = rows.where("_own and both = 2").groupBy("book_id").agg(F.min("ord").alias("ord"))
+    return first.join(n.hint("merge"), "book_id").where(F.col("ord") < F.col("n") - size).select("book_id", "ord")
 
 
 def first_line_context(dialogues: DataFrame, speaker: str, before: int = 3, after: int = 7) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import RANGE, scan
 
 
 def all_segments(dialogues: DataFrame, files: DataFrame) -> DataFrame:
@@ -25,16 +26,16 @@ def order_files(files: DataFrame) -> DataFrame:
     return files.withColumn("stem", stem).orderBy("book_id", "stem")
 
 
-def splice_timeline(segments: DataFrame, gap_dialogue: int = 300, gap_paragraph: int = 1000, gap_chapter: int = 2000, paragraph: str | None = None) -> DataFrame:
+def splice_timeline(segments: DataFrame, gap_dialogue: int = 300, gap_paragraph: int = 1000, gap_chapter: int = 2000, paragraph: str | None = None, width: int = RANGE) -> DataFrame:
     """gap_ms, start_ms and end_ms of each segment, in milliseconds from the start of its book."""
-    w = Window.partitionBy("book_id").orderBy("ord")
-    before = F.lag("chapter").over(w)
-    gap = F.when(before.isNull(), 0).when(before != F.col("chapter"), gap_chapter)
+    near = {"_chapter": F.col("chapter")} | ({"_paragraph": F.col(paragraph)} if paragraph else {})
+    rows = scan(segments, "book_id", ["ord"], before=near, width=width)
+    gap = F.when(F.col("_chapter").isNull(), 0).when(F.col("_chapter") != F.col("chapter"), gap_chapter)
     if paragraph:
-        gap = gap.when(F.lag(paragraph).over(w) != F.col(paragraph), gap_paragraph)
-    out = segments.withColumn("gap_ms", gap.otherwise(gap_dialogue).cast("long"))
-    end = F.sum(F.col("gap_ms") + F.col("duration_ms")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("end_ms", end).withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
+        gap = gap.when(F.col("_paragraph") != F.col(paragraph), gap_paragraph)
+    rows = rows.withColumn("gap_ms", gap.otherwise(gap_dialogue).cast("long")).drop("_chapter", "_paragraph")
+    out = scan(rows, "book_id", ["ord"], sums={"end_ms": F.col("gap_ms") + F.col("duration_ms")}, width=width)
+    return out.withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
 
 
 def fade_plan(segments: DataFrame, fade: int = 50) -> DataFrame:

@@ -7,29 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.joins import sized
+from ..operators.scan import number
+from .lines import numbered_lines, read_lines
 
 GENDERS = "map<string,struct<gender:string,confidence:double>>"
 EMOTION = "struct<emotion:string,tone:string,confidence:double,evidence:string>"
 EMOTION_ROW = "struct<index:bigint,emotion:string,tone:string,confidence:double,evidence:string>"
 
 
-def numbered_lines(texts: DataFrame) -> DataFrame:
-    """(book_id, line_no, line) from whole texts (book_id, value)."""
-    at = texts.select("book_id", F.posexplode(T.split_lines(F.col("value"))).alias("pos", "line"))
-    return at.select("book_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files in folders ``book_id=...``; a book is the parallel unit."""
-    texts = spark.read.schema("value string, book_id long").text(path, wholetext=True)
-    return numbered_lines(texts)
-
-
 def number_labels(lines: DataFrame) -> DataFrame:
     """(book_id, ord, label): blank lines are dropped before labels are numbered."""
     rows = lines.withColumn("label", T.strip(F.col("line"))).where("label <> ''")
-    order = Window.partitionBy("book_id").orderBy("line_no")
-    return rows.select("book_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), "label")
+    return number(rows, "book_id", ["line_no"], "ord").select("book_id", "ord", "label")
 
 
 def read_speaker_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -174,7 +163,4 @@ def read_voices(spark: SparkSession, path: str, per_line: bool = False) -> DataF
 def bracket_labels(lines: DataFrame) -> DataFrame:
     """(book_id, ord, label) from lines with ``【speaker|alias】「text」``, in order."""
     hit = lines.select("book_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(T.BRACKET_SPEAKER), F.lit(1))).alias("pos", "name"))
-    order = Window.partitionBy("book_id").orderBy("line_no", "pos")
-    return hit.select("book_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.substring_index("name", "|", 1).alias("label"))
-
-
+    return number(hit, "book_id", ["line_no", "pos"], "ord").select("book_id", "ord", F.substring_index("name", "|", 1).alias("label"))
