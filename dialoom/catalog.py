@@ -325,6 +325,39 @@ def _batched_replies(s: SparkSession, d: str) -> DataFrame:
     return labeling.apply_model(D.dialogues(s, d).select("book_id", "ord", F.col("text").alias("request")), _batch_model, batched=True)
 
 
+def _tagged_model(tag: str) -> Callable:
+    """A model that says which run it was asked in."""
+    return lambda: lambda request: f"{tag}:{len(request)}"
+
+
+def _resumed(s: SparkSession, d: str) -> DataFrame:
+    """Four runs over one store: a half of the requests, all, all with some texts changed, and some with force."""
+    store, keys = new_folder(s, "answers"), ["book_id", "ord"]
+    asked = D.dialogues(s, d).select("book_id", "ord", F.col("text").alias("request"))
+    labeling.label_resumably(asked.where("ord % 2 = 0"), _tagged_model("one"), store, keys)
+    labeling.label_resumably(asked, _tagged_model("two"), store, keys)
+    changed = asked.withColumn("request", F.when(F.col("ord") % 5 == 0, F.concat("request", F.lit("!"))).otherwise(F.col("request")))
+    third = labeling.label_resumably(changed, _tagged_model("three"), store, keys).withColumn("step", F.lit(3))
+    path = new_folder(s, "third")
+    third.write.parquet(path)  # before a new generation hides it
+    forced = labeling.label_resumably(changed.where("ord % 3 = 0"), _tagged_model("four"), store, keys, force=True)
+    return s.read.parquet(path).union(forced.withColumn("step", F.lit(4)))
+
+
+def _labelled_genders(s: SparkSession, d: str) -> DataFrame:
+    return jobs.label_genders(D.dialogues(s, d), _gender_model, new_folder(s, "answers"))
+
+
+def _gender_model() -> Callable[[str], str]:
+    def answer(request: str) -> str:
+        name = request.split("\n")[0].removeprefix("Character: ")
+        if name == "guest":
+            raise ValueError("no answer")
+        return '{"character_name": "%s", "gender": "%s", "confidence": 0.8, "evidence": "%d"}' % (name, "female" if name == "user" else "unknown", len(request))
+
+    return answer
+
+
 def _gender_replies(s: SparkSession, d: str) -> DataFrame:
     m = F.length("text") % 3
     body = F.when(m == 0, F.concat(F.lit('I think {"character_name": "'), "speaker", F.lit('", "gender": "unknown", "confidence": 0.2} so'))).when(m == 1, F.concat(F.lit('{"character_name": "'), "speaker", F.lit('", "gender": "female", "confidence": 0.9, "evidence": "e"}'))).otherwise(F.lit("no idea"))
@@ -468,6 +501,10 @@ SELECT clip_id, h AS frame_idx, round(sqrt(sum(coalesce(e, 0)) OVER (PARTITION B
     _op("apply_model", lambda s, d: _replies(s, d).select("book_id", "ord", "status"), "SELECT book_id, ord, CASE WHEN length(text) % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM dialogues")
     _op("apply_model_batched", lambda s, d: _batched_replies(s, d).select("book_id", "ord", "status", "reply"), f"""SELECT book_id, ord, CASE WHEN n % 11 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n % 11 = 0 THEN 'Error: no answer' ELSE
   'Sure: {{"emotion": "' || {T.EMOTIONS}[n % 7 + 1] || '", "tone": "' || {T.TONES}[n % 5 + 1] || '", "confidence": 0.5, "evidence": "n=' || n || '"}} done' END AS reply FROM (SELECT *, length(text) AS n FROM dialogues)""")
+    _op("label_resumably", _resumed, """SELECT book_id, ord, CASE WHEN ord % 5 = 0 THEN 'three:' || (length(text) + 1) WHEN ord % 2 = 0 THEN 'one:' || length(text) ELSE 'two:' || length(text) END AS reply, 'ok' AS status, 3 AS step FROM dialogues
+UNION ALL SELECT book_id, ord, 'four:' || (length(text) + (ord % 5 = 0)::INT), 'ok', 4 FROM dialogues WHERE ord % 3 = 0""")
+    _op("label_genders", _labelled_genders, """SELECT book_id, speaker, CASE speaker WHEN 'user' THEN 'female' ELSE 'male' END AS gender, CASE speaker WHEN 'guest' THEN 0.3 ELSE 0.8 END::DOUBLE AS confidence,
+  CASE speaker WHEN 'guest' THEN 'no verdict' ELSE length('Character: ' || speaker || chr(10) || 'Lines: ' || lines || chr(10) || corpus)::VARCHAR END AS evidence FROM corpus""")
     _op("parse_gender_reply", _gender_replies, "SELECT book_id, ord, speaker, CASE length(text) % 3 WHEN 1 THEN 'female' ELSE 'male' END AS gender, CASE length(text) % 3 WHEN 1 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence, CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN 'e' ELSE 'no verdict' END AS evidence FROM dialogues")
     _op("parse_emotion_reply", lambda s, d: labeling.parse_emotion_reply(_replies(s, d)), f"SELECT book_id, ord, CASE WHEN n % 11 = 0 THEN 'calm' ELSE {T.EMOTIONS}[n % 7 + 1] END AS emotion, CASE WHEN n % 11 = 0 THEN 'serious' ELSE {T.TONES}[n % 5 + 1] END AS tone, CASE WHEN n % 11 = 0 THEN 0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN n % 11 = 0 THEN '' ELSE 'n=' || n END AS evidence FROM (SELECT *, length(text) AS n FROM dialogues)")
     _op("render_search", lambda s, d: context.render_search(_searched(s, d), _asked(s, D.document_lines(s, d), D.KEYWORDS)), """, r AS (SELECT keyword, book_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown, max(total) AS total FROM found WHERE rn <= 20 GROUP BY ALL)
@@ -502,7 +539,7 @@ SELECT 0::BIGINT AS clip_id, start_ms, end_ms, clip_start, clip_start + end_ms -
     _op("dialogue_table", lambda s, d: D.dialogues(s, d), all_d)
     _op("synthesis_jobs", lambda s, d: jobs.synthesis_jobs(D.dialogues(s, d), D.genders(s), D.emotions(s, d), *S.casting_tables(s, D.CAST), D.files(s, d)), """, j AS (SELECT *, CASE WHEN phrase = '' THEN '' ELSE '(' || phrase || ')' END AS style FROM styled WHERE NOT (ord%3=0 AND ord%9<>0))
 SELECT book_id, ord, chapter, speaker, ref_audio, style, replace(style || text, chr(10), ' ') AS text, printf('%05d.wav', ord) AS output_path FROM j""")
-    _op("preset_jobs", lambda s, d: jobs.preset_jobs(D.dialogues(s, d), D.genders(s), D.clones(s), D.audio_files(s), D.files(s, d)), "SELECT book_id, ord, speaker, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
+    _op("preset_jobs", lambda s, d: jobs.preset_jobs(D.dialogues(s, d), D.genders(s), D.clones(s), D.audio_files(s), D.files(s, d)), "SELECT book_id, ord, chapter, speaker, text, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
     _op("volume_timeline", lambda s, d: jobs.volume_timeline(D.dialogues(s, d), D.files(s, d), D.segments(s, d), D.results(s, d)), "SELECT book_id, ord, chapter, engine, readable, duration_ms, gap_ms, end_ms - duration_ms AS start_ms, end_ms, CASE WHEN duration_ms >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM volume_line")
     _op("volume_report", lambda s, d: jobs.volume_report(D.dialogues(s, d), D.files(s, d), D.segments(s, d), D.results(s, d)), """, m AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f) AS file_index FROM (SELECT book_id, chapter, min(ord) AS f, count(*) AS segments, sum(duration_ms)::BIGINT AS duration_ms FROM volume_line GROUP BY ALL)),
 v AS (SELECT book_id, max(end_ms) AS volume_ms FROM volume_line GROUP BY book_id), z AS (SELECT book_id, round(sum(length) / 1048576, 4) AS size_mb FROM files GROUP BY book_id)

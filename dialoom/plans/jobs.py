@@ -1,12 +1,14 @@
-"""Composite jobs: each is one lazy plan over the operators."""
+"""Composite jobs over the operators; those that ask a model run it when they are called, the others are lazy plans."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audio, casting, parsing, stats, timeline
+from ..operators import audio, casting, context, labeling, parsing, stats, timeline
 
 PLACEHOLDER_MS = 1000
 
@@ -25,9 +27,11 @@ def synthesis_jobs(dialogues: DataFrame, genders: DataFrame, emotions: DataFrame
 
 
 def preset_jobs(dialogues: DataFrame, genders: DataFrame, clones: DataFrame, audio_files: DataFrame, files: DataFrame) -> DataFrame:
+    """The jobs that are still to be done with either engine: text, chapter, place, voice and file."""
     d = casting.pending_jobs(dialogues, files)
     d = casting.assign_engine(casting.join_gender(d, genders), clones, audio_files)
-    return d.select("book_id", "ord", "speaker", "engine", "voice", T.segment_path(F.col("ord"), F.col("speaker")).alias("output_path"))
+    chapter = F.coalesce("chapter", F.lit("unknown")).alias("chapter")
+    return d.select("book_id", "ord", chapter, "speaker", "text", "engine", "voice", T.segment_path(F.col("ord"), F.col("speaker")).alias("output_path"))
 
 
 def volume_timeline(dialogues: DataFrame, files: DataFrame, durations: DataFrame, results: DataFrame) -> DataFrame:
@@ -57,3 +61,16 @@ def reference_clip_plan(samples: DataFrame, threshold: float, frame: int, hop: i
 
 def dry_run_segments(dialogues: DataFrame) -> DataFrame:
     return dialogues.select("book_id", "ord", "chapter", "speaker", T.segment_path(F.col("ord"), F.col("speaker")).alias("audio_path"))
+
+
+def label_genders(dialogues: DataFrame, factory: Callable[[], Callable], store: str, force: bool = False, **options) -> DataFrame:
+    """(book_id, speaker, gender, confidence, evidence) of all named speakers; what ``store`` answers isn't asked again."""
+    requests = labeling.gender_requests(context.character_corpus(dialogues))
+    return labeling.parse_gender_reply(labeling.label_resumably(requests, factory, store, ["book_id", "speaker"], force=force, **options))
+
+
+def label_emotions(dialogues: DataFrame, lines: DataFrame, factory: Callable[[], Callable], store: str, force: bool = False, **options) -> DataFrame:
+    """(book_id, ord, emotion, tone, confidence, evidence) of what persons say; what ``store`` answers isn't asked again."""
+    said = stats.needs_emotion(dialogues)
+    requests = labeling.emotion_requests(said, context.context_window(said, lines))
+    return labeling.parse_emotion_reply(labeling.label_resumably(requests, factory, store, ["book_id", "ord"], force=force, **options))
