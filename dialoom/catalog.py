@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audio, casting, context, labeling, parsing, stats, timeline
+from .operators import audio, casting, context, keywords, labeling, parsing, stats, timeline
 from .plans import jobs
 from .sources import derived as D
 from .sources import scripts as S
@@ -262,6 +262,37 @@ def _bracketed(s: SparkSession, d: str) -> DataFrame:
     return S.bracket_labels(rows)
 
 
+def _words_table(s: SparkSession, d: str) -> DataFrame:
+    """Keywords as a table: first words of some lines, and fixed ones, of one and two characters too."""
+    fixed = s.createDataFrame([("the",), ("there",), ("ent",), ("é",), ("k",), ("ll",), ("nowhere to be found",)], "keyword string")
+    first = D.document_lines(s, d).where("book_id % 7 = 0").select(F.substring_index("line", " ", 1).alias("keyword")).where("length(keyword) > 2")
+    return fixed.union(first)
+
+
+WORDS_SQL = """, k AS (
+  SELECT unnest(['the', 'there', 'ent', 'é', 'k', 'll', 'nowhere to be found']) AS keyword
+  UNION SELECT split_part(line, ' ', 1) FROM doc_lines WHERE book_id % 7 = 0 AND length(split_part(line, ' ', 1)) > 2
+)"""
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """Tool calls made of the lines: each kind, with and without arguments, and broken ones."""
+    rows = D.lines(s, d)
+    kind = F.element_at(F.array(*map(F.lit, ["search_novel", "read_lines", "get_dialogues", "fly"])), (F.col("line_no") % 4 + 1).cast("int"))
+    word = F.translate(F.substring("line", 3, 2), '"\\', "")
+    arguments = (
+        F.when(F.col("line_no") % 5 == 0, "{}").when(F.col("line_no") % 11 == 1, "{broken")
+        .when(kind == "read_lines", F.format_string('{"start_line": %d, "end_line": "%d"}', F.col("line_no") - 3, F.col("line_no") + 2))
+        .otherwise(F.format_string('{"keyword": "%s", "character_name": "%s", "limit": %d}', word, word, F.col("line_no") % 3))
+    )
+    return rows.select("book_id", F.col("line_no").alias("call_id"), kind.alias("name"), arguments.alias("arguments"))
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    return keywords.answer_calls(_calls(s, d), D.lines(s, d))
+
+
+
 def _asked(s: SparkSession, df: DataFrame, words: list[str]) -> DataFrame:
     return df.select("book_id").distinct().withColumn("keyword", F.explode(F.array(*map(F.lit, words))))
 
@@ -457,6 +488,28 @@ UNION ALL SELECT 'audio_files', book_id, ord || '|' || path || '|' || length FRO
     _op("all_segments", lambda s, d: timeline.all_segments(D.dialogues(s, d), D.files(s, d)), "SELECT book_id, ord, chapter, speaker, printf('%05d.wav', ord) AS audio_path, (ord%3=0 AND ord%9<>0) AS readable FROM dialogues")
     _op("locate_text", lambda s, d: context.locate_text(D.dialogues(s, d), D.KEYWORDS), """, h AS (SELECT keyword AS needle, book_id, min(ord) AS hit FROM dialogues JOIN words ON contains(text, keyword) GROUP BY ALL)
 SELECT needle, d.book_id, ord, speaker, text, ord = hit AS is_hit FROM h JOIN dialogues d ON d.book_id = h.book_id AND ord BETWEEN hit - 3 AND hit + 3""")
+    _op("keyword_table_search", lambda s, d: keywords.search_table(D.document_lines(s, d), _words_table(s, d)), WORDS_SQL + f""", hit AS (
+  SELECT keyword, book_id, line_no, substr(regexp_replace(line, {_STRIP}), 1, 120) AS line, count(*) OVER (PARTITION BY keyword, book_id) AS total, row_number() OVER (PARTITION BY keyword, book_id ORDER BY line_no) AS rn
+  FROM doc_lines JOIN k ON contains(line, keyword)
+) SELECT keyword, book_id, line_no, line, total, total > 20 AS truncated FROM hit WHERE rn <= 20""")
+    _op("mention_table", lambda s, d: keywords.mention_table(D.lines(s, d), s.createDataFrame([("user",), ("assistant",)], "keyword string")), "SELECT keyword, book_id, line_no, line, total, total > 50 AS truncated FROM mentions WHERE rn <= 50")
+    _op("locate_table", lambda s, d: keywords.locate_table(D.dialogues(s, d), _words_table(s, d)), WORDS_SQL + """, h AS (SELECT keyword AS needle, book_id, min(ord) AS hit FROM dialogues JOIN k ON contains(text, keyword) GROUP BY ALL)
+SELECT needle, d.book_id, ord, speaker, text, ord = hit AS is_hit FROM h JOIN dialogues d ON d.book_id = h.book_id AND ord BETWEEN hit - 3 AND hit + 3""")
+    _op("answer_calls", _answers, """, c AS (
+  SELECT book_id, line_no AS call_id, ['search_novel', 'read_lines', 'get_dialogues', 'fly'][(line_no % 4 + 1)::INT] AS name, line_no % 5 = 0 OR line_no % 11 = 1 AS bare, translate(substr(line, 3, 2), chr(34) || chr(92), '') AS word FROM lines
+), a AS (
+  SELECT *, CASE WHEN bare THEN '' ELSE word END AS keyword, CASE WHEN bare THEN 20 ELSE greatest(call_id % 3, 1) END AS lim,
+    CASE WHEN bare THEN 1 ELSE greatest(call_id - 3, 1) END AS lo, CASE WHEN bare THEN 101 ELSE call_id + 2 END AS hi FROM c
+), w AS (
+  SELECT a.book_id, call_id, name, lim, l.line_no, substr(l.s, 1, 120) AS line, count(*) OVER (PARTITION BY a.book_id, call_id) AS total, row_number() OVER (PARTITION BY a.book_id, call_id ORDER BY l.line_no) AS rn
+  FROM a JOIN stripped l ON l.book_id = a.book_id AND CASE name WHEN 'search_novel' THEN contains(l.line, keyword) WHEN 'get_dialogues' THEN contains(l.s, keyword) AND contains(l.s, '「') ELSE false END
+), g AS (SELECT book_id, call_id, string_agg('Line ' || line_no || ': ' || line, chr(10) ORDER BY line_no) AS body, count(*) AS shown, max(total) AS total FROM w WHERE rn <= lim GROUP BY ALL
+), r AS (SELECT a.book_id, call_id, string_agg(l.line_no || ': ' || s, chr(10) ORDER BY l.line_no) AS body FROM a JOIN stripped l ON l.book_id = a.book_id AND l.line_no BETWEEN lo AND hi WHERE name = 'read_lines' GROUP BY ALL
+) SELECT a.book_id, a.call_id, CASE name
+  WHEN 'search_novel' THEN 'Found ' || coalesce(total, 0) || ' matches' || CASE WHEN total > shown THEN ' (showing ' || shown || ' of ' || total || ')' ELSE '' END || coalesce(':' || chr(10) || g.body, chr(10) || 'No matches found')
+  WHEN 'get_dialogues' THEN coalesce('Found ' || shown || ' dialogues:' || chr(10) || g.body, 'No dialogues found for ''' || keyword || '''')
+  WHEN 'read_lines' THEN coalesce(r.body, 'No lines in range') ELSE 'Unknown tool: fly' END AS output
+FROM a LEFT JOIN g ON g.book_id = a.book_id AND g.call_id = a.call_id LEFT JOIN r ON r.book_id = a.book_id AND r.call_id = a.call_id""")
     # aggregations
     _op("speaker_counts", lambda s, d: stats.speaker_counts(D.dialogues(s, d)), "SELECT * FROM speakers")
     _op("top_speakers", lambda s, d: stats.top_speakers(D.dialogues(s, d), 3), "SELECT * FROM ranked WHERE rank <= 3")

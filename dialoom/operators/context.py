@@ -25,7 +25,7 @@ def context_window(dialogues: DataFrame, lines: DataFrame, k: int = 30, center:
         bucket = F.floor(F.col("line_no") / BUCKET)
         touched = want.select("book_id", F.explode(F.sequence(F.floor((F.col("line_no") - k) / BUCKET), F.floor((F.col("line_no") + k) / BUCKET))).alias("bucket")).distinct()
         lines = lines.withColumn("bucket", bucket).join(touched.hint("merge"), ["book_id", "bucket"], "left_semi").drop("bucket")
-    shown = F.format_string("%d: %s", "line_no", T.strip(F.col("line")))
+    shown = F.format_string("%d: %s", "line_no", T.strip(F.coalesce("line", F.lit(""))))
     near = Window.partitionBy("book_id", AT).orderBy("line_no").rangeBetween(-k, k)
     have = with_neighbours(lines.select("book_id", "line_no", shown.alias("shown")), "line_no", k, max(k, width))
     have = have.withColumn("context", F.array_join(F.collect_list("shown").over(near), "\n")).where("_own").select("book_id", "line_no", "context")
@@ -68,7 +68,7 @@ def read_range(lines: DataFrame, requests: DataFrame, limit: int = 300) -> DataF
     some = want.where("lo <= hi").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(upto / BUCKET))))
     have = lines.withColumn("bucket", F.floor(F.col("line_no") / BUCKET))
     rows = some.join(have.hint("merge"), ["book_id", "bucket"]).where((F.col("line_no") >= F.col("lo")) & (F.col("line_no") <= upto))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.format_string("%d: %s", "line_no", T.strip(F.col("line"))).alias("shown"))))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.format_string("%d: %s", "line_no", T.strip(F.coalesce("line", F.lit("")))).alias("shown"))))
     text = rows.groupBy(keys).agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n").alias("text"))
     found = want.join(text.hint("merge"), keys, "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), (F.col("hi") - F.col("lo") + 1 > limit).alias("truncated"))
     return requests.select(keys).join(found.hint("merge"), keys)
