@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,18 +214,40 @@ def _segments_back(s: SparkSession, d: str) -> DataFrame:
     return S.read_segments(s, path).select("book_id", "ord", "chapter", "speaker", "audio_path")
 
 
+STAMP = datetime(2024, 2, 29, 12, 30)
+SHOWN = {
+    "projects": ["name", "status", "created_at"], "characters": ["name", "gender", "dialogue_count", "project_id"], "dialogues": ["chapter", "text", "speaker", "order", "project_id"],
+    "audio_files": ["file_path", "source", "character_id", "created_at"],
+}
+
+
 def _tables_back(s: SparkSession, d: str) -> DataFrame:
-    """The four tables as they are read back, under common columns."""
+    """The four tables as they are read back, under common columns; verdicts are by book, and two books differ in theirs."""
     path = new_folder(s, "tables")
-    S.write_tables(S.relational_tables(D.dialogues(s, d), D.genders(s), D.files(s, d)), path)
-    shown = {"projects": ("name", "dialogues"), "characters": ("name", "gender", "dialogue_count"), "dialogues": ("ord", "chapter", "speaker", "text"), "audio_files": ("ord", "path", "length")}
+    dialogues = D.dialogues(s, d)
+    people = casting.join_gender(dialogues, D.genders(s)).select("book_id", "speaker", "gender").distinct()
+    audio = S.character_audio(casting.cast_voice(people, *S.casting_tables(s, D.CAST)))
+    state = dialogues.select("book_id", F.when(F.col("book_id") % 2 == 0, "done").otherwise("parsed").alias("status")).distinct()
+    S.write_tables(S.relational_tables(dialogues, _book_genders(s, d), audio, STAMP, state), path)
     out = None
-    for name, columns in shown.items():
-        t = s.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table"), F.col("project_id").cast("long").alias("project_id"), F.concat_ws("|", *columns).alias("row"))
+    for name, columns in SHOWN.items():
+        cells = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "created_at" else F.col(f"`{c}`").cast("string") for c in columns]
+        t = s.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table"), "id", F.concat_ws("|", *cells).alias("row"))
         out = t if out is None else out.union(t)
     return out
 
 
+def _registry(s: SparkSession, d: str) -> DataFrame:
+    """Voices in two versions of a registry, its list file read back."""
+    root, path = new_folder(s, "registry"), new_folder(s, "voices")
+    v = _voice_rows(s, d).withColumn("metadata", F.create_map(F.lit("seq"), F.col("seq").cast("string"), F.lit("parity"), (F.col("seq") % 2).cast("string")))
+    S.merge_voices(v.where("seq % 2 = 0"), root)
+    S.merge_voices(v.where("seq % 2 = 1"), root)
+    S.write_voice_list(S.read_registry(s, root), path)
+    back = S.read_voices(s, path)
+    return back.select("voice_id", "voice_name", "ref_audio_path", F.col("metadata")["seq"].alias("seq"), F.col("metadata")["parity"].alias("parity"))
+
+
 def _voices_read(s: SparkSession, d: str) -> DataFrame:
     path = new_folder(s, "voices")
     rows = _voices(s, d).select("voice_id", "voice_name", "ref_audio_path", F.create_map(F.lit("seq"), F.col("seq").cast("string")).alias("metadata"))
@@ -232,6 +255,15 @@ def _voices_read(s: SparkSession, d: str) -> DataFrame:
     return S.read_voices(s, path, per_line=True).select("voice_id", "voice_name", "ref_audio_path", F.col("metadata")["seq"].alias("seq"))
 
 
+def _folder_progress(s: SparkSession, d: str) -> DataFrame:
+    """Progress from files that were written; their times are left out, as they are those of this run."""
+    path = new_folder(s, "finished")
+    named = D.files(s, d).where("length > 0").select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"))
+    named.select(F.lit("x").alias("value"), "stem").repartition("stem").write.partitionBy("stem").option("extension", "wav").csv(path)
+    totals = D.dialogues(s, d).groupBy("book_id").agg(F.count("*").alias("total"))
+    return jobs.folder_progress(s, path, totals, r"stem=(\d+)_[^/]*/[^/]*\.wav$", r"stem=\d+_(\d+)").select("book_id", "done", "total", "remaining", "percent")
+
+
 def _casting(s: SparkSession, d: str) -> DataFrame:
     """Speakers with the audio of either table of the configuration."""
     cast, default = S.casting_tables(s, D.CAST)
@@ -252,8 +284,12 @@ def _book_genders(s: SparkSession, d: str) -> DataFrame:
     return sure.union(sure.select("book_id", "speaker", F.lit("male").alias("gender"), F.lit(0.1).alias("confidence")))
 
 
+def _voice_rows(s: SparkSession, d: str) -> DataFrame:
+    return D.dialogues(s, d).where("speaker <> ''").select(F.concat_ws("-", "book_id", "speaker").alias("voice_id"), F.col("speaker").alias("voice_name"), T.segment_path(F.col("ord")).alias("ref_audio_path"), F.col("ord").alias("seq"))
+
+
 def _voices(s: SparkSession, d: str) -> DataFrame:
-    v = D.dialogues(s, d).where("speaker <> ''").select(F.concat_ws("-", "book_id", "speaker").alias("voice_id"), F.col("speaker").alias("voice_name"), T.segment_path(F.col("ord")).alias("ref_audio_path"), F.col("ord").alias("seq"))
+    v = _voice_rows(s, d)
     return S.upsert_voices(v.where("seq % 2 = 0"), v.where("seq % 2 = 1"))
 
 
@@ -448,10 +484,18 @@ def _register() -> None:
     _op("debug_listing", lambda s, d: S.debug_listing(D.dialogues(s, d), 3, 12), """, x AS (SELECT * FROM dialogues WHERE ord >= 3 AND ord < 12), b AS (SELECT book_id, count(*) AS n, count(DISTINCT speaker) FILTER (speaker <> '') AS people FROM x GROUP BY book_id)
 SELECT book_id, 0::BIGINT AS row, '对话范围: 3-12' AS listing FROM b UNION ALL SELECT book_id, 1, '共 ' || n || ' 条对话, ' || people || ' 个角色' FROM b
 UNION ALL SELECT book_id, 2, repeat('=', 60) FROM b UNION ALL SELECT book_id, 3, '' FROM b UNION ALL SELECT book_id, ord + 4, '[' || ord || '] ' || speaker || ': ' || text FROM x""")
-    _op("to_tables", _tables_back, """SELECT 'projects' AS "table", book_id AS project_id, 'book ' || book_id || '|' || count(*) AS row FROM dialogues GROUP BY book_id
-UNION ALL SELECT 'characters', book_id, speaker || '|' || coalesce(gender, 'unknown') || '|' || n FROM (SELECT book_id, speaker, count(*) AS n FROM dialogues WHERE speaker <> '' GROUP BY ALL) LEFT JOIN genders USING (speaker)
-UNION ALL SELECT 'dialogues', book_id, ord || '|' || chapter || '|' || speaker || '|' || text FROM dialogues
-UNION ALL SELECT 'audio_files', book_id, ord || '|' || path || '|' || length FROM files""")
+    _op("to_tables", _tables_back, f""", p AS (SELECT book_id, row_number() OVER (ORDER BY book_id) AS id FROM (SELECT DISTINCT book_id FROM dialogues)
+), c AS (
+  SELECT p.id AS project_id, book_id, speaker, n, row_number() OVER (ORDER BY p.id, speaker) AS id,
+    CASE WHEN g.gender IS NULL THEN 'unknown' WHEN book_id % 2 = 0 THEN g.gender ELSE 'female' END AS gender, CASE WHEN g.gender = 'female' THEN 'f.wav' ELSE 'm.wav' END AS usual
+  FROM (SELECT book_id, speaker, count(*) AS n FROM dialogues WHERE speaker <> '' GROUP BY ALL) JOIN p USING (book_id) LEFT JOIN genders g USING (speaker)
+)
+SELECT 'projects' AS "table", id, 'book ' || book_id || '|' || CASE WHEN book_id % 2 = 0 THEN 'done' ELSE 'parsed' END || '|2024-02-29 12:30:00' AS row FROM p
+UNION ALL SELECT 'characters', id, speaker || '|' || gender || '|' || n || '|' || project_id FROM c
+UNION ALL SELECT 'dialogues', row_number() OVER (ORDER BY p.id, ord), chapter || '|' || text || '|' || speaker || '|' || ord || '|' || p.id FROM dialogues JOIN p USING (book_id)
+UNION ALL SELECT 'audio_files', row_number() OVER (ORDER BY id), coalesce(ref, usual) || '|' || CASE WHEN ref IS NULL THEN 'preset' ELSE 'upload' END || '|' || id || '|2024-02-29 12:30:00' FROM c LEFT JOIN cast_map ON who = speaker""")
+    _op("voice_registry", _registry, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', o) AS ref_audio_path, o::VARCHAR AS seq, (o % 2)::VARCHAR AS parity FROM (SELECT book_id, speaker, coalesce(max(ord) FILTER (ord % 2 = 1), max(ord)) AS o FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker)")
+    _op("folder_progress", _folder_progress, "SELECT book_id, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 4) AS percent FROM (SELECT book_id, count(*) AS done FROM files WHERE length > 0 GROUP BY book_id) JOIN (SELECT book_id, count(*) AS total FROM dialogues GROUP BY book_id) USING (book_id)")
     _op("upsert_voice", _voices, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord) AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
     _op("read_voices", _voices_read, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord)::VARCHAR AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
     _op("extract_bracket_labels", _bracketed, "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY line_no) - 1 AS ord, speaker AS label FROM dialogues")

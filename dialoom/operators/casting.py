@@ -13,21 +13,26 @@ from .joins import sized
 PRESETS = {"narrator": "narrator.wav", "male": "male.wav", "female": "female.wav"}
 
 
+def surest_gender(genders: DataFrame) -> tuple[list[str], DataFrame]:
+    """The keys that verdicts hold for, and (*keys, _g): of several verdicts the surest."""
+    keys = [c for c in ("book_id", "speaker") if c in genders.columns]
+    sure = F.col("confidence") if "confidence" in genders.columns else F.lit(0.0)
+    return keys, genders.groupBy(*keys).agg(F.max(F.struct(sure.alias("c"), "gender"))["gender"].alias("_g"))
+
+
 def join_gender(dialogues: DataFrame, genders: DataFrame) -> DataFrame:
     """Gender by speaker, male where it is absent or unknown.
 
     Verdicts with a book_id hold for that book, others for all books.  Of several verdicts on
     a speaker the surest counts, so no dialogue is doubled.
     """
-    keys = [c for c in ("book_id", "speaker") if c in genders.columns]
-    sure = F.col("confidence") if "confidence" in genders.columns else F.lit(0.0)
-    g = genders.groupBy(*keys).agg(F.max(F.struct(sure.alias("c"), "gender"))["gender"].alias("_g"))
+    keys, g = surest_gender(genders)
     known = F.when(F.col("_g") != "unknown", F.col("_g"))
     return dialogues.join(sized(g), keys, "left").withColumn("gender", F.coalesce(known, F.lit("male"))).drop("_g")
 
 
 def cast_voice(df: DataFrame, cast: DataFrame, default: DataFrame, narrator: str = T.NARRATOR, presets: dict[str, str] = PRESETS) -> DataFrame:
-    """ref_audio: for the narrator and empty speakers the narrator's, else the speaker's own or the gender's.
+    """ref_audio: for the narrator and empty speakers the narrator's, else the speaker's own or the gender's; and ``own_audio``.
 
     ``presets`` serve where the configuration has none: the narrator's never is that of a gender.
     """
@@ -40,7 +45,7 @@ def cast_voice(df: DataFrame, cast: DataFrame, default: DataFrame, narrator: str
     out = out.join(own, out._w == own._who, "left").join(usual, F.col("_k") == usual._kind, "left")
     by_gender = F.coalesce("_usual", F.when(F.col("_k") == "female", presets["female"]).otherwise(presets["male"]))
     usual_audio = F.when(F.col("_w") == narrator, presets["narrator"]).otherwise(by_gender)
-    return out.withColumn("ref_audio", F.coalesce("_own", usual_audio)).drop("_w", "_k", "_who", "_own", "_kind", "_usual")
+    return out.withColumn("ref_audio", F.coalesce("_own", usual_audio)).withColumn("own_audio", F.col("_own").isNotNull()).drop("_w", "_k", "_who", "_own", "_kind", "_usual")
 
 
 def assign_engine(df: DataFrame, clones: DataFrame, audio: DataFrame, listed: DataFrame | None = None, male: str = "male_voice", female: str = "female_voice") -> DataFrame:

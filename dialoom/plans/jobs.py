@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audio, casting, context, labeling, parsing, stats, timeline
+from ..sources import scripts
 
 PLACEHOLDER_MS = 1000
 
@@ -74,3 +75,14 @@ def label_emotions(dialogues: DataFrame, lines: DataFrame, factory: Callable[[],
     said = stats.needs_emotion(dialogues)
     requests = labeling.emotion_requests(said, context.context_window(said, lines))
     return labeling.parse_emotion_reply(labeling.label_resumably(requests, factory, store, ["book_id", "ord"], force=force, **options))
+
+
+def folder_progress(spark: SparkSession, path: str, totals: DataFrame, number: str, book: str, now: int | None = None) -> DataFrame:
+    """Progress of each book from the audio files below a folder, as they are when this is called.
+
+    ``number`` and ``book`` find a segment's number and its book in the path of a file; contents aren't
+    read, and empty files count as unfinished.
+    """
+    files = scripts.scan_segment_files(spark, path, number).where("length > 0")
+    files = files.select(F.regexp_extract("path", book, 1).try_cast("long").alias("book_id"), "ord", "length", F.col("modified").cast("long").alias("modified_s"))
+    return stats.progress_report(files, totals, now)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.joins import sized
 from ..operators.scan import number
 from .lines import numbered_lines, read_lines
+from .tables import character_audio, dense_ids, relational_tables, write_tables
+from .voices import merge_voices, read_registry, read_voices, upsert_voices, write_registry, write_voice_list
+
+__all__ = ["character_audio", "dense_ids", "merge_voices", "numbered_lines", "read_lines", "read_registry", "read_voices", "relational_tables", "upsert_voices", "write_registry", "write_tables", "write_voice_list"]
 
 GENDERS = "map<string,struct<gender:string,confidence:double>>"
 EMOTION = "struct<emotion:string,tone:string,confidence:double,evidence:string>"
@@ -108,7 +111,8 @@ def scan_segment_files(spark: SparkSession, path: str, number: str = r"/(\d+)[^/
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
-    segments.write.partitionBy("book_id").json(path)
+    """All segments in files as large as their partitions, however many books there are."""
+    segments.write.json(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -130,36 +134,6 @@ def debug_listing(dialogues: DataFrame, start: int, end: int) -> DataFrame:
     return first.withColumn("row", F.col("row").cast("long")).union(body)
 
 
-def relational_tables(dialogues: DataFrame, genders: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """projects, characters, dialogues and audio_files, keyed by project_id."""
-    d = dialogues.withColumnRenamed("book_id", "project_id")
-    people = d.where("speaker <> ''").groupBy("project_id", "speaker").agg(F.count("*").alias("dialogue_count"))
-    people = people.join(sized(genders.select("speaker", "gender")), "speaker", "left")
-    return {
-        "projects": d.groupBy("project_id").agg(F.count("*").alias("dialogues")).withColumn("name", F.concat(F.lit("book "), "project_id")),
-        "characters": people.select("project_id", F.col("speaker").alias("name"), F.coalesce("gender", F.lit("unknown")).alias("gender"), "dialogue_count"),
-        "dialogues": d.select("project_id", "ord", "chapter", "speaker", "text"),
-        "audio_files": files.withColumnRenamed("book_id", "project_id").select("project_id", "ord", T.segment_path(F.col("ord")).alias("path"), "length"),
-    }
-
-
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    for name, df in tables.items():
-        df.write.partitionBy("project_id").parquet(f"{path}/{name}")
-
-
-def upsert_voices(voices: DataFrame, new: DataFrame) -> DataFrame:
-    """Registry rows (voice_id, voice_name, ref_audio_path, seq); of one id the last stays."""
-    last = F.max_by(F.struct("voice_name", "ref_audio_path", "seq"), "seq").alias("v")
-    return voices.unionByName(new).groupBy("voice_id").agg(last).select("voice_id", "v.*")
-
-
-def read_voices(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """Voices of JSON files that hold a list each, or, ``per_line``, one voice on each line."""
-    schema = "voice_id string, voice_name string, ref_audio_path string, metadata map<string,string>"
-    return spark.read.schema(schema).json(path, multiLine=not per_line)
-
-
 def bracket_labels(lines: DataFrame) -> DataFrame:
     """(book_id, ord, label) from lines with ``【speaker|alias】「text」``, in order."""
     hit = lines.select("book_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(T.BRACKET_SPEAKER), F.lit(1))).alias("pos", "name"))
