@@ -41,15 +41,20 @@ BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements, and words of class, id and role, that mark furniture (fixed values).  A class or id
-#: marks it only if each of its names begins with such a word, so "market share" doesn't.
+#: Elements that are furniture, and words in the names of a class, an id or a role (fixed values).
 FURNITURE = frozenset("nav header footer aside form menu dialog button select head search".split())
+#: These mark an element when one of its names is such a word, or begins or ends with it ("post-comments").
 MARKS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus "
-    "footer header masthead menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar "
-    "social sponsor sponsored subscribe toolbar widget replies responses complementary search alert".split()
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus "
+    "menu modal nav navbar navigation newsletter popup replies responses sidebar sponsor sponsored widget".split()
 )
-FIRST_WORD = re.compile(r"[^-_]+")
+#: These are names of parts of articles too: they mark a container beside an article so, and one within it only if it has no other name.
+WEAK_MARKS = frozenset("alert banner complementary footer header masthead notice promo related search share sharing social subscribe toolbar".split())
+#: Elements of text.  Words in them are seldom furniture, so only a whole name of ``MARKS`` counts.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre span a em strong b i".split())
+#: An article that has less than this part of a page's plain words isn't what the page is about.
+LEAST_SHARE = 1 / 3
+PARTS = re.compile(r"[^-_]+")
 #: Prior counts of words: (inside, outside) for plain words, words beside an article, and furniture.
 PRIOR = {"plain": (50.0, 5.0), "beside": (1.0, 10.0), None: (1.0, 20.0)}
 #: Bounds of the weights of words and of tags.
@@ -67,11 +72,17 @@ def furniture(name: str, found: dict[str, str], in_article: bool) -> str | None:
         return name
     if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
         return "hidden"
-    if name not in ("body", "html", "article", "main"):
-        for key in ("class", "id", "role"):
-            words = [m[0].lower() for m in map(FIRST_WORD.search, found.get(key, "").split()) if m]
-            if words and all(w in MARKS for w in words):
-                return words[0]
+    if name in ("body", "html", "main"):
+        return None
+    for key in ("class", "id", "role"):
+        names = found.get(key, "").lower().split()
+        ends = [m[-1] for m in map(PARTS.findall, names) if m] + [m[0] for m in map(PARTS.findall, names) if m]
+        strong = [w for w in (names if name in TEXT else ends) if w in MARKS]
+        if strong:
+            return strong[0]
+        weak = [w for w in (names if in_article else ends) if w in WEAK_MARKS]
+        if weak and name not in TEXT and name != "article" and (not in_article or len(weak) == len(names)):
+            return weak[0]
     return None
 
 
@@ -144,6 +155,10 @@ class Page:
                 stack.append((m["name"].lower(), own, inner))
                 context, article = own, inner
             add((TAG, name, "", inner, block))
+        plain = [(len(t.split()), a) for k, c, t, a, _ in self.tokens if k == WORD and c == PLAIN]
+        if sum(n for n, a in plain if a) < LEAST_SHARE * sum(n for n, _ in plain):
+            self.articles = 0
+            self.tokens = [(k, c, t, 0, b) for k, c, t, _, b in self.tokens]
         if self.articles:  # plain words beside the articles are a context of their own
             self.tokens = [(k, BESIDE, t, a, b) if k == WORD and c == PLAIN and not a else (k, c, t, a, b) for k, c, t, a, b in self.tokens]
 
@@ -167,7 +182,7 @@ def learn(sources: Iterator[str]) -> dict[tuple[str, str], float]:
             inside += c[0]
             outside += c[1]
     weights = {}
-    for kind, name in {*inside, *outside, *((WORD, w) for w in (PLAIN, BESIDE, "hidden", *FURNITURE, *MARKS))}:
+    for kind, name in {*inside, *outside, *((WORD, w) for w in (PLAIN, BESIDE, "hidden", *FURNITURE, *MARKS, *WEAK_MARKS))}:
         a, b = PRIOR.get(name, PRIOR[None]) if kind == WORD else (5.0, 5.0)
         odds = math.log(inside[kind, name] + a) - math.log(outside[kind, name] + b)
         weights[kind, name] = min(MOST, max(-MOST, odds)) if kind == WORD else min(MOST_TAG, max(LEAST_TAG, odds))
