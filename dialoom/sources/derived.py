@@ -52,7 +52,7 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genders(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GENDERS, "speaker string, gender string, confidence double")
+    return F.broadcast(spark.createDataFrame(GENDERS, "speaker string, gender string, confidence double"))  # a fixed list
 
 
 def emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clones(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("assistant", "a.wav"), ("user", "gone.wav")], "speaker string, ref_audio string")
+    return F.broadcast(spark.createDataFrame([("assistant", "a.wav"), ("user", "gone.wav")], "speaker string, ref_audio string"))  # a fixed list
 
 
 def audio_files(spark: SparkSession) -> DataFrame:
     """(path): reference audio that exists."""
-    return spark.createDataFrame([("a.wav",), ("b.wav",)], "path string")
+    return F.broadcast(spark.createDataFrame([("a.wav",), ("b.wav",)], "path string"))  # a fixed list
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

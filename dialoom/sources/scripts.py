@@ -93,11 +93,18 @@ def write_labels_json(df: DataFrame, path: str) -> None:
     df.select("book_id", "value").write.json(path)
 
 
+#: Entries of a configuration whose table is broadcast; they are counted where they are given.
+BROADCAST_ENTRIES = 100_000
+
+
 def casting_tables(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
     """(speaker, ref_audio) and (gender, ref_audio) of a casting configuration."""
-    cast = spark.createDataFrame(list(config.get("characters", {}).items()), "speaker string, ref_audio string")
-    default = spark.createDataFrame(list(config.get("default_audio", {}).items()), "gender string, ref_audio string")
-    return cast, default
+
+    def table(entries: dict, key: str) -> DataFrame:
+        df = spark.createDataFrame(list(entries.items()), f"{key} string, ref_audio string")
+        return F.broadcast(df) if len(entries) <= BROADCAST_ENTRIES else df
+
+    return table(config.get("characters", {}), "speaker"), table(config.get("default_audio", {}), "gender")
 
 
 def scan_segment_files(spark: SparkSession, path: str, number: str = r"/(\d+)[^/]*\.wav$") -> DataFrame:
