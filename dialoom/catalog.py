@@ -460,6 +460,21 @@ def _one_book(s: SparkSession, d: str) -> DataFrame:
     return parsing.dialogue_table(rows, named)
 
 
+def _synthesis(s: SparkSession, d: str) -> DataFrame:
+    of = D.written_dialogues(s, d)
+    return jobs.synthesis_jobs(of, D.genders(s), D.emotions(s, d, of), *S.casting_tables(s, D.CAST), D.files(s, d, of))
+
+
+def _presets(s: SparkSession, d: str) -> DataFrame:
+    of = D.written_dialogues(s, d)
+    return jobs.preset_jobs(of, D.genders(s), D.clones(s), D.audio_files(s), D.files(s, d, of))
+
+
+def _volume(s: SparkSession, d: str) -> list[DataFrame]:
+    of = D.written_dialogues(s, d)
+    return [of, D.files(s, d, of), D.segments(s, d, of), D.results(s, d, of)]
+
+
 def _one_timeline(s: SparkSession, d: str) -> DataFrame:
     rows = D.segments(s, d).select(F.lit(0).cast("long").alias("book_id"), (F.col("book_id") * GAP + F.col("ord")).alias("ord"), "chapter", "duration_ms")
     return timeline.splice_timeline(rows).drop("book_id")
@@ -634,11 +649,11 @@ SELECT 0::BIGINT AS clip_id, start_ms, end_ms, clip_start, clip_start + end_ms -
     # composites
     _op("parse_book", lambda s, d: jobs.parse_book(D.lines(s, d), D.labels(s, d)), "SELECT * FROM speakers")
     _op("dialogue_table", lambda s, d: D.dialogues(s, d), all_d)
-    _op("synthesis_jobs", lambda s, d: jobs.synthesis_jobs(D.dialogues(s, d), D.genders(s), D.emotions(s, d), *S.casting_tables(s, D.CAST), D.files(s, d)), """, j AS (SELECT *, CASE WHEN phrase = '' THEN '' ELSE '(' || phrase || ')' END AS style FROM styled WHERE NOT (ord%3=0 AND ord%9<>0))
+    _op("synthesis_jobs", _synthesis, """, j AS (SELECT *, CASE WHEN phrase = '' THEN '' ELSE '(' || phrase || ')' END AS style FROM styled WHERE NOT (ord%3=0 AND ord%9<>0))
 SELECT book_id, ord, chapter, speaker, ref_audio, style, replace(style || text, chr(10), ' ') AS text, printf('%05d.wav', ord) AS output_path FROM j""")
-    _op("preset_jobs", lambda s, d: jobs.preset_jobs(D.dialogues(s, d), D.genders(s), D.clones(s), D.audio_files(s), D.files(s, d)), "SELECT book_id, ord, chapter, speaker, text, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
-    _op("volume_timeline", lambda s, d: jobs.volume_timeline(D.dialogues(s, d), D.files(s, d), D.segments(s, d), D.results(s, d)), "SELECT book_id, ord, chapter, engine, readable, duration_ms, gap_ms, end_ms - duration_ms AS start_ms, end_ms, CASE WHEN duration_ms >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM volume_line")
-    _op("volume_report", lambda s, d: jobs.volume_report(D.dialogues(s, d), D.files(s, d), D.segments(s, d), D.results(s, d)), """, m AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f) AS file_index FROM (SELECT book_id, chapter, min(ord) AS f, count(*) AS segments, sum(duration_ms)::BIGINT AS duration_ms FROM volume_line GROUP BY ALL)),
+    _op("preset_jobs", _presets, "SELECT book_id, ord, chapter, speaker, text, CASE WHEN speaker='assistant' THEN 'clone' ELSE 'preset' END AS engine, CASE WHEN speaker='assistant' THEN 'a.wav' WHEN gender='male' THEN 'male_voice' ELSE 'female_voice' END AS voice, printf('%05d_%s.wav', ord, speaker) AS output_path FROM gendered WHERE NOT (ord%3=0 AND ord%9<>0)")
+    _op("volume_timeline", lambda s, d: jobs.volume_timeline(*_volume(s, d)), "SELECT book_id, ord, chapter, engine, readable, duration_ms, gap_ms, end_ms - duration_ms AS start_ms, end_ms, CASE WHEN duration_ms >= 100 THEN 50 ELSE 0 END::BIGINT AS fade_ms FROM volume_line")
+    _op("volume_report", lambda s, d: jobs.volume_report(*_volume(s, d)), """, m AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY f) AS file_index FROM (SELECT book_id, chapter, min(ord) AS f, count(*) AS segments, sum(duration_ms)::BIGINT AS duration_ms FROM volume_line GROUP BY ALL)),
 v AS (SELECT book_id, max(end_ms) AS volume_ms FROM volume_line GROUP BY book_id), z AS (SELECT book_id, round(sum(length) / 1048576, 4) AS size_mb FROM files GROUP BY book_id)
 SELECT book_id, file_index, CASE WHEN chapter='' THEN 'chapter_' || file_index ELSE chapter END AS title, segments, duration_ms, volume_ms, size_mb FROM m JOIN v USING (book_id) LEFT JOIN z USING (book_id)""")
     _op("reference_clip_plan", lambda s, d: jobs.reference_clip_plan(D.frames(s, d).select("clip_id", F.col("frame_idx").alias("sample_idx"), F.col("rms").alias("v")), 45.0, 16, 4, 100), """, c AS (SELECT *, (coalesce(sum(end_ms-start_ms+100) OVER (PARTITION BY clip_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS clip_start FROM level_joined),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import parsing
+from .shared import new_folder
 
 CAST = {"characters": {"assistant": "a.wav", "旁白": "n.wav"}, "default_audio": {"male": "m.wav", "female": "f.wav"}}
 GENDERS = [("assistant", "male", 0.95), ("user", "female", 0.7)]
@@ -51,38 +52,45 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.dialogue_table(lines(spark, sf_dir), labels(spark, sf_dir))
 
 
+def written_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogues, parsed once and written, for queries that derive several tables from them."""
+    path = new_folder(spark, "dialogues")
+    dialogues(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def genders(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(GENDERS, "speaker string, gender string, confidence double"))  # a fixed list
 
 
-def emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def emotions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """(book_id, ord, emotion, tone, confidence, evidence) of three dialogues in four."""
-    d = dialogues(spark, sf_dir).where("ord % 4 <> 3")
+    d = (dialogues(spark, sf_dir) if of is None else of).where("ord % 4 <> 3")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.col("ord") % k + 1).cast("int"))
     evidence = F.when(F.col("ord") % 6 == 5, "Error: none").otherwise(F.concat(F.lit("line "), "line_no"))
     return d.select("book_id", "ord", pick(T.EMOTIONS, 7).alias("emotion"), pick(T.TONES, 5).alias("tone"), F.lit(0.5).alias("confidence"), evidence.alias("evidence"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """(book_id, ord, path, length, modified_s) of every third dialogue; some are empty."""
-    d = dialogues(spark, sf_dir).where("ord % 3 = 0")
+    d = (dialogues(spark, sf_dir) if of is None else of).where("ord % 3 = 0")
     size = F.when(F.col("ord") % 9 == 0, 0).otherwise(F.col("ord") + 1000).cast("long")
     return d.select("book_id", "ord", T.segment_path(F.col("ord")).alias("path"), size.alias("length"), (F.col("ord") * 7 + F.col("ord") % 5 * 40 + 1_700_000_000).alias("modified_s"))
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dialogues(spark, sf_dir)
+def segments(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    d = dialogues(spark, sf_dir) if of is None else of
     return d.select("book_id", "ord", "line_no", "chapter", "speaker", (60 * F.length("text")).cast("long").alias("duration_ms"))
 
 
-def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_log(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     engine = F.when(F.col("ord") % 2 == 0, "clone").otherwise("preset")
     status = F.when(F.col("ord") % 6 == 5, "error").otherwise("ok")
-    return dialogues(spark, sf_dir).select("book_id", "ord", engine.alias("engine"), ((F.col("ord") % 7 + 1) * 0.5).alias("seconds"), status.alias("status"))
+    return (dialogues(spark, sf_dir) if of is None else of).select("book_id", "ord", engine.alias("engine"), ((F.col("ord") % 7 + 1) * 0.5).alias("seconds"), status.alias("status"))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_log(spark, sf_dir).where("ord % 4 <> 3").select("book_id", "ord", "status")
+def results(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return run_log(spark, sf_dir, of).where("ord % 4 <> 3").select("book_id", "ord", "status")
 
 
 def clones(spark: SparkSession) -> DataFrame:
