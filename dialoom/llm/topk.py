@@ -7,9 +7,11 @@ bounds the distance from below.  Coarse segments are tried first; pairs whose bo
 can't reach the k-th best score known are dropped, finer segments follow, and the survivors
 get their exact integer scores.
 
-Queries and candidates are packed into blocks of bounded rows and bytes; each pair of blocks is one
-unit of work, and only the k best of each query leave it.  All queries first meet one block,
-so that each carries a score that k candidates reach to all its pairs of blocks.
+Queries and candidates are packed into blocks of bounded rows and bytes, near vectors together, in
+the narrowest integers that hold them.  The best scores of a query within its own block are a floor
+of its k best.  A block of candidates is summed up by the range of its means and its largest
+deviation in each segment, which bound every pair with it: only blocks whose bound reaches a floor
+of a block of queries are sent there, and only the k best of each query leave a pair of blocks.
 """
 
 from __future__ import annotations
@@ -28,11 +30,60 @@ CANDIDATE_BLOCK = 16_384
 #: Bytes of the vectors in a block, as 64-bit numbers.
 BLOCK_BYTES = 16 << 20
 LEVELS = (4, 16)
+#: Vectors that others are put next to, and their bytes as 64-bit numbers; they decide which rows share a block, not the results.
+PIVOTS, PIVOT_BYTES = 64, 4 << 20
+#: Summaries of blocks that one task compares with a block of queries at a time.
+PAGE = 1_024
 SCALE = 256.0
 LARGEST = np.finfo(np.float64).max
 MOST = 2**63 - 1
 
 
+def _narrow(x: np.ndarray) -> tuple[str, bytes]:
+    """The narrowest of three types that holds whole numbers, and their bytes."""
+    most = np.abs(x).max(initial=0)
+    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+    return kind, x.astype(kind).tobytes()
+
+
+def _rows(pivots: dict[int, np.ndarray]) -> Callable:
+    """Rows of whole numbers, each with the pivot that it is nearest to."""
+    half = {d: (p**2).sum(1) / 2 for d, p in pivots.items()}
+
+    def run(batches):
+        for batch in batches:
+            vec = batch.column("vec")
+            flat, at = vec.flatten().to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
+            at = at - at[0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                ints = np.clip(np.floor(np.asarray(flat, np.float64) * SCALE), -LARGEST, LARGEST)
+                dims = np.diff(at)
+                cells = np.zeros(len(dims), np.int32)
+                for d in set(dims.tolist()) & set(pivots):
+                    some = np.flatnonzero(dims == d)
+                    x = ints[at[some][:, None] + np.arange(d)] if d else np.zeros((len(some), 0))
+                    cells[some] = (x @ pivots[d].T - half[d]).argmax(1)
+            coded = [_narrow(ints[at[i] : at[i + 1]]) for i in range(len(dims))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(cells, pa.int32()), pa.array([k for k, _ in coded]), pa.array([r for _, r in coded], pa.binary())],
+                names=["vec_id", "dim", "cell", "kind", "row"],
+            )
+
+    return run
+
+
+def summary(x: np.ndarray) -> np.ndarray:
+    """Largest and least means and largest deviations of the segments of a block, weighted as in ``statistics``."""
+    s = statistics(x, LEVELS[-1])
+    return np.concatenate([s[:, 0::2].max(0), s[:, 0::2].min(0), s[:, 1::2].max(0)])
+
+
+def bounds(q: np.ndarray, summaries: np.ndarray) -> np.ndarray:
+    """What no inner product of a query with a vector of a block exceeds, from statistics and summaries."""
+    mean = q[:, 0::2]
+    return np.concatenate([np.maximum(mean, 0), np.minimum(mean, 0), q[:, 1::2]], 1) @ summaries.T
+
+
 def _blocks(size: int, name: str) -> Callable:
     def run(batches):
         # vectors of one length go together; a block holds whole rows only
@@ -40,19 +91,18 @@ def _blocks(size: int, name: str) -> Callable:
 
         def block(d):
             ids, rows = zip(*held.pop(d), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(rows)], pa.binary())], names=["dim", f"{name}_ids", f"{name}_rows"])
+            x = np.stack(rows)
+            kind, packed = _narrow(x)
+            with np.errstate(over="ignore", invalid="ignore"):
+                stats = summary(x) if name == "c" else statistics(x, LEVELS[-1])
+            names = ["dim", f"{name}_kind", f"{name}_ids", f"{name}_rows", f"{name}_stats"]
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([kind]), *(pa.array([v], pa.binary()) for v in (np.array(ids, "<i8").tobytes(), packed, stats.astype("<f8").tobytes()))], names=names)
 
         for batch in batches:
-            vec = batch.column("vec")
-            flat, at = vec.flatten().to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
-            at = at - at[0]
-            with np.errstate(over="ignore"):
-                ints = np.clip(np.floor(np.asarray(flat, np.float64) * SCALE), -LARGEST, LARGEST)
-            for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
-                row = ints[at[i] : at[i + 1]]
-                held.setdefault(len(row), []).append((vec_id, row.astype("<f8").tobytes()))
-                if len(held[len(row)]) >= max(1, min(size, BLOCK_BYTES // max(8, 8 * len(row)))):
-                    yield block(len(row))
+            for vec_id, d, kind, row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "kind", "row")), strict=True):
+                held.setdefault(d, []).append((vec_id, np.frombuffer(row, kind).astype(np.float64)))
+                if len(held[d]) >= max(1, min(size, BLOCK_BYTES // max(8, 8 * d))):
+                    yield block(d)
         for d in list(held):
             yield block(d)
 
@@ -121,31 +171,45 @@ def best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray
 
 def _vectors(r: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and rows of a block."""
-    return np.frombuffer(r[f"{name}_ids"], "<i8"), np.frombuffer(r[f"{name}_rows"], "<f8").reshape(len(r[f"{name}_ids"]) // 8, r["dim"])
+    ids = np.frombuffer(r[f"{name}_ids"], "<i8")
+    return ids, np.frombuffer(r[f"{name}_rows"], r[f"{name}_kind"]).reshape(len(ids), r["dim"]).astype(np.float64)
 
 
 def _floors(k: int) -> Callable:
-    """Query blocks, each query with the k-th best score that it has in one block."""
+    """Query blocks, each query with the k-th best score that it has in its own block."""
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                (q_ids, q), (c_ids, c) = _vectors(r, "q"), _vectors(r, "c")
+                q_ids, q = _vectors(r, "q")
                 floors = np.full(len(q), -np.inf)
-                if len(c) >= k:
-                    at, _, score = best(q_ids, q, floors, c_ids, c, k)
-                    full = np.bincount(at.astype(np.int64), minlength=len(q)) == k
-                    last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.zeros(0, np.int64)
-                    last = last[full[at[last].astype(np.int64)]]
-                    floors[at[last].astype(np.int64)] = [_as_double(s) for s in score[last].tolist()]
+                at, _, score = best(q_ids, q, floors, q_ids, q, k)
+                full = np.bincount(at.astype(np.int64), minlength=len(q)) == k
+                last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.zeros(0, np.int64)
+                last = last[full[at[last].astype(np.int64)]]
+                floors[at[last].astype(np.int64)] = [_as_double(s) for s in score[last].tolist()]
                 out.append(floors.astype("<f8").tobytes())
-            names = ["dim", "q_ids", "q_rows"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "q_floors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "q_floors"])
 
     return run
 
 
+def _meeting(batches):
+    """(q_block, c_block) of the pairs that may hold one of the k best."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            floors = np.frombuffer(r["q_floors"], "<f8")
+            q = np.frombuffer(r["q_stats"], "<f8").reshape(len(floors), -1)
+            c = np.frombuffer(b"".join(p["c_stats"] for p in r["page_of"]), "<f8").reshape(len(r["page_of"]), -1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = bounds(q, c)
+                slack = 1e-9 * (np.abs(bound) + np.abs(floors)[:, None]) + 1e-6
+                meets = ~(bound < floors[:, None] - slack).all(0)  # what isn't a number meets too
+            ids = [p["c_block"] for p, m in zip(r["page_of"], meets, strict=True) if m]
+            yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["q_block", "c_block"])
+
+
 def _as_double(score: int) -> float:
     return float(max(-(10**308), min(10**308, score)))
 
@@ -166,6 +230,32 @@ def _compare(k: int) -> Callable:
     return run
 
 
+def _pivots(v: DataFrame) -> dict[int, np.ndarray]:
+    """At most ``PIVOTS`` vectors by a hash of their id, by length, as whole numbers."""
+    some = v.where(F.size("vec") <= PIVOT_BYTES // (8 * PIVOTS)).select("vec", F.xxhash64("vec_id").alias("_h")).orderBy("_h").limit(PIVOTS)
+    out: dict[int, list] = {}
+    for r in some.toLocalIterator():
+        with np.errstate(over="ignore"):
+            x = np.clip(np.floor(np.array(r["vec"], np.float64) * SCALE), -LARGEST, LARGEST)
+        if np.abs(x).max(initial=0) < 1e150:
+            out.setdefault(len(x), []).append(x)
+    return {d: np.unique(np.stack(x), axis=0) for d, x in out.items()}
+
+
+def _pairs(q: DataFrame, c: DataFrame) -> DataFrame:
+    """(q_block, c_block) of blocks of one length that have to meet, found from summaries of the blocks of candidates.
+
+    The summaries go in pages of bounded rows to the statistics of each block of queries; vectors don't move.
+    """
+    n_pages = max(1, -(-c.count() // PAGE))
+    pages = c.select("dim", "c_block", "c_stats").withColumn("page", F.pmod(F.xxhash64("c_block"), F.lit(n_pages)))
+    pages = pages.groupBy("dim", "page").agg(F.collect_list(F.struct("c_block", "c_stats")).alias("page_of"))
+    ids = q.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks"))
+    grid = pages.join(ids.hint("merge"), "dim").withColumn("q_block", F.explode("q_blocks")).drop("dim", "q_blocks")
+    asked = q.select("q_block", "q_stats", "q_floors").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_pages - 1).cast("long"))))
+    return map_batches(asked.join(grid.hint("merge"), ["q_block", "page"]), _meeting, "q_block long, c_block long")
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query.
 
@@ -181,22 +271,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     raw = F.col("embedding").cast("array<double>")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), raw.alias("vec")).where("vec_id is not null and vec is not null").where(~bad)
-    asked = v.where(F.col("vec_id") % every == 0)
-    kind = "dim int, {0}_ids binary, {0}_rows binary"
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_queries = asked.count()
-    q = asked.repartition(max(1, -(-n_queries // QUERY_BLOCK)))  # by no key: an id may stand in many rows
-    q = save(map_batches(q, _blocks(QUERY_BLOCK, "q"), kind.format("q")), "blocks")
-    # queries are candidates too, so one of their blocks gives each query a score that k candidates reach
-    one = q.groupBy("dim").agg(F.min(F.struct(F.col("q_ids").alias("c_ids"), F.col("q_rows").alias("c_rows"))).alias("c")).select("dim", "c.*")
-    q = map_batches(q.join(one.hint("merge"), "dim"), _floors(k), kind.format("q") + ", q_floors binary")
+    row = "vec_id long, dim int, cell int, kind string, row binary"
+    # near rows in one place; those of one cell, and rows that repeat, are spread over as many partitions as they fill
+    rows = map_batches(v, _rows(_pivots(v)), row).withColumn("_at", F.xxhash64("vec_id", F.monotonically_increasing_id()))
+    asked = rows.where(F.col("vec_id") % every == 0)
+    kind = "dim int, {0}_kind string, {0}_ids binary, {0}_rows binary, {0}_stats binary"
+    n_queries = v.where(F.col("vec_id") % every == 0).count()
+    q = asked.repartitionByRange(max(1, -(-n_queries // QUERY_BLOCK)), "dim", "cell", "_at").sortWithinPartitions("dim", "cell")
+    q = map_batches(map_batches(q, _blocks(QUERY_BLOCK, "q"), kind.format("q")), _floors(k), kind.format("q") + ", q_floors binary")
     q = save(q.withColumn("q_block", F.monotonically_increasing_id()), "queries")
-    ids = q.select("dim", "q_block")
-    c = map_batches(v, _blocks(CANDIDATE_BLOCK, "c"), kind.format("c")).withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
-    # each block of candidates meets each block of queries: an equi-join on (block, lane)
-    grid = c.join(ids.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks")).hint("merge"), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
-    lanes = q.drop("dim").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = grid.join(lanes.hint("merge"), ["q_block", "lane"]).select("dim", "q_ids", "q_rows", "q_floors", "c_ids", "c_rows")
+    c = rows.repartitionByRange(parts, "dim", "cell", "_at").sortWithinPartitions("dim", "cell")
+    c = save(map_batches(c, _blocks(CANDIDATE_BLOCK, "c"), kind.format("c")).withColumn("c_block", F.monotonically_increasing_id()), "blocks")
+    pairs = save(_pairs(q, c), "pairs").withColumn("lane", F.pmod(F.xxhash64("c_block"), F.lit(parts)))
+    # a block of queries goes to the lanes of the candidates that it meets, not to each candidate
+    lanes = q.drop("dim", "q_stats").join(pairs.select("q_block", "lane").distinct().hint("merge"), "q_block")
+    pairs = c.drop("c_stats").join(pairs.hint("merge"), "c_block").join(lanes.hint("merge"), ["q_block", "lane"])
+    pairs = pairs.select("dim", "q_kind", "q_ids", "q_rows", "q_floors", "c_kind", "c_ids", "c_rows")
     found = map_batches(pairs, _compare(k), "query_id long, vec_id long, score long, size double")
     # as doubles first, which never contradicts the order of longs, then exactly
     order = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), "vec_id")

@@ -63,3 +63,30 @@ def test_samples_take_usable_texts(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(206)] + [(999, 1), (None, 1), (201, None)], "doc_id long, label int")
     got = samples.labelled_texts(spark.createDataFrame(docs, "doc_id long, text string"), labels, 10, 100)
     assert sorted(got.column("text").to_pylist()) == [f"short {i}" for i in range(200, 205)]
+
+
+def test_blocks_that_cannot_reach_a_floor_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 25)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((16, 32)) * 4
+    x = centres[rng.integers(0, 16, 4000)] + 0.05 * rng.standard_normal((4000, 32))
+    met = []
+    pairs = topk._pairs
+    monkeypatch.setattr(topk, "_pairs", lambda q, c: met.append((pairs(q, c).count(), q.count() * c.count())) or pairs(q, c))
+    got = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=10).collect()
+    ints = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, 4000, 10):
+        found = ints @ ints[q]
+        want += [(q, n + 1, j, s) for n, (s, j) in enumerate([(-s, j) for s, j in sorted((-s, j) for j, s in enumerate(found.tolist()) if j != q)[:5]])]
+    assert sorted(map(tuple, got)) == want
+    assert met[0][0] < met[0][1] / 2  # most pairs of blocks never meet
+
+
+def test_bounds_of_blocks_hold():
+    rng = np.random.default_rng(9)
+    for dim in (1, 5, 16, 40):
+        q, c = rng.standard_normal((30, dim)), rng.standard_normal((20, dim)) + 1
+        bound = topk.bounds(topk.statistics(q, topk.LEVELS[-1]), topk.summary(c)[None, :])
+        assert (bound[:, 0] >= (q @ c.T).max(1) - 1e-9).all()
