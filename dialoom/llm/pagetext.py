@@ -3,12 +3,15 @@
 A page is read as words and tags.  Tags score negative, words positive, but for words in a
 context (a menu, a notice, text beside the article and the like) that labelled pages have
 outside their article.  A linear scan finds the contiguous run with the largest sum; it is
-widened to the blocks that it touches, and its words are the text.  Inside the run only words
-whose own score is negative are left out.
+widened to the blocks that it touches, and its words are the text.  Where a page marks one article
+the scan alone says what lies outside; elsewhere the run may reach over furniture.  Furniture
+inside an article, or between the blocks of such a run, is left out.
 
 The weights are log-odds from labelled pages: of a bounded number of pages that mark their
 article by an element, what lies in it and what doesn't.  Contexts and tags that these pages
-don't have start from prior counts.
+don't have start from prior counts.  On pages that mark no article, words score by the shape of
+their block too (its length, and whether most of its words are links), so that a menu which no name
+marks scores below zero.
 """
 
 from __future__ import annotations
@@ -59,10 +62,13 @@ PARTS = re.compile(r"[^-_]+")
 PRIOR = {"plain": (50.0, 5.0), "beside": (1.0, 10.0), None: (1.0, 20.0)}
 #: Bounds of the weights of words and of tags.
 MOST, LEAST_TAG, MOST_TAG = 2.0, -1.0, -0.05
+#: Bounds of what the shape of a block adds to the weight of its words: of links, and of other text, which no shape turns negative.
+LINK_SHAPE, TEXT_SHAPE = (-3.0, 0.0), (-1.0, 1.0)
+SHORT, MIDDLE = 3, 15
 #: The most labelled pages and characters of a page that weights are learned from.
 SAMPLE_PAGES, SAMPLE_CHARS = 500, 200_000
 
-WORD, TAG = "word", "tag"
+WORD, TAG, SHAPE = "word", "tag", "shape"
 PLAIN, BESIDE = "plain", "beside"
 
 
@@ -89,11 +95,12 @@ def furniture(name: str, found: dict[str, str], in_article: bool) -> str | None:
 class Page:
     """Tokens of a page: (kind, name of the tag or context of the words, text, article number, block number)."""
 
-    __slots__ = ("tokens", "articles")
+    __slots__ = ("articles", "links", "tokens", "words")
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str, str, int, int]] = []
         self.articles = 0
+        self.words, self.links = Counter(), Counter()  # by block: its words, and those in links
         stack: list[tuple[str, str | None, int]] = []  # name, furniture, article
         pos, block, n = 0, 0, len(source)
         context, article = None, 0
@@ -103,7 +110,11 @@ class Page:
             m = TOKEN.search(source, pos)
             upto = m.start() if m else n
             if upto > pos:
-                add((WORD, context or PLAIN, htmllib.unescape(source[pos:upto]), article, block))
+                text = htmllib.unescape(source[pos:upto])
+                add((WORD, context or PLAIN, text, article, block))
+                self.words[block] += len(text.split())
+                if any(s[0] == "a" for s in stack):
+                    self.links[block] += len(text.split())
             if not m:
                 break
             pos = m.end()
@@ -162,6 +173,11 @@ class Page:
         if self.articles:  # plain words beside the articles are a context of their own
             self.tokens = [(k, BESIDE, t, a, b) if k == WORD and c == PLAIN and not a else (k, c, t, a, b) for k, c, t, a, b in self.tokens]
 
+    def shape(self, block: int) -> str:
+        """Whether most words of a block are links, and how many words it has."""
+        n = self.words[block]
+        return f"{'links' if 2 * self.links[block] > n else 'text'} {'short' if n <= SHORT else 'middle' if n <= MIDDLE else 'long'}"
+
 
 def _count(source: str) -> tuple[Counter, Counter] | None:
     """(tokens inside the marked article, tokens outside) of a labelled page."""
@@ -169,13 +185,16 @@ def _count(source: str) -> tuple[Counter, Counter] | None:
     if page.articles != 1:
         return None
     inside, outside = Counter(), Counter()
-    for kind, name, text, article, _ in page.tokens:
-        (inside if article else outside)[kind, name] += 1 if kind == TAG else len(text.split())
+    for kind, name, text, article, block in page.tokens:
+        side, n = inside if article else outside, 1 if kind == TAG else len(text.split())
+        side[kind, name] += n
+        if kind == WORD:
+            side[SHAPE, page.shape(block)] += n
     return inside, outside
 
 
 def learn(sources: Iterator[str]) -> dict[tuple[str, str], float]:
-    """Weights of words by context and of tags: log-odds of lying in the article, within bounds."""
+    """Weights of words by context, of shapes of blocks and of tags: log-odds of lying in the article, within bounds."""
     inside, outside = Counter(), Counter()
     for s in sources:
         if s and (c := _count(s)):
@@ -185,22 +204,25 @@ def learn(sources: Iterator[str]) -> dict[tuple[str, str], float]:
     for kind, name in {*inside, *outside, *((WORD, w) for w in (PLAIN, BESIDE, "hidden", *FURNITURE, *MARKS, *WEAK_MARKS))}:
         a, b = PRIOR.get(name, PRIOR[None]) if kind == WORD else (5.0, 5.0)
         odds = math.log(inside[kind, name] + a) - math.log(outside[kind, name] + b)
-        weights[kind, name] = min(MOST, max(-MOST, odds)) if kind == WORD else min(MOST_TAG, max(LEAST_TAG, odds))
+        least, most = {WORD: (-MOST, MOST), TAG: (LEAST_TAG, MOST_TAG), SHAPE: LINK_SHAPE if name.startswith("links") else TEXT_SHAPE}[kind]
+        weights[kind, name] = min(most, max(least, odds))
     return weights
 
 
-def scores(page: Page, weights: dict[tuple[str, str], float]) -> list[float]:
-    """The score of each token; that of a text is the sum of its words'.
+def scores(page: Page, weights: dict[tuple[str, str], float], shapes: bool = True) -> list[float]:
+    """The score of each token; that of a text is the sum of its words', with ``shapes`` by the shape of its block where no article is marked.
 
     Inside an article tags, and words of furniture, have the least penalty, so that a list or
     a notice there doesn't end the run.
     """
     out = []
-    for kind, name, text, article, _ in page.tokens:
+    for kind, name, text, article, block in page.tokens:
         if kind == TAG:
             out.append(MOST_TAG if article else weights.get((TAG, name), -0.3))
         else:
             w = weights.get((WORD, name), -1.0)
+            if shapes and not page.articles:
+                w += weights.get((SHAPE, page.shape(block)), 0.0)
             out.append(len(text.split()) * (MOST_TAG if article and w < 0 else w))
     return out
 
@@ -222,15 +244,19 @@ def extract(source: str | None, weights: dict[tuple[str, str], float]) -> str:
     if not source:
         return ""
     page = Page(source)
-    lo, hi = best_run(scores(page, weights))
-    blocks = [t[4] for t in page.tokens[lo:hi] if t[0] == WORD and t[2].strip()]
-    if not blocks:
+    for shapes in (True, False):  # a page of nothing but links has these as its text
+        lo, hi = best_run(scores(page, weights, shapes))
+        blocks = [t[4] for t in page.tokens[lo:hi] if t[0] == WORD and t[2].strip()]
+        if blocks:
+            break
+    else:
         return ""
     first, last = min(blocks), max(blocks)
     out: list[list[str]] = []
     at = None
-    for kind, context, text, _, block in page.tokens:
-        if kind == WORD and first <= block <= last and weights.get((WORD, context), -1.0) > 0:
+    for kind, context, text, article, block in page.tokens:
+        outside = page.articles == 1 and not article  # left to the scan
+        if kind == WORD and first <= block <= last and (outside or weights.get((WORD, context), -1.0) > 0):
             if block != at:
                 out.append([])
                 at = block

@@ -46,3 +46,20 @@ def test_a_small_article_does_not_outdo_the_page(weights):
     page = "<html><body>" + f"<p>{WORDS}</p>" * 50 + "<article>One</article><nav><a>Menu of it</a></nav></body></html>"
     text = pagetext.extract(page, weights)
     assert text.count(WORDS) == 50 and "Menu" not in text
+
+
+def test_the_scan_and_the_learned_weights_decide(spark, weights, monkeypatch):
+    html = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    texts = [pagetext.extract(h, weights) for h in html]
+    flat = {k: 1.0 if k[0] == pagetext.WORD else 0.0 if k[0] == pagetext.SHAPE else -0.05 for k in weights}
+    assert sum(pagetext.extract(h, flat) != t for h, t in zip(html, texts, strict=True)) > len(html) / 2
+    monkeypatch.setattr(pagetext, "best_run", lambda values: (0, len(values)))
+    assert sum(pagetext.extract(h, weights) != t for h, t in zip(html, texts, strict=True)) > len(html) / 2
+
+
+def test_a_menu_without_a_name_goes_and_links_of_a_text_stay(weights):
+    menu = "<div><ul>" + "".join(f'<li><a href="/{i}">Entry {i}</a></li>' for i in range(8)) + "</ul></div>"
+    text = f"<p>{WORDS}</p><p><a href='/x'>Read on</a></p><p>{OTHER} And <a href='/y'>see this</a> too.</p>"
+    want = f"{WORDS}\n\nRead on\n\n{OTHER} And see this too."
+    assert pagetext.extract(f"<html><body>{menu}<div>{text}</div>{menu}</body></html>", weights) == want
+    assert pagetext.extract("<html><body><p><a href='/x'>Only a link</a></p></body></html>", weights) == "Only a link"
