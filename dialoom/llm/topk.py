@@ -274,8 +274,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     row = "vec_id long, dim int, cell int, kind string, row binary"
     # near rows in one place; those of one cell, and rows that repeat, are spread over as many partitions as they fill
-    rows = map_batches(v, _rows(_pivots(v)), row).withColumn("_at", F.xxhash64("vec_id", F.monotonically_increasing_id()))
-    asked = rows.where(F.col("vec_id") % every == 0)
+    code = _rows(_pivots(v))
+    rows, asked = (map_batches(d, code, row).withColumn("_at", F.xxhash64("vec_id", F.monotonically_increasing_id())) for d in (v, v.where(F.col("vec_id") % every == 0)))
     kind = "dim int, {0}_kind string, {0}_ids binary, {0}_rows binary, {0}_stats binary"
     n_queries = v.where(F.col("vec_id") % every == 0).count()
     q = asked.repartitionByRange(max(1, -(-n_queries // QUERY_BLOCK)), "dim", "cell", "_at").sortWithinPartitions("dim", "cell")
