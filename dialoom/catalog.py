@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import audio, casting, context, keywords, labeling, parsing, stats, timeline
 from .plans import jobs
 from .sources import derived as D
+from .sources import listing
 from .sources import scripts as S
 from .sources.shared import new_folder
 
@@ -264,6 +265,18 @@ def _folder_progress(s: SparkSession, d: str) -> DataFrame:
     return jobs.folder_progress(s, path, totals, r"stem=(\d+)_[^/]*/[^/]*\.wav$", r"stem=\d+_(\d+)").select("book_id", "done", "total", "remaining", "percent")
 
 
+def _folder_changes(s: SparkSession, d: str) -> DataFrame:
+    """The differences of three listings: after the even segments, after the odd ones, and without any news."""
+    path, manifest = new_folder(s, "live"), new_folder(s, "manifest")
+    named = D.files(s, d).where("length > 0").select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"), F.col("ord"))
+    found = []
+    for part in ("ord % 2 = 0", "ord % 2 = 1", "false"):
+        named.where(part).select(F.lit("x").alias("value"), "stem").repartition("stem").write.mode("append").partitionBy("stem").option("extension", "wav").csv(path)
+        found.append(listing.list_changes(s, path, manifest, r"stem=(\d+)_[^/]*/[^/]*\.wav$").withColumn("round", F.lit(len(found) + 1)))
+    book = F.regexp_extract("path", r"stem=\d+_(\d+)", 1).cast("long")
+    return found[0].union(found[1]).union(found[2]).select(book.alias("book_id"), "ord", "round", "gone")
+
+
 def _casting(s: SparkSession, d: str) -> DataFrame:
     """Speakers with the audio of either table of the configuration."""
     cast, default = S.casting_tables(s, D.CAST)
@@ -511,6 +524,7 @@ UNION ALL SELECT 'dialogues', row_number() OVER (ORDER BY p.id, ord), chapter ||
 UNION ALL SELECT 'audio_files', row_number() OVER (ORDER BY id), coalesce(ref, usual) || '|' || CASE WHEN ref IS NULL THEN 'preset' ELSE 'upload' END || '|' || id || '|2024-02-29 12:30:00' FROM c LEFT JOIN cast_map ON who = speaker""")
     _op("voice_registry", _registry, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', o) AS ref_audio_path, o::VARCHAR AS seq, (o % 2)::VARCHAR AS parity FROM (SELECT book_id, speaker, coalesce(max(ord) FILTER (ord % 2 = 1), max(ord)) AS o FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker)")
     _op("folder_progress", _folder_progress, "SELECT book_id, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 4) AS percent FROM (SELECT book_id, count(*) AS done FROM files WHERE length > 0 GROUP BY book_id) JOIN (SELECT book_id, count(*) AS total FROM dialogues GROUP BY book_id) USING (book_id)")
+    _op("folder_changes", _folder_changes, "SELECT book_id, ord, CASE WHEN ord % 2 = 0 THEN 1 ELSE 2 END AS round, false AS gone FROM files WHERE length > 0")
     _op("upsert_voice", _voices, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord) AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
     _op("read_voices", _voices_read, "SELECT book_id || '-' || speaker AS voice_id, speaker AS voice_name, printf('%05d.wav', max(ord)) AS ref_audio_path, max(ord)::VARCHAR AS seq FROM dialogues WHERE speaker <> '' GROUP BY book_id, speaker")
     _op("extract_bracket_labels", _bracketed, "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY line_no) - 1 AS ord, speaker AS label FROM dialogues")

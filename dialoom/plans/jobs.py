@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audio, casting, context, labeling, parsing, stats, timeline
-from ..sources import scripts
+from ..sources import listing, scripts
 
 PLACEHOLDER_MS = 1000
 
@@ -77,12 +77,16 @@ def label_emotions(dialogues: DataFrame, lines: DataFrame, factory: Callable[[],
     return labeling.parse_emotion_reply(labeling.label_resumably(requests, factory, store, ["book_id", "ord"], force=force, **options))
 
 
-def folder_progress(spark: SparkSession, path: str, totals: DataFrame, number: str, book: str, now: int | None = None) -> DataFrame:
+def folder_progress(spark: SparkSession, path: str, totals: DataFrame, number: str, book: str, now: int | None = None, manifest: str | None = None) -> DataFrame:
     """Progress of each book from the audio files below a folder, as they are when this is called.
 
     ``number`` and ``book`` find a segment's number and its book in the path of a file; contents aren't
-    read, and empty files count as unfinished.
+    read, and empty files count as unfinished.  With ``manifest`` what is new since the last call is
+    stored there, and the report reads the stored listing.
     """
-    files = scripts.scan_segment_files(spark, path, number).where("length > 0")
+    if manifest:
+        listing.list_changes(spark, path, manifest, number)
+    files = listing.read_manifest(spark, manifest) if manifest else scripts.scan_segment_files(spark, path, number)
+    files = files.where("length > 0")
     files = files.select(F.regexp_extract("path", book, 1).try_cast("long").alias("book_id"), "ord", "length", F.col("modified").cast("long").alias("modified_s"))
     return stats.progress_report(files, totals, now)

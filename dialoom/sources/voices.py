@@ -21,7 +21,7 @@ def upsert_voices(voices: DataFrame, new: DataFrame) -> DataFrame:
     return voices.unionByName(new.select(voices.columns)).groupBy("voice_id").agg(last).select("voice_id", "v.*")
 
 
-def _versions(spark: SparkSession, root: str, done: bool) -> list[int]:
+def version_numbers(spark: SparkSession, root: str, done: bool) -> list[int]:
     """Numbers of the versions below ``root``, of those that are whole, or of all."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*" + ("/_SUCCESS" if done else ""))
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
@@ -34,7 +34,7 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
 
     A frame that was read stays on its version while later ones are written.
     """
-    versions = _versions(spark, root, True)
+    versions = version_numbers(spark, root, True)
     if not versions:
         return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(SCHEMA).json(f"{root}/version={versions[-1]:010d}")
@@ -48,7 +48,7 @@ def write_registry(voices: DataFrame, root: str) -> int:
     with one number.
     """
     spark = voices.sparkSession
-    number = max(_versions(spark, root, False), default=0) + 1
+    number = max(version_numbers(spark, root, False), default=0) + 1
     voices.select(FIELDS).write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").json(f"{root}/version={number:010d}")
     return number
 
