@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -14,7 +14,7 @@ from .plans import jobs
 from .sources import derived as D
 from .sources import listing
 from .sources import scripts as S
-from .sources.shared import new_folder
+from .sources.shared import new_folder, write_files
 
 _STRIP = r"'^[\s\x{3000}]+|[\s\x{3000}]+$', '', 'g'"
 _NAMES = ", ".join(f"'{x}'" for x in ("user", "assistant", T.NARRATOR, T.NON_PERSON, "guest"))
@@ -163,7 +163,7 @@ def _written_lines(s: SparkSession, d: str) -> DataFrame:
 
 def _written_labels(s: SparkSession, d: str) -> DataFrame:
     path = new_folder(s, "labels")
-    D.labels(s, d).repartition("book_id").sortWithinPartitions("book_id", "ord").select("book_id", F.concat(F.lit("\n"), "label").alias("line")).write.partitionBy("book_id").text(path)
+    _write_books(s, d, D.labels(s, d).select("book_id", "ord", F.concat(F.lit("\n"), "label").alias("line")), "ord", path)
     return S.read_speaker_labels(s, path)
 
 
@@ -200,12 +200,21 @@ def _label_file(s: SparkSession, d: str) -> DataFrame:
 
 
 def _segment_files(s: SparkSession, d: str) -> DataFrame:
-    """Files with names that end in ``.wav``, in a folder named as the segment, listed without contents."""
+    """Files with names that end in ``.wav``, listed without contents."""
     path = new_folder(s, "segments")
-    named = D.files(s, d).select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"), "length")
-    named.select(F.repeat(F.lit("x"), (F.col("length") % 7 + 1).cast("int")).alias("value"), "stem").repartition("stem").write.partitionBy("stem").option("extension", "wav").csv(path)
-    listed = S.scan_segment_files(s, path, number=r"stem=(\d+)_[^/]*/[^/]*\.wav$")
-    return listed.select("ord", F.regexp_extract("path", r"stem=\d+_(\d+)", 1).cast("long").alias("book_id"), "length")
+    _write_segments(D.files(s, d, D.written_dialogues(s, d)), path, F.repeat(F.lit("x"), (F.col("length") % 7 + 1).cast("int")))
+    return S.scan_segment_files(s, path, NUMBER).select("ord", F.regexp_extract("path", BOOK, 1).cast("long").alias("book_id"), "length")
+#: The number and the book of a segment's file.
+NUMBER = r"/(\d+)[^/]*\.wav$"
+BOOK = r"/book(\d+)/[^/]*$"
+
+
+def _write_segments(files: DataFrame, path: str, value: Column) -> None:
+    """A file for each segment, named by its number, in a folder for each book."""
+    named = files.select(F.concat(F.lit("book"), "book_id").alias("folder"), F.format_string("%05d.wav", "ord").alias("name"), value.alias("value"))
+    write_files(named, files.count(), path)
+
+
 
 
 def _segments_back(s: SparkSession, d: str) -> DataFrame:
