@@ -277,12 +277,11 @@ def _folder_progress(s: SparkSession, d: str) -> DataFrame:
 def _folder_changes(s: SparkSession, d: str) -> DataFrame:
     """The differences of three listings: after the even segments, after the odd ones, and without any news."""
     path, manifest = new_folder(s, "live"), new_folder(s, "manifest")
-    named = D.files(s, d).where("length > 0").select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"), F.col("ord"))
-    found = []
+    files, found = D.files(s, d, D.written_dialogues(s, d)).where("length > 0"), []
     for part in ("ord % 2 = 0", "ord % 2 = 1", "false"):
-        named.where(part).select(F.lit("x").alias("value"), "stem").repartition("stem").write.mode("append").partitionBy("stem").option("extension", "wav").csv(path)
-        found.append(listing.list_changes(s, path, manifest, r"stem=(\d+)_[^/]*/[^/]*\.wav$").withColumn("round", F.lit(len(found) + 1)))
-    book = F.regexp_extract("path", r"stem=\d+_(\d+)", 1).cast("long")
+        _write_segments(files.where(part), path, F.lit("x"))
+        found.append(listing.list_changes(s, path, manifest, NUMBER).withColumn("round", F.lit(len(found) + 1)))
+    book = F.regexp_extract("path", BOOK, 1).cast("long")
     return found[0].union(found[1]).union(found[2]).select(book.alias("book_id"), "ord", "round", "gone")
 
 
