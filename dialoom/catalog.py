@@ -267,11 +267,10 @@ def _voices_read(s: SparkSession, d: str) -> DataFrame:
 
 def _folder_progress(s: SparkSession, d: str) -> DataFrame:
     """Progress from files that were written; their times are left out, as they are those of this run."""
-    path = new_folder(s, "finished")
-    named = D.files(s, d).where("length > 0").select(F.concat_ws("_", F.format_string("%05d", "ord"), F.col("book_id").cast("string")).alias("stem"))
-    named.select(F.lit("x").alias("value"), "stem").repartition("stem").write.partitionBy("stem").option("extension", "wav").csv(path)
-    totals = D.dialogues(s, d).groupBy("book_id").agg(F.count("*").alias("total"))
-    return jobs.folder_progress(s, path, totals, r"stem=(\d+)_[^/]*/[^/]*\.wav$", r"stem=\d+_(\d+)").select("book_id", "done", "total", "remaining", "percent")
+    path, of = new_folder(s, "finished"), D.written_dialogues(s, d)
+    _write_segments(D.files(s, d, of).where("length > 0"), path, F.lit("x"))
+    totals = of.groupBy("book_id").agg(F.count("*").alias("total"))
+    return jobs.folder_progress(s, path, totals, NUMBER, BOOK).select("book_id", "done", "total", "remaining", "percent")
 
 
 def _folder_changes(s: SparkSession, d: str) -> DataFrame:
