@@ -154,10 +154,17 @@ def _op(name: str, query: Query, sql: str | None) -> None:
         _sql[name] = BASE + sql
 
 
+def _write_books(s: SparkSession, d: str, rows: DataFrame, order: str, path: str) -> None:
+    """A text file for each book, in a folder of its own."""
+    books = D.table(s, d, "conversations").select("conv_id").distinct().count()
+    named = rows.select(F.concat(F.lit("book_id="), "book_id").alias("folder"), F.lit("text.txt").alias("name"), F.col("line").alias("value"), order)
+    write_files(named, books, path, [order])
+
+
 def _written_lines(s: SparkSession, d: str) -> DataFrame:
     """Books as text files in the shared folder, one folder a book, read back."""
     path = new_folder(s, "books")
-    D.lines(s, d).repartition("book_id").sortWithinPartitions("book_id", "line_no").select("book_id", "line").write.partitionBy("book_id").text(path)
+    _write_books(s, d, D.lines(s, d), "line_no", path)
     return S.read_lines(s, path)
 
 
