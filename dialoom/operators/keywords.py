@@ -1,41 +1,127 @@
-"""Keywords from a table, found through an index of the lines' q-grams, and tool calls answered as a table.
+"""Keywords from a table, found through the grams of their bytes, and tool calls answered as a table.
 
-A keyword can only stand in a line that has all its q-grams.  Each keyword is known by the one of
-its q-grams that the fewest lines have; lines meet it by equality on that q-gram, and what meets is
-verified.  Shorter keywords are q-grams of their own length.
+A keyword of up to 8 bytes is one gram; a longer one is known by that of its 8-byte grams that lines have
+least.  Tasks look the grams of their lines up in a small table of those of all keywords, so only grams of
+keywords become rows; these meet the keywords by equality, and what meets is verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..sources.shared import new_folder
 from .context import read_range, render_range
 from .stats import first_n
 
-Q = 4
-#: Rows (q-gram, keyword) up to which the table of keywords is broadcast, at some 50 bytes each.
+Q = 8
+#: Keywords up to which their table is broadcast, at some 50 bytes each.
 BROADCAST_KEYWORDS = 1_000_000
-
-
-def qgrams(text: Column, q: int) -> Column:
-    """The different q-grams of a text, in code points; the empty one for q = 0."""
-    if q == 0:
-        return F.array(F.lit(""))
-    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
-    def of(chars: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, q), ""))
-        return F.when(F.size(chars) >= q, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
-
-    # bound by a lambda, so that the letters of a text are taken apart once
-    return F.flatten(F.transform(F.array(letters), of))
-
-
-def _line_grams(lines: DataFrame, text: str, lengths: list[int]) -> DataFrame:
-    every = F.flatten(F.array(*[qgrams(F.col(text), q) for q in lengths]))
-    return lines.where(F.col(text).isNotNull()).select("*", F.explode(every).alias("gram"))
+#: Different grams that tasks know exactly, at 8 bytes each; beyond it they know the slots alone, and what shares a slot is sorted out by the join.
+EXACT_GRAMS = 2_000_000
+#: Bits of a slot where grams are looked up first, and where they are counted.
+LOOKED_UP, COUNTED = 22, 18
+#: Bytes that are looked at at once.
+STEP = 1 << 16
+_ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of a column of texts begin, with the end of the last, and their bytes."""
+    c = column.cast(pa.large_binary())
+    _, at, data = c.buffers()
+    offsets = np.frombuffer(at, np.int64)[c.offset : c.offset + len(c) + 1] if at else np.zeros(1, np.int64)
+    return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def _grams(offsets: np.ndarray, data: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(start, grams, q): a gram for each place from ``start`` on, a block at a time, those that reach over values included."""
+    end = int(offsets[-1])
+    for lo in range(int(offsets[0]), end, STEP):
+        piece = data[lo : min(lo + STEP + Q - 1, end)].astype(np.uint64)
+        key = piece
+        for q in range(1, max(lengths, default=0) + 1):
+            if q > 1:
+                key = (key[:-1] << np.uint64(8)) | piece[q - 1 :]
+            if not len(key):
+                break
+            if q in lengths:
+                yield lo, key[:STEP] * _ODD + np.uint64(q) * _SALT, q
+
+
+def _inside(offsets: np.ndarray, at: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value that each place lies in, and whether the q bytes from there on do."""
+    row = np.searchsorted(offsets, at, "right") - 1
+    return row, at + q <= offsets[row + 1]
+
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _lists(rows: np.ndarray, grams: np.ndarray, n: int) -> pa.Array:
+    """For each of n values the different grams found in it."""
+    order = np.lexsort((grams, rows))
+    rows, grams = rows[order], grams[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows[new], minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams[new].view(np.int64)))
+
+
+def _with_grams(df: DataFrame, text: str, lengths: list[int], known: tuple[np.ndarray, np.ndarray | None] | None) -> DataFrame:
+    """``df`` with ``grams``, those of its texts; with ``known``, slots and grams, only such as are known."""
+    shared = None if known is None else df.sparkSession.sparkContext.broadcast(known)
+    names, place = df.columns, df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, exact = (None, None) if shared is None else shared.value
+        for batch in batches:
+            offsets, data = _bytes(batch.column(place))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            for lo, grams, q in _grams(offsets, data, lengths):
+                at = np.arange(len(grams)) if slots is None else np.flatnonzero(slots[_slots(grams, LOOKED_UP)])
+                if exact is not None and len(at):
+                    near = np.minimum(np.searchsorted(exact, grams[at]), len(exact) - 1)
+                    at = at[exact[near] == grams[at]]
+                row, whole = _inside(offsets, at + lo, q)
+                found.append((row[whole], grams[at[whole]]))
+            both = [np.concatenate(x) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(*both, len(batch))], names=[*names, "grams"])
+
+    return df.mapInArrow(run, S.StructType([*df.schema.fields, S.StructField("grams", S.ArrayType(S.LongType()))]))
+
+
+def _counts(lines: DataFrame, text: str) -> DataFrame:
+    """(slot, n): how often grams of Q bytes that share a slot stand in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTED, np.int64)
+        for batch in batches:
+            for _, grams, _ in _grams(*_bytes(batch.column(0)), [Q]):
+                np.add.at(n, _slots(grams, COUNTED), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(n[some])})
+
+    return lines.select(text).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _known(rarest: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """The slots of the grams of keywords, and the grams if they are few enough."""
+    slot = F.shiftrightunsigned("gram", 64 - LOOKED_UP)
+    slots = np.zeros(1 << LOOKED_UP, bool)
+    if rarest.select("gram").distinct().count() <= EXACT_GRAMS:
+        exact = np.sort(rarest.select("gram").distinct().toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+        slots[_slots(exact, LOOKED_UP)] = True
+        return slots, exact
+    slots[rarest.select(slot.cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True  # at most as many as there are slots
+    return slots, None
 
 
 def find_keywords(lines: DataFrame, keywords: DataFrame, text: str = "line") -> DataFrame:
@@ -43,24 +129,41 @@ def find_keywords(lines: DataFrame, keywords: DataFrame, text: str = "line") ->
 
     ``keywords`` (keyword) hold for all lines; with a column book_id too, for the lines of their book.
     Null keywords are left out, repeated ones count once; an empty one stands in every line.  The
-    q-grams are counted, and the keywords with them, when this is called.
+    keywords are written, and grams of keywords of more than 8 bytes counted, when this is called.
     """
+    spark = lines.sparkSession
     by = [c for c in ("book_id",) if c in keywords.columns]
-    known = keywords.where("keyword is not null").select(*by, "keyword").distinct().withColumn("q", F.least(F.length("keyword"), F.lit(Q)))
-    lengths = sorted(r.q for r in known.select("q").distinct().collect())  # of 0 to Q
+    folder = new_folder(spark, "keywords")
+    keywords.where("keyword is not null").select(*by, "keyword").distinct().withColumn("q", F.least(F.octet_length("keyword"), F.lit(Q))).write.parquet(folder)
+    known = spark.read.parquet(folder)
+    lengths = {r.q: r.n for r in known.groupBy("q").agg(F.count("*").alias("n")).collect()}
     if not lengths:
         return lines.withColumn("keyword", F.lit("")).where(F.lit(False))
-    grams = F.lit(None).cast("array<string>")
-    for q in lengths:
-        grams = F.when(F.col("q") == q, qgrams(F.col("keyword"), q)).otherwise(grams)
-    candidates = known.withColumn("gram", F.explode(grams)).drop("q")
-    few = candidates.count() <= BROADCAST_KEYWORDS
+    few = sum(lengths.values()) <= BROADCAST_KEYWORDS
     sized = F.broadcast if few else (lambda df: df.hint("merge"))
-    # in how many lines each q-gram of a keyword is
-    counts = _line_grams(lines.select(F.col(text)), text, lengths).select("gram").join(sized(candidates.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    # a q-gram that no line has is the rarest: nothing meets it
-    rarest = candidates.join(counts.hint("merge"), "gram", "left").groupBy(*by, "keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    return _line_grams(lines, text, lengths).join(sized(rarest), [*by, "gram"]).where(F.contains(F.col(text), F.col("keyword"))).select(*[F.col(c) for c in lines.columns], "keyword")
+    texts = lines.where(F.col(text).isNotNull())
+    parts = [_with_grams(known.where(F.col("q") == q), "keyword", [q], None) for q in sorted(lengths) if 0 < q < Q]
+    if Q in lengths:
+        candidates = _with_grams(known.where(F.col("q") == Q), "keyword", [Q], None).select(*by, "keyword", F.explode("grams").alias("gram"))
+        counts = F.broadcast(_counts(texts, text))  # at most as many rows as there are slots
+        met = candidates.withColumn("slot", F.shiftrightunsigned("gram", 64 - COUNTED)).join(counts, "slot", "left")
+        long = met.groupBy(*by, "keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    tables = [p.select(*by, "keyword", F.col("grams")[0].alias("gram")) for p in parts] + ([long] if Q in lengths else [])
+    found = []
+    if tables:
+        rarest = tables[0]
+        for more in tables[1:]:
+            rarest = rarest.union(more)
+        path = new_folder(spark, "grams")
+        rarest.write.parquet(path)
+        rarest = spark.read.parquet(path)
+        some = _with_grams(texts, text, sorted(q for q in lengths if q), _known(rarest))
+        met = some.withColumn("gram", F.explode("grams")).drop("grams").join(sized(rarest), [*by, "gram"])
+        found.append(met.where(F.contains(F.col(text), F.col("keyword"))).select(*[F.col(c) for c in lines.columns], "keyword"))
+    if 0 in lengths:  # the empty one
+        every = known.where("q = 0").select(*by, "keyword")
+        found.append((texts.join(sized(every), by) if by else texts.crossJoin(F.broadcast(every))).select(*[F.col(c) for c in lines.columns], "keyword"))
+    return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
 def search_table(lines: DataFrame, keywords: DataFrame, limit: int = 20, preview: int = 120, also: str | None = None) -> DataFrame:
@@ -74,9 +177,9 @@ def search_table(lines: DataFrame, keywords: DataFrame, limit: int = 20, preview
 def _hits(lines: DataFrame, keywords: DataFrame, preview: int, also: str | None) -> DataFrame:
     """With ``also``, stripped lines that hold that too are searched."""
     shown = T.strip(F.col("line"))
-    rows = lines.select("book_id", "line_no", (shown if also else F.col("line")).alias("line"))
+    rows = lines.select("book_id", "line_no", (shown if also else F.col("line")).alias("line"), T.preview(shown, preview).alias("shown"))
     rows = rows.where(F.contains("line", F.lit(also))) if also else rows
-    return find_keywords(rows, keywords).select("keyword", "book_id", "line_no", T.preview(shown, preview).alias("shown"))
+    return find_keywords(rows, keywords).select("keyword", "book_id", "line_no", "shown")
 
 
 def mention_table(lines: DataFrame, names: DataFrame, limit: int = 50) -> DataFrame:

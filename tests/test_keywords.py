@@ -93,3 +93,26 @@ def test_nothing_asked(spark):
     calls = spark.createDataFrame([], "book_id long, call_id long, name string, arguments string")
     assert keywords.answer_calls(calls, lines_of(spark)).collect() == []
     assert keywords.search_table(lines_of(spark), words_of(spark, ["zz"]).where(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize("exact", [0, 1000])  # slots alone, and grams too
+def test_only_grams_of_keywords_become_rows(spark, monkeypatch, exact):
+    monkeypatch.setattr(keywords, "EXACT_GRAMS", exact)
+    monkeypatch.setattr(keywords, "STEP", 64)  # keywords lie over borders of blocks
+    made = []
+    plain = keywords._with_grams
+
+    def watched(df, text, lengths, known):
+        out = plain(df, text, lengths, known)
+        if known is not None:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(keywords, "_with_grams", watched)
+    words = ["a needle in it", "a needle in hay", "赫萝与罗伦斯", "éa", "zq", "sevenby", "eightbyt", "nine bytes"]
+    texts = [f"{i:05d} " * 40 + words[i % 8] + f" {i:05d}" * 40 for i in range(80)] + ["a needle in", "", "éb"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "book_id long, line_no long, line string").repartition(3)
+    got = keywords.find_keywords(lines, words_of(spark, words))
+    assert sorted((r.line_no, r.keyword) for r in got.collect()) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
+    rows = made[0].select(F.sum(F.size("grams"))).first()[0]
+    assert 80 <= rows <= 120  # of 40,000 places
