@@ -580,7 +580,7 @@ SELECT needle, d.book_id, ord, speaker, text, ord = hit AS is_hit FROM h JOIN di
   FROM doc_lines JOIN k ON contains(line, keyword)
 ) SELECT keyword, book_id, line_no, line, total, total > 20 AS truncated FROM hit WHERE rn <= 20""")
     _op("mention_table", lambda s, d: keywords.mention_table(D.lines(s, d), s.createDataFrame([("user",), ("assistant",)], "keyword string")), "SELECT keyword, book_id, line_no, line, total, total > 50 AS truncated FROM mentions WHERE rn <= 50")
-    _op("locate_table", lambda s, d: keywords.locate_table(D.dialogues(s, d), _words_table(s, d)), WORDS_SQL + """, h AS (SELECT keyword AS needle, book_id, min(ord) AS hit FROM dialogues JOIN k ON contains(text, keyword) GROUP BY ALL)
+    _op("locate_table", lambda s, d: keywords.locate_table(D.written_dialogues(s, d), _words_table(s, d)), WORDS_SQL + """, h AS (SELECT keyword AS needle, book_id, min(ord) AS hit FROM dialogues JOIN k ON contains(text, keyword) GROUP BY ALL)
 SELECT needle, d.book_id, ord, speaker, text, ord = hit AS is_hit FROM h JOIN dialogues d ON d.book_id = h.book_id AND ord BETWEEN hit - 3 AND hit + 3""")
     _op("answer_calls", _answers, """, c AS (
   SELECT book_id, line_no AS call_id, ['search_novel', 'read_lines', 'get_dialogues', 'fly'][(line_no % 4 + 1)::INT] AS name, line_no % 5 = 0 OR line_no % 11 = 1 AS bare, translate(substr(line, 3, 2), chr(34) || chr(92), '') AS word FROM lines
