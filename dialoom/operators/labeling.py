@@ -121,24 +121,25 @@ def label_resumably(
     there = F.col("request").isNotNull()
     for k in keys:
         there = there & F.col(k).isNotNull()
-    wanted = requests.where(there).select(*keys, "request", asked).dropDuplicates([*keys, "asked"])
+    folder = new_folder(spark, "requests")
+    requests.where(there).select(*keys, "request", asked).dropDuplicates([*keys, "asked"]).write.parquet(folder)
+    wanted = spark.read.parquet(folder)  # made once, though asked for below too
     known = stored_answers(spark, store, keys)
-    generation, run = 0, 0
+    pending, generation, run = wanted, 0, 0
     if known is not None:
         newest = spark.read.parquet(store).agg(F.max(F.struct("generation", "run"))).first()[0]
         generation, run = newest.generation + int(force), newest.run + 1
     if known is not None and not force:
         done = known.where("status = 'ok'") if retry_errors else known
-        wanted = wanted.join(done.select(*keys, "asked").hint("merge"), [*keys, "asked"], "left_anti")
-    folder = new_folder(spark, "requests")
-    wanted.write.parquet(folder)
-    pending = spark.read.parquet(folder)
+        rest = new_folder(spark, "pending")
+        wanted.join(done.select(*keys, "asked").hint("merge"), [*keys, "asked"], "left_anti").write.parquet(rest)
+        pending = spark.read.parquet(rest)
     n = pending.count()
     if n:
         answers = apply_model(pending.repartition(-(-n // per_task)), factory, batched)
         answers.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(f"{store}/generation={generation}/run={run}")
     # answers to these requests only: the store may hold others
-    asked_for = requests.where(there).select(*keys, asked).distinct()
+    asked_for = wanted.select(*keys, "asked")
     found = stored_answers(spark, store, keys)
     if found is None:
         return asked_for.select(*keys, F.lit("").alias("reply"), F.lit("").alias("status")).where(F.lit(False))

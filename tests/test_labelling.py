@@ -78,3 +78,17 @@ def test_awkward_requests(spark, tmp_path):
     assert sorted(map(tuple, out)) == [(1, 1, "A", "ok"), (2, 4, "", "ok")]
     none = labeling.label_resumably(df.limit(0), lambda: str.upper, str(tmp_path / "t"), KEYS)
     assert none.collect() == [] and none.columns == ["book_id", "ord", "reply", "status"]
+
+
+def test_requests_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = asked_of(spark, 50).mapInArrow(count, "book_id long, ord long, request string")
+    for times in (1, 2):  # with an empty store, and with a full one
+        assert labeling.label_resumably(df, lambda: str.upper, str(tmp_path / "s"), KEYS).count() == 50
+        assert made.value == 50 * times
