@@ -14,6 +14,9 @@ import pyarrow as pa
 
 from . import textkit as tk
 
+#: Values of sparse rows that are multiplied at once.
+RUN = 1 << 17
+
 
 @dataclass(frozen=True)
 class Grams:
@@ -69,18 +72,91 @@ def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def matrix(column: pa.Array, g: Grams) -> np.ndarray:
-    """Dense features of a bounded number of texts."""
-    parts = []
+@dataclass(frozen=True)
+class Rows:
+    """Features of texts without their zeros: the columns and values of row i lie from cut[i] to cut[i + 1]."""
+
+    cut: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
+    width: int
+
+    def __len__(self) -> int:
+        return len(self.cut) - 1
+
+    def runs(self):
+        """(rows, columns, values) of some rows at a time, about ``RUN`` values."""
+        lo = 0
+        while lo < len(self):
+            hi = max(lo + 1, int(np.searchsorted(self.cut, self.cut[lo] + RUN, "right")) - 1)
+            at = slice(self.cut[lo], self.cut[hi])
+            yield np.repeat(np.arange(lo, hi), np.diff(self.cut[lo : hi + 1])), self.index[at], self.value[at]
+            lo = hi
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self))
+        for row, index, value in self.runs():
+            if len(row):
+                out[row[0] : row[-1] + 1] += np.bincount(row - row[0], w[index] * value)
+        return out
+
+    def sums(self, u: np.ndarray, power: int = 1) -> np.ndarray:
+        """Sums over rows of u times the features (to a power)."""
+        out = np.zeros(self.width)
+        for row, index, value in self.runs():
+            out += np.bincount(index, u[row] * value**power, minlength=self.width)
+        return out
+
+    def dense(self) -> np.ndarray:
+        x = np.zeros((len(self), self.width), np.float32)
+        for row, index, value in self.runs():
+            x[row, index] = value
+        return x
+
+
+class Scaled:
+    """(rows - mean) / scale for products from both sides; the centred matrix is never made."""
+
+    __array_ufunc__ = None  # arrays leave their products to this class
+
+    def __init__(self, rows: Rows) -> None:
+        one, n = np.ones(len(rows)), max(1, len(rows))
+        self.rows, self.mean = rows, rows.sums(one) / n
+        var = np.maximum(0, rows.sums(one, 2) / n - self.mean**2)
+        dev = np.sqrt(var) + 1e-4
+        self.scale = dev * (np.sqrt((var / dev**2).sum()) + 1e-9)
+        self.shape = (len(rows), rows.width)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        w = w / self.scale
+        return self.rows.times(w) - self.mean @ w
+
+    def __rmatmul__(self, u: np.ndarray) -> np.ndarray:
+        return (self.rows.sums(u) - u.sum() * self.mean) / self.scale
+
+
+def rows(column: pa.Array, g: Grams) -> Rows:
+    """Features of a bounded number of texts."""
+    size, index, value = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for lo, hi, data, at in tk.slices(column):
-        x = np.zeros((hi - lo, g.size), np.float32)
-        for b, (index, cut) in enumerate(_positions(data, at, g)):
-            for i in range(hi - lo):
-                own = index[cut[i] : cut[i + 1]]
+        found = list(_positions(data, at, g))
+        for i in range(hi - lo):
+            n = 0
+            for b, (grams, cut) in enumerate(found):
+                own = grams[cut[i] : cut[i + 1]]
                 if len(own):
-                    x[i, b << g.bits : (b + 1) << g.bits] = np.bincount(own, minlength=1 << g.bits) / len(own)
-        parts.append(x)
-    return np.concatenate(parts) if parts else np.zeros((0, g.size), np.float32)
+                    count = np.bincount(own)
+                    some = np.flatnonzero(count)
+                    index.append((some + (b << g.bits)).astype(np.int32))
+                    value.append((count[some] / len(own)).astype(np.float32))
+                    n += len(some)
+            size.append(n)
+    return Rows(np.cumsum(size), np.concatenate(index), np.concatenate(value), g.size)
+
+
+def matrix(column: pa.Array, g: Grams) -> np.ndarray:
+    """The same, dense."""
+    return rows(column, g).dense()
 
 
 def scores(column: pa.Array, g: Grams, weights: np.ndarray) -> np.ndarray:
@@ -99,17 +175,23 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, loss: str, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray | Rows, y: np.ndarray, loss: str, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
     """(weights, bias) for y in {0, 1}, classes weighing alike.
 
     ``loss``: "logistic", or "hinge" for a support vector machine (squared hinge).  Features
     are scaled by their deviations; the scales are part of the weights that are returned.
+    Of ``Rows`` no dense matrix is made; a dense one is copied once.
     """
-    mean, dev = x.mean(0), x.std(0, dtype=np.float32) + np.float32(1e-4)
-    z = x - mean  # the one copy
-    z /= dev
-    norm = np.float32(np.sqrt(np.einsum("ij,ij->", z, z) / max(1, len(z))) + 1e-9)
-    z /= norm
+    if isinstance(x, Rows):
+        z = Scaled(x)
+        mean, scale = z.mean, z.scale
+    else:
+        mean, dev = x.mean(0), x.std(0, dtype=np.float32) + np.float32(1e-4)
+        z = x - mean  # the one copy
+        z /= dev
+        norm = np.float32(np.sqrt(np.einsum("ij,ij->", z, z) / max(1, len(z))) + 1e-9)
+        z /= norm
+        scale = dev * np.float64(norm)
     t = np.where(y > 0, 1.0, -1.0)
     n1 = max(1, int((y > 0).sum()))
     share = np.where(y > 0, 0.5 / n1, 0.5 / max(1, len(y) - n1))
@@ -120,7 +202,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, loss: str, penalty: float = 1e-3, r
         vw = 0.9 * vw - 0.5 * (slope.astype(np.float32) @ z + penalty * w)
         vb = 0.9 * vb - 0.5 * float(slope.sum())
         w, b = w + vw, b + vb
-    w = w / dev / norm
+    w = w / scale
     return w, float(b - mean @ w)
 
 
