@@ -116,3 +116,40 @@ def test_only_grams_of_keywords_become_rows(spark, monkeypatch, exact):
     assert sorted((r.line_no, r.keyword) for r in got.collect()) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
     rows = made[0].select(F.sum(F.size("grams"))).first()[0]
     assert 80 <= rows <= 120  # of 40,000 places
+
+
+def shuffled_rows(spark):
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(60_000)
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lines_are_shuffled_and_not_their_hits(spark):
+    words = [f"w{i}w" for i in range(60)]
+    lines = spark.createDataFrame([(i // 50, i, " ".join(words[i % 3 :])) for i in range(400)], "book_id long, line_no long, line string").repartition(3).cache()
+    table = words_of(spark, words).cache()
+    assert lines.count() + table.count() == 460
+    before = shuffled_rows(spark)
+    assert keywords.search_table(lines, table, 20).where("truncated").count() == 8 * 59 * 20  # the first keyword has 17 hits a book
+    assert shuffled_rows(spark) - before < 3000  # of 23,600 hits
+
+
+@pytest.mark.parametrize(("width", "held"), [(1 << 16, 1 << 20), (1 << 16, 5), (4, 1 << 20), (4, 3), (1, 1)])
+def test_first_hits_of_long_books(spark, monkeypatch, width, held):
+    monkeypatch.setattr(keywords, "HELD_HITS", held)
+    texts = ["ab b c", "a", "", None, "bb abc", "c a b", "no", "a long keyword b", " b a "]
+    rows = [(b, i + b, texts[(i * b + i // 7) % 9]) for b, n in ((1, 40), (2, 3), (3, 25), (5, 1)) for i in range(n)] + [(None, i, "a b") for i in range(6)] + [(8, None, "b"), (8, 2, "a b")]
+    lines = spark.createDataFrame(rows, "book_id long, line_no long, line string").repartition(5)
+    words = ["a", "b", "ab", "c", "long keyword", "", "zz"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(r) for r in keywords.search_table(lines, words_of(spark, words), 3, width=width).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for w in words:
+        for book in (1, 2, 3, 5, 8, None):
+            hits = sorted(((-1 if i is None else i), i, t.strip()) for b, i, t in rows if b == book and t is not None and w in t)
+            want += [(w, book, i, t, len(hits), len(hits) > 3) for _, i, t in hits[:3]]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
